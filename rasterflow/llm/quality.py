@@ -23,7 +23,7 @@ from .common import word_hashes
 #: Bounds of what training sees: labelled documents, and documents in the unlabelled pool. Scoring sees everything.
 LABELLED, POOL = 6000, 6000
 ROUNDS, PER_ROUND, CONFIDENT = 4, 300, 0.95
-WORD_BINS, META_BINS = 128, 64
+WORD_BINS, META_BINS, REPEATS = 128, 64, 5
 
 # Byte classes: control, space, digit, lower, upper, sentence punctuation, other punctuation, beyond ASCII.
 _CLASS = np.full(256, 6, dtype=np.int64)
@@ -32,14 +32,19 @@ _CLASS[[ord(c) for c in ".,;:'-"]] = 5
 
 
 def content_features(text: str | None) -> np.ndarray:
+    """Shares of pairs of byte classes, of hashed words, and of repetition; short texts are shrunk towards none of either."""
     data = (text or "").encode("utf-8", "surrogatepass")
-    out = np.zeros(64 + WORD_BINS, dtype=np.float32)
+    out = np.zeros(64 + WORD_BINS + REPEATS, dtype=np.float32)
     if len(data) > 1:
         kind = _CLASS[np.frombuffer(data, dtype=np.uint8)]
-        out[:64] = np.sqrt(np.bincount(kind[:-1] * 8 + kind[1:], minlength=64) / (len(kind) - 1))
+        out[:64] = np.sqrt(np.bincount(kind[:-1] * 8 + kind[1:], minlength=64) / (len(kind) + 100))
     words = word_hashes(data)
     if len(words):
-        out[64:] = np.sqrt(np.bincount((words % np.uint64(WORD_BINS)).astype(np.int64), minlength=WORD_BINS) / len(words))
+        n = len(words) + 16
+        out[64 : 64 + WORD_BINS] = np.sqrt(np.bincount((words % np.uint64(WORD_BINS)).astype(np.int64), minlength=WORD_BINS) / n)
+        most = np.unique(words, return_counts=True)[1]
+        again = np.count_nonzero(words[1:] == words[:-1]) / n
+        out[64 + WORD_BINS :] = again, np.sqrt(again), most.max() / n, (len(words) - len(most)) / n, min(1.0, len(words) / 50)
     return out
 
 
@@ -135,7 +140,7 @@ def train(docs: DataFrame, labels: DataFrame, labelled: int = LABELLED, pool: in
 
     rows = sample.mapInArrow(run, "doc_id long, quality int, content binary, meta binary").toPandas().drop_duplicates("doc_id").sort_values("doc_id", ignore_index=True)
     read = lambda c, n: np.stack([np.frombuffer(x, dtype=np.float32) for x in rows[c]]) if len(rows) else np.zeros((0, n), dtype=np.float32)
-    content, meta, quality = read("content", 64 + WORD_BINS), read("meta", META_BINS + 16), rows["quality"].to_numpy()
+    content, meta, quality = read("content", 64 + WORD_BINS + REPEATS), read("meta", META_BINS + 16), rows["quality"].to_numpy()
     known = quality >= 0
     held = rows["doc_id"].map(lambda i: zlib.crc32(str(i).encode()) % 4 == 0).to_numpy(dtype=bool)[known]
     return co_train(content[known], meta[known], quality[known].astype(float), held, content[~known], meta[~known])
@@ -150,7 +155,7 @@ def score(docs: DataFrame, model: Model, threshold: float = 0.5) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             text, lang, source, n_chars = (batch.column(i) for i in at)
-            content = np.stack([content_features(t.as_py()) for t in text]) if len(batch) else np.zeros((0, 64 + WORD_BINS))
+            content = np.stack([content_features(t.as_py()) for t in text]) if len(batch) else np.zeros((0, 64 + WORD_BINS + REPEATS))
             meta = np.stack([meta_features(a, b, c) for a, b, c in zip(lang.to_pylist(), source.to_pylist(), n_chars.to_pylist(), strict=True)]) if len(batch) else np.zeros((0, META_BINS + 16))
             p = model.scores(content, meta)
             yield pa.RecordBatch.from_arrays([*(batch.column(batch.schema.names.index(c)) for c in kept), *(pa.array(x) for x in p), pa.array(p[2] >= threshold)], [*kept, *names])
