@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import exact_dedup, line_dedup, packing, pii, quality, secret_scan, topk
+from . import exact_dedup, line_dedup, near_dedup, packing, pii, quality, secret_scan, topk
 from .common import table
 
 
@@ -23,6 +23,10 @@ def op5_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return line_dedup.dedup_lines(table(spark, sf_dir, "documents").select("doc_id", "text"))
 
 
+def op6_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_dedup.near_components(table(spark, sf_dir, "documents"))
+
+
 def op7_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack_documents(table(spark, sf_dir, "documents"))
 
@@ -39,7 +43,7 @@ def op10_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii.find_pii(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op2_topk, op4_quality, op5_line_dedup, op7_packing, op8_secret_scan, op9_exact_dedup, op10_pii)}
+QUERIES = {f.__name__: f for f in (op2_topk, op4_quality, op5_line_dedup, op6_minhash, op7_packing, op8_secret_scan, op9_exact_dedup, op10_pii)}
 
 SQL = {
     "op2_topk": """
@@ -76,6 +80,30 @@ WITH d AS (
 SELECT d.doc_id, CASE WHEN d.text IS NULL THEN NULL ELSE kept.text END AS text,
   coalesce(kept.n_lines, 0) AS n_lines, coalesce(kept.n_removed, 0) AS n_removed
 FROM d LEFT JOIN kept ON d.doc_id = kept.doc_id
+""",
+    "op6_minhash": r"""
+WITH RECURSIVE w AS (
+  SELECT doc_id, list_filter(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x20\x09-\x0D]+'), lambda x: x <> '') AS words
+  FROM documents
+), s AS MATERIALIZED (
+  SELECT DISTINCT doc_id, unnest(CASE WHEN len(words) = 0 THEN [] WHEN len(words) < 5 THEN [array_to_string(words, ' ')]
+    ELSE list_transform(range(1, len(words) - 3), lambda i: array_to_string(words[i:i + 4], ' ')) END) AS shingle
+  FROM w
+), n AS MATERIALIZED (
+  SELECT doc_id, count(*) AS n FROM s GROUP BY doc_id
+), l AS MATERIALIZED (
+  SELECT a, b FROM (SELECT x.doc_id AS a, y.doc_id AS b, count(*) AS shared FROM s x JOIN s y USING (shingle) WHERE x.doc_id <> y.doc_id GROUP BY ALL)
+  JOIN n p ON p.doc_id = a JOIN n q ON q.doc_id = b
+  WHERE 100 * shared >= 75 * (p.n + q.n - shared)
+), reach AS (
+  SELECT a AS doc_id, b AS other FROM l
+  UNION
+  SELECT reach.doc_id, l.b FROM reach JOIN l ON l.a = reach.other
+), c AS (
+  SELECT w.doc_id, least(w.doc_id, min(other)) AS component_id FROM w LEFT JOIN reach ON reach.doc_id = w.doc_id GROUP BY w.doc_id
+)
+SELECT c.doc_id, coalesce(n.n, 0) AS n_shingles, component_id, c.doc_id = component_id AS kept
+FROM c LEFT JOIN n ON n.doc_id = c.doc_id
 """,
     "op9_exact_dedup": r"""
 WITH d AS (
