@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import exact_dedup, line_dedup, near_dedup, packing, pii, quality, secret_scan, topk
+from . import exact_dedup, line_dedup, near_dedup, packing, pii, quality, secret_scan, substring_dedup, topk
 from .common import table
 
 
@@ -14,6 +14,10 @@ def op2_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     return topk.top_k(vectors, vectors.where(F.col("vec_id") % 20 == 0), k=20)
 
 
+def op3_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return substring_dedup.remove_repeats(table(spark, sf_dir, "documents")).drop("kept_text")
+
+
 def op4_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text", "lang", "source", "n_chars")
     return quality.classify(docs, table(spark, sf_dir, "labels")).select("doc_id", "p_content", "p_meta", "quality_score", "good")
@@ -43,7 +47,7 @@ def op10_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii.find_pii(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op2_topk, op4_quality, op5_line_dedup, op6_minhash, op7_packing, op8_secret_scan, op9_exact_dedup, op10_pii)}
+QUERIES = {f.__name__: f for f in (op2_topk, op3_substring_dedup, op4_quality, op5_line_dedup, op6_minhash, op7_packing, op8_secret_scan, op9_exact_dedup, op10_pii)}
 
 SQL = {
     "op2_topk": """
@@ -60,6 +64,25 @@ WITH v AS (
 SELECT query_id, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS INTEGER) AS rank, vec_id, score
 FROM s
 QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) <= 20
+""",
+    "op3_substring_dedup": r"""
+WITH d AS MATERIALIZED (
+  SELECT row_number() OVER () AS r, doc_id, list_filter(regexp_split_to_array(coalesce(text, ''), '[\x20\x09-\x0D]+'), lambda x: x <> '') AS words
+  FROM documents
+), w AS MATERIALIZED (
+  SELECT r, s, array_to_string(words[s:s + 34], ' ') AS passage FROM (SELECT r, words, unnest(range(1, greatest(len(words) - 33, 1))) AS s FROM d)
+), twice AS (
+  SELECT passage FROM w GROUP BY passage HAVING count(*) > 1
+), covered AS (
+  SELECT DISTINCT r, unnest(range(s, s + 35)) AS i FROM w SEMI JOIN twice USING (passage)
+), each AS (
+  SELECT r, unnest(range(1, len(words) + 1)) AS i, unnest(words) AS word FROM d
+), kept AS (
+  SELECT each.r, count(*) AS n_words, count(covered.i) AS n_removed, coalesce(string_agg(word, ' ' ORDER BY each.i) FILTER (WHERE covered.i IS NULL), '') AS text
+  FROM each LEFT JOIN covered ON each.r = covered.r AND each.i = covered.i GROUP BY each.r
+)
+SELECT doc_id, coalesce(n_words, 0) AS n_words, coalesce(n_removed, 0) AS n_removed, sha256(coalesce(kept.text, '')) AS kept_sha256
+FROM d LEFT JOIN kept ON d.r = kept.r
 """,
     "op5_line_dedup": r"""
 WITH d AS (
