@@ -1,0 +1,215 @@
+"""SentencePiece encoding by a shared-prefix Viterbi search, and decoding.
+
+Texts become marked words (runs of the space mark and what follows). The distinct words of a batch are sorted, which makes
+neighbours share prefixes like the paths of a trie, and are traversed depth first: forward states of the common prefix are
+kept and only those of the new characters computed. For a unigram vocabulary the forward state of a prefix is its best
+score and last piece. A byte-pair vocabulary has no additive score; there the state is the one last piece with which the
+prefix's merges can end: a piece fits after another if merging both together gives just these two pieces again.
+"""
+
+from __future__ import annotations
+
+import re
+from collections.abc import Iterator
+from functools import lru_cache
+from itertools import chain
+
+import numpy as np
+import pyarrow as pa
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+MARK = "▁"
+#: Words whose pieces a task keeps from one batch to the next.
+CACHE = 300_000
+
+
+class Vocabulary:
+    """Pieces and scores of a model file, and the forward search over them."""
+
+    def __init__(self, path: str, kind: str = "bpe"):
+        from sentencepiece import SentencePieceProcessor
+
+        model = SentencePieceProcessor(model_file=path)
+        size = range(model.get_piece_size())
+        self.kind = kind
+        self.pieces = [model.id_to_piece(i) for i in size]
+        plain = [i for i in size if not (model.is_byte(i) or model.is_control(i) or model.is_unknown(i) or model.is_unused(i))]
+        self.ids = {self.pieces[i]: i for i in plain}
+        self.scores = {self.pieces[i]: model.get_score(i) for i in plain}
+        self.byte_ids = {int(self.pieces[i][1:-1], 16): i for i in size if model.is_byte(i)}
+        self.unknown = model.unk_id()
+        self.longest = max(map(len, self.ids), default=1)
+        self.penalty = min(self.scores.values(), default=0.0) - 10.0
+        self.fits_after: dict[tuple[str, str], bool] = {}
+        alone = "".join(c for c in "\n\r\t" if not any(c in p for p in self.ids))
+        self.split = re.compile(f"{MARK}*[^{MARK}{re.escape(alone)}]+|{MARK}+|[{re.escape(alone)}]" if alone else f"{MARK}*[^{MARK}]+|{MARK}+")
+        self.known: dict[str, tuple[int, ...]] = {}
+        bytes_of = [bytes([int(p[1:-1], 16)]) if model.is_byte(i) else b"" if model.is_control(i) else " ⁇ ".encode() if model.is_unknown(i) else p.replace(MARK, " ").encode() for i, p in enumerate(self.pieces)]
+        self.spelling = np.frombuffer(b"".join(bytes_of), dtype=np.uint8)
+        self.length = np.array([len(b) for b in bytes_of], dtype=np.int64)
+        self.begin = np.cumsum(self.length) - self.length
+
+    # --- the forward search ---
+
+    def merged(self, text: str) -> list[str]:
+        """The byte-pair merges of a short text: always the pair with the best score, the leftmost on ties."""
+        parts = list(text)
+        while len(parts) > 1:
+            best = max(((self.scores[p], -i) for i in range(len(parts) - 1) if (p := parts[i] + parts[i + 1]) in self.scores), default=None)
+            if best is None:
+                break
+            i = -best[1]
+            parts[i : i + 2] = [parts[i] + parts[i + 1]]
+        return parts
+
+    def fits(self, before: str, piece: str) -> bool:
+        found = self.fits_after.get((before, piece))
+        if found is None:
+            if len(self.fits_after) > 2_000_000:
+                self.fits_after.clear()
+            found = self.fits_after[before, piece] = self.merged(before + piece) == ([before, piece] if before else [piece])
+        return found
+
+    def forward(self, words: list[str]) -> Iterator[list[str]]:
+        """The pieces of each of the sorted words; states of a prefix that a word shares with the last one are reused."""
+        ids, scores, longest, unigram, fits = self.ids, self.scores, self.longest, self.kind == "unigram", self.fits
+        starts, lasts, best, before = [0], [""], [0.0], ""
+        for word in words:
+            same, most = 0, min(len(word), len(before))
+            while same < most and word[same] == before[same]:
+                same += 1
+            del starts[same + 1 :], lasts[same + 1 :], best[same + 1 :]
+            for end in range(same + 1, len(word) + 1):
+                if unigram:
+                    options = [(best[s] + scores[p], s, p) for s in range(max(0, end - longest), end) if (p := word[s:end]) in scores]
+                    if not options or options[-1][1] != end - 1:
+                        options.append((best[end - 1] + self.penalty, end - 1, word[end - 1]))
+                    score, start, last = max(options, key=lambda o: o[0])
+                    best.append(score)
+                else:
+                    for start in range(max(0, end - longest), end):
+                        last = word[start:end]
+                        if last in ids and fits(lasts[start], last):
+                            break
+                    else:
+                        start, last = end - 1, word[end - 1]
+                    best.append(0.0)
+                starts.append(start)
+                lasts.append(last)
+            out, end = [], len(word)
+            while end:
+                out.append(lasts[end])
+                end = starts[end]
+            before = word
+            yield out[::-1]
+
+    def _numbers(self, pieces: list[str]) -> tuple[int, ...]:
+        out: list[int] = []
+        for p in pieces:
+            found = self.ids.get(p)
+            out += (found,) if found is not None else [self.byte_ids[b] for b in p.encode("utf-8", "surrogatepass")] if self.byte_ids else (self.unknown,)
+        return tuple(out)
+
+    def _marks(self, n: int) -> list[str]:
+        """A run of marks alone. Their merges have equal scores, so the left end grows first, up to the longest run there is."""
+        longest = max((len(p) for p in self.ids if p == MARK * len(p)), default=1)
+        whole = n // longest if self.merged(MARK * longest) == [MARK * longest] else 0
+        return [MARK * longest] * whole + self.merged(MARK * (n - whole * longest))
+
+    def learn(self, words: set[str]) -> None:
+        """Adds words to the known ones."""
+        if len(self.known) > CACHE:
+            self.known.clear()
+        new = words - self.known.keys()
+        if self.kind == "unigram":
+            plain = {w: w for w in new}
+        else:  # of a run of marks the last may join the word, the others come after all other merges
+            plain = {w: w.lstrip(MARK) for w in new}
+            plain = {w: MARK * (len(b) < len(w)) + b for w, b in plain.items() if b}
+        short = sorted(set(plain.values()))
+        pieces = dict(zip(short, self.forward(short), strict=True))
+        for w in new:
+            if w not in plain:
+                self.known[w] = self._numbers(self._marks(len(w)))
+                continue
+            own = pieces[plain[w]]
+            spare = len(w) - len(plain[w])
+            if spare:
+                own = self._marks(spare) + own if own[0] != MARK else self._marks(spare + 1) + own[1:]
+            self.known[w] = self._numbers(own)
+
+    def words(self, text: str) -> list[str]:
+        return self.split.findall(MARK + text.replace(" ", MARK)) if text else []
+
+    def encode(self, texts: list[str]) -> list[np.ndarray]:
+        split = [self.words(t) for t in texts]
+        self.learn(set().union(*split))
+        return [np.fromiter(chain.from_iterable(map(self.known.__getitem__, ws)), dtype=np.int32) for ws in split]
+
+    def decode(self, ids: np.ndarray) -> str:
+        """The text of ids; bytes that aren't UTF-8 become U+FFFD, ids outside the vocabulary count as unknown."""
+        ids = np.where((ids >= 0) & (ids < len(self.pieces)), ids, self.unknown)
+        size = self.length[ids]
+        if not size.sum():
+            return ""
+        where = np.arange(size.sum()) + np.repeat(self.begin[ids] - (np.cumsum(size) - size), size)
+        data = self.spelling[where].tobytes()
+        return (data[1:] if data[:1] == b" " else data).decode("utf-8", "replace")
+
+
+@lru_cache(maxsize=4)
+def vocabulary(path: str, kind: str = "bpe") -> Vocabulary:
+    return Vocabulary(path, kind)
+
+
+def default_model() -> str:
+    import public_tokenizers as public
+
+    return public.path("piece_bpe_32k.model")
+
+
+#: Texts of a step are taken together up to so many characters.
+STEP = 16_000_000
+
+
+def encode(docs: DataFrame, text_col: str = "text", ids_col: str = "ids", path: str | None = None, kind: str = "bpe") -> DataFrame:
+    """docs with ids (array<int>): the pieces of each text; null for a null text, empty for an empty one.
+
+    The text gets a leading mark, spaces become marks, and characters outside the vocabulary their UTF-8 bytes. Nothing is
+    shuffled. Rows that repeat have equal ids; an empty table gives no rows; a column with the name of ids_col is replaced.
+    """
+    path = path or default_model()
+    kept = [c for c in docs.columns if c != ids_col]
+    at = kept.index(text_col)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        vocab = vocabulary(path, kind)
+        for batch in batches:
+            texts, first = batch.column(at).to_pylist(), 0
+            ids: list[np.ndarray | None] = []
+            while first < len(texts):
+                last, size = first, 0
+                while last < len(texts) and (last == first or size < STEP):
+                    size += len(texts[last] or "")
+                    last += 1
+                ids += [None if t is None else i for t, i in zip(texts[first:last], vocab.encode([t or "" for t in texts[first:last]]), strict=True)]
+                first = last
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(ids, pa.list_(pa.int32()))], [*kept, ids_col])
+
+    return docs.select(*[F.col(f"`{c}`") for c in kept]).mapInArrow(run, docs.select(*[F.col(f"`{c}`") for c in kept]).schema.add(ids_col, "array<int>"))
+
+
+def decode(df: DataFrame, ids_col: str = "ids", text_col: str = "decoded", path: str | None = None) -> DataFrame:
+    """df with the text of ids; null for null ids. A null id within an array counts as unknown."""
+    path = path or default_model()
+    kept = [c for c in df.columns if c != text_col]
+    at = kept.index(ids_col)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        vocab = vocabulary(path)
+        for batch in batches:
+            texts = [vocab.decode(x.values.fill_null(-1).to_numpy(zero_copy_only=False)) if x.is_valid else None for x in batch.column(at)]
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(texts, pa.string())], [*kept, text_col])
+
+    return df.select(*[F.col(f"`{c}`") for c in kept]).mapInArrow(run, df.select(*[F.col(f"`{c}`") for c in kept]).schema.add(text_col, "string"))
