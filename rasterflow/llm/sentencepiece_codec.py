@@ -12,16 +12,16 @@ from __future__ import annotations
 import re
 from collections.abc import Iterator
 from functools import lru_cache
-from itertools import chain
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 MARK = "▁"
 #: Words whose pieces a task keeps from one batch to the next.
-CACHE = 300_000
+CACHE = 600_000
 
 
 class Vocabulary:
@@ -39,12 +39,13 @@ class Vocabulary:
         self.scores = {self.pieces[i]: model.get_score(i) for i in plain}
         self.byte_ids = {int(self.pieces[i][1:-1], 16): i for i in size if model.is_byte(i)}
         self.unknown = model.unk_id()
-        self.longest = max(map(len, self.ids), default=1)
+        self.grow()
         self.penalty = min(self.scores.values(), default=0.0) - 10.0
-        self.fits_after: dict[tuple[str, str], bool] = {}
+        self.fits_after: dict[int, bool] = {}
+        self.edge_parts: dict[int, tuple | None] = {}
         alone = "".join(c for c in "\n\r\t" if not any(c in p for p in self.ids))
         self.split = re.compile(f"{MARK}*[^{MARK}{re.escape(alone)}]+|{MARK}+|[{re.escape(alone)}]" if alone else f"{MARK}*[^{MARK}]+|{MARK}+")
-        self.known: dict[str, tuple[int, ...]] = {}
+        self.known: dict[str, bytes] = {}
         bytes_of = [bytes([int(p[1:-1], 16)]) if model.is_byte(i) else b"" if model.is_control(i) else " ⁇ ".encode() if model.is_unknown(i) else p.replace(MARK, " ").encode() for i, p in enumerate(self.pieces)]
         self.spelling = np.frombuffer(b"".join(bytes_of), dtype=np.uint8)
         self.length = np.array([len(b) for b in bytes_of], dtype=np.int64)
@@ -52,10 +53,24 @@ class Vocabulary:
 
     # --- the forward search ---
 
-    def merged(self, text: str) -> list[str]:
-        """The byte-pair merges of a short text: always the pair with the best score, the leftmost on ties."""
+    def grow(self) -> None:
+        """The trie of the pieces: steps from node and character to node, and the piece that ends at a node or -1."""
+        self.steps: dict[int, int] = {}
+        self.ends = [-1]
+        for piece, i in self.ids.items():
+            node = 0
+            for c in piece:
+                key = node << 21 | ord(c)
+                if key not in self.steps:
+                    self.steps[key] = len(self.ends)
+                    self.ends.append(-1)
+                node = self.steps[key]
+            self.ends[node] = i
+
+    def merged(self, text: str, until: int = 1) -> list[str]:
+        """The byte-pair merges of a short text, down to until parts: always the pair with the best score, the leftmost on ties."""
         parts = list(text)
-        while len(parts) > 1:
+        while len(parts) > until:
             best = max(((self.scores[p], -i) for i in range(len(parts) - 1) if (p := parts[i] + parts[i + 1]) in self.scores), default=None)
             if best is None:
                 break
@@ -63,59 +78,99 @@ class Vocabulary:
             parts[i : i + 2] = [parts[i] + parts[i + 1]]
         return parts
 
-    def fits(self, before: str, piece: str) -> bool:
-        found = self.fits_after.get((before, piece))
-        if found is None:
-            if len(self.fits_after) > 2_000_000:
-                self.fits_after.clear()
-            found = self.fits_after[before, piece] = self.merged(before + piece) == ([before, piece] if before else [piece])
+    def edges(self, piece: int) -> tuple[list[tuple[str, float]], list[tuple[str, float]]] | None:
+        """The parts that stand at a piece's left and right end while its merges go on, each with the rank of the merge that takes it; None if merges never make the piece."""
+        if piece not in self.edge_parts:
+            whole, out = self.pieces[piece], ([], [])
+            possible = self.merged(whole) == [whole]
+            for side in (0, 1) if possible else ():
+                part, rank = whole, float("inf")
+                while True:
+                    out[side].append((part, rank))
+                    if len(part) == 1:
+                        break
+                    rank = -self.scores[part]
+                    part = self.merged(part, 2)[side]
+            self.edge_parts[piece] = out if possible else None
+        return self.edge_parts[piece]
+
+    def fits(self, before: int, piece: int) -> bool:
+        """Whether the merges of both pieces together end with just these two: no merge over their border comes before those that
+        take its parts. before is -1 at the start or after an unknown character.
+        """
+        if len(self.fits_after) > 2_000_000:
+            self.fits_after.clear()
+        right, left = self.edges(piece), self.edges(before) if before >= 0 else ([], [])
+        found = right is not None and left is not None
+        if found and before >= 0:
+            for a, taken in left[1]:
+                for b, other in right[0]:
+                    score = self.scores.get(a + b)
+                    if score is not None and -score < taken and -score <= other:
+                        found = False
+        self.fits_after[before << 32 | piece] = found
         return found
 
-    def forward(self, words: list[str]) -> Iterator[list[str]]:
-        """The pieces of each of the sorted words; states of a prefix that a word shares with the last one are reused."""
-        ids, scores, longest, unigram, fits = self.ids, self.scores, self.longest, self.kind == "unigram", self.fits
-        starts, lasts, best, before = [0], [""], [0.0], ""
+    def forward(self, words: list[str]) -> Iterator[list[int | str]]:
+        """The pieces of each of the sorted words, by number, and unknown characters as they are.
+
+        At each depth of the traversal stand the state (where its last piece starts, and which it is) and the paths of the
+        piece trie that are open there; a word keeps those of the prefix that it shares with the last word.
+        """
+        steps, ends, unigram, known = self.steps, self.ends, self.kind == "unigram", self.fits_after
+        score_of = [self.scores.get(p, 0.0) for p in self.pieces] if unigram else []
+        starts, lasts, best, paths, before = [0], [-1], [0.0], [[]], ""
         for word in words:
             same, most = 0, min(len(word), len(before))
             while same < most and word[same] == before[same]:
                 same += 1
-            del starts[same + 1 :], lasts[same + 1 :], best[same + 1 :]
-            for end in range(same + 1, len(word) + 1):
-                if unigram:
-                    options = [(best[s] + scores[p], s, p) for s in range(max(0, end - longest), end) if (p := word[s:end]) in scores]
-                    if not options or options[-1][1] != end - 1:
-                        options.append((best[end - 1] + self.penalty, end - 1, word[end - 1]))
-                    score, start, last = max(options, key=lambda o: o[0])
-                    best.append(score)
-                else:
-                    for start in range(max(0, end - longest), end):
-                        last = word[start:end]
-                        if last in ids and fits(lasts[start], last):
-                            break
-                    else:
-                        start, last = end - 1, word[end - 1]
-                    best.append(0.0)
+            del starts[same + 1 :], lasts[same + 1 :], best[same + 1 :], paths[same + 1 :]
+            for at in range(same, len(word)):
+                c, open_here, last, start, score = ord(word[at]), [], -1, at, best[at] + self.penalty
+                for path in (*paths[at], (at, 0)):
+                    node = steps.get(path[1] << 21 | c)
+                    if node is None:
+                        continue
+                    open_here.append((path[0], node))
+                    piece = ends[node]
+                    if piece < 0:
+                        continue
+                    if unigram:
+                        total = best[path[0]] + score_of[piece]
+                        if last < 0 or total > score:
+                            last, start, score = piece, path[0], total
+                    elif last < 0:
+                        left = lasts[path[0]]
+                        fit = known.get(left << 32 | piece)
+                        if self.fits(left, piece) if fit is None else fit:
+                            last, start = piece, path[0]
                 starts.append(start)
                 lasts.append(last)
+                best.append(score)
+                paths.append(open_here)
             out, end = [], len(word)
             while end:
-                out.append(lasts[end])
-                end = starts[end]
+                start = starts[end]
+                out.append(lasts[end] if lasts[end] >= 0 else word[start:end])
+                end = start
             before = word
             yield out[::-1]
 
-    def _numbers(self, pieces: list[str]) -> tuple[int, ...]:
+    def _numbers(self, pieces: list[int | str]) -> bytes:
+        """The 32-bit numbers of pieces, as bytes; unknown characters give their UTF-8 bytes' pieces."""
         out: list[int] = []
         for p in pieces:
-            found = self.ids.get(p)
-            out += (found,) if found is not None else [self.byte_ids[b] for b in p.encode("utf-8", "surrogatepass")] if self.byte_ids else (self.unknown,)
-        return tuple(out)
+            if isinstance(p, int):
+                out.append(p)
+            else:
+                out += [self.byte_ids[b] for b in p.encode("utf-8", "surrogatepass")] if self.byte_ids else [self.unknown]
+        return np.array(out, dtype="<i4").tobytes() if len(out) > 8 else b"".join(i.to_bytes(4, "little") for i in out)
 
-    def _marks(self, n: int) -> list[str]:
+    def _marks(self, n: int) -> list[int | str]:
         """A run of marks alone. Their merges have equal scores, so the left end grows first, up to the longest run there is."""
         longest = max((len(p) for p in self.ids if p == MARK * len(p)), default=1)
         whole = n // longest if self.merged(MARK * longest) == [MARK * longest] else 0
-        return [MARK * longest] * whole + self.merged(MARK * (n - whole * longest))
+        return [self.ids.get(p, p) for p in [MARK * longest] * whole + self.merged(MARK * (n - whole * longest))]
 
     def learn(self, words: set[str]) -> None:
         """Adds words to the known ones."""
@@ -129,6 +184,7 @@ class Vocabulary:
             plain = {w: MARK * (len(b) < len(w)) + b for w, b in plain.items() if b}
         short = sorted(set(plain.values()))
         pieces = dict(zip(short, self.forward(short), strict=True))
+        mark = self.ids.get(MARK, MARK)
         for w in new:
             if w not in plain:
                 self.known[w] = self._numbers(self._marks(len(w)))
@@ -136,7 +192,7 @@ class Vocabulary:
             own = pieces[plain[w]]
             spare = len(w) - len(plain[w])
             if spare:
-                own = self._marks(spare) + own if own[0] != MARK else self._marks(spare + 1) + own[1:]
+                own = self._marks(spare) + own if own[0] != mark else self._marks(spare + 1) + own[1:]
             self.known[w] = self._numbers(own)
 
     def words(self, text: str) -> list[str]:
@@ -145,7 +201,7 @@ class Vocabulary:
     def encode(self, texts: list[str]) -> list[np.ndarray]:
         split = [self.words(t) for t in texts]
         self.learn(set().union(*split))
-        return [np.fromiter(chain.from_iterable(map(self.known.__getitem__, ws)), dtype=np.int32) for ws in split]
+        return [np.frombuffer(b"".join(map(self.known.__getitem__, ws)), dtype="<i4") for ws in split]
 
     def decode(self, ids: np.ndarray) -> str:
         """The text of ids; bytes that aren't UTF-8 become U+FFFD, ids outside the vocabulary count as unknown."""
@@ -197,7 +253,7 @@ def encode(docs: DataFrame, text_col: str = "text", ids_col: str = "ids", path:
                 first = last
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(ids, pa.list_(pa.int32()))], [*kept, ids_col])
 
-    return docs.select(*[F.col(f"`{c}`") for c in kept]).mapInArrow(run, docs.select(*[F.col(f"`{c}`") for c in kept]).schema.add(ids_col, "array<int>"))
+    return docs.select(*[F.col(f"`{c}`") for c in kept]).mapInArrow(run, docs.select(*[F.col(f"`{c}`") for c in kept]).schema.add(ids_col, T.ArrayType(T.IntegerType())))
 
 
 def decode(df: DataFrame, ids_col: str = "ids", text_col: str = "decoded", path: str | None = None) -> DataFrame:
