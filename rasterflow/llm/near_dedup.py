@@ -3,10 +3,15 @@
 A document's set is its distinct shingles, hashed to 64 bits; its sketch is the k smallest hashes. Documents with equal sets
 are one class, and only classes go on. The retained values form inverted lists. Two sets with a Jaccard similarity of 0.75
 share at least MIN_SHARED of the k smallest values of their union, so a list needs only those members for which the value
-is among their k - MIN_SHARED + 1 rarest: a passage that half the corpus holds makes no list of all its documents. Within a
-list every member meets one hub, not every other member; what links to the hub is one component and meets no more. After
-HUB_ROUNDS with other hubs, members of different components that haven't met do so. Candidates pass the estimate of the
-union sketch, and links are confirmed by the exact similarity of the full sets.
+is among their k - MIN_SHARED + 1 rarest: a passage that half the corpus holds makes no list of all its documents.
+
+The members of a short list meet each other. Within a longer one every member meets the list's hub, its most central member.
+What links to the hub is one component. A member o without a link to the hub h can link with another member g only if both
+share a shingle outside of h, or if g is so small that |g| <= (1 + t) / t * |o & h| - |o| (with t the similarity): if o & g
+lay within h, g would have to overlap o no more than h does. So members meet again in residual lists, keyed by hub and a
+shingle outside of the hub, of which each has as few as its overlap with the hub leaves open; residual lists are treated
+alike. Pairs that are in one component by then are skipped. Candidates pass the estimate of the union sketch, and links are
+confirmed by the exact similarity of the full sets.
 """
 
 from __future__ import annotations
@@ -28,7 +33,8 @@ SHINGLE = 5
 #: fewer is P(Binomial(64, 0.75) < 24), under 1e-11. Sets of K shingles or fewer are retained whole, without any chance.
 K, MIN_SHARED = 64, 24
 PERCENT = 75
-HUB_ROUNDS = 3
+#: Members of a short list; levels of lists that have hubs (in residual lists after the last one all members meet).
+SHORT, LEVELS = 16, 4
 
 
 def shingle_set(text: str | None) -> np.ndarray:
@@ -63,13 +69,13 @@ def full_sets(docs: DataFrame, id_col: str, text_col: str, active: DataFrame) ->
 
 
 def inverted_lists(classes: DataFrame) -> DataFrame:
-    """value, rep: the members of each list that has more than one; classes: rep, sketch."""
+    """value, rep, central: the members of each list that has more than one; classes: rep, sketch. central grows with how common a member's values are."""
     retained = classes.select("rep", F.size("sketch").alias("size"), F.explode("sketch").alias("value"))
     common = retained.groupBy("value").count().where("count > 1")
     own = Window.partitionBy("rep")
-    ranked = retained.join(common, "value").withColumn("place", F.row_number().over(own.orderBy("count", "value"))).withColumn("shared", F.count(F.lit(1)).over(own))
+    ranked = retained.join(common, "value").withColumns({"place": F.row_number().over(own.orderBy("count", "value")), "shared": F.count(F.lit(1)).over(own), "central": F.sum("count").over(own)})
     least = F.least(F.lit(MIN_SHARED), F.ceil(F.col("size") * PERCENT / 100))
-    return ranked.where(F.col("place") + F.col("size") - F.col("shared") <= F.col("size") - least + 1).select("value", "rep")
+    return ranked.where(F.col("place") + F.col("size") - F.col("shared") <= F.col("size") - least + 1).select("value", "rep", "central")
 
 
 def components(edges: DataFrame, label: str = "components") -> DataFrame:
@@ -86,26 +92,59 @@ def components(edges: DataFrame, label: str = "components") -> DataFrame:
             return labels
 
 
-def confirmed(pairs: DataFrame, short: DataFrame, whole: DataFrame) -> DataFrame:
-    """The pairs (a, b) that the union sketch lets pass and whose full sets are similar."""
-    one, two = (short.select(F.col("rep").alias(x), F.col("sketch").alias(f"s{x}")) for x in "ab")
-    union = F.slice(F.array_sort(F.array_union("sa", "sb")), 1, K)
-    shared = F.size(F.array_intersect(union, F.array_intersect("sa", "sb")))
-    likely = pairs.join(one, "a").join(two, "b").where(shared * K >= F.size(union) * MIN_SHARED).select("a", "b").distinct()
+def measured(pairs: DataFrame, whole: DataFrame) -> DataFrame:
+    """The pairs (a, b) with inter, size_a, size_b of their full sets and whether they link."""
     one, two = (whole.select(F.col("rep").alias(x), F.col("set").alias(f"s{x}")) for x in "ab")
-    inter = F.size(F.array_intersect("sa", "sb"))
-    return likely.join(one, "a").join(two, "b").where(inter * 100 >= (F.size("sa") + F.size("sb") - inter) * PERCENT).select("a", "b").distinct()
+    sized = pairs.join(one, "a").join(two, "b").select("a", "b", F.size(F.array_intersect("sa", "sb")).alias("inter"), F.size("sa").alias("size_a"), F.size("sb").alias("size_b"))
+    return sized.withColumn("linked", F.col("inter") * 100 >= (F.col("size_a") + F.col("size_b") - F.col("inter")) * PERCENT)
 
 
-def _candidate_pairs(members: DataFrame, seed: int | None) -> DataFrame:
-    """a < b of one list and different components: members and the list's hub, or all that are left if seed is None."""
-    mixed = members.groupBy("value").agg(F.min("comp").alias("low"), F.max("comp").alias("high"), *([F.min(F.struct(F.xxhash64("rep", F.lit(seed)).alias("h"), "rep", "comp")).alias("hub")] if seed is not None else [])).where("low < high").drop("low", "high")
-    if seed is not None:
-        met = members.join(mixed, "value").where("comp <> hub.comp").select("rep", F.col("hub.rep").alias("other"))
+def likely(pairs: DataFrame, short: DataFrame) -> DataFrame:
+    """The pairs (a, b) that the estimate from the union sketch lets pass."""
+    one, two = (short.select(F.col("rep").alias(x), F.col("sketch").alias(f"s{x}")) for x in "ab")
+    union = F.slice(F.array_sort(F.array_union("sa", "sb")), 1, K)
+    shared = F.size(F.array_intersect(union, F.array_intersect("sa", "sb")))
+    return pairs.join(one, "a").join(two, "b").where(shared * K >= F.size(union) * MIN_SHARED).select("a", "b").distinct()
+
+
+def _labelled(rows: DataFrame, comps: DataFrame, rep: str, label: str) -> DataFrame:
+    return rows.join(comps.select(F.col("node").alias(rep), F.col("comp").alias(label)), rep, "left").withColumn(label, F.coalesce(label, rep))
+
+
+def all_links(lists: DataFrame, short: DataFrame, whole: DataFrame) -> DataFrame:
+    """Links (a, b) that connect whatever all pairs of list members would; lists: value, rep, central."""
+    links, few_pairs, full_lists = [], [], []
+    for _ in range(LEVELS):
+        hubs = lists.groupBy("value").agg(F.max(F.struct("central", "rep"))["rep"].alias("hub"), F.count(F.lit(1)).alias("members")).where("members > 1")
+        sized = materialize(lists.join(hubs, "value"), "members")
+        full_lists.append(sized.where(F.col("members") <= SHORT).select("value", "rep"))
+        met = sized.where((F.col("members") > SHORT) & (F.col("rep") != F.col("hub"))).select(F.col("hub").alias("a"), F.col("rep").alias("b")).distinct()
+        near = materialize(measured(met, whole).select(F.col("a").alias("hub"), F.col("b").alias("rep"), "inter", F.col("size_b").alias("size"), "linked"), "near")
+        links.append(near.where("linked").select(F.col("hub").alias("a"), F.col("rep").alias("b")))
+        open_hubs = near.groupBy("hub").agg(F.count(F.lit(1)).alias("n"), F.min("linked").alias("done")).where("n > 1 AND NOT done").select("hub")
+        near = near.join(open_hubs, "hub", "left_semi")
+        least = F.ceil(F.col("size") * PERCENT / 100).cast("int")
+        small = F.floor(F.col("inter") * (100 + PERCENT) / PERCENT - F.col("size")).cast("int")
+        few = near.where(~F.col("linked") & (small >= least)).select("hub", F.col("rep").alias("a"), F.explode(F.sequence(least, small)).alias("size"))
+        few_pairs.append(few.join(near.select("hub", F.col("rep").alias("b"), "size"), ["hub", "size"]).where("a <> b").select("a", "b"))
+        outside = near.join(whole.select(F.col("rep").alias("hub"), F.col("set").alias("core")), "hub").join(whole.select("rep", "set"), "rep").withColumn("outside", F.array_except("set", "core"))
+        needed = F.greatest(F.lit(1), least - F.col("inter"))
+        first = F.slice(F.array_sort("outside"), F.lit(1), F.greatest(F.lit(0), F.size("outside") - needed + 1))
+        residual = outside.select("hub", "rep", "linked", F.explode(first).alias("shingle")).select(F.xxhash64("hub", "shingle").alias("value"), "rep", "linked")
+        some = residual.groupBy("value").agg(F.count(F.lit(1)).alias("n"), F.min("linked").alias("done")).where("n > 1 AND NOT done").select("value", "n")
+        lists = materialize(residual.join(some, "value").select("value", "rep", F.sum("n").over(Window.partitionBy("rep")).alias("central")).distinct(), "residual")
+        if not lists.limit(1).count():
+            break
     else:
-        left = members.join(mixed, "value", "left_semi")
-        met = left.join(left.select("value", F.col("rep").alias("other"), F.col("comp").alias("across")), "value").where("comp < across").select("rep", "other")
-    return met.select(F.least("rep", "other").alias("a"), F.greatest("rep", "other").alias("b")).distinct()
+        full_lists.append(lists.select("value", "rep"))
+    sure = materialize(reduce(DataFrame.unionByName, links), "sure")
+    comps = components(sure)
+    left = _labelled(reduce(DataFrame.unionByName, full_lists), comps, "rep", "comp")
+    right = left.select("value", F.col("rep").alias("other"), F.col("comp").alias("across"))
+    pairs = left.join(right, "value").where("comp < across").select(F.least("rep", "other").alias("a"), F.greatest("rep", "other").alias("b"))
+    across = _labelled(_labelled(reduce(DataFrame.unionByName, few_pairs), comps, "a", "ca"), comps, "b", "cb").where("ca <> cb").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
+    pairs = materialize(pairs.unionByName(across).distinct(), "pairs")
+    return materialize(sure.unionByName(measured(likely(pairs, short), whole).where("linked").select("a", "b")), "links")
 
 
 def near_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -131,25 +170,13 @@ def near_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     whole = spark.table(name)
     short = whole.select("rep", F.slice("set", 1, K).alias("sketch"))
 
-    comps, links, tested = None, None, None
-    for turn in range(HUB_ROUNDS + 1):
-        members = lists.withColumn("comp", F.col("rep")) if comps is None else lists.join(comps.withColumnRenamed("node", "rep"), "rep", "left").withColumn("comp", F.coalesce("comp", "rep"))
-        pairs = _candidate_pairs(members, turn if turn < HUB_ROUNDS else None)
-        if tested is not None:
-            pairs = pairs.join(tested, ["a", "b"], "left_anti")
-        pairs = materialize(pairs, "pairs")
-        tested = pairs if tested is None else tested.unionByName(pairs)
-        new = materialize(confirmed(pairs, short, whole), "links")
-        if new.limit(1).count():
-            links = new if links is None else links.unionByName(new)
-            comps = components(links)
+    links = all_links(lists, short, whole)
     spark.sql(f"DROP TABLE {name}")
 
     # A class whose id several classes share is one node with them.
     shared = linkable.groupBy("doc_id").agg(F.min("key").alias("low"), F.max("key").alias("high")).where("low <> high").select("doc_id").join(linkable, "doc_id").join(firsts, "key").select(F.col("doc_id").alias("a"), F.col("rep").alias("b")).where("a <> b")
-    if shared.limit(1).count():
-        comps = components(reduce(DataFrame.unionByName, [x for x in (links, shared) if x is not None]))
-    known = firsts if comps is None else firsts.join(comps.withColumnRenamed("node", "rep"), "rep", "left").select("key", F.coalesce("comp", "rep").alias("rep"))
+    comps = components(links.unionByName(shared))
+    known = firsts.join(comps.withColumnRenamed("node", "rep"), "rep", "left").select("key", F.coalesce("comp", "rep").alias("rep"))
     out = found.join(known, "key", "left").withColumn("component_id", F.when(F.col("doc_id").isNotNull(), F.when(F.col("n_shingles") > 0, F.col("rep")).otherwise(F.col("doc_id"))))
     return out.select("doc_id", "n_shingles", "component_id", (F.col("component_id").isNull() | (F.col("doc_id") == F.col("component_id"))).alias("kept"))
 

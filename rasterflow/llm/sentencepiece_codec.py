@@ -15,13 +15,14 @@ from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 MARK = "▁"
 #: Words whose pieces a task keeps from one batch to the next.
-CACHE = 600_000
+CACHE = 250_000
 
 
 class Vocabulary:
@@ -98,7 +99,7 @@ class Vocabulary:
         """Whether the merges of both pieces together end with just these two: no merge over their border comes before those that
         take its parts. before is -1 at the start or after an unknown character.
         """
-        if len(self.fits_after) > 2_000_000:
+        if len(self.fits_after) > 2 * CACHE:
             self.fits_after.clear()
         right, left = self.edges(piece), self.edges(before) if before >= 0 else ([], [])
         found = right is not None and left is not None
@@ -226,7 +227,17 @@ def default_model() -> str:
 
 
 #: Texts of a step are taken together up to so many characters.
-STEP = 16_000_000
+STEP = 4_000_000
+
+
+def _steps(batch: pa.RecordBatch, sizes: np.ndarray) -> Iterator[pa.RecordBatch]:
+    """Slices of batch of about STEP in sizes, one row at least."""
+    ends = np.cumsum(sizes, dtype=np.int64)
+    first = 0
+    while first < batch.num_rows:
+        last = max(first + 1, int(np.searchsorted(ends, (ends[first - 1] if first else 0) + STEP, side="right")))
+        yield batch.slice(first, last - first)
+        first = last
 
 
 def encode(docs: DataFrame, text_col: str = "text", ids_col: str = "ids", path: str | None = None, kind: str = "bpe") -> DataFrame:
@@ -242,16 +253,10 @@ def encode(docs: DataFrame, text_col: str = "text", ids_col: str = "ids", path:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         vocab = vocabulary(path, kind)
         for batch in batches:
-            texts, first = batch.column(at).to_pylist(), 0
-            ids: list[np.ndarray | None] = []
-            while first < len(texts):
-                last, size = first, 0
-                while last < len(texts) and (last == first or size < STEP):
-                    size += len(texts[last] or "")
-                    last += 1
-                ids += [None if t is None else i for t, i in zip(texts[first:last], vocab.encode([t or "" for t in texts[first:last]]), strict=True)]
-                first = last
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(ids, pa.list_(pa.int32()))], [*kept, ids_col])
+            for part in _steps(batch, pc.fill_null(pc.utf8_length(batch.column(at)), 0).to_numpy(zero_copy_only=False)):
+                texts = part.column(at).to_pylist()
+                ids = [None if t is None else i for t, i in zip(texts, vocab.encode([t or "" for t in texts]), strict=True)]
+                yield pa.RecordBatch.from_arrays([*part.columns, pa.array(ids, pa.list_(pa.int32()))], [*kept, ids_col])
 
     return docs.select(*[F.col(f"`{c}`") for c in kept]).mapInArrow(run, docs.select(*[F.col(f"`{c}`") for c in kept]).schema.add(ids_col, T.ArrayType(T.IntegerType())))
 
@@ -265,7 +270,8 @@ def decode(df: DataFrame, ids_col: str = "ids", text_col: str = "decoded", path:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         vocab = vocabulary(path)
         for batch in batches:
-            texts = [vocab.decode(x.values.fill_null(-1).to_numpy(zero_copy_only=False)) if x.is_valid else None for x in batch.column(at)]
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(texts, pa.string())], [*kept, text_col])
+            for part in _steps(batch, pc.fill_null(pc.list_value_length(batch.column(at)), 0).to_numpy(zero_copy_only=False)):
+                texts = [vocab.decode(x.values.fill_null(-1).to_numpy(zero_copy_only=False)) if x.is_valid else None for x in part.column(at)]
+                yield pa.RecordBatch.from_arrays([*part.columns, pa.array(texts, pa.string())], [*kept, text_col])
 
     return df.select(*[F.col(f"`{c}`") for c in kept]).mapInArrow(run, df.select(*[F.col(f"`{c}`") for c in kept]).schema.add(text_col, "string"))
