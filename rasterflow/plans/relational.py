@@ -29,7 +29,7 @@ def _query(sql: str):
 
 def cues(spark: SparkSession, sf: str) -> DataFrame:
     """Each conversation as a subtitle file: a cue for each turn, lines and blank lines of its text joined."""
-    text = F.trim(F.regexp_replace(F.substring("text", 1, 80), r"\s+", " "))
+    text = F.trim(F.regexp_replace("text", r"\s+", " "))
     return table(spark, sf, "conversations").where("text IS NOT NULL").select(F.col("conv_id").alias("media_id"), (F.col("turn") + 1).cast("int").alias("cue_no"), (F.col("turn") * 2.5).cast("double").alias("start_s"), (F.col("turn") * 2.5 + 2.125).cast("double").alias("end_s"), text.alias("text")).where("text <> ''").dropDuplicates(["media_id", "cue_no"])
 
 
@@ -64,7 +64,7 @@ def vtt_parse(spark, sf):
 
 @_query("SELECT conv_id, turn, replace(substring(text, 1, 40), '{', '') AS plain FROM conversations")
 def ass_strip_tags(spark, sf):
-    tagged = F.concat(F.lit("{\\b1}"), F.regexp_replace(F.substring("text", 1, 40), r"\{", ""), F.lit("{\\i0}"))
+    tagged = F.concat(F.lit("{\\b1}"), F.regexp_replace("text", r"\{", ""), F.lit("{\\i0}"))
     return table(spark, sf, "conversations").select("conv_id", "turn", timed.ass_plain(tagged).alias("plain"))
 
 
