@@ -165,7 +165,7 @@ _NAMES = "['" + "', '".join(tc.NOTES) + "']"
 
 @_query(f"SELECT event_id, {_NAMES}[event_id % 12 + 1] || CAST(event_id % 128 // 12 - 1 AS VARCHAR) AS name, CAST(event_id % 128 AS INTEGER) AS number FROM (SELECT event_id // 3 * 0 + event_id AS event_id FROM events) WHERE event_id % 128 % 12 = event_id % 12")
 def note_name(spark, sf):
-    df = table(spark, sf, "events").select("event_id").where("event_id % 128 % 12 = event_id % 12")
+    df = table(spark, sf, "events").select("event_id")
     return df.withColumn("name", tc.note_name(F.col("event_id") % 128)).withColumn("number", tc.note_number(F.col("name")))
 
 

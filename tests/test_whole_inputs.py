@@ -59,3 +59,9 @@ def test_tags_are_stripped_from_whole_texts(spark, conversations):
 
     want = {(c, t): x if x is None else plain(x) for c, t, x in turns(spark, conversations)}
     assert {(r.conv_id, r.turn): r.plain for r in relational.QUERIES["ass_strip_tags"](spark, conversations).collect()} == want
+
+
+def test_every_event_gets_a_note_name(spark):
+    names = ("C", "C#", "D", "D#", "E", "F", "F#", "G", "G#", "A", "A#", "B")
+    want = sorted((e, f"{names[e % 128 % 12]}{e % 128 // 12 - 1}", e % 128) for (e,) in spark.read.parquet(f"{SF}/events.parquet").select("event_id").collect())
+    assert sorted((r.event_id, r.name, r.number) for r in relational.QUERIES["note_name"](spark, SF).collect()) == want
