@@ -19,10 +19,15 @@ def pixels(spark: SparkSession, sf_dir: str) -> DataFrame:
 PIXELS = "px AS (SELECT l_orderkey AS media_id, 0 AS y, l_linenumber - 1 AS x, CAST(l_partkey % 256 AS INTEGER) AS r, CAST(l_suppkey % 256 AS INTEGER) AS g, CAST(l_quantity AS INTEGER) * 5 AS b, 255 AS a FROM lineitem)"
 
 
-def overlays(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """A second image for each order, with other colours and an alpha of its own; lines with an odd number only."""
+def translucent(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A second image for each order, with other colours and an alpha of its own, one pixel for each line item."""
     mod = lambda c, k: ((F.col(c) * k) % 256).cast("int")
-    return table(spark, sf_dir, "lineitem").where("l_linenumber % 2 = 1").select(F.col("l_orderkey").alias("media_id"), F.lit(0).alias("y"), (F.col("l_linenumber") - 1).alias("x"), mod("l_suppkey", 7).alias("r"), mod("l_partkey", 3).alias("g"), mod("l_orderkey", 1).alias("b"), mod("l_partkey", 5).alias("a"))
+    return table(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("media_id"), F.lit(0).alias("y"), (F.col("l_linenumber") - 1).alias("x"), mod("l_suppkey", 7).alias("r"), mod("l_partkey", 3).alias("g"), mod("l_orderkey", 1).alias("b"), mod("l_partkey", 5).alias("a"))
+
+
+def overlays(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The second images with holes: lines with an odd number only."""
+    return translucent(spark, sf_dir).where("x % 2 = 0")
 
 
 OVERLAYS = "ov AS (SELECT l_orderkey AS media_id, 0 AS y, l_linenumber - 1 AS x, CAST(l_suppkey * 7 % 256 AS INTEGER) AS r, CAST(l_partkey * 3 % 256 AS INTEGER) AS g, CAST(l_orderkey % 256 AS INTEGER) AS b, CAST(l_partkey * 5 % 256 AS INTEGER) AS a FROM lineitem WHERE l_linenumber % 2 = 1)"

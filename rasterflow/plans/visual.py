@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from ..functions import blend, color
 from ..operators import pixels as px
 from ..operators import raster as rs
-from .views import GRID, OVERLAYS, PIXELS, overlays, pixels, rasters
+from .views import GRID, OVERLAYS, PIXELS, overlays, pixels, rasters, translucent
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -160,13 +160,13 @@ for _mode, _take in blend.COMPONENTS.items():
 
 QUERIES["composite_offset"] = lambda spark, sf: px.composite(pixels(spark, sf), overlays(spark, sf), x=1, opacity=0.5)
 SQL["composite_offset"] = _composite_sql([f"CAST({c}2 AS DOUBLE)" for c in "rgb"], 0.5).replace("l_linenumber - 1 AS x, CAST(l_suppkey * 7", "l_linenumber AS x, CAST(l_suppkey * 7")
-QUERIES["premultiply"] = lambda spark, sf: overlays(spark, sf).withColumns(dict(zip("rgb", blend.premultiply(px.rgb_of(), F.col("a")), strict=True)))
+QUERIES["premultiply"] = lambda spark, sf: translucent(spark, sf).withColumns(dict(zip("rgb", blend.premultiply(px.rgb_of(), F.col("a")), strict=True)))
 SQL["premultiply"] = f"WITH {OVERLAYS} SELECT media_id, y, x, {', '.join(f'{_int(_round(f"CAST({c} AS DOUBLE) * a / 255"))} AS {c}' for c in 'rgb')}, a FROM ov"
-QUERIES["unpremultiply"] = lambda spark, sf: overlays(spark, sf).withColumns(dict(zip("rgb", blend.unpremultiply(px.rgb_of(), F.col("a")), strict=True)))
+QUERIES["unpremultiply"] = lambda spark, sf: translucent(spark, sf).withColumns(dict(zip("rgb", blend.unpremultiply(px.rgb_of(), F.col("a")), strict=True)))
 SQL["unpremultiply"] = f"WITH {OVERLAYS} SELECT media_id, y, x, {', '.join(f'CASE WHEN a = 0 THEN 0 ELSE {_int(f"least(255, {_round(f"CAST({c} AS DOUBLE) * 255 / nullif(a, 0)")})")} END AS {c}' for c in 'rgb')}, a FROM ov"
 QUERIES["chroma_key"] = lambda spark, sf: pixels(spark, sf).withColumn("a", blend.chroma_key(px.rgb_of(), (40, 60, 125), 60))
 SQL["chroma_key"] = f"WITH {PIXELS}, k AS (SELECT *, sqrt(CAST((r - 40) * (r - 40) + (g - 60) * (g - 60) + (b - 125) * (b - 125) AS DOUBLE)) AS d FROM px) SELECT media_id, y, x, r, g, b, CASE WHEN d <= 60 THEN 0 WHEN d <= 120 THEN {_int(_round('(d - 60) / 60 * 255'))} ELSE 255 END AS a FROM k"
-QUERIES["apply_mask"] = lambda spark, sf: px.apply_mask(pixels(spark, sf), overlays(spark, sf).where("x < 2"))
+QUERIES["apply_mask"] = lambda spark, sf: px.apply_mask(pixels(spark, sf), _single(translucent(spark, sf)))
 SQL["apply_mask"] = f"WITH {PIXELS}, {OVERLAYS} SELECT px.media_id, px.y, px.x, px.r, px.g, px.b, {_int(_round('px.a * (0.299 * CAST(ov.r AS DOUBLE) + 0.587 * CAST(ov.g AS DOUBLE) + 0.114 * CAST(ov.b AS DOUBLE)) / 255'))} AS a FROM px JOIN ov ON ov.media_id = px.media_id AND ov.x = 0"
 
 

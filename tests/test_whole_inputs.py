@@ -1,10 +1,14 @@
 """Registered queries over whole texts and tables, against plain Python: nothing of the input is cut or filtered away."""
 
+import math
 import re
+from collections import Counter
 
 import pytest
 
-from rasterflow.plans import relational
+from rasterflow.operators import pixels as px
+from rasterflow.plans import relational, visual
+from rasterflow.plans.views import pixels
 
 SF = "/root/testdata/sf0.001"
 
@@ -65,3 +69,38 @@ def test_every_event_gets_a_note_name(spark):
     names = ("C", "C#", "D", "D#", "E", "F", "F#", "G", "G#", "A", "A#", "B")
     want = sorted((e, f"{names[e % 128 % 12]}{e % 128 // 12 - 1}", e % 128) for (e,) in spark.read.parquet(f"{SF}/events.parquet").select("event_id").collect())
     assert sorted((r.event_id, r.name, r.number) for r in relational.QUERIES["note_name"](spark, SF).collect()) == want
+
+
+def rounded(v):
+    return math.floor(v + 0.5)
+
+
+def second_images(spark):
+    """media_id, x and the second image's r, g, b, a of each line item."""
+    lines = spark.read.parquet(f"{SF}/lineitem.parquet").select("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey").collect()
+    return [(o, n - 1, s * 7 % 256, p * 3 % 256, o % 256, p * 5 % 256) for o, n, p, s in lines]
+
+
+@pytest.mark.parametrize("name", ["premultiply", "unpremultiply"])
+def test_every_line_item_is_multiplied(spark, name):
+    def value(c, a):
+        return rounded(c * a / 255) if name == "premultiply" else min(255, rounded(c * 255 / a)) if a else 0
+
+    want = Counter((o, 0, x, value(r, a), value(g, a), value(b, a), a) for o, x, r, g, b, a in second_images(spark))
+    assert Counter(tuple(r) for r in visual.QUERIES[name](spark, SF).select("media_id", "y", "x", *"rgba").collect()) == want
+
+
+def test_every_pixel_is_masked_at_its_place(spark):
+    mask = {}
+    for o, x, *rgb in second_images(spark):
+        mask[o, x] = tuple(map(max, mask.get((o, x), (0, 0, 0)), rgb))
+    images = pixels(spark, SF).select("media_id", "y", "x", *"rgba").collect()
+    want = Counter((o, y, x, r, g, b, rounded(a * (0.299 * mask[o, x][0] + 0.587 * mask[o, x][1] + 0.114 * mask[o, x][2]) / 255)) for o, y, x, r, g, b, a in images)
+    assert Counter(tuple(r) for r in visual.QUERIES["apply_mask"](spark, SF).select("media_id", "y", "x", *"rgba").collect()) == want
+
+
+def test_mask_edges_count_beyond_the_mask(spark):
+    of = "media_id long, y int, x int, r int, g int, b int, a int"
+    image = spark.createDataFrame([(1, y, x, 9, 9, 9, 255) for y in range(3) for x in range(3)], of)
+    mask = spark.createDataFrame([(1, y, x, *[10 * y + x] * 3, 255) for y in range(2) for x in range(2)], of)
+    assert {(r.y, r.x): r.a for r in px.apply_mask(image, mask).collect()} == {(y, x): 10 * min(y, 1) + min(x, 1) for y in range(3) for x in range(3)}
