@@ -1,6 +1,7 @@
 """Secret scan: fixed patterns, and a battery of randomness tests with length-aware false-discovery control.
 
-Every run of 20 or more key characters is a candidate. Its encoding (alphabet) is inferred; then chi-squared uniformity of
+Every run of 20 or more key characters is a candidate; one that fits no encoding, such as a token glued to a URL path, is
+taken in pieces that do. The encoding (alphabet) is inferred; then chi-squared uniformity of
 the alphabet, the runs of upper and lower half symbols, and the serial correlation of neighbours are tested against a random
 string of that encoding and length, and combined by Fisher's method. Within each stratum of length, Benjamini-Hochberg
 control over the whole corpus says which candidates are surely not random; the others are secrets. The control needs only
@@ -24,7 +25,19 @@ HEX = r"[0-9a-f]+"
 KINDS = ("assign", "access", "hex", "random")
 
 MIN_RUN = 20
-RUN = rf"(?<![A-Za-z0-9+/_=-])[A-Za-z0-9+/_-]{{{MIN_RUN},}}=*"
+RUN = rf"(?<![A-Za-z0-9+/_-])[A-Za-z0-9+/_-]{{{MIN_RUN},}}=*"
+#: The pieces of a run that fits no encoding: what is between slashes and hyphens, if need be between _ or + as well; then,
+#: where no such piece is long enough, a stretch of one of the two alphabets with all of its slashes or hyphens.
+PIECE = "|".join(
+    x.replace("20", str(MIN_RUN)) + "=*"
+    for x in (
+        "(?<![A-Za-z0-9+_])[A-Za-z0-9_]{20,}(?![A-Za-z0-9+_])",
+        "(?<![A-Za-z0-9+])[A-Za-z0-9+]{20,}",
+        "(?<![A-Za-z0-9_])[A-Za-z0-9_]{20,}",
+        "(?<![A-Za-z0-9+/])(?![A-Za-z0-9+/]*[A-Za-z0-9+]{20})[A-Za-z0-9+/]{20,}",
+        "(?<![A-Za-z0-9_-])(?![A-Za-z0-9_-]*[A-Za-z0-9_]{20})[A-Za-z0-9_-]{20,}",
+    )
+)
 #: Encodings in the order in which they are tried, with their alphabets.
 DIGITS, LOWER, UPPER = "0123456789", "abcdefghijklmnopqrstuvwxyz", "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 ENCODINGS = (
@@ -59,13 +72,29 @@ def _normal_tail(z: Column) -> Column:
     return F.greatest(F.when(z >= 0, upper).otherwise(1 - upper), F.lit(1e-20))
 
 
+def _encoding(token: Column) -> Column:
+    """The first encoding that fits the token without its padding, or null."""
+    bare = F.regexp_replace(token, "=+$", "")
+    return F.coalesce(*[F.when(bare.rlike(p), F.lit(n)) for n, p, _ in ENCODINGS])
+
+
+def _pieces(runs: DataFrame) -> DataFrame:
+    """The runs (doc_id, tid, kind, token, start); those that fit no encoding by their pieces."""
+    whole = F.array(F.struct(F.lit(0).alias("gap"), F.col("token").alias("hit"), F.col("token").alias("inner")))
+    parts = F.when(_encoding(F.col("token")).isNotNull(), whole).otherwise(_spans(F.col("token"), PIECE))
+    flat = runs.select("doc_id", "tid", "kind", F.col("start").alias("run"), F.posexplode(parts).alias("i", "part"))
+    size = F.length("part.hit")
+    order = Window.partitionBy("doc_id", "tid", "kind", "run").orderBy("i")
+    placed = flat.withColumn("end", F.col("run") + F.sum(F.col("part.gap") + size).over(order))
+    return placed.select("doc_id", "tid", "kind", F.col("part.hit").alias("token"), (F.col("end") - size).alias("start"), "end")
+
+
 def battery(candidates: DataFrame) -> DataFrame:
     """candidates (with token) plus encoding and stat: -ln of the combined p of the three tests. Rows without a fitting encoding go."""
     bare = F.regexp_replace("token", "=+$", "")
-    encoding = F.coalesce(*[F.when(bare.rlike(p), F.lit(n)) for n, p, _ in ENCODINGS])
     alphabet = F.coalesce(*[F.when(F.col("encoding") == n, F.lit(a)) for n, _, a in ENCODINGS])
     total = lambda xs: F.aggregate(xs, F.lit(0.0), lambda s, x: s + x)
-    df = candidates.withColumn("encoding", encoding).where("encoding IS NOT NULL").withColumn("alphabet", alphabet)
+    df = candidates.withColumn("encoding", _encoding(F.col("token"))).where("encoding IS NOT NULL").withColumn("alphabet", alphabet)
     df = df.withColumn("code", F.transform(F.filter(F.split(bare, ""), lambda x: x != ""), lambda x: F.instr(F.col("alphabet"), x).cast("double") - 1)).where(F.size("code") > 2)
     df = df.withColumns({"n": F.size("code").cast("double"), "size": F.length("alphabet").cast("double"), "nexts": F.slice("code", F.lit(2), F.size("code")), "lasts": F.slice("code", F.lit(1), F.size("code") - 1)})
     df = df.withColumns(
@@ -112,7 +141,7 @@ def scan_secrets(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     spans is kind:start:end by start, then kind (assign, access, hex, random), comma-joined, in code points, end exclusive.
     Base kinds are leftmost matches of their patterns that don't overlap within a kind; an assigned value under 6 characters,
     an access key under 20 and a hex run under 24 are dropped. random is what the battery adds: runs of 20 or more key
-    characters with digits and letters that look random for their encoding and length. A null text counts as empty: counts
+    characters, or their pieces, with digits and letters that look random for their encoding and length. A null text counts as empty: counts
     of 0, no spans, the digest of the empty string. Rows that repeat an id and text have equal values. An empty table gives
     no rows; further columns are ignored.
     """
@@ -130,7 +159,8 @@ def scan_secrets(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     order = Window.partitionBy("doc_id", "tid", "kind").orderBy("i")
     placed = flat.withColumn("end", F.sum(F.col("gap") + size).over(order)).withColumn("start", F.col("end") - size)
     found = placed.where((F.col("kind") == 0) & (F.length("inner") >= 6) | (F.col("kind") == 1) & (size >= 20) | (F.col("kind") == 2)).select("doc_id", "tid", "kind", "start", "end")
-    mixed = placed.where((F.col("kind") == 3) & F.col("hit").rlike("[0-9]") & F.col("hit").rlike("[A-Za-z]")).withColumn("token", F.col("hit"))
+    both = lambda c: F.col(c).rlike("[0-9]") & F.col(c).rlike("[A-Za-z]")
+    mixed = _pieces(placed.where((F.col("kind") == 3) & both("hit")).withColumn("token", F.col("hit"))).where(both("token"))
     random = not_rejected(battery(mixed), fdr).select("doc_id", "tid", "kind", "start", "end")
     names = F.array(*[F.lit(k) for k in KINDS])
     by_doc = found.unionByName(random).groupBy("doc_id", "tid").agg(F.array_sort(F.collect_list(F.struct("start", "kind", "end"))).alias("s"))

@@ -170,3 +170,31 @@ def test_quality_edges(spark):
     assert all(r.good for r in quality.classify(docs, labels).collect())
     assert quality.classify(no_documents(spark), labels).count() == 0
     assert quality.classify(docs, labels.limit(0)).count() == docs.count()
+
+
+TOKEN = "Zx8Kq2Lm9Pw4Rt6Yv1Bn3Hd7Jf5Gs0Ca"
+#: Texts around a token (%), and what of them is to be found as random.
+GLUED = [
+    ("sig=%", TOKEN),
+    ("export SESSION_SIG=%\nnext", TOKEN),
+    ("https://a.example/get?user=7&sig=%&x=1", TOKEN),
+    ("é🙂 sig=%==", TOKEN + "=="),
+    ("https://a.example.com/my-files/%", TOKEN),
+    ("https://a.example.com/my-files/%/part-2/end", TOKEN),
+    ("com/my-files/%-%/x", TOKEN),
+    ("com/my-files/%+Qz7Wd5", TOKEN + "+Qz7Wd5"),
+    ("com/my-files/%_Qz7Wd5", TOKEN + "_Qz7Wd5"),
+    ("com/my-files/a_b+%", "b+" + TOKEN),
+    ("my-Zx8Kq2Lm9Pw4R/t6Yv1Bn3Hd7Jf5/Gs0CaQz7Wd5", "Zx8Kq2Lm9Pw4R/t6Yv1Bn3Hd7Jf5/Gs0CaQz7Wd5"),
+]
+
+
+def test_secrets_behind_names_and_paths(spark):
+    texts = [t.replace("%", TOKEN) for t, _ in GLUED]
+    docs = spark.createDataFrame(list(enumerate([*texts, None, "com/my-files/some-words/and-more/of-them", "com/my-files/" + "a/b-" * 30000])), "doc_id long, text string")
+    rows = {r.doc_id: r for r in secret_scan.scan_secrets(docs).collect()}
+    for i, ((_, want), text) in enumerate(zip(GLUED, texts, strict=True)):
+        spans = [tuple(map(int, s.split(":")[1:])) for s in rows[i].spans.split(",") if s.startswith("random")]
+        assert spans == [m.span() for m in re.finditer(re.escape(want), text)], text
+        assert rows[i].n_random == len(spans) > 0 and rows[i].n_assign == 0
+    assert [rows[len(texts) + k].n_random for k in range(3)] == [0, 0, 0]
