@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -18,9 +20,11 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir, or a temporary one where that is unset (local tests)."""
+    """The folder that driver and executors share: spark.checkpoint.dir. Where it is unset, a temporary one, in local mode only."""
     found = spark.conf.get("spark.checkpoint.dir", None)
     if not found:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
         found = f"file://{tempfile.mkdtemp(prefix='rasterflow-')}"
         spark.conf.set("spark.checkpoint.dir", found)
     return found
@@ -34,6 +38,34 @@ def materialize(df: DataFrame, label: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+@contextmanager
+def bucketed(df: DataFrame, key: str, label: str) -> Iterator[DataFrame]:
+    """df as a table under the shared folder with a bucket for each shuffle partition, so that joins on key don't shuffle it; dropped at the end."""
+    spark = df.sparkSession
+    name, n = f"{label}_{uuid.uuid4().hex}", partitions(spark)
+    path = f"{shared_dir(spark)}/{name}"
+    df.repartition(n, key).write.bucketBy(n, key).option("path", path).saveAsTable(name)
+    try:
+        yield spark.table(name)
+    finally:
+        spark.sql(f"DROP TABLE IF EXISTS {name}")
+        where = spark._jvm.org.apache.hadoop.fs.Path(path)
+        where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)
+
+
+def named(df: DataFrame, name: str) -> Column:
+    """The column of that very name, dots and backquotes included."""
+    return df["`" + name.replace("`", "``") + "`"]
+
+
+def spare(df: DataFrame, word: str) -> str:
+    """A name that no column of df has, in lower or upper case."""
+    taken = {c.lower() for c in df.columns}
+    while word in taken:
+        word += "_"
+    return word
+
+
 def text_or_empty(c: str | Column = "text") -> Column:
     return F.coalesce(F.col(c) if isinstance(c, str) else c, F.lit(""))
 

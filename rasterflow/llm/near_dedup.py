@@ -5,19 +5,22 @@ are one class, and only classes go on. The retained values form inverted lists.
 share at least MIN_SHARED of the k smallest values of their union, so a list needs only those members for which the value
 is among their k - MIN_SHARED + 1 rarest: a passage that half the corpus holds makes no list of all its documents.
 
-The members of a short list meet each other. Within a longer one every member meets the list's hub, its most central member.
-What links to the hub is one component. A member o without a link to the hub h can link with another member g only if both
-share a shingle outside of h, or if g is so small that |g| <= (1 + t) / t * |o & h| - |o| (with t the similarity): if o & g
-lay within h, g would have to overlap o no more than h does. So members meet again in residual lists, keyed by hub and a
-shingle outside of the hub, of which each has as few as its overlap with the hub leaves open; residual lists are treated
-alike. Pairs that are in one component by then are skipped. Candidates pass the estimate of the union sketch, and links are
-confirmed by the exact similarity of the full sets.
+The members of a short list meet each other. Those of the longer lists with the same most central member are a group, and a
+group never makes all its pairs. Its core is the set of the shingles that more than half of its members hold, and each
+member x is described by its differences D(x) from the core (shingles that it lacks or adds). For any core, sets x and y link
+exactly if 14 |D(x) & D(y)| >= e(x) + e(y), with the excess e(x) = 7 |D(x)| - |x|: the similarity of 0.75 is a symmetric
+difference of at most a seventh of the two sizes. So with m the member of the least excess, every x with e(x) + e(m) <= 0
+links with m whatever both hold, and all of these are one component. Any other member needs differences in common with
+whatever it links with, and how many is bounded below by its own excess and e(m). So the group's open members meet again in
+lists keyed by a difference, of which each has its rarest only, as few as that bound leaves. A difference is shared by at
+most half of a group, so lists get shorter from level to level until all are short; no list is left out. Pairs in which too
+few differences are left to reach their bound go, and so do pairs that are in one component by then. The union sketch
+filters the others, and links are confirmed by the exact similarity of the full sets.
 """
 
 from __future__ import annotations
 
 import hashlib
-import uuid
 from collections.abc import Iterator
 from functools import reduce
 
@@ -26,15 +29,17 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import materialize, partitions, rolling, word_hashes
+from .common import bucketed, materialize, named, rolling, spare, word_hashes
 
 SHINGLE = 5
 #: Retained values, and the least number of the union's K smallest that a pair with similarity 0.75 shares: the chance of
 #: fewer is P(Binomial(64, 0.75) < 24), under 1e-11. Sets of K shingles or fewer are retained whole, without any chance.
 K, MIN_SHARED = 64, 24
 PERCENT = 75
-#: Members of a short list; levels of lists that have hubs (in residual lists after the last one all members meet).
-SHORT, LEVELS = 16, 4
+#: Members of a short list, and of a part of a group.
+SHORT, PART = 16, 64
+#: Copies from which on a class is joined by broadcast.
+MANY = 1000
 
 
 def shingle_set(text: str | None) -> np.ndarray:
@@ -55,7 +60,7 @@ def sketches(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
             sets = [shingle_set(t.as_py()) for t in batch.column(1)]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([len(s) for s in sets], pa.int64()), pa.array([set_key(s) for s in sets], pa.binary()), pa.array([s[:K] for s in sets], pa.list_(pa.int64()))], ["doc_id", "n_shingles", "key", "sketch"])
 
-    return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).mapInArrow(run, "doc_id long, n_shingles long, key binary, sketch array<long>")
+    return docs.select(named(docs, id_col).cast("long").alias("doc_id"), named(docs, text_col).alias("text")).mapInArrow(run, "doc_id long, n_shingles long, key binary, sketch array<long>")
 
 
 def full_sets(docs: DataFrame, id_col: str, text_col: str, active: DataFrame) -> DataFrame:
@@ -65,17 +70,17 @@ def full_sets(docs: DataFrame, id_col: str, text_col: str, active: DataFrame) ->
         for batch in batches:
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([shingle_set(t.as_py()) for t in batch.column(1)], pa.list_(pa.int64()))], ["rep", "set"])
 
-    return docs.select(F.col(id_col).cast("long").alias("rep"), F.col(text_col).alias("text")).join(active, "rep", "left_semi").mapInArrow(run, "rep long, set array<long>")
+    return docs.select(named(docs, id_col).cast("long").alias("rep"), named(docs, text_col).alias("text")).join(active, "rep", "left_semi").mapInArrow(run, "rep long, set array<long>")
 
 
 def inverted_lists(classes: DataFrame) -> DataFrame:
-    """value, rep, central: the members of each list that has more than one; classes: rep, sketch. central grows with how common a member's values are."""
-    retained = classes.select("rep", F.size("sketch").alias("size"), F.explode("sketch").alias("value"))
+    """value, rep, size, central: the members of each list; classes: rep, size, sketch. central grows with how common a member's values are."""
+    retained = classes.select("rep", "size", F.size("sketch").alias("retained"), F.explode("sketch").alias("value"))
     common = retained.groupBy("value").count().where("count > 1")
     own = Window.partitionBy("rep")
     ranked = retained.join(common, "value").withColumns({"place": F.row_number().over(own.orderBy("count", "value")), "shared": F.count(F.lit(1)).over(own), "central": F.sum("count").over(own)})
-    least = F.least(F.lit(MIN_SHARED), F.ceil(F.col("size") * PERCENT / 100))
-    return ranked.where(F.col("place") + F.col("size") - F.col("shared") <= F.col("size") - least + 1).select("value", "rep", "central")
+    least = F.least(F.lit(MIN_SHARED), F.ceil(F.col("retained") * PERCENT / 100))
+    return ranked.where(F.col("place") - F.col("shared") <= 1 - least).select("value", "rep", "size", "central")
 
 
 def components(edges: DataFrame, label: str = "components") -> DataFrame:
@@ -111,40 +116,103 @@ def _labelled(rows: DataFrame, comps: DataFrame, rep: str, label: str) -> DataFr
     return rows.join(comps.select(F.col("node").alias(rep), F.col("comp").alias(label)), rep, "left").withColumn(label, F.coalesce(label, rep))
 
 
+def viable(lists: DataFrame) -> DataFrame:
+    """The members of lists that some other one can reach by what is left of their differences, with n and n_open of their list before that."""
+    slack = F.col("room") * 14 - F.col("excess")
+    own = lambda c: F.when(F.col("open"), c)
+    stats = lists.groupBy("value").agg(
+        F.count(F.lit(1)).alias("n"),
+        F.sum(F.col("open").cast("long")).alias("n_open"),
+        F.min("excess").alias("low"),
+        F.min(own(F.col("excess"))).alias("low_open"),
+        F.max(slack).alias("high"),
+        F.max(own(slack)).alias("high_open"),
+    )
+    both = lists.drop("n", "n_open").join(stats.where("n > 1 AND n_open > 0"), "value")
+    partner = lambda c: F.when(F.col("open"), F.col(c)).otherwise(F.col(f"{c}_open"))
+    return both.where((slack >= partner("low")) & (partner("high") >= F.col("excess"))).drop("low", "low_open", "high", "high_open")
+
+
+def _groups(lists: DataFrame) -> DataFrame:
+    """hub, rep, members, part: each group's members, dealt into parts of about PART.
+
+    Lists with the same hub are one group if that is smaller by a quarter than the group they come from; if not, each is a group.
+    """
+    hubs = lists.groupBy("value").agg(F.max(F.struct("central", "rep"))["rep"].alias("hub"))
+    rows = lists.join(hubs, "value").select("value", "hub", "rep", "parent")
+    size = rows.select("hub", "rep", "parent").distinct().groupBy("hub").agg(F.count(F.lit(1)).alias("joint"), F.min("parent").alias("least"))
+    label = F.when(F.col("joint") * 4 <= F.col("least") * 3, F.col("hub")).otherwise(F.xxhash64("value", "hub"))
+    met = rows.join(size, "hub").select(label.alias("hub"), "rep").distinct()
+    parts = met.groupBy("hub").agg(F.count(F.lit(1)).alias("members"))
+    return met.join(parts, "hub").withColumn("part", F.pmod(F.xxhash64("rep"), F.ceil(F.col("members") / PART)))
+
+
+def _by_part(df: DataFrame) -> DataFrame:
+    """df (with hub and members) once for each part of the hub's group."""
+    return df.withColumn("part", F.explode(F.sequence(F.lit(0).cast("long"), F.ceil(F.col("members") / PART) - 1))).drop("members")
+
+
+def differences(members: DataFrame, counts: DataFrame) -> DataFrame:
+    """members (hub, rep, members, part, set) with size, diff (how the set differs from its group's core) and excess; counts: hub, members, shingle, n."""
+    cores = counts.where(F.col("n") * 2 > F.col("members")).groupBy("hub", "members").agg(F.collect_list("shingle").alias("core"))
+    joined = members.join(_by_part(cores), ["hub", "part"], "left").withColumn("core", F.coalesce("core", F.array().cast("array<long>")))
+    diff = F.concat(F.array_except("set", "core"), F.array_except("core", "set"))
+    size = F.size("set").cast("long")
+    return joined.select("hub", "rep", "members", "part", size.alias("size"), diff.alias("diff")).withColumn("excess", F.size("diff") * 7 - F.col("size"))
+
+
+def difference_lists(open_groups: DataFrame, counts: DataFrame) -> DataFrame:
+    """value, rep, size, central, open, room, excess, parent: the members of the lists of rare differences; open_groups: differences() with least, threshold and open.
+
+    room is how many differences a member has from this one on, in the order of rarity; parent
+    is the number of the group's members.
+    """
+    third = F.floor(F.col("size") * 4 / 3)  # the size of the largest set that a member could link with
+    partner = F.when(F.col("open"), F.col("least")).otherwise(F.col("threshold"))
+    needed = F.greatest(F.lit(1), F.ceil((F.col("excess") + partner) / 14), F.ceil((F.col("excess") - third) / 7))
+    each = open_groups.withColumn("total", F.size("diff")).withColumn("prefix", F.col("total") - needed + 1).where("prefix > 0")
+    each = each.select("hub", "rep", "size", "excess", "open", "total", "prefix", F.col("members").alias("parent"), F.explode("diff").alias("shingle"))
+    spread = F.when(F.col("n") * 2 > F.col("members"), F.col("members") - F.col("n")).otherwise(F.col("n"))
+    shared = counts.select("hub", "shingle", spread.alias("spread")).where("spread > 1")
+    own = Window.partitionBy("hub", "rep")
+    ranked = each.join(shared, ["hub", "shingle"]).withColumns({"place": F.row_number().over(own.orderBy("spread", "shingle")), "known": F.count(F.lit(1)).over(own), "central": F.sum("spread").over(own)})
+    place = F.col("total") - F.col("known") + F.col("place")  # differences of this member alone come first
+    return ranked.where(place <= F.col("prefix")).select(F.xxhash64("hub", "shingle").alias("value"), "rep", "size", "central", "open", (F.col("total") - place + 1).cast("long").alias("room"), "excess", "parent")
+
+
+def _met(lists: DataFrame) -> DataFrame:
+    """The pairs (a, b) of list members, one of them open at least, that sizes and what is left of their differences don't rule out."""
+    left = lists.where("open").select("value", F.col("rep").alias("a"), F.col("size").alias("sa"), F.col("room").alias("ra"), F.col("excess").alias("ea"))
+    right = lists.select("value", F.col("rep").alias("b"), F.col("size").alias("sb"), F.col("room").alias("rb"), F.col("excess").alias("eb"), F.col("open").alias("ob"))
+    sizes = (F.col("sa") * 100 >= F.col("sb") * PERCENT) & (F.col("sb") * 100 >= F.col("sa") * PERCENT)
+    rest = F.least("ra", "rb") * 14 >= F.col("ea") + F.col("eb")
+    once = F.when(F.col("ob"), F.col("a") < F.col("b")).otherwise(F.col("a") != F.col("b"))
+    return left.join(right, "value").where(sizes & rest & once).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
+
+
 def all_links(lists: DataFrame, short: DataFrame, whole: DataFrame) -> DataFrame:
-    """Links (a, b) that connect whatever all pairs of list members would; lists: value, rep, central."""
-    links, few_pairs, full_lists = [], [], []
-    for _ in range(LEVELS):
-        hubs = lists.groupBy("value").agg(F.max(F.struct("central", "rep"))["rep"].alias("hub"), F.count(F.lit(1)).alias("members")).where("members > 1")
-        sized = materialize(lists.join(hubs, "value"), "members")
-        full_lists.append(sized.where(F.col("members") <= SHORT).select("value", "rep"))
-        met = sized.where((F.col("members") > SHORT) & (F.col("rep") != F.col("hub"))).select(F.col("hub").alias("a"), F.col("rep").alias("b")).distinct()
-        near = materialize(measured(met, whole).select(F.col("a").alias("hub"), F.col("b").alias("rep"), "inter", F.col("size_b").alias("size"), "linked"), "near")
-        links.append(near.where("linked").select(F.col("hub").alias("a"), F.col("rep").alias("b")))
-        open_hubs = near.groupBy("hub").agg(F.count(F.lit(1)).alias("n"), F.min("linked").alias("done")).where("n > 1 AND NOT done").select("hub")
-        near = near.join(open_hubs, "hub", "left_semi")
-        least = F.ceil(F.col("size") * PERCENT / 100).cast("int")
-        small = F.floor(F.col("inter") * (100 + PERCENT) / PERCENT - F.col("size")).cast("int")
-        few = near.where(~F.col("linked") & (small >= least)).select("hub", F.col("rep").alias("a"), F.explode(F.sequence(least, small)).alias("size"))
-        few_pairs.append(few.join(near.select("hub", F.col("rep").alias("b"), "size"), ["hub", "size"]).where("a <> b").select("a", "b"))
-        outside = near.join(whole.select(F.col("rep").alias("hub"), F.col("set").alias("core")), "hub").join(whole.select("rep", "set"), "rep").withColumn("outside", F.array_except("set", "core"))
-        needed = F.greatest(F.lit(1), least - F.col("inter"))
-        first = F.slice(F.array_sort("outside"), F.lit(1), F.greatest(F.lit(0), F.size("outside") - needed + 1))
-        residual = outside.select("hub", "rep", "linked", F.explode(first).alias("shingle")).select(F.xxhash64("hub", "shingle").alias("value"), "rep", "linked")
-        some = residual.groupBy("value").agg(F.count(F.lit(1)).alias("n"), F.min("linked").alias("done")).where("n > 1 AND NOT done").select("value", "n")
-        lists = materialize(residual.join(some, "value").select("value", "rep", F.sum("n").over(Window.partitionBy("rep")).alias("central")).distinct(), "residual")
-        if not lists.limit(1).count():
+    """Links (a, b) that connect whatever all pairs of list members would; lists: value, rep, size, central."""
+    links, pairs = [], []
+    sized = materialize(viable(lists.withColumns({"open": F.lit(True), "room": F.lit(1 << 40), "excess": F.lit(0).cast("long"), "parent": F.lit(1 << 40)})), "lists")
+    while True:
+        few = (F.col("n") <= SHORT) | (F.col("n_open") * 2 <= SHORT)
+        pairs.append(materialize(_met(sized.where(few)).distinct(), "met"))
+        groups = materialize(_groups(sized.where(~few)), "groups")
+        if not groups.limit(1).count():
             break
-    else:
-        full_lists.append(lists.select("value", "rep"))
-    sure = materialize(reduce(DataFrame.unionByName, links), "sure")
+        members = materialize(groups.join(whole, "rep"), "members")
+        counts = materialize(members.select("hub", "members", F.explode("set").alias("shingle")).groupBy("hub", "members", "shingle").agg(F.count(F.lit(1)).alias("n")).where("n > 1"), "counts")
+        apart = materialize(differences(members, counts), "apart")
+        least = apart.groupBy("hub", "members").agg(F.min(F.struct("excess", "rep")).alias("m")).select("hub", "members", F.col("m.excess").alias("least"), F.col("m.rep").alias("inner"))
+        placed = apart.join(_by_part(least), ["hub", "part"]).withColumn("open", F.col("excess") + F.col("least") > 0)
+        links.append(materialize(placed.where(~F.col("open") & (F.col("rep") != F.col("inner"))).select(F.col("inner").alias("a"), F.col("rep").alias("b")).distinct(), "sure"))
+        still = placed.where("open").groupBy("hub", "members").agg(F.min("excess").alias("threshold"))
+        found = materialize(difference_lists(placed.join(_by_part(still), ["hub", "part"]), counts), "lists")
+        sized = materialize(viable(materialize(viable(found), "lists")), "lists")
+    sure = reduce(DataFrame.unionByName, links, pairs[0].limit(0))
     comps = components(sure)
-    left = _labelled(reduce(DataFrame.unionByName, full_lists), comps, "rep", "comp")
-    right = left.select("value", F.col("rep").alias("other"), F.col("comp").alias("across"))
-    pairs = left.join(right, "value").where("comp < across").select(F.least("rep", "other").alias("a"), F.greatest("rep", "other").alias("b"))
-    across = _labelled(_labelled(reduce(DataFrame.unionByName, few_pairs), comps, "a", "ca"), comps, "b", "cb").where("ca <> cb").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
-    pairs = materialize(pairs.unionByName(across).distinct(), "pairs")
-    return materialize(sure.unionByName(measured(likely(pairs, short), whole).where("linked").select("a", "b")), "links")
+    met = _labelled(_labelled(reduce(DataFrame.unionByName, pairs).distinct(), comps, "a", "ca"), comps, "b", "cb").where("ca <> cb").select("a", "b")
+    return materialize(sure.unionByName(measured(likely(met, short), whole).where("linked").select("a", "b")), "links")
 
 
 def near_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -152,38 +220,36 @@ def near_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 
     Words are runs outside ASCII white space, with A-Z in lower case. Documents link if 100 * intersection >= 75 * union of
     their shingle sets; component_id is the smallest id that links reach. Documents without words or with a null text
-    have no shingles and are linked with nothing. Rows that repeat an id are one document: they have one component, and
-    link with what any of them links. Rows with a null id take no part: component_id is null and kept is true. An empty table
-    gives no rows; further columns are ignored. The tables between steps lie under spark.checkpoint.dir; the shingle sets of
-    documents in lists are a bucketed table that is dropped at the end.
+    have no shingles and are linked with nothing. Ids are cast to long, and ids that aren't numbers fail. Rows that repeat an
+    id are one document: they have one component, and link with what any of them links. Rows with a null id take no part:
+    component_id is null and kept is true. An empty table gives no rows; further columns are ignored. The tables between
+    steps lie under spark.checkpoint.dir; the shingle sets of documents in lists are a bucketed table there that is dropped
+    at the end.
     """
     spark = docs.sparkSession
     found = materialize(sketches(docs, id_col, text_col), "sketches")
     linkable = found.where("doc_id IS NOT NULL AND n_shingles > 0")
-    firsts = linkable.groupBy("key").agg(F.min("doc_id").alias("rep"))
-    classes = linkable.select(F.col("doc_id").alias("rep"), "key", "sketch").join(firsts, ["key", "rep"]).dropDuplicates(["key", "rep"]).select("rep", "sketch")
+    firsts = materialize(linkable.groupBy("key").agg(F.min("doc_id").alias("rep"), F.count(F.lit(1)).alias("copies")), "classes")
+    classes = linkable.select(F.col("doc_id").alias("rep"), "key", F.col("n_shingles").alias("size"), "sketch").join(firsts, ["key", "rep"]).dropDuplicates(["key", "rep"]).select("rep", "size", "sketch")
     lists = materialize(inverted_lists(classes).distinct(), "lists")
-    active = lists.select("rep").distinct()
-    name = f"near_dedup_{uuid.uuid4().hex}"
-    n = partitions(spark)
-    full_sets(docs, id_col, text_col, active).repartition(n, "rep").write.bucketBy(n, "rep").saveAsTable(name)
-    whole = spark.table(name)
-    short = whole.select("rep", F.slice("set", 1, K).alias("sketch"))
-
-    links = all_links(lists, short, whole)
-    spark.sql(f"DROP TABLE {name}")
+    with bucketed(full_sets(docs, id_col, text_col, lists.select("rep").distinct()), "rep", "near_dedup") as whole:
+        links = all_links(lists, whole.select("rep", F.slice("set", 1, K).alias("sketch")), whole)
 
     # A class whose id several classes share is one node with them.
     shared = linkable.groupBy("doc_id").agg(F.min("key").alias("low"), F.max("key").alias("high")).where("low <> high").select("doc_id").join(linkable, "doc_id").join(firsts, "key").select(F.col("doc_id").alias("a"), F.col("rep").alias("b")).where("a <> b")
     comps = components(links.unionByName(shared))
-    known = firsts.join(comps.withColumnRenamed("node", "rep"), "rep", "left").select("key", F.coalesce("comp", "rep").alias("rep"))
-    out = found.join(known, "key", "left").withColumn("component_id", F.when(F.col("doc_id").isNotNull(), F.when(F.col("n_shingles") > 0, F.col("rep")).otherwise(F.col("doc_id"))))
+    known = firsts.join(comps.withColumnRenamed("node", "rep"), "rep", "left").select("key", "copies", F.coalesce("comp", "rep").alias("rep"))
+    # Classes of so many copies are few, one for MANY documents at most; their rows don't meet in one task.
+    hot = F.broadcast(known.where(F.col("copies") >= MANY).select("key", F.col("rep").alias("hot")))
+    out = found.join(hot, "key", "left")
+    rest = out.where("hot IS NULL").join(known.where(F.col("copies") < MANY).select("key", "rep"), "key", "left")
+    out = rest.unionByName(out.where("hot IS NOT NULL").withColumn("rep", F.col("hot")))
+    out = out.withColumn("component_id", F.when(F.col("doc_id").isNotNull(), F.when(F.col("n_shingles") > 0, F.col("rep")).otherwise(F.col("doc_id"))))
     return out.select("doc_id", "n_shingles", "component_id", (F.col("component_id").isNull() | (F.col("doc_id") == F.col("component_id"))).alias("kept"))
 
 
 def without_near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """docs without the rows that near_components() doesn't keep."""
-    dropped = near_components(docs, id_col, text_col).where("NOT kept").select(F.col("doc_id").alias("__dropped")).distinct()
-    return docs.join(dropped, docs[id_col].cast("long") == F.col("__dropped"), "left_anti")
-
-
+    gone = spare(docs, "gone")
+    dropped = near_components(docs, id_col, text_col).where("NOT kept").select(F.col("doc_id").alias(gone)).distinct()
+    return docs.join(dropped, named(docs, id_col).cast("long") == F.col(gone), "left_anti")
