@@ -34,7 +34,7 @@ def pack(pixels: DataFrame, channels: tuple[str, ...] = ("r", "g", "b", "a")) ->
     """media_id, width, height and an array for each channel, from long pixels without holes."""
     cells = F.array_sort(F.collect_list(F.struct("y", "x", *channels)))
     grouped = pixels.groupBy("media_id").agg((F.max("x") + 1).cast("int").alias("width"), (F.max("y") + 1).cast("int").alias("height"), cells.alias("__cells"))
-    return grouped.select("media_id", "width", "height", *[F.transform("__cells", lambda p, c=c: p[c]).alias(c) for c in channels])
+    return grouped.select("media_id", "width", "height", *[F.col(f"__cells.{c}").alias(c) for c in channels])
 
 
 def unpack(rasters: DataFrame, channels: tuple[str, ...] = ("r", "g", "b", "a")) -> DataFrame:
@@ -160,7 +160,8 @@ def rotate(data: Column, w: int, h: int, degrees: float, fill: int = 0, expand:
         x0, y0 = F.floor(sx), F.floor(sy)
         fx, fy = sx - x0, sy - y0
         near = lambda i, j: _cell(data, F.lit(w), clamp(x0 + i, 0, w - 1), clamp(y0 + j, 0, h - 1))
-        value = near(0, 0) * (1 - fx) * (1 - fy) + near(1, 0) * fx * (1 - fy) + near(0, 1) * (1 - fx) * fy + near(1, 1) * fx * fy
+        between = lambda a, b, t: a * (1 - t) + b * t
+        value = between(between(near(0, 0), near(1, 0), fx), between(near(0, 1), near(1, 1), fx), fy)
         return F.when((sx >= 0) & (sx < w - 1) & (sy >= 0) & (sy < h - 1), half_up(value).cast("int")).otherwise(fill)
 
     return _grid(F.lit(new_w), F.lit(new_h), at), new_w, new_h

@@ -28,12 +28,12 @@ def _query(sql: str):
 
 
 def cues(spark: SparkSession, sf: str) -> DataFrame:
-    """Each conversation as a subtitle file: a cue for each turn, lines and blank lines of its text joined."""
+    """Each conversation as a subtitle file: a cue for each turn, lines and blank lines of its text joined; of a turn's several texts the smallest."""
     text = F.trim(F.regexp_replace("text", r"\s+", " "))
-    return table(spark, sf, "conversations").where("text IS NOT NULL").select(F.col("conv_id").alias("media_id"), (F.col("turn") + 1).cast("int").alias("cue_no"), (F.col("turn") * 2.5).cast("double").alias("start_s"), (F.col("turn") * 2.5 + 2.125).cast("double").alias("end_s"), text.alias("text")).where("text <> ''").dropDuplicates(["media_id", "cue_no"])
+    return table(spark, sf, "conversations").where("text IS NOT NULL").select(F.col("conv_id").alias("media_id"), (F.col("turn") + 1).cast("int").alias("cue_no"), (F.col("turn") * 2.5).cast("double").alias("start_s"), (F.col("turn") * 2.5 + 2.125).cast("double").alias("end_s"), text.alias("text")).where("text <> ''").groupBy("media_id", "cue_no", "start_s", "end_s").agg(F.min("text").alias("text"))
 
 
-CUES = r"""cues AS (SELECT DISTINCT ON (media_id, cue_no) * FROM (SELECT conv_id AS media_id, CAST(turn + 1 AS INTEGER) AS cue_no, CAST(turn * 2.5 AS DOUBLE) AS start_s, CAST(turn * 2.5 + 2.125 AS DOUBLE) AS end_s, trim(regexp_replace(substring(text, 1, 80), '[ \t\n\x0B\f\r]+', ' ', 'g')) AS text FROM conversations WHERE text IS NOT NULL) WHERE text <> ''),
+CUES = r"""cues AS (SELECT media_id, cue_no, start_s, end_s, min(text) AS text FROM (SELECT conv_id AS media_id, CAST(turn + 1 AS INTEGER) AS cue_no, CAST(turn * 2.5 AS DOUBLE) AS start_s, CAST(turn * 2.5 + 2.125 AS DOUBLE) AS end_s, trim(regexp_replace(text, '[ \t\n\x0B\f\r]+', ' ', 'g')) AS text FROM conversations WHERE text IS NOT NULL) WHERE text <> '' GROUP BY media_id, cue_no, start_s, end_s),
 clock AS (SELECT *, floor(start_s) AS s, floor(end_s) AS e FROM cues)"""
 
 
@@ -62,7 +62,7 @@ def vtt_parse(spark, sf):
     return timed.read_vtt(timed.write_vtt(cues(spark, sf))).select("media_id", "start_s", "end_s", "text")
 
 
-@_query("SELECT conv_id, turn, replace(substring(text, 1, 40), '{', '') AS plain FROM conversations")
+@_query("SELECT conv_id, turn, regexp_replace(regexp_replace(replace(text, '{', ''), '\\{[^}]*\\}', '', 'g'), '\\\\[nN]', chr(10), 'g') AS plain FROM conversations")
 def ass_strip_tags(spark, sf):
     tagged = F.concat(F.lit("{\\b1}"), F.regexp_replace("text", r"\{", ""), F.lit("{\\i0}"))
     return table(spark, sf, "conversations").select("conv_id", "turn", timed.ass_plain(tagged).alias("plain"))
@@ -163,7 +163,7 @@ def midi_tempo_map(spark, sf):
 _NAMES = "['" + "', '".join(tc.NOTES) + "']"
 
 
-@_query(f"SELECT event_id, {_NAMES}[event_id % 12 + 1] || CAST(event_id % 128 // 12 - 1 AS VARCHAR) AS name, CAST(event_id % 128 AS INTEGER) AS number FROM (SELECT event_id // 3 * 0 + event_id AS event_id FROM events) WHERE event_id % 128 % 12 = event_id % 12")
+@_query(f"SELECT event_id, {_NAMES}[event_id % 128 % 12 + 1] || CAST(event_id % 128 // 12 - 1 AS VARCHAR) AS name, CAST(event_id % 128 AS INTEGER) AS number FROM events")
 def note_name(spark, sf):
     df = table(spark, sf, "events").select("event_id")
     return df.withColumn("name", tc.note_name(F.col("event_id") % 128)).withColumn("number", tc.note_number(F.col("name")))

@@ -30,7 +30,8 @@ def overlays(spark: SparkSession, sf_dir: str) -> DataFrame:
     return translucent(spark, sf_dir).where("x % 2 = 0")
 
 
-OVERLAYS = "ov AS (SELECT l_orderkey AS media_id, 0 AS y, l_linenumber - 1 AS x, CAST(l_suppkey * 7 % 256 AS INTEGER) AS r, CAST(l_partkey * 3 % 256 AS INTEGER) AS g, CAST(l_orderkey % 256 AS INTEGER) AS b, CAST(l_partkey * 5 % 256 AS INTEGER) AS a FROM lineitem WHERE l_linenumber % 2 = 1)"
+TRANSLUCENT = "tl AS (SELECT l_orderkey AS media_id, 0 AS y, l_linenumber - 1 AS x, CAST(l_suppkey * 7 % 256 AS INTEGER) AS r, CAST(l_partkey * 3 % 256 AS INTEGER) AS g, CAST(l_orderkey % 256 AS INTEGER) AS b, CAST(l_partkey * 5 % 256 AS INTEGER) AS a FROM lineitem)"
+OVERLAYS = f"{TRANSLUCENT}, ov AS (SELECT * FROM tl WHERE x % 2 = 0)"
 
 
 def rasters(spark: SparkSession, sf_dir: str) -> DataFrame:

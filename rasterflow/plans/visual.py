@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from ..functions import blend, color
 from ..operators import pixels as px
 from ..operators import raster as rs
-from .views import GRID, OVERLAYS, PIXELS, overlays, pixels, rasters, translucent
+from .views import GRID, OVERLAYS, PIXELS, TRANSLUCENT, overlays, pixels, rasters, translucent
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -161,13 +161,13 @@ for _mode, _take in blend.COMPONENTS.items():
 QUERIES["composite_offset"] = lambda spark, sf: px.composite(pixels(spark, sf), overlays(spark, sf), x=1, opacity=0.5)
 SQL["composite_offset"] = _composite_sql([f"CAST({c}2 AS DOUBLE)" for c in "rgb"], 0.5).replace("l_linenumber - 1 AS x, CAST(l_suppkey * 7", "l_linenumber AS x, CAST(l_suppkey * 7")
 QUERIES["premultiply"] = lambda spark, sf: translucent(spark, sf).withColumns(dict(zip("rgb", blend.premultiply(px.rgb_of(), F.col("a")), strict=True)))
-SQL["premultiply"] = f"WITH {OVERLAYS} SELECT media_id, y, x, {', '.join(f'{_int(_round(f"CAST({c} AS DOUBLE) * a / 255"))} AS {c}' for c in 'rgb')}, a FROM ov"
+SQL["premultiply"] = f"WITH {TRANSLUCENT} SELECT media_id, y, x, {', '.join(f'{_int(_round(f"CAST({c} AS DOUBLE) * a / 255"))} AS {c}' for c in 'rgb')}, a FROM tl"
 QUERIES["unpremultiply"] = lambda spark, sf: translucent(spark, sf).withColumns(dict(zip("rgb", blend.unpremultiply(px.rgb_of(), F.col("a")), strict=True)))
-SQL["unpremultiply"] = f"WITH {OVERLAYS} SELECT media_id, y, x, {', '.join(f'CASE WHEN a = 0 THEN 0 ELSE {_int(f"least(255, {_round(f"CAST({c} AS DOUBLE) * 255 / nullif(a, 0)")})")} END AS {c}' for c in 'rgb')}, a FROM ov"
+SQL["unpremultiply"] = f"WITH {TRANSLUCENT} SELECT media_id, y, x, {', '.join(f'CASE WHEN a = 0 THEN 0 ELSE {_int(f"least(255, {_round(f"CAST({c} AS DOUBLE) * 255 / nullif(a, 0)")})")} END AS {c}' for c in 'rgb')}, a FROM tl"
 QUERIES["chroma_key"] = lambda spark, sf: pixels(spark, sf).withColumn("a", blend.chroma_key(px.rgb_of(), (40, 60, 125), 60))
 SQL["chroma_key"] = f"WITH {PIXELS}, k AS (SELECT *, sqrt(CAST((r - 40) * (r - 40) + (g - 60) * (g - 60) + (b - 125) * (b - 125) AS DOUBLE)) AS d FROM px) SELECT media_id, y, x, r, g, b, CASE WHEN d <= 60 THEN 0 WHEN d <= 120 THEN {_int(_round('(d - 60) / 60 * 255'))} ELSE 255 END AS a FROM k"
 QUERIES["apply_mask"] = lambda spark, sf: px.apply_mask(pixels(spark, sf), _single(translucent(spark, sf)))
-SQL["apply_mask"] = f"WITH {PIXELS}, {OVERLAYS} SELECT px.media_id, px.y, px.x, px.r, px.g, px.b, {_int(_round('px.a * (0.299 * CAST(ov.r AS DOUBLE) + 0.587 * CAST(ov.g AS DOUBLE) + 0.114 * CAST(ov.b AS DOUBLE)) / 255'))} AS a FROM px JOIN ov ON ov.media_id = px.media_id AND ov.x = 0"
+SQL["apply_mask"] = f"WITH {PIXELS}, {TRANSLUCENT}, m AS (SELECT media_id, y, x, max(r) AS r, max(g) AS g, max(b) AS b FROM tl GROUP BY ALL) SELECT px.media_id, px.y, px.x, px.r, px.g, px.b, {_int(_round('px.a * (0.299 * CAST(m.r AS DOUBLE) + 0.587 * CAST(m.g AS DOUBLE) + 0.114 * CAST(m.b AS DOUBLE)) / 255'))} AS a FROM px JOIN m USING (media_id, y, x)"
 
 
 def _single(df: DataFrame) -> DataFrame:
@@ -293,11 +293,9 @@ QUERIES["rotate_any"] = _rotated
 _cos, _sin = math.cos(math.radians(30)), math.sin(math.radians(30))
 _n = math.ceil(8 * _cos + 8 * _sin)
 SQL["rotate_any"] = f"""WITH {GRID}, n AS (SELECT yy, xx, (xx - {_n / 2}) * CAST({_cos!r} AS DOUBLE) + (yy - {_n / 2}) * CAST({_sin!r} AS DOUBLE) + 4.0 AS sx, (xx - {_n / 2}) * CAST({-_sin!r} AS DOUBLE) + (yy - {_n / 2}) * CAST({_cos!r} AS DOUBLE) + 4.0 AS sy FROM (SELECT unnest(range(0, {_n})) AS yy) CROSS JOIN (SELECT unnest(range(0, {_n})) AS xx)),
-f AS (SELECT *, floor(sx) AS x0, floor(sy) AS y0, sx - floor(sx) AS fx, sy - floor(sy) AS fy FROM n), ids AS (SELECT DISTINCT media_id FROM g),
-t AS (SELECT f.*, CAST(x0 + i AS INTEGER) AS x1, CAST(y0 + j AS INTEGER) AS y1, (CASE WHEN i = 0 THEN 1 - fx ELSE fx END) * (CASE WHEN j = 0 THEN 1 - fy ELSE fy END) AS w FROM f CROSS JOIN (SELECT unnest([0, 1]) AS i) CROSS JOIN (SELECT unnest([0, 1]) AS j) WHERE sx >= 0 AND sx < 7 AND sy >= 0 AND sy < 7),
-m AS (SELECT media_id, yy, xx, {_int(_round('sum(v * w)'))} AS v FROM t JOIN g ON g.x = x1 AND g.y = y1 GROUP BY ALL HAVING true)
-SELECT ids.media_id, CAST(f.yy AS INTEGER) AS y, CAST(f.xx AS INTEGER) AS x, coalesce(m.v, 9) AS v FROM ids CROSS JOIN f LEFT JOIN m ON m.media_id = ids.media_id AND m.yy = f.yy AND m.xx = f.xx"""
-SQL["rotate_any"] = SQL["rotate_any"].replace("GROUP BY ALL HAVING true", "GROUP BY media_id, yy, xx")
+f AS (SELECT *, floor(sx) AS x0, floor(sy) AS y0, sx - floor(sx) AS fx, sy - floor(sy) AS fy FROM n WHERE sx >= 0 AND sx < 7 AND sy >= 0 AND sy < 7), ids AS (SELECT DISTINCT media_id FROM g),
+m AS (SELECT a.media_id, yy, xx, a.v * (1 - fx) + b.v * fx AS top, c.v * (1 - fx) + d.v * fx AS low, fy FROM f JOIN g a ON a.x = x0 AND a.y = y0 JOIN g b ON b.media_id = a.media_id AND b.x = x0 + 1 AND b.y = y0 JOIN g c ON c.media_id = a.media_id AND c.x = x0 AND c.y = y0 + 1 JOIN g d ON d.media_id = a.media_id AND d.x = x0 + 1 AND d.y = y0 + 1)
+SELECT ids.media_id, CAST(n.yy AS INTEGER) AS y, CAST(n.xx AS INTEGER) AS x, coalesce({_int(_round('top * (1 - fy) + low * fy'))}, 9) AS v FROM ids CROSS JOIN n LEFT JOIN m ON m.media_id = ids.media_id AND m.yy = n.yy AND m.xx = n.xx"""
 
 QUERIES["auto_crop"] = lambda spark, sf: rs.auto_crop_box(rasters(spark, sf), ("v",), 100)
 SQL["auto_crop"] = f"WITH {GRID}, o AS (SELECT media_id, v AS v0 FROM g WHERE x = 0 AND y = 0), b AS (SELECT media_id, min(x) AS x, min(y) AS y, max(x) - min(x) + 1 AS width, max(y) - min(y) + 1 AS height FROM g JOIN o USING (media_id) WHERE abs(v - v0) > 100 GROUP BY media_id) SELECT media_id, coalesce(x, 0) AS x, coalesce(y, 0) AS y, coalesce(width, 0) AS width, coalesce(height, 0) AS height FROM o LEFT JOIN b USING (media_id)"
