@@ -15,7 +15,7 @@ import math
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import text_or_empty
+from .common import materialize, named, text_or_empty
 
 # Fixed values of the scan's contract.
 ASSIGN = r"""(?i)(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)"""
@@ -90,26 +90,43 @@ def _pieces(runs: DataFrame) -> DataFrame:
 
 
 def battery(candidates: DataFrame) -> DataFrame:
-    """candidates (with token) plus encoding and stat: -ln of the combined p of the three tests. Rows without a fitting encoding go."""
-    bare = F.regexp_replace("token", "=+$", "")
-    alphabet = F.coalesce(*[F.when(F.col("encoding") == n, F.lit(a)) for n, _, a in ENCODINGS])
-    total = lambda xs: F.aggregate(xs, F.lit(0.0), lambda s, x: s + x)
-    df = candidates.withColumn("encoding", _encoding(F.col("token"))).where("encoding IS NOT NULL").withColumn("alphabet", alphabet)
-    df = df.withColumn("code", F.transform(F.filter(F.split(bare, ""), lambda x: x != ""), lambda x: F.instr(F.col("alphabet"), x).cast("double") - 1)).where(F.size("code") > 2)
-    df = df.withColumns({"n": F.size("code").cast("double"), "size": F.length("alphabet").cast("double"), "nexts": F.slice("code", F.lit(2), F.size("code")), "lasts": F.slice("code", F.lit(1), F.size("code") - 1)})
+    """candidates (with token) plus encoding and stat: -ln of the combined p of the three tests. Rows without a fitting encoding go.
+
+    The time is linear in a token's length: encoding and alphabet are chosen once a token and stored, then one fold over its
+    characters gives the sums of the runs and correlation tests, and one count for each symbol of the alphabet the squares.
+    """
+    c = F.col
+    alphabet = F.coalesce(*[F.when(c("encoding") == n, F.lit(a)) for n, _, a in ENCODINGS])
+    chosen = candidates.withColumn("encoding", _encoding(c("token"))).where("encoding IS NOT NULL").withColumns({"bare": F.regexp_replace("token", "=+$", ""), "alphabet": alphabet})
+    df = materialize(chosen.where(F.length("bare") > 2), "tokens").withColumns({"n": F.length("bare").cast("double"), "size": F.length("alphabet").cast("double")})
+    codes = F.transform(F.filter(F.split("bare", ""), lambda x: x != ""), lambda x: F.instr(c("alphabet"), x).cast("double") - 1)
+    names = ("high", "total", "squares", "products", "changes", "first", "last")
+    start = F.struct(*[F.lit(-1.0 if n in ("first", "last") else 0.0).alias(n) for n in names])
+
+    def add(s: Column, x: Column) -> Column:
+        half, later = c("size") / 2, s["last"] >= 0
+        values = (
+            s["high"] + (x >= half).cast("double"),
+            s["total"] + x,
+            s["squares"] + x * x,
+            s["products"] + F.when(later, s["last"] * x).otherwise(0.0),
+            s["changes"] + (later & ((s["last"] < half) != (x < half))).cast("double"),
+            F.when(later, s["first"]).otherwise(x),
+            x,
+        )
+        return F.struct(*[v.alias(n) for n, v in zip(names, values, strict=True)])
+
+    times = lambda x: F.pow(c("n") - F.length(F.replace(c("bare"), x, F.lit(""))), F.lit(2.0))
+    df = df.withColumns({"repeats": F.aggregate(F.split("alphabet", ""), F.lit(0.0), lambda s, x: s + times(x)), "sums": F.aggregate(codes, start, add)})
+    df = df.select("*", "sums.*").withColumn("mean", c("total") / c("n"))
     df = df.withColumns(
         {
-            "repeats": F.aggregate(F.array_distinct("code"), F.lit(0.0), lambda s, c: s + F.pow(F.size(F.filter("code", lambda x: x == c)).cast("double"), F.lit(2.0))),
-            "changes": total(F.zip_with("lasts", "nexts", lambda a, b: ((a < F.col("size") / 2) != (b < F.col("size") / 2)).cast("double"))),
-            "high": total(F.transform("code", lambda x: (x >= F.col("size") / 2).cast("double"))),
-            "mean": total("code") / F.col("n"),
-            "squares": total(F.transform("code", lambda x: x * x)),
-            "products": total(F.zip_with("lasts", "nexts", lambda a, b: a * b)),
-            "ends": F.element_at("code", 1) + F.element_at("code", -1),
+            "pairs": c("n") * (c("n") - 1) / c("size"),
+            "mean_runs": 2 * c("high") * (c("n") - c("high")) / c("n") + 1,
+            "spread": c("squares") - c("n") * c("mean") * c("mean"),
+            "cross": c("products") - c("mean") * (2 * c("n") * c("mean") - c("first") - c("last")) + (c("n") - 1) * c("mean") * c("mean"),
         }
-    ).drop("code", "lasts", "nexts", "alphabet")
-    c = F.col
-    df = df.withColumns({"pairs": c("n") * (c("n") - 1) / c("size"), "mean_runs": 2 * c("high") * (c("n") - c("high")) / c("n") + 1, "spread": c("squares") - c("n") * c("mean") * c("mean"), "cross": c("products") - c("mean") * (2 * c("n") * c("mean") - c("ends")) + (c("n") - 1) * c("mean") * c("mean")})
+    )
     df = df.withColumn("var_runs", (c("mean_runs") - 1) * (c("mean_runs") - 2) / (c("n") - 1))
     df = df.withColumns(
         {
@@ -143,10 +160,11 @@ def scan_secrets(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     an access key under 20 and a hex run under 24 are dropped. random is what the battery adds: runs of 20 or more key
     characters, or their pieces, with digits and letters that look random for their encoding and length. A null text counts as empty: counts
     of 0, no spans, the digest of the empty string. Rows that repeat an id and text have equal values. An empty table gives
-    no rows; further columns are ignored.
+    no rows; further columns are ignored. Tokens of any length are tested whole. Texts are read once: their matches lie under
+    spark.checkpoint.dir.
     """
     text = F.col("text")
-    base = docs.select(F.col(id_col).alias("doc_id"), text_or_empty(text_col).alias("text")).withColumn("tid", F.xxhash64("text"))
+    base = docs.select(named(docs, id_col).alias("doc_id"), text_or_empty(named(docs, text_col)).alias("text")).withColumn("tid", F.xxhash64("text"))
     none = F.array().cast("array<struct<gap:int,hit:string,inner:string>>")
 
     def kind(k: int, pattern: str, hint: str, group: int = 0) -> Column:
@@ -157,11 +175,11 @@ def scan_secrets(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     flat = flat.select("doc_id", "tid", F.posexplode("hits").alias("i", "hit")).select("doc_id", "tid", "i", "hit.*").dropDuplicates(["doc_id", "tid", "kind", "i"])
     size = F.length("hit")
     order = Window.partitionBy("doc_id", "tid", "kind").orderBy("i")
-    placed = flat.withColumn("end", F.sum(F.col("gap") + size).over(order)).withColumn("start", F.col("end") - size)
+    placed = materialize(flat.withColumn("end", F.sum(F.col("gap") + size).over(order)).withColumn("start", F.col("end") - size), "matches")
     found = placed.where((F.col("kind") == 0) & (F.length("inner") >= 6) | (F.col("kind") == 1) & (size >= 20) | (F.col("kind") == 2)).select("doc_id", "tid", "kind", "start", "end")
     both = lambda c: F.col(c).rlike("[0-9]") & F.col(c).rlike("[A-Za-z]")
     mixed = _pieces(placed.where((F.col("kind") == 3) & both("hit")).withColumn("token", F.col("hit"))).where(both("token"))
-    random = not_rejected(battery(mixed), fdr).select("doc_id", "tid", "kind", "start", "end")
+    random = not_rejected(materialize(battery(mixed), "tested"), fdr).select("doc_id", "tid", "kind", "start", "end")
     names = F.array(*[F.lit(k) for k in KINDS])
     by_doc = found.unionByName(random).groupBy("doc_id", "tid").agg(F.array_sort(F.collect_list(F.struct("start", "kind", "end"))).alias("s"))
 
