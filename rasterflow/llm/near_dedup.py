@@ -38,8 +38,8 @@ K, MIN_SHARED = 64, 24
 PERCENT = 75
 #: Members of a short list, and of a part of a group.
 SHORT, PART = 16, 64
-#: Copies from which on a class is joined by broadcast.
-MANY = 1000
+#: A class with more than a share of 1 / HOT of all rows is joined by broadcast: HOT classes at most.
+HOT = 10_000
 
 
 def shingle_set(text: str | None) -> np.ndarray:
@@ -239,10 +239,11 @@ def near_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     shared = linkable.groupBy("doc_id").agg(F.min("key").alias("low"), F.max("key").alias("high")).where("low <> high").select("doc_id").join(linkable, "doc_id").join(firsts, "key").select(F.col("doc_id").alias("a"), F.col("rep").alias("b")).where("a <> b")
     comps = components(links.unionByName(shared))
     known = firsts.join(comps.withColumnRenamed("node", "rep"), "rep", "left").select("key", "copies", F.coalesce("comp", "rep").alias("rep"))
-    # Classes of so many copies are few, one for MANY documents at most; their rows don't meet in one task.
-    hot = F.broadcast(known.where(F.col("copies") >= MANY).select("key", F.col("rep").alias("hot")))
+    # The rows of a hot class don't meet in one task.
+    least = found.count() / HOT
+    hot = F.broadcast(known.where(F.col("copies") > least).select("key", F.col("rep").alias("hot")))  # HOT rows at most
     out = found.join(hot, "key", "left")
-    rest = out.where("hot IS NULL").join(known.where(F.col("copies") < MANY).select("key", "rep"), "key", "left")
+    rest = out.where("hot IS NULL").join(known.where(F.col("copies") <= least).select("key", "rep"), "key", "left")
     out = rest.unionByName(out.where("hot IS NOT NULL").withColumn("rep", F.col("hot")))
     out = out.withColumn("component_id", F.when(F.col("doc_id").isNotNull(), F.when(F.col("n_shingles") > 0, F.col("rep")).otherwise(F.col("doc_id"))))
     return out.select("doc_id", "n_shingles", "component_id", (F.col("component_id").isNull() | (F.col("doc_id") == F.col("component_id"))).alias("kept"))

@@ -5,13 +5,13 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import exact_dedup, line_dedup, near_dedup, packing, pii, quality, secret_scan, sentencepiece_codec, substring_dedup, topk
+from . import exact_dedup, line_dedup, near_dedup, packing, pii, quality, secret_scan, sentencepiece_text, substring_dedup, topk
 from .common import table
 
 
 def op1_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
-    coded = sentencepiece_codec.decode(sentencepiece_codec.encode(docs))
+    coded = sentencepiece_text.decode(sentencepiece_text.encode(docs))
     return coded.select("doc_id", "ids", F.size("ids").cast("long").alias("n_tokens"), F.sha2("decoded", 256).alias("decoded_sha256"), F.col("decoded").eqNullSafe(F.col("text")).alias("round_trip"))
 
 
@@ -139,7 +139,7 @@ WITH d AS (
   SELECT doc_id, length(coalesce(text, '')) AS points, regexp_replace(coalesce(text, ''), '[\x20\x09-\x0D]', '', 'g') AS norm FROM documents
 )
 SELECT doc_id, first_value(doc_id) OVER best AS keep_id, count(*) OVER (PARTITION BY norm) AS group_size,
-  doc_id = first_value(doc_id) OVER best AS kept, sha256(norm) AS text_sha256, true AS verified
+  doc_id = first_value(doc_id) OVER best AS kept, sha256(norm) AS text_sha256
 FROM d
 WINDOW best AS (PARTITION BY norm ORDER BY points DESC, doc_id ROWS BETWEEN UNBOUNDED PRECEDING AND UNBOUNDED FOLLOWING)
 """,

@@ -6,9 +6,10 @@ from collections import Counter, defaultdict
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 from sentencepiece import SentencePieceProcessor
 
-from rasterflow.llm import exact_dedup, line_dedup, near_dedup, sentencepiece_codec, substring_dedup, topk
+from rasterflow.llm import exact_dedup, line_dedup, near_dedup, sentencepiece_text, substring_dedup, topk
 from rasterflow.llm.common import rolling, table, word_hashes
 
 from .fixtures import SF, documents, no_documents, prose
@@ -33,17 +34,28 @@ def test_exact_dedup(spark):
         found = [r for r in got if r.doc_id == i and r.text_sha256 == hashlib.sha256(norm.encode()).hexdigest()]
         assert found
         for r in found:
-            assert r.group_size == len(groups[norm]) and r.verified
+            assert r.group_size == len(groups[norm])
             if best[1] < 1 << 60:
                 assert r.keep_id == best[1] and (not r.kept or i == best[1])
     assert exact_dedup.exact_dedup(no_documents(spark)).count() == 0
 
 
+@pytest.mark.parametrize("weak", [lambda c: F.length(c), lambda c: F.lit(0)])
+def test_identifiers_are_verified(spark, monkeypatch, weak):
+    """Identifiers under which chunks collide are found and replaced, and the recipes alone decide."""
+    docs = documents(spark).select("doc_id", "text").unionByName(spark.createDataFrame([(-(2**63), "one two"), (2**63 - 1, "one  two"), (700, "two one")], "doc_id long, text string"))
+    want = Counter(exact_dedup.exact_dedup(docs).collect())
+    monkeypatch.setattr(exact_dedup, "IDENTIFIERS", (weak, exact_dedup.itself))
+    assert Counter(exact_dedup.exact_dedup(docs).collect()) == want
+    monkeypatch.setattr(exact_dedup, "IDENTIFIERS", (weak,))
+    assert Counter(exact_dedup.exact_dedup(docs).collect()) != want
+    by_id = {r.doc_id: r for r in want}
+    assert by_id[-(2**63)].keep_id == 2**63 - 1 and by_id[700].group_size == 1
+
+
 def test_chunks_cover_texts(spark):
     long = prose(9, 5000)
     df = spark.createDataFrame([(1, long), (2, "x" * 10000), (3, "")], "doc_id long, text string")
-    from pyspark.sql import functions as F
-
     for r in df.select("text", exact_dedup.chunks(F.col("text")).alias("c")).collect():
         assert "".join(r.c) == r.text
 
@@ -164,22 +176,22 @@ def test_top_k(spark):
 
 def test_sentencepiece(spark):
     docs = documents(spark)
-    model = SentencePieceProcessor(model_file=sentencepiece_codec.default_model())
-    coded = sentencepiece_codec.decode(sentencepiece_codec.encode(docs)).collect()
+    model = SentencePieceProcessor(model_file=sentencepiece_text.default_model())
+    coded = sentencepiece_text.decode(sentencepiece_text.encode(docs)).collect()
     for r in coded:
         if r.text is None:
             assert r.ids is None and r.decoded is None
         else:
             assert r.ids == model.encode(r.text) and r.decoded == model.decode(r.ids)
-    assert sentencepiece_codec.encode(no_documents(spark)).count() == 0
+    assert sentencepiece_text.encode(no_documents(spark)).count() == 0
 
 
 def test_sentencepiece_search(monkeypatch):
-    vocab = sentencepiece_codec.vocabulary(sentencepiece_codec.default_model())
-    model = SentencePieceProcessor(model_file=sentencepiece_codec.default_model())
+    vocab = sentencepiece_text.vocabulary(sentencepiece_text.default_model())
+    model = SentencePieceProcessor(model_file=sentencepiece_text.default_model())
     texts = ["  a  b\n\tc  ", " " * 40 + "word", "▁a ▁▁b", "<s> <0x0A> <unk>", "\x00\x01​", *(" " * n + "日" for n in range(1, 40))]
     assert [i.tolist() for i in vocab.encode(texts)] == [model.encode(t) for t in texts]
-    best = sentencepiece_codec.Vocabulary(sentencepiece_codec.default_model(), "unigram")
+    best = sentencepiece_text.Vocabulary(sentencepiece_text.default_model(), "unigram")
     best.ids, best.scores = {"a": 3, "b": 4, "ab": 5, "ba": 6, "aba": 7}, {"a": -1.0, "b": -2.0, "ab": -1.5, "ba": -2.6, "aba": -3.0}
     best.pieces = ["", "", "", "a", "b", "ab", "ba", "aba"]
     best.grow()
