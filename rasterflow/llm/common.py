@@ -4,12 +4,14 @@ from __future__ import annotations
 
 import tempfile
 import uuid
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator, Sequence
 from contextlib import contextmanager
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 #: ASCII white space: the space and 0x09 to 0x0D.
 WHITE = " \t\n\x0b\f\r"
@@ -66,6 +68,21 @@ def spare(df: DataFrame, word: str) -> str:
     return word
 
 
+def over_columns(df: DataFrame, kept: list[str], run: Callable[[Iterator[pa.RecordBatch]], Iterator[list[pa.Array]]], extra: Sequence[tuple[str, T.DataType | str]] = ()) -> DataFrame:
+    """The columns kept of df as run gives them for each Arrow batch, and then the extra ones; names can hold dots."""
+    plain = df.select(*[named(df, c).alias(f"c{i}") for i, c in enumerate(kept)])
+    schema = T.StructType(list(plain.schema.fields))
+    for i, (_, t) in enumerate(extra):
+        schema = schema.add(f"x{i}", t)
+    names = list(schema.names)
+
+    def batches(given: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for arrays in run(given):
+            yield pa.RecordBatch.from_arrays(arrays, names)
+
+    return plain.mapInArrow(batches, schema).toDF(*kept, *[n for n, _ in extra])
+
+
 def text_or_empty(c: str | Column = "text") -> Column:
     return F.coalesce(F.col(c) if isinstance(c, str) else c, F.lit(""))
 

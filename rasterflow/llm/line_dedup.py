@@ -10,6 +10,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .common import named, spare
+
 WIDTH = 3
 
 
@@ -36,9 +38,9 @@ def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     other. Rows with a null id or text take no part and stay unchanged, with n_removed 0 (n_lines 0 for a null text). A text
     of which all lines go becomes empty. Other columns pass through, whatever their names.
     """
-    spare = f"__line_dedup_{'_'.join(docs.columns)}"[:60]
-    key, tid, lines, cuts = (f"{spare}_{x}" for x in ("key", "tid", "lines", "cuts"))
-    own = docs.select(F.col(id_col).alias("key"), F.xxhash64(text_col).alias("tid"), F.split(text_col, "\n").alias("lines")).where("key IS NOT NULL AND lines IS NOT NULL")
+    key, tid, lines, cuts = (spare(docs, x) for x in ("key", "tid", "lines", "cuts"))
+    whole, ids = named(docs, text_col), named(docs, id_col)
+    own = docs.select(ids.alias("key"), F.xxhash64(whole).alias("tid"), F.split(whole, "\n").alias("lines")).where("key IS NOT NULL AND lines IS NOT NULL")
     each = own.select("key", "tid", F.explode(line_windows(F.col("lines"))).alias("w")).select("key", "tid", "w.pos", "w.a", "w.b")
     first = each.groupBy("a", "b").agg(F.min(F.struct("key", "tid", "pos")).alias("first"), F.count(F.lit(1)).alias("n")).where("n > 1").select("a", "b", "first")
     later = each.join(first, ["a", "b"]).where(F.struct("key", "tid", "pos") != F.col("first")).select("key", "tid", "pos").distinct()
@@ -46,8 +48,8 @@ def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     opens = later.withColumn("new", F.coalesce((F.col("pos") > F.lag("pos").over(order) + WIDTH).cast("int"), F.lit(1)))
     island = opens.withColumn("island", F.sum("new").over(order)).groupBy("key", "tid", "island").agg(F.min("pos").alias("first"), (F.max("pos") + WIDTH - 1).alias("last"))
     cut = island.groupBy("key", "tid").agg(F.array_sort(F.collect_list(F.struct("first", "last"))).alias(cuts)).select(F.col("key").alias(key), F.col("tid").alias(tid), cuts)
-    left = docs.withColumn(lines, F.split(text_col, "\n")).join(cut, (docs[id_col] == F.col(key)) & (F.xxhash64(docs[text_col]) == F.col(tid)), "left")
+    left = docs.withColumn(lines, F.split(whole, "\n")).join(cut, (ids == F.col(key)) & (F.xxhash64(whole) == F.col(tid)), "left")
     removed = F.coalesce(F.aggregate(cuts, F.lit(0), lambda s, c: s + c["last"] - c["first"] + 1), F.lit(0)).cast("long")
-    text = F.when(F.col(cuts).isNull(), F.col(text_col)).otherwise(F.array_join(kept_lines(F.col(lines), F.col(cuts)), "\n"))
-    out = [text.alias(c) if c == text_col else F.col(f"`{c}`") for c in docs.columns if c not in ("n_lines", "n_removed")]
+    text = F.when(F.col(cuts).isNull(), whole).otherwise(F.array_join(kept_lines(F.col(lines), F.col(cuts)), "\n"))
+    out = [text.alias(c) if c == text_col else named(docs, c) for c in docs.columns if c not in ("n_lines", "n_removed")]
     return left.select(*out, F.coalesce(F.when(F.col(lines).isNotNull(), F.size(lines)), F.lit(0)).cast("long").alias("n_lines"), removed.alias("n_removed"))

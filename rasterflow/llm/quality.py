@@ -1,27 +1,29 @@
 """Quality classifier by co-training of two views.
 
 The content view sees the text (classes of byte pairs, hashed words), the metadata view sees language, source and length.
-Both start from the labelled sample; in each round either view labels the documents of an unlabelled pool of which it is
-confident for the other one. Each view is calibrated on held-out labels, a small model combines the calibrated views, and
-the combination scores every document where it lies.
+Both start from the labelled sample; in each round either view scores all unlabelled documents and labels the ones of which
+it is most confident for the other one. Each view is calibrated on held-out labels, a small model combines the calibrated
+views, and the combination scores every document where it lies. Features of the unlabelled documents are computed once and
+written; a round is one pass over them that keeps the best of each batch, so the driver gets PER_ROUND rows a view at most.
 """
 
 from __future__ import annotations
 
 import math
 import zlib
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import word_hashes
+from .common import materialize, over_columns, word_hashes
 
-#: Bounds of what training sees: labelled documents, and documents in the unlabelled pool. Scoring sees everything.
-LABELLED, POOL = 6000, 6000
+#: Bound of the labelled documents that training sees. Pseudo-labels come from all others, and scoring sees everything.
+LABELLED = 6000
+#: Rounds, pseudo-labels that a view gives in each, and the confidence that they need.
 ROUNDS, PER_ROUND, CONFIDENT = 4, 300, 0.95
 WORD_BINS, META_BINS, REPEATS = 128, 64, 5
 
@@ -95,75 +97,127 @@ class Model:
         return tuple(1 / (1 + np.exp(-z)) for z in (v[:, 0], v[:, 1], logit(v, self.combined)))
 
 
-def co_train(content: np.ndarray, meta: np.ndarray, y: np.ndarray, held: np.ndarray, pool_content: np.ndarray, pool_meta: np.ndarray) -> Model:
-    """held marks the labelled rows that only calibrate."""
+#: One view's weights and calibration.
+Fit = tuple[np.ndarray, np.ndarray]
+#: A pseudo-label: the view that gives it, the label, its confidence, doc_id, and the document's features.
+Picked = tuple[int, int, float, int, np.ndarray, np.ndarray]
+
+
+def confident(fits: list[Fit], shares: tuple[int, int], taken: set[int], ids: np.ndarray, features: tuple[np.ndarray, np.ndarray]) -> list[Picked]:
+    """For each view and label the shares[label] documents of which it is most confident, by confidence and then id."""
+    out = []
+    free = np.array([i not in taken for i in ids.tolist()], dtype=bool)
+    for v, (w, c) in enumerate(fits):
+        p = 1 / (1 + np.exp(-logit(logit(features[v], w)[:, None], c)))
+        for label, sure in ((1, p), (0, 1 - p)):
+            rows = np.flatnonzero(free & (sure >= CONFIDENT))
+            for i in rows[np.lexsort((ids[rows], -sure[rows]))][: shares[label]].tolist():
+                out.append((v, label, float(sure[i]), int(ids[i]), features[0][i], features[1][i]))
+    return out
+
+
+def co_train(content: np.ndarray, meta: np.ndarray, y: np.ndarray, held: np.ndarray, pick: Callable[[list[Fit], tuple[int, int], set[int]], list[Picked]]) -> Model:
+    """held marks the labelled rows that only calibrate; pick is confident() over all unlabelled documents.
+
+    A document can be picked by both views in one round, and in later rounds not again.
+    """
     base = float(y.mean()) if len(y) else 1.0
     if len(np.unique(y[~held])) < 2 or len(np.unique(y[held])) < 2:
         return Model(None, None, None, None, base)
-    own, pool = (content, meta), (pool_content, pool_meta)
-    extra: list[list[tuple[np.ndarray, np.ndarray]]] = [[], []]
-    free = np.ones(len(pool_content), dtype=bool)
-
-    def fit(v: int) -> tuple[np.ndarray, np.ndarray]:
-        w = logistic(np.vstack([own[v][~held], *(x for x, _ in extra[v])]), np.concatenate([y[~held], *(z for _, z in extra[v])]))
+    own = (content, meta)
+    extra: list[list[Picked]] = [[], []]
+    taken: set[int] = set()
+    shares = (max(1, round(PER_ROUND * (1 - base))), max(1, round(PER_ROUND * base)))
+
+    def fit(v: int) -> Fit:
+        x = np.vstack([own[v][~held], *(e[4 + v][None, :] for e in extra[v])])
+        w = logistic(x, np.concatenate([y[~held], [float(e[1]) for e in extra[v]]]))
         return w, logistic(logit(own[v][held], w)[:, None], y[held], ridge=1e-2)
 
     for _ in range(ROUNDS):
-        fits = [fit(v) for v in (0, 1)]
-        for v, (w, c) in enumerate(fits):
-            p = 1 / (1 + np.exp(-logit(logit(pool[v], w)[:, None], c)))
-            for label, sure in ((1.0, p), (0.0, 1 - p)):
-                share = max(1, round(PER_ROUND * (base if label else 1 - base)))
-                picked = np.argsort(-np.where(free, sure, -1), kind="stable")[:share]
-                picked = picked[free[picked] & (sure[picked] >= CONFIDENT)]
-                if len(picked):
-                    extra[1 - v].append((pool[1 - v][picked], np.full(len(picked), label)))
-                    free[picked] = False
+        picked = pick([fit(0), fit(1)], shares, taken)
+        for e in picked:
+            extra[1 - e[0]].append(e)
+        taken |= {e[3] for e in picked}
     (wc, cc), (wm, cm) = fit(0), fit(1)
     model = Model(wc, wm, (cc, cm), None, base)
     model.combined = logistic(model.views(content[held], meta[held]), y[held], ridge=1e-1)
     return model
 
 
-def train(docs: DataFrame, labels: DataFrame, labelled: int = LABELLED, pool: int = POOL) -> Model:
-    """Fits on at most labelled rows of labels and pool other documents, both taken in the order of a hash of the id."""
-    rated = labels.where("doc_id IS NOT NULL AND quality IN (0, 1)").groupBy("doc_id").agg(F.min("quality").cast("int").alias("quality"))
-    ids = docs.where("doc_id IS NOT NULL").select("doc_id")
-    first = lambda df, n: df.orderBy(F.xxhash64("doc_id"), "doc_id").limit(n)
-    taken = first(rated.join(ids.distinct(), "doc_id", "left_semi"), labelled).unionByName(first(ids.distinct().join(rated, "doc_id", "left_anti"), pool).withColumn("quality", F.lit(-1)))
-    sample = docs.select("doc_id", "text", "lang", "source", "n_chars").join(F.broadcast(taken), "doc_id").select("doc_id", "quality", "text", "lang", "source", F.col("n_chars").cast("long").alias("n_chars"))  # labelled + pool rows at most
+SIZES = (64 + WORD_BINS + REPEATS, META_BINS + 16)
+
+
+def _read(column, size: int) -> np.ndarray:
+    rows = [np.frombuffer(x, dtype=np.float32) for x in column]
+    return np.stack(rows) if rows else np.zeros((0, size), dtype=np.float32)
+
+
+def featured(docs: DataFrame) -> DataFrame:
+    """doc_id, quality, content, meta: the features of docs (with quality) as bytes."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             rows = batch.to_pylist()
-            yield pa.RecordBatch.from_arrays([batch.column(0).cast(pa.int64()), batch.column(1), *(pa.array([f.tobytes() for f in fs], pa.binary()) for fs in ([content_features(r["text"]) for r in rows], [meta_features(r["lang"], r["source"], r["n_chars"]) for r in rows]))], ["doc_id", "quality", "content", "meta"])
+            made = ([content_features(r["text"]).tobytes() for r in rows], [meta_features(r["lang"], r["source"], r["n_chars"]).tobytes() for r in rows])
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), *(pa.array(m, pa.binary()) for m in made)], ["doc_id", "quality", "content", "meta"])
+
+    return docs.select(F.col("doc_id").cast("long"), F.col("quality").cast("int"), "text", "lang", "source", F.col("n_chars").cast("long")).mapInArrow(run, "doc_id long, quality int, content binary, meta binary")
+
+
+def picker(unlabelled: DataFrame) -> Callable[[list[Fit], tuple[int, int], set[int]], list[Picked]]:
+    """confident() over all rows of unlabelled (as for featured()): the best of each batch, then the best of all. Features are made at the first call."""
+    stored: list[DataFrame] = []
+
+    def pick(fits: list[Fit], shares: tuple[int, int], taken: set[int]) -> list[Picked]:
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                ids = batch.column(0).to_numpy(zero_copy_only=False)
+                best = confident(fits, shares, taken, ids, tuple(_read(batch.column(1 + v).to_pylist(), SIZES[v]) for v in (0, 1)))
+                columns = [pa.array([e[i] for e in best], t) for i, t in enumerate((pa.int32(), pa.int32(), pa.float64(), pa.int64()))]
+                yield pa.RecordBatch.from_arrays([*columns, *(pa.array([e[i].tobytes() for e in best], pa.binary()) for i in (4, 5))], ["view", "label", "sure", "doc_id", "content", "meta"])
+
+        if not stored:
+            stored.append(materialize(featured(unlabelled), "unlabelled"))
+        best = stored[0].select("doc_id", "content", "meta").mapInArrow(run, "view int, label int, sure double, doc_id long, content binary, meta binary")
+        place = F.row_number().over(Window.partitionBy("view", "label").orderBy(F.desc("sure"), "doc_id"))
+        rows = best.withColumn("place", place).where(F.col("place") <= F.when(F.col("label") == 1, shares[1]).otherwise(shares[0]))
+        rows = rows.where(F.col("place") <= max(shares)).orderBy("view", F.desc("label"), "place").collect()  # PER_ROUND rows a view, and one more
+        return [(r.view, r.label, r.sure, r.doc_id, *(np.frombuffer(r[c], dtype=np.float32) for c in ("content", "meta"))) for r in rows]
 
-    rows = sample.mapInArrow(run, "doc_id long, quality int, content binary, meta binary").toPandas().drop_duplicates("doc_id").sort_values("doc_id", ignore_index=True)
-    read = lambda c, n: np.stack([np.frombuffer(x, dtype=np.float32) for x in rows[c]]) if len(rows) else np.zeros((0, n), dtype=np.float32)
-    content, meta, quality = read("content", 64 + WORD_BINS + REPEATS), read("meta", META_BINS + 16), rows["quality"].to_numpy()
-    known = quality >= 0
-    held = rows["doc_id"].map(lambda i: zlib.crc32(str(i).encode()) % 4 == 0).to_numpy(dtype=bool)[known]
-    return co_train(content[known], meta[known], quality[known].astype(float), held, content[~known], meta[~known])
+    return pick
+
+
+def train(docs: DataFrame, labels: DataFrame, labelled: int = LABELLED) -> Model:
+    """Fits on at most labelled rows of labels, in the order of a hash of the id, and on pseudo-labels out of all other documents.
+
+    Of documents that repeat an id each counts as unlabelled; of a labelled id one does, with the least features.
+    """
+    docs = docs.select("doc_id", "text", "lang", "source", "n_chars")
+    rated = labels.where("doc_id IS NOT NULL AND quality IN (0, 1)").groupBy("doc_id").agg(F.min("quality").cast("int").alias("quality"))
+    known = rated.join(docs.where("doc_id IS NOT NULL").select("doc_id"), "doc_id", "left_semi")
+    taken = known.orderBy(F.xxhash64("doc_id"), "doc_id").limit(labelled)
+    rows = featured(docs.join(F.broadcast(taken), "doc_id")).groupBy("doc_id", "quality").agg(F.min(F.struct("content", "meta")).alias("f")).select("doc_id", "quality", "f.*").orderBy("doc_id").toPandas()  # labelled rows at most
+    rest = docs.where("doc_id IS NOT NULL").join(F.broadcast(taken.select("doc_id")), "doc_id", "left_anti").withColumn("quality", F.lit(-1))
+    held = rows["doc_id"].map(lambda i: zlib.crc32(str(i).encode()) % 4 == 0).to_numpy(dtype=bool)
+    return co_train(_read(rows["content"], SIZES[0]), _read(rows["meta"], SIZES[1]), rows["quality"].to_numpy(dtype=float), held, picker(rest))
 
 
 def score(docs: DataFrame, model: Model, threshold: float = 0.5) -> DataFrame:
     """docs with p_content, p_meta, quality_score (double) and good (boolean); only text, lang, source and n_chars are read."""
-    at = [docs.columns.index(c) for c in ("text", "lang", "source", "n_chars")]
     names = ["p_content", "p_meta", "quality_score", "good"]
     kept = [c for c in docs.columns if c not in names]
+    at = [kept.index(c) for c in ("text", "lang", "source", "n_chars")]
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[list[pa.Array]]:
         for batch in batches:
             text, lang, source, n_chars = (batch.column(i) for i in at)
-            content = np.stack([content_features(t.as_py()) for t in text]) if len(batch) else np.zeros((0, 64 + WORD_BINS + REPEATS))
-            meta = np.stack([meta_features(a, b, c) for a, b, c in zip(lang.to_pylist(), source.to_pylist(), n_chars.to_pylist(), strict=True)]) if len(batch) else np.zeros((0, META_BINS + 16))
+            content = np.stack([content_features(t.as_py()) for t in text]) if len(batch) else np.zeros((0, SIZES[0]))
+            meta = np.stack([meta_features(a, b, c) for a, b, c in zip(lang.to_pylist(), source.to_pylist(), n_chars.to_pylist(), strict=True)]) if len(batch) else np.zeros((0, SIZES[1]))
             p = model.scores(content, meta)
-            yield pa.RecordBatch.from_arrays([*(batch.column(batch.schema.names.index(c)) for c in kept), *(pa.array(x) for x in p), pa.array(p[2] >= threshold)], [*kept, *names])
+            yield [*batch.columns, *(pa.array(x, pa.float64()) for x in p), pa.array(p[2] >= threshold)]
 
-    schema = docs.select(*[F.col(f"`{c}`") for c in kept]).schema
-    for n, t in zip(names, ("double", "double", "double", "boolean"), strict=True):
-        schema = schema.add(n, t)
-    return docs.mapInArrow(run, schema)
+    return over_columns(docs, kept, run, list(zip(names, ("double", "double", "double", "boolean"), strict=True)))
 
 
 def classify(docs: DataFrame, labels: DataFrame, threshold: float = 0.5) -> DataFrame:

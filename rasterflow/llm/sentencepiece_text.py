@@ -17,9 +17,10 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from .common import over_columns
+
 MARK = "▁"
 #: Words whose pieces a task keeps from one batch to the next.
 CACHE = 250_000
@@ -250,15 +251,15 @@ def encode(docs: DataFrame, text_col: str = "text", ids_col: str = "ids", path:
     kept = [c for c in docs.columns if c != ids_col]
     at = kept.index(text_col)
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[list[pa.Array]]:
         vocab = vocabulary(path, kind)
         for batch in batches:
             for part in _steps(batch, pc.fill_null(pc.utf8_length(batch.column(at)), 0).to_numpy(zero_copy_only=False)):
                 texts = part.column(at).to_pylist()
                 ids = [None if t is None else i for t, i in zip(texts, vocab.encode([t or "" for t in texts]), strict=True)]
-                yield pa.RecordBatch.from_arrays([*part.columns, pa.array(ids, pa.list_(pa.int32()))], [*kept, ids_col])
+                yield [*part.columns, pa.array(ids, pa.list_(pa.int32()))]
 
-    return docs.select(*[F.col(f"`{c}`") for c in kept]).mapInArrow(run, docs.select(*[F.col(f"`{c}`") for c in kept]).schema.add(ids_col, T.ArrayType(T.IntegerType())))
+    return over_columns(docs, kept, run, [(ids_col, T.ArrayType(T.IntegerType()))])
 
 
 def decode(df: DataFrame, ids_col: str = "ids", text_col: str = "decoded", path: str | None = None) -> DataFrame:
@@ -267,11 +268,11 @@ def decode(df: DataFrame, ids_col: str = "ids", text_col: str = "decoded", path:
     kept = [c for c in df.columns if c != text_col]
     at = kept.index(ids_col)
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[list[pa.Array]]:
         vocab = vocabulary(path)
         for batch in batches:
             for part in _steps(batch, pc.fill_null(pc.list_value_length(batch.column(at)), 0).to_numpy(zero_copy_only=False)):
                 texts = [vocab.decode(x.values.fill_null(-1).to_numpy(zero_copy_only=False)) if x.is_valid else None for x in part.column(at)]
-                yield pa.RecordBatch.from_arrays([*part.columns, pa.array(texts, pa.string())], [*kept, text_col])
+                yield [*part.columns, pa.array(texts, pa.string())]
 
-    return df.select(*[F.col(f"`{c}`") for c in kept]).mapInArrow(run, df.select(*[F.col(f"`{c}`") for c in kept]).schema.add(text_col, "string"))
+    return over_columns(df, kept, run, [(text_col, "string")])
