@@ -1,14 +1,17 @@
 """Personal data by weak supervision.
 
-Candidates of four kinds (email, ip, card, phone) get the votes of three labelers: the pattern's own rule (regex), lists of
-known prefixes and domains (gazetteer), and the words around (context). Expectation-maximisation over the counts of all vote
-patterns estimates each labeler's reliability; its posteriors train a logistic span classifier on the candidates' features.
-Both work on counts over the whole corpus, whose number of rows is bounded by the feature values. The classifier then adds
-spans that the patterns' rules drop; spans that pass the rules always stay.
+Three labelers propose candidates of four kinds (email, ip, card, phone) and vote on all of them: the pattern with its own
+rule (regex), lists of known prefixes and domains (gazetteer), and the words around (context). The gazetteer also proposes
+addresses that are spelt out before a known domain and numbers that dial a known country by 00, the context labeler numbers
+that follow a word for them. Expectation-maximisation over the counts of all vote patterns estimates each labeler's
+reliability; its posteriors train a logistic span classifier on the candidates' features. Both work on counts over the whole
+corpus, whose number of rows is bounded by the feature values. The classifier then adds spans that the patterns' rules drop
+or that the other labelers propose; spans that pass the rules always stay.
 """
 
 from __future__ import annotations
 
+import bisect
 import hashlib
 import re
 from collections import Counter
@@ -19,6 +22,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import named, over_columns
+
 KINDS = ("email", "ip", "card", "phone")
 # Fixed values of the contract's patterns, written so that they take linear time on any text.
 LOCAL = re.compile(r"[A-Za-z0-9._%+-]+\Z")
@@ -36,6 +41,12 @@ ISSUERS = ("4", "51", "52", "53", "54", "55", "22", "23", "24", "25", "26", "27"
 #: Words that stand before such data.
 CONTEXT = re.compile(r"(?i)e-?mail|contact|write|phone|tel|call|mobile|fax|card|visa|credit|iban|account|server|host|address|\bip\b|correo|kontakt|anruf|appel|carte|tarjeta|karte")
 AGAINST = re.compile(r"(?i)version|build|commit|hash|token|secret|password|isbn|issn|chapter|page|section|figure|sha|md5|[=#/\\$]\s*\Z")
+#: What the gazetteer proposes: an address that is spelt out, its last part a known domain; a number that dials abroad.
+SPELT = re.compile(r"(?<![A-Za-z0-9._%+-])[A-Za-z0-9._%+-]{1,64}(?:\x20?[(\[]at[)\]]\x20?|\x20at\x20)[A-Za-z0-9-]{1,63}(?:\x20?[(\[]dot[)\]]\x20?|\x20dot\x20|\.)([A-Za-z]{2,6})(?![A-Za-z0-9])")
+ABROAD = re.compile(r"(?<![0-9+.-])00([1-9][0-9\x20().-]{6,20}[0-9])(?![0-9])")
+#: What the context labeler proposes: a number that follows a word for it.
+CALLED = re.compile(r"(?i)\b(?:phone|telephone|tel|call|mobile|cell|fax|telefon|tel\u00e9fono|t\u00e9l\u00e9phone|t\u00e9l|anruf|appel)\b[^0-9A-Za-z+\n]{0,4}((?:\([0-9]{1,5}\)|[0-9])[0-9\x20()-]{5,20}[0-9])(?![0-9])")
+PAID = re.compile(r"(?i)\b(?:card|visa|mastercard|amex|carte|karte|tarjeta)\b[^0-9\n]{0,12}([0-9][0-9\x20.-]{11,24}[0-9])(?![0-9])")
 #: Code points before and after a candidate that the context labeler sees.
 REACH = 40
 
@@ -74,10 +85,58 @@ def candidates(text: str) -> Iterator[tuple[int, int, int, bool]]:
         yield 3, m.start(), m.end(), 9 <= sum(c.isdigit() for c in m[0]) <= 15
 
 
+def proposals(text: str) -> Iterator[tuple[int, int, int, bool]]:
+    """Candidates of the gazetteer and the context labeler, in the form of candidates(); the pattern's rule holds for none."""
+    if "at" in text:
+        for m in SPELT.finditer(text):
+            if m[1].lower() in TLDS:
+                yield 0, m.start(), m.end(), False
+    if not DIGIT.search(text):
+        return
+    for m in ABROAD.finditer(text):
+        if digits_of(m[1]).startswith(CALLING) and 9 <= len(digits_of(m[1])) <= 15:
+            yield 3, m.start(), m.end(), False
+    for kind, pattern, least, most in ((3, CALLED, 7, 15), (2, PAID, 12, 19)):
+        for m in pattern.finditer(text):
+            if least <= len(digits_of(m[1])) <= most:
+                yield kind, m.start(1), m.end(1), False
+
+
+def labelled_spans(text: str) -> list[tuple[int, int, int, bool]]:
+    """What any labeler proposes, by kind and start; a proposal that overlaps a pattern's span of its kind, or one whose rule holds, gives way."""
+    own = list(candidates(text))
+    more = sorted(set(proposals(text)))
+    if not more:
+        return own
+    taken = [disjoint(sorted((a, b) for k, a, b, rule in own if rule or k == kind)) for kind in range(len(KINDS))]
+    for c in more:
+        spans = taken[c[0]]
+        i = bisect.bisect_left(spans, (c[2],))
+        if not i or spans[i - 1][1] <= c[1]:
+            own.append(c)
+            spans.insert(i, c[1:3])
+    return sorted(own)
+
+
+def disjoint(spans: list[tuple[int, int]]) -> list[tuple[int, int]]:
+    """The union of sorted spans."""
+    out: list[tuple[int, int]] = []
+    for a, b in spans:
+        if out and a < out[-1][1]:
+            out[-1] = (out[-1][0], max(b, out[-1][1]))
+        else:
+            out.append((a, b))
+    return out
+
+
+def digits_of(text: str) -> str:
+    return "".join(c for c in text if "0" <= c <= "9")
+
+
 def features(text: str, kind: int, start: int, end: int, rule: bool) -> tuple[int, ...]:
     """(kind, votes of regex, gazetteer and context, alphanumeric before, after, separators, digits): small integers all."""
     body = text[start:end]
-    digits = "".join(c for c in body if "0" <= c <= "9")
+    digits = digits_of(body)
     if kind == 0:
         known = body.rpartition(".")[2].lower() in TLDS
     elif kind == 1:
@@ -85,7 +144,7 @@ def features(text: str, kind: int, start: int, end: int, rule: bool) -> tuple[in
     elif kind == 2:
         known = digits.startswith(ISSUERS)
     else:
-        known = digits.startswith(CALLING)
+        known = digits.removeprefix("00").startswith(CALLING)
     before, after = text[max(0, start - REACH) : start], text[end : end + REACH]
     context = -1 if AGAINST.search(before) else 1 if CONTEXT.search(before) or CONTEXT.search(after) else 0
     return kind, 1 if rule else -1, 1 if known else -1, context, int(before[-1:].isalnum()), int(after[:1].isalnum()), int(len(body) > len(digits)), min(len(digits), 20)
@@ -135,10 +194,10 @@ def fit(docs: DataFrame, text_col: str = "text") -> dict[int, np.ndarray]:
         for batch in batches:
             for text in batch.column(0):
                 t = text.as_py() or ""
-                seen.update(features(t, *c) for c in candidates(t))
+                seen.update(features(t, *c) for c in labelled_spans(t))
         yield pa.RecordBatch.from_arrays([*(pa.array([k[i] for k in seen], pa.int32()) for i in range(8)), pa.array(list(seen.values()), pa.int64())], [*names, "n"])
 
-    rows = docs.select(text_col).mapInArrow(count, ", ".join(f"{c} int" for c in names) + ", n long").groupBy(*names).agg(F.sum("n").alias("n")).toPandas().sort_values(names)  # 10,000 feature patterns at most
+    rows = docs.select(named(docs, text_col).alias("text")).mapInArrow(count, ", ".join(f"{c} int" for c in names) + ", n long").groupBy(*names).agg(F.sum("n").alias("n")).toPandas().sort_values(names)  # 10,000 feature patterns at most
     model = {}
     for kind, own in rows.groupby("kind"):
         keys, n = own[names].to_numpy(), own["n"].to_numpy(dtype=float)
@@ -150,7 +209,7 @@ def fit(docs: DataFrame, text_col: str = "text") -> dict[int, np.ndarray]:
 def find(text: str, model: dict[int, np.ndarray]) -> list[tuple[int, int, int, bool]]:
     """(kind, start, end, base): spans that pass their rule, and those that the classifier adds."""
     out = []
-    for c in candidates(text):
+    for c in labelled_spans(text):
         if c[3]:
             out.append(c)
         elif c[0] in model and float(vector(np.array([features(text, *c)]))[0] @ model[c[0]]) > 0:
@@ -166,7 +225,7 @@ def find_pii(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", mo
     """doc_id, n_email, n_ip, n_card, n_phone (long), base_sha256, spans, n_added (long): one row for each row of docs.
 
     spans is kind:start:end by kind, then start, comma-joined, in code points, end exclusive. Counts and digest are of the
-    base spans. A null or empty text has none: counts of 0 and the digest of the empty string. Repeated rows have equal
+    base spans; n_added counts the others. Ids are cast to long, and ids that aren't numbers fail. A null or empty text has none: counts of 0 and the digest of the empty string. Repeated rows have equal
     values. An empty table gives no rows; further columns are ignored.
     """
     model = fit(docs, text_col) if model is None else model
@@ -180,10 +239,10 @@ def find_pii(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", mo
                 n = Counter(s[0] for s in base)
                 out.append((*(n[k] for k in range(4)), hashlib.sha256(spell(base).encode()).hexdigest(), spell(spans), len(spans) - len(base)))
             types = [pa.int64()] * 4 + [pa.string()] * 2 + [pa.int64()]
-            yield pa.RecordBatch.from_arrays([batch.column(0).cast(pa.int64()), *(pa.array([x[i] for x in out], t) for i, t in enumerate(types))], names)
+            yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array([x[i] for x in out], t) for i, t in enumerate(types))], names)
 
     names = ["doc_id", *(f"n_{k}" for k in KINDS), "base_sha256", "spans", "n_added"]
-    return docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text")).mapInArrow(run, "doc_id long, n_email long, n_ip long, n_card long, n_phone long, base_sha256 string, spans string, n_added long")
+    return docs.select(named(docs, id_col).cast("long").alias("doc_id"), named(docs, text_col).alias("text")).mapInArrow(run, "doc_id long, n_email long, n_ip long, n_card long, n_phone long, base_sha256 string, spans string, n_added long")
 
 
 def mask(text: str, spans: list[tuple[int, int, int, bool]]) -> str:
@@ -201,9 +260,9 @@ def mask_pii(docs: DataFrame, text_col: str = "text", model: dict | None = None)
     model = fit(docs, text_col) if model is None else model
     at = docs.columns.index(text_col)
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[list[pa.Array]]:
         for batch in batches:
             texts = [t and mask(t, find(t, model)) for t in batch.column(at).to_pylist()]
-            yield pa.RecordBatch.from_arrays([pa.array(texts, pa.string()) if i == at else c for i, c in enumerate(batch.columns)], names=batch.schema.names)
+            yield [pa.array(texts, pa.string()) if i == at else c for i, c in enumerate(batch.columns)]
 
-    return docs.mapInArrow(run, docs.schema)
+    return over_columns(docs, docs.columns, run)
