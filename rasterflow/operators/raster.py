@@ -1,7 +1,8 @@
 """Geometry and filters on packed rasters: one row for each image, a channel is an array<int> in row order.
 
-All are projections of the row: no shuffle, no Python. Width and height are columns or numbers. pack() and unpack() change
-between packed rasters and long pixels.
+All are projections of the row: no shuffle, no Python. Lambdas over a row's cells are interpreted, not compiled, so what is
+the same for many cells is made once (_let). Width and height are columns or numbers. pack() and unpack() change between
+packed rasters and long pixels.
 """
 
 from __future__ import annotations
@@ -100,19 +101,44 @@ def resize_nearest(data: Column, w: Size, h: Size, new_w: int, new_h: int) -> Co
     return _grid(F.lit(new_w), F.lit(new_h), lambda x, y: _cell(data, w, F.floor(x * (w / new_w)), F.floor(y * (h / new_h))))
 
 
+def _let(values: dict[str, Column], body) -> Column:
+    """body of a struct of values, each of which is computed once a row, however often body uses it."""
+    return F.element_at(F.transform(F.array(F.struct(*[v.alias(k) for k, v in values.items()])), body), 1)
+
+
+def _axis(n: Column, new_n: int, reach: range, weight) -> Column:
+    """For each of new_n places along an axis of n cells: the cells that it takes (kept inside), their weights and the weights' sum."""
+
+    def at(i: Column) -> Column:
+        place = i * (n / new_n)
+        first = F.floor(place)
+        weights = [weight(place - first - k) for k in reach]
+        return F.struct(F.array(*[clamp(first + k, 0, n - 1) for k in reach]).alias("cells"), F.array(*weights).alias("weights"), sum(weights).alias("total"))
+
+    return F.transform(F.sequence(F.lit(0), F.lit(new_n - 1)), at)
+
+
 def _resampled(data: Column, w: Column, h: Column, new_w: int, new_h: int, reach: range, weight, normalise: bool) -> Column:
-    def at(x: Column, y: Column) -> Column:
-        sx, sy = x * (w / new_w), y * (h / new_h)
-        x0, y0 = F.floor(sx), F.floor(sy)
-        wx, wy = [weight(sx - x0 - i) for i in reach], [weight(sy - y0 - i) for i in reach]
-        rows = []
-        for j, v in zip(reach, wy, strict=True):
-            line = clamp(y0 + j, 0, h - 1)
-            rows.append(sum(_cell(data, w, clamp(x0 + i, 0, w - 1), line) * u for i, u in zip(reach, wx, strict=True)) * v)
-        total = sum(rows)
-        return channel(total / (sum(wx) * sum(wy)) if normalise else total)
-
-    return _grid(F.lit(new_w), F.lit(new_h), at)
+    """Two separable passes: all rows to the new width, then the new rows. The weights are made once for each axis."""
+    taps = range(len(reach))
+
+    def columns(s: Column) -> Column:
+        def cell(k: Column) -> Column:
+            x, start = s["across"][(k % new_w).cast("int")], F.floor(k / new_w) * w
+            return sum(F.element_at(data, (start + x["cells"][i] + 1).cast("int")) * x["weights"][i] for i in taps)
+
+        return F.transform(F.sequence(F.lit(0), h.cast("int") * new_w - 1), cell)
+
+    def rows(s: Column) -> Column:
+        def cell(x: Column, y: Column) -> Column:
+            across, down = s["across"][x], s["down"][y]
+            total = sum(F.element_at(s["lines"], (down["cells"][j] * new_w + x + 1).cast("int")) * down["weights"][j] for j in taps)
+            return channel(total / (across["total"] * down["total"]) if normalise else total)
+
+        return _grid(F.lit(new_w), F.lit(new_h), cell)
+
+    axes = {"across": _axis(w, new_w, reach, weight), "down": _axis(h, new_h, reach, weight)}
+    return _let(axes, lambda s: _let({"across": s["across"], "down": s["down"], "lines": columns(s)}, rows))
 
 
 def cubic_weight(x: Column) -> Column:
