@@ -3,14 +3,12 @@
 import duckdb
 import pytest
 
-from rasterflow.plans import media, relational, visual
+from rasterflow.plans import drawing, media, relational, scripts, visual
 
 SF = "/root/testdata/sf0.001"
-TABLES = ("lineitem", "orders", "events", "embeddings", "pages", "conversations")
-QUERIES = {**visual.QUERIES, **relational.QUERIES, **media.QUERIES}
-SQL = {**visual.SQL, **relational.SQL, **media.SQL}
-#: One of each family; the whole list takes minutes.
-NAMES = ("brightness", "hue_rotate", "rgb_to_lab", "blend_softLight", "blend_luminosity", "flatten_layers", "channel_stats", "auto_levels", "equalize", "match_histogram", "rotate_any", "resize_lanczos", "convolve_mirror", "bilateral", "srt_parse", "m3u8_media", "cue_track_durations", "midi_tempo_map", "alaw_decode", "sniff_format", "png_roundtrip", "event_windows")
+TABLES = ("region", "nation", "customer", "supplier", "part", "orders", "lineitem", "events", "documents", "embeddings", "pages", "benchmark", "labels", "conversations")
+QUERIES = {**visual.QUERIES, **relational.QUERIES, **media.QUERIES, **drawing.QUERIES, **scripts.QUERIES}
+SQL = {**visual.SQL, **relational.SQL, **media.SQL, **drawing.SQL, **scripts.SQL}
 
 
 @pytest.fixture(scope="module")
@@ -25,7 +23,7 @@ def plain(v):
     return round(v, 6) if isinstance(v, float) else v
 
 
-@pytest.mark.parametrize("name", NAMES)
+@pytest.mark.parametrize("name", sorted(QUERIES))
 def test_query(spark, db, name):
     df = QUERIES[name](spark, SF)
     cur = db.execute(SQL[name])
