@@ -19,11 +19,11 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import mix, rolling, text_or_empty, word_hashes
+from .common import mix, named, rolling, text_or_empty, word_hashes
 
 WINDOW, PHRASE = 35, 8
-#: Documents of a block, which bounds a task's texts and automaton.
-BLOCK = 1024
+#: Mean documents and mean code points of a block, which bound a task's texts and automaton.
+BLOCK, BLOCK_CHARS = 1024, 1 << 23
 
 _LANES = ((np.uint64(0xD6E8FEB86659FD93), np.uint64(0)), (np.uint64(0xA0761D6478BD642F), np.uint64(0x5851F42D4C957F2D)))
 
@@ -33,6 +33,11 @@ def words_of(text: str | None) -> tuple[bytes, list[bytes]]:
     return data, data.split()
 
 
+def signature(words: list[bytes]) -> bytes:
+    """A digest that texts share exactly if they are equal word by word."""
+    return hashlib.sha256(b" ".join(words)).digest()
+
+
 def window_hashes(h: np.ndarray, width: int) -> tuple[np.ndarray, np.ndarray]:
     """Two 64-bit hashes of every run of width words, from prefix sums of a polynomial."""
     n, out = len(h), []
@@ -74,10 +79,11 @@ def _phrases(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """block, phrase, least and greatest text identity, whether one text holds it twice: combined by batch."""
     for batch in batches:
         seen: dict[tuple[int, bytes], list] = {}
-        for block, text, one in zip(batch.column(0).to_pylist(), batch.column(1), batch.column(2).to_pylist(), strict=True):
+        for block, text in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
             data, words = words_of(text.as_py())
             if len(words) < WINDOW:
                 continue
+            one = int.from_bytes(signature(words)[:8], "little", signed=True)
             own = set()
             for p in anchors(word_hashes(data)).tolist():
                 phrase = b" ".join(words[p : p + PHRASE])
@@ -87,7 +93,16 @@ def _phrases(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([pa.array([k[0] for k in seen], pa.int32()), pa.array([k[1] for k in seen], pa.binary()), *(pa.array([v[i] for v in seen.values()], t) for i, t in enumerate((pa.int64(), pa.int64(), pa.bool_())))], ["block", "phrase", "low", "high", "twice"])
 
 
-def _copies(right: pa.Table) -> dict[str, int]:
+def _signed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """block, doc_id, sig of the texts that have windows."""
+    for batch in batches:
+        words = [words_of(t.as_py())[1] for t in batch.column(2)]
+        signs = pa.array([signature(w) if len(w) >= WINDOW else None for w in words], pa.binary())
+        rows = pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), signs], ["block", "doc_id", "sig"])
+        yield rows.filter(signs.is_valid())
+
+
+def _copies(right: pa.Table) -> dict[bytes, int]:
     """The digests of texts that several documents have, with the document that stands for them."""
     return {s: r for s, r in zip(right["sig"].to_pylist(), right["rep"].to_pylist(), strict=True) if s is not None}
 
@@ -101,13 +116,13 @@ def _located(left: pa.Table, right: pa.Table) -> pa.Table:
     found: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
     if phrases and len(left):
         number, machine = automaton(phrases)
-        for doc, text, sig in zip(left["doc_id"].to_pylist(), left["text"], left["sig"].to_pylist(), strict=True):
-            rep = copies.get(sig)
-            if rep is not None and rep != (_NO_ID if doc is None else doc):
-                continue
+        for doc, text in zip(left["doc_id"].to_pylist(), left["text"], strict=True):
             data, words = words_of(text.as_py())
             if len(words) < WINDOW:
                 continue
+            rep = copies.get(signature(words)) if copies else None
+            if rep is not None and rep != (_NO_ID if doc is None else doc):
+                continue
             ends = [end for end, _ in machine.iter(tuple([number.get(w, 0) for w in words]))]
             if not ends:
                 continue
@@ -136,12 +151,13 @@ def _removed(left: pa.Table, right: pa.Table) -> pa.Table:
     h1, h2 = h1[order], h2[order]
     runs = int(np.diff(np.flatnonzero(np.concatenate(([True], h1[1:] != h1[:-1], [True])))).max()) if len(h1) else 0
     out: list[tuple] = []
-    for doc, text, sig in zip(left["doc_id"].to_pylist(), left["text"], left["sig"].to_pylist(), strict=True):
+    for doc, text in zip(left["doc_id"].to_pylist(), left["text"], strict=True):
         data, words = words_of(text.as_py())
         n = len(words)
-        if n < WINDOW or not (runs or sig in copies):
+        copied = bool(copies) and n >= WINDOW and signature(words) in copies
+        if n < WINDOW or not (runs or copied):
             kept = words
-        elif sig in copies:
+        elif copied:
             kept = []
         else:
             a, b = window_hashes(word_hashes(data), WINDOW)
@@ -170,15 +186,15 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     digest of the empty string. Rows that repeat a text, with the same id or another or none, are documents of their own, so
     texts of WINDOW words or more go from all of them. An empty table gives no rows; further columns are ignored.
     """
-    blocks = -(-max(1, docs.count()) // BLOCK)
-    text = text_or_empty(text_col)
-    sig = F.sha2(F.trim(F.regexp_replace(text, r"[\x20\x09-\x0D]+", " ")), 256)
-    base = docs.select(F.pmod(F.xxhash64(id_col, text_col), F.lit(blocks)).cast("int").alias("block"), F.col(id_col).cast("long").alias("doc_id"), text.alias("text"), sig.alias("sig"))
+    text = text_or_empty(named(docs, text_col))
+    size = docs.agg(F.count(F.lit(1)).alias("n"), F.coalesce(F.sum(F.length(text)), F.lit(0)).alias("chars")).first()
+    blocks = max(1, -(-size.n // BLOCK), -(-size.chars // BLOCK_CHARS))
+    base = docs.select(F.pmod(F.xxhash64(named(docs, id_col), named(docs, text_col)), F.lit(blocks)).cast("int").alias("block"), named(docs, id_col).cast("long").alias("doc_id"), text.alias("text"))
 
     spread = lambda df: df.select(F.explode("blocks").alias("block"), *[c for c in df.columns if c != "blocks"])
-    copies = base.groupBy("sig").agg(F.count(F.lit(1)).alias("n"), F.min(F.coalesce("doc_id", F.lit(_NO_ID))).alias("rep"), F.collect_set("block").alias("blocks")).where("n > 1")
+    copies = base.mapInArrow(_signed, "block int, doc_id long, sig binary").groupBy("sig").agg(F.count(F.lit(1)).alias("n"), F.min(F.coalesce("doc_id", F.lit(_NO_ID))).alias("rep"), F.collect_set("block").alias("blocks")).where("n > 1")
     copies = spread(copies.select("sig", "rep", "blocks"))
-    marks = base.select("block", "text", F.xxhash64("sig").alias("one")).mapInArrow(_phrases, "block int, phrase binary, low long, high long, twice boolean")
+    marks = base.select("block", "text").mapInArrow(_phrases, "block int, phrase binary, low long, high long, twice boolean")
     recurring = marks.groupBy("phrase").agg(F.min("low").alias("low"), F.max("high").alias("high"), F.max("twice").alias("twice"), F.collect_set("block").alias("blocks")).where("low < high OR twice")
     phrases = spread(recurring.select("phrase", "blocks"))
     by_block = base.groupBy("block")
