@@ -32,6 +32,7 @@ IP = re.compile(r"(?<![0-9])[0-9]++\.[0-9]++\.[0-9]++\.[0-9]++")
 CARD = re.compile(r"[0-9](?:[\x20-]?[0-9])++")
 PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
 DIGIT = re.compile(r"[0-9]")
+LAST = re.compile(r"[A-Za-z0-9-]*\Z")
 LOCAL_CHARS = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789._%+-")
 
 # Gazetteers: top-level domains, calling codes, card issuers' prefixes.
@@ -103,19 +104,28 @@ def proposals(text: str) -> Iterator[tuple[int, int, int, bool]]:
 
 
 def labelled_spans(text: str) -> list[tuple[int, int, int, bool]]:
-    """What any labeler proposes, by kind and start; a proposal that overlaps a pattern's span of its kind, or one whose rule holds, gives way."""
+    """What any labeler proposes, by kind and start. What overlaps a span whose rule holds gives way, and a proposal to a pattern's span of its kind."""
     own = list(candidates(text))
     more = sorted(set(proposals(text)))
-    if not more:
-        return own
-    taken = [disjoint(sorted((a, b) for k, a, b, rule in own if rule or k == kind)) for kind in range(len(KINDS))]
-    for c in more:
-        spans = taken[c[0]]
-        i = bisect.bisect_left(spans, (c[2],))
-        if not i or spans[i - 1][1] <= c[1]:
-            own.append(c)
-            spans.insert(i, c[1:3])
-    return sorted(own)
+    firm = disjoint(sorted((a, b) for _, a, b, rule in own if rule))
+    out = [c for c in own if c[3] or clear(c, firm)]
+    for kind in {c[0] for c in more}:
+        spans = disjoint(sorted((a, b) for k, a, b, rule in own if rule or k == kind))
+        for c in more:
+            if c[0] == kind and clear(c, spans):
+                out.append(c)
+                insert(c, spans)
+    return sorted(out)
+
+
+def clear(c: tuple[int, int, int, bool], spans: list[tuple[int, int]]) -> bool:
+    """Whether c overlaps none of the sorted disjoint spans."""
+    i = bisect.bisect_left(spans, (c[2],))
+    return not i or spans[i - 1][1] <= c[1]
+
+
+def insert(c: tuple[int, int, int, bool], spans: list[tuple[int, int]]) -> None:
+    bisect.insort(spans, c[1:3])
 
 
 def disjoint(spans: list[tuple[int, int]]) -> list[tuple[int, int]]:
@@ -138,7 +148,7 @@ def features(text: str, kind: int, start: int, end: int, rule: bool) -> tuple[in
     body = text[start:end]
     digits = digits_of(body)
     if kind == 0:
-        known = body.rpartition(".")[2].lower() in TLDS
+        known = LAST.search(body)[0].lower() in TLDS
     elif kind == 1:
         known = 1 <= int(body.split(".")[0][-9:] or 0) <= 223
     elif kind == 2:
@@ -207,14 +217,16 @@ def fit(docs: DataFrame, text_col: str = "text") -> dict[int, np.ndarray]:
 
 
 def find(text: str, model: dict[int, np.ndarray]) -> list[tuple[int, int, int, bool]]:
-    """(kind, start, end, base): spans that pass their rule, and those that the classifier adds."""
-    out = []
-    for c in labelled_spans(text):
-        if c[3]:
-            out.append(c)
-        elif c[0] in model and float(vector(np.array([features(text, *c)]))[0] @ model[c[0]]) > 0:
+    """(kind, start, end, base): spans that pass their rule, and those that the classifier adds; of added ones that overlap the likeliest."""
+    spans = labelled_spans(text)
+    out = [c for c in spans if c[3]]
+    scored = [(float(vector(np.array([features(text, *c)]))[0] @ model[c[0]]), c) for c in spans if not c[3] and c[0] in model]
+    taken: list[tuple[int, int]] = []
+    for _, c in sorted(((-x, c) for x, c in scored if x > 0)):
+        if clear(c, taken):
             out.append(c)
-    return out
+            insert(c, taken)
+    return sorted(out)
 
 
 def spell(spans: list[tuple[int, int, int, bool]]) -> str:
