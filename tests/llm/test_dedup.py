@@ -174,6 +174,26 @@ def test_top_k(spark):
     assert topk.top_k(df.limit(0), df.limit(0)).count() == 0
 
 
+@pytest.mark.parametrize("size", [3, 1 << 20, 1 << 28, 1 << 30])
+def test_bounds_leave_out_what_cannot_qualify(size):
+    """Exact at any size of components and of blocks; with a floor, items under it are not scored."""
+    r = np.random.default_rng(size)
+    items, queries = r.integers(-size, size, (300, 6)), r.integers(-size, size, (9, 6))
+    for n in (0, 1, 19, 300):
+        own = np.zeros((9, n), dtype=bool)
+        own[:, : n // 10] = True
+        row, item, score = topk.nra(queries, items[:n], own, 20)
+        whole = queries @ items[:n].T
+        assert (score == whole[row, item]).all() and not own[row, item].any()
+        for i in range(9):
+            want = np.sort(whole[i][~own[i]])[::-1][:20]
+            assert (np.sort(score[row == i])[::-1][: len(want)] == want).all()
+    floors = np.sort(whole, axis=1)[:, -50]
+    row, _, score = topk.nra(queries, items, own, 20, floors)
+    assert all((np.sort(score[row == i])[-3:] == np.sort(np.where(own[i], -(2**62), whole[i]))[-3:]).all() for i in range(9))
+    assert len(row) <= len(topk.nra(queries, items, own, 20)[0])
+
+
 def test_sentencepiece(spark):
     docs = documents(spark)
     model = SentencePieceProcessor(model_file=sentencepiece_text.default_model())

@@ -2,11 +2,13 @@
 
 import hashlib
 import re
+import time
 import zlib
 from collections import Counter, defaultdict
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from rasterflow.llm import packing, pii, quality, secret_scan
 from rasterflow.llm.common import table
@@ -117,6 +119,20 @@ def test_pii_masks_and_reliabilities(spark):
     assert abs(prior - 0.4) < 0.05 and abs(tables[0, 1, 2] - 0.95) < 0.05 and tables[0, 1, 2] > tables[1, 1, 2] > tables[2, 1, 2]
 
 
+def test_labelers_propose_spans(spark):
+    """The gazetteer and the context labeler find spans that no pattern has; the classifier keeps those and leaves plain numbers."""
+    true = ["write to anna.b@mail.example.com or call +49 30 123456789 please", "my card 4111 1111 1111 1111, e-mail joe@example.org", "phone +1 (212) 555-0199 or contact bob@site.net"]
+    spelt = ["write to jane.doe at example.com soon", "contact jane (at) mail-host (dot) org", "call me on the phone: 212 555 0199 today", "fax 00 49 30 123456789"]
+    plain = ["look at example.com today", "there are 123 456 789 of 12 kinds", "version 1.2.3.4567 of build 0123 4567 8901 234", "part 0012 of 99 555 666 777"]
+    docs = spark.createDataFrame([(i, t) for i, t in enumerate(true * 40 + spelt + plain * 10)], "doc_id long, text string")
+    got = {r.doc_id: r for r in pii.find_pii(docs).collect()}
+    first = len(true) * 40
+    assert [got[first + i].spans.split(":")[0] for i in range(4)] == ["email", "email", "phone", "phone"]
+    assert all(got[first + i].n_added == 1 for i in range(4)) and all(got[i].n_added == 0 for i in got if i >= first + 4)
+    weights = pii.fit(docs)
+    assert all(w[2] > w[1] for w in weights.values()), "a vote of the pattern counts for a span"
+
+
 def test_packing(spark):
     from tokenizers import Tokenizer
 
@@ -165,6 +181,38 @@ def test_quality(spark):
     assert len(got) == docs.count() and right >= 0.95 and sum(clean) >= 0.98 * len(clean)
 
 
+def test_co_training_against_a_plain_loop(spark):
+    """The rounds over Spark batches pick what a loop over all unlabelled documents picks, and the model is the same."""
+    sf = "/root/testdata/sf0.01"
+    docs, labels = table(spark, sf, "documents"), table(spark, sf, "labels")
+    model = quality.train(docs, labels, labelled=150)
+    rated = {}
+    for r in labels.collect():
+        if r.doc_id is not None and r.quality in (0, 1):
+            rated[r.doc_id] = min(r.quality, rated.get(r.doc_id, 1))
+    rows = sorted((r for r in docs.collect() if r.doc_id is not None), key=lambda r: r.doc_id)
+    ids = {r.doc_id for r in rows}
+    first = [r.doc_id for r in labels.select("doc_id").distinct().orderBy(F.xxhash64("doc_id"), "doc_id").collect() if r.doc_id in rated and r.doc_id in ids][:150]
+    features = {r.doc_id: (quality.content_features(r.text), quality.meta_features(r.lang, r.source, r.n_chars)) for r in rows}
+    known, rest = sorted(first), [r.doc_id for r in rows if r.doc_id not in set(first)]
+    stack = lambda ids: tuple(np.stack([features[i][v] for i in ids]) for v in (0, 1))
+    picked = []
+
+    def pick(fits, shares, taken):
+        out = []
+        for v, (w, c) in enumerate(fits):
+            p = {i: 1 / (1 + np.exp(-quality.logit(np.array([quality.logit(features[i][v][None, :], w)[0]])[:, None], c)[0])) for i in rest if i not in taken}
+            for label in (1, 0):
+                sure = sorted((-(x if label else 1 - x), i) for i, x in p.items() if (x if label else 1 - x) >= quality.CONFIDENT)[: shares[label]]
+                out += [(v, label, -s, i, *features[i]) for s, i in sure]
+        picked.extend(out)
+        return out
+
+    held = np.array([zlib.crc32(str(i).encode()) % 4 == 0 for i in known])
+    want = quality.co_train(*stack(known), np.array([float(rated[i]) for i in known]), held, pick)
+    assert picked and np.allclose(model.content, want.content, atol=1e-6) and np.allclose(model.meta, want.meta, atol=1e-6) and np.allclose(model.combined, want.combined, atol=1e-6)
+
+
 def test_quality_edges(spark):
     docs, labels = documents(spark), spark.createDataFrame([(1, 1, 0), (2, 1, 0), (None, 0, 0), (3, None, None)], "doc_id long, quality int, toxic int")
     assert all(r.good for r in quality.classify(docs, labels).collect())
@@ -172,6 +220,17 @@ def test_quality_edges(spark):
     assert quality.classify(docs, labels.limit(0)).count() == docs.count()
 
 
+def test_long_tokens_take_linear_time(spark):
+    """Tokens of a million characters go through the whole battery; a random one stays, one that repeats a block goes."""
+    r = np.random.default_rng(4)
+    alphabet = np.array(list("0123456789abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ"))
+    random, regular = "".join(r.choice(alphabet, 1_000_000)), "".join(r.choice(alphabet, 1000)) * 1000
+    docs = spark.createDataFrame([(1, random), (2, regular), (3, "a1" + "b" * 1_000_000)], "doc_id long, text string")
+    start = time.time()
+    got = {x.doc_id: x for x in secret_scan.scan_secrets(docs).collect()}
+    assert got[1].spans == "random:0:1000000" and got[3].n_random == 0 and time.time() - start < 100
+
+
 TOKEN = "Zx8Kq2Lm9Pw4Rt6Yv1Bn3Hd7Jf5Gs0Ca"
 #: Texts around a token (%), and what of them is to be found as random.
 GLUED = [
