@@ -23,7 +23,7 @@ from .common import over_columns
 
 MARK = "▁"
 #: Words whose pieces a task keeps from one batch to the next.
-CACHE = 250_000
+CACHE = 100_000
 
 
 class Vocabulary:
@@ -116,20 +116,23 @@ class Vocabulary:
     def forward(self, words: list[str]) -> Iterator[list[int | str]]:
         """The pieces of each of the sorted words, by number, and unknown characters as they are.
 
-        At each depth of the traversal stand the state (where its last piece starts, and which it is) and the paths of the
-        piece trie that are open there; a word keeps those of the prefix that it shares with the last word.
+        At each depth of the traversal stand the state (where its last piece starts, which it is, and the best score) and the
+        paths of the piece trie that are open there; a word keeps those of the prefix that it shares with the last word. Open
+        paths are stored only as deep as the next word shares the prefix.
         """
         steps, ends, unigram, known = self.steps, self.ends, self.kind == "unigram", self.fits_after
         score_of = [self.scores.get(p, 0.0) for p in self.pieces] if unigram else []
-        starts, lasts, best, paths, before = [0], [-1], [0.0], [[]], ""
-        for word in words:
-            same, most = 0, min(len(word), len(before))
-            while same < most and word[same] == before[same]:
-                same += 1
+        starts, lasts, best, paths = [0], [-1], [0.0], [[]]
+        same = 0
+        for word, after in zip(words, [*words[1:], ""], strict=True):
+            keep, most = 0, min(len(word), len(after))
+            while keep < most and word[keep] == after[keep]:
+                keep += 1
             del starts[same + 1 :], lasts[same + 1 :], best[same + 1 :], paths[same + 1 :]
+            front = paths[same]
             for at in range(same, len(word)):
                 c, open_here, last, start, score = ord(word[at]), [], -1, at, best[at] + self.penalty
-                for path in (*paths[at], (at, 0)):
+                for path in (*front, (at, 0)):
                     node = steps.get(path[1] << 21 | c)
                     if node is None:
                         continue
@@ -149,13 +152,15 @@ class Vocabulary:
                 starts.append(start)
                 lasts.append(last)
                 best.append(score)
-                paths.append(open_here)
+                front = open_here
+                if at < keep:
+                    paths.append(open_here)
             out, end = [], len(word)
             while end:
                 start = starts[end]
                 out.append(lasts[end] if lasts[end] >= 0 else word[start:end])
                 end = start
-            before = word
+            same = keep
             yield out[::-1]
 
     def _numbers(self, pieces: list[int | str]) -> bytes:
