@@ -175,3 +175,27 @@ def flood_mask(rasters: DataFrame, x: int, y: int, channels: tuple[str, ...] = (
 
     schema = rasters.select(*columns).schema.add("mask", T.ArrayType(T.IntegerType()))
     return rasters.select(*columns).mapInArrow(run, schema)
+
+
+# --- whole canvases ---
+
+
+def create_image(ids: DataFrame, width: int, height: int, colour: Colour = (0, 0, 0, 0)) -> DataFrame:
+    """Long pixels of one colour for each media_id of ids."""
+    cells = F.explode(F.sequence(F.lit(0), F.lit(width * height - 1))) if width * height > 0 else F.explode(F.array().cast("array<int>"))
+    each = ids.select("media_id", cells.alias("i"))
+    return each.select("media_id", F.floor(F.col("i") / width).cast("int").alias("y"), (F.col("i") % width).cast("int").alias("x"), *[_c(v).alias(c) for c, v in zip("rgba", colour, strict=True)])
+
+
+def clear(pixels: DataFrame, colour: Colour = (0, 0, 0, 0)) -> DataFrame:
+    return pixels.withColumns({c: _c(v) for c, v in zip("rgba", colour, strict=True)})
+
+
+def get_pixel(pixels: DataFrame, x: int, y: int) -> DataFrame:
+    """media_id, r, g, b, a of that place; images without it give no row."""
+    return pixels.where((F.col(X) == x) & (F.col(Y) == y)).select("media_id", *"rgba")
+
+
+def set_pixel(pixels: DataFrame, x: float, y: float, colour: Colour) -> DataFrame:
+    """Lays colour on the rounded place."""
+    return paint(pixels, (F.col(X) == _round(x)) & (F.col(Y) == _round(y)), colour)

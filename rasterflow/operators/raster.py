@@ -305,3 +305,31 @@ def bilateral(data: Column, w: Size, h: Size, radius: int = 1, range_sigma: floa
         return half_up(sum(num) / sum(den)).cast("int")
 
     return _grid(w, h, at)
+
+
+def bilateral_colour(rasters: DataFrame, channels: tuple[str, ...] = ("r", "g", "b"), radius: int = 1, range_sigma: float = 30.0) -> DataFrame:
+    """Every channel smoothed by the weights of place and of the distance of all channels."""
+    w, h = F.col("width"), F.col("height")
+    spatial = radius / 2
+
+    def at(x: Column, y: Column) -> Column:
+        here, near = [_cell(F.col(c), w, x, y).cast("double") for c in channels], []
+        for j in range(-radius, radius + 1):
+            for i in range(-radius, radius + 1):
+                v = [_neighbour(F.col(c), w, h, x + i, y + j, "clamp").cast("double") for c in channels]
+                apart = sum((a - b) * (a - b) for a, b in zip(v, here, strict=True))
+                weight = math.exp(-(i * i + j * j) / (2 * spatial * spatial)) * F.exp(-apart / (2 * range_sigma * range_sigma))
+                near.append(F.struct(weight.alias("w"), *[a.alias(c) for a, c in zip(v, channels, strict=True)]))
+        total = lambda s, c: F.aggregate(s["near"], F.lit(0.0), lambda t, n: t + n["w"] * (n[c] if c else F.lit(1.0)))
+        mean = lambda s, c: half_up(total(s, c) / total(s, None)).cast("int").alias(c)
+        return _let({"near": F.array(*near)}, lambda s: F.struct(*[mean(s, c) for c in channels]))
+
+    cells = F.transform(F.sequence(F.lit(0), F.greatest(w * h - 1, F.lit(0)).cast("int")), lambda i: at((i % w).cast("int"), F.floor(i / w).cast("int")))
+    return rasters.withColumn("__cells", cells).withColumns({c: F.when(w * h > 0, F.col(f"__cells.{c}")).otherwise(F.array().cast("array<int>")) for c in channels}).drop("__cells")
+
+
+def denoise(rasters: DataFrame, channels: tuple[str, ...] = ("r", "g", "b"), algorithm: str = "median", radius: int = 1) -> DataFrame:
+    """By the median of each channel, or bilateral."""
+    if algorithm == "bilateral":
+        return bilateral_colour(rasters, channels, radius)
+    return rasters.withColumns({c: median(F.col(c), F.col("width"), F.col("height"), radius) for c in channels})

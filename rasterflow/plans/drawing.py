@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..operators import draw
+from ..operators import draw, text
 from ..operators import raster as rs
 from ..sources import metadata
 from .views import GRID, rasters, table
@@ -109,3 +109,40 @@ def wav_roundtrip(spark: SparkSession, sf: str) -> DataFrame:
 
 QUERIES["wav_roundtrip"] = wav_roundtrip
 SQL["wav_roundtrip"] = "SELECT vec_id AS media_id, 8000 AS sample_rate, CAST(unnest(range(0, 64)) AS INTEGER) AS i, unnest(list_transform(embedding, lambda e: least(32767, greatest(-32768, floor(CAST(e AS DOUBLE) * 32767 + 0.5))) / CAST(32768 AS DOUBLE))) AS sample FROM embeddings"
+
+
+# --- canvases and text ---
+
+QUERIES["create_image"] = lambda spark, sf: draw.create_image(table(spark, sf, "nation").select(F.col("n_nationkey").alias("media_id")), 5, 3, (1, 2, 3, 4))
+SQL["create_image"] = "SELECT n_nationkey AS media_id, CAST(i // 5 AS INTEGER) AS y, CAST(i % 5 AS INTEGER) AS x, 1 AS r, 2 AS g, 3 AS b, 4 AS a FROM nation CROSS JOIN (SELECT unnest(range(0, 15)) AS i)"
+QUERIES["clear"] = lambda spark, sf: draw.clear(canvas(spark, sf), (9, 8, 7, 255))
+SQL["clear"] = f"WITH {CANVAS} SELECT media_id, y, x, 9 AS r, 8 AS g, 7 AS b, 255 AS a FROM cv"
+QUERIES["get_pixel"] = lambda spark, sf: draw.get_pixel(canvas(spark, sf), 3, 5)
+SQL["get_pixel"] = f"WITH {CANVAS} SELECT media_id, r, g, b, a FROM cv WHERE x = 3 AND y = 5"
+QUERIES["set_pixel"] = lambda spark, sf: draw.set_pixel(canvas(spark, sf), 2.5, 6.4, COLOUR)
+SQL["set_pixel"] = f"WITH {CANVAS} {_painted('cv', 'x = 3 AND y = 6')}"
+
+#: A made-up font for letters, digits and the question mark, which stands for all other characters.
+FONT = {c: [(c * 37 + row * 11) % 256 for row in range(8)] for c in range(48, 123)}
+
+
+def _text_measure(spark, sf):
+    names = table(spark, sf, "part").select(F.col("p_partkey").alias("media_id"), F.replace("p_name", F.lit(" "), F.lit("\n")).alias("text"))
+    size = text.measure_text(F.col("text"), 10, advance=8, spacing=1)
+    return names.select("media_id", size.alias("s")).select("media_id", "s.width", "s.height", "s.lines")
+
+
+QUERIES["text_measure"] = _text_measure
+SQL["text_measure"] = "WITH l AS (SELECT p_partkey AS media_id, unnest(string_split(p_name, ' ')) AS line FROM part) SELECT media_id, CAST(max(greatest(length(line) * 9 - 1, 0)) AS INTEGER) AS width, CAST(count(*) * 10 AS INTEGER) AS height, CAST(count(*) AS INTEGER) AS lines FROM l GROUP BY media_id"
+
+
+def _text_sql(align: str) -> str:
+    return f"""WITH w AS (SELECT n_nationkey AS media_id, string_split(n_name || ' ' || n_nationkey, ' ') AS lines FROM nation), m AS (SELECT *, list_max(list_transform(lines, lambda x: length(x) * 8)) AS width FROM w),
+l AS (SELECT media_id, width, unnest(range(0, len(lines))) AS line_no, unnest(lines) AS line FROM m), c AS (SELECT media_id, line_no, {align} AS start, unnest(range(0, length(line))) AS i, line FROM l),
+g AS (SELECT media_id, line_no, start + i * 8 AS x0, CASE WHEN ascii(line[i + 1]) BETWEEN 48 AND 122 THEN ascii(line[i + 1]) ELSE 63 END AS code FROM c)
+SELECT media_id, CAST(line_no * 8 + r AS INTEGER) AS y, CAST(x0 + k AS INTEGER) AS x FROM g CROSS JOIN (SELECT unnest(range(0, 8)) AS r) CROSS JOIN (SELECT unnest(range(0, 8)) AS k) WHERE ((code * 37 + r * 11) % 256 >> CAST(7 - k AS INTEGER)) & 1 = 1"""
+
+
+for _align, _start in (("left", "0"), ("center", "(width - length(line) * 8) // 2"), ("right", "width - length(line) * 8")):
+    QUERIES[f"text_{_align}"] = lambda spark, sf, a=_align: text.render_text(table(spark, sf, "nation").select(F.col("n_nationkey").alias("media_id"), F.concat(F.replace("n_name", F.lit(" "), F.lit("\n")), F.lit("\n"), F.col("n_nationkey").cast("string")).alias("text")), FONT, 63, a)
+    SQL[f"text_{_align}"] = _text_sql(_start)

@@ -342,3 +342,17 @@ _NEAR = "FROM g p CROSS JOIN (SELECT unnest([-1, 0, 1]) AS dy) CROSS JOIN (SELEC
 _gray("median", lambda v: rs.median(v, W, H, 1), f"SELECT p.media_id, p.y, p.x, list_sort(list(q.v))[5] AS v {_NEAR}")
 _WT = "exp(-(dx * dx + dy * dy) / CAST(0.5 AS DOUBLE)) * exp(-(3 * (q.v - p.v) * (q.v - p.v)) / CAST(1800 AS DOUBLE))"
 _gray("bilateral", lambda v: rs.bilateral(v, W, H, 1), f"SELECT p.media_id, p.y, p.x, {_int(_round(f'sum(q.v * {_WT}) / sum({_WT})'))} AS v {_NEAR}")
+
+
+def _colours(spark: SparkSession, sf: str) -> DataFrame:
+    """The gray rasters in colour: green mirrored, blue upside down."""
+    return rasters(spark, sf).withColumns({"r": F.col("v"), "g": rs.flip_horizontal(F.col("v"), W, H), "b": rs.flip_vertical(F.col("v"), W, H)}).drop("v")
+
+
+_COLOURS = f"{GRID}, cg AS MATERIALIZED (SELECT p.media_id, p.y, p.x, p.v AS r, q.v AS g, s.v AS b FROM g p JOIN g q ON q.media_id = p.media_id AND q.y = p.y AND q.x = 7 - p.x JOIN g s ON s.media_id = p.media_id AND s.y = 7 - p.y AND s.x = p.x)"
+_NEAR_RGB = _NEAR.replace("FROM g p", "FROM cg p").replace("JOIN g q", "JOIN cg q")
+_WT_RGB = "exp(-(dx * dx + dy * dy) / CAST(0.5 AS DOUBLE)) * exp(-((q.r - p.r) * (q.r - p.r) + (q.g - p.g) * (q.g - p.g) + (q.b - p.b) * (q.b - p.b)) / CAST(1800 AS DOUBLE))"
+QUERIES["bilateral_colour"] = lambda spark, sf: rs.unpack(rs.denoise(_colours(spark, sf), algorithm="bilateral"), tuple("rgb"))
+SQL["bilateral_colour"] = f"WITH {_COLOURS} SELECT p.media_id, p.y, p.x, {', '.join(_int(_round(f'sum(q.{c} * {_WT_RGB}) / sum({_WT_RGB})')) + f' AS {c}' for c in 'rgb')} {_NEAR_RGB}"
+QUERIES["denoise_median"] = lambda spark, sf: rs.unpack(rs.denoise(_colours(spark, sf)), tuple("rgb"))
+SQL["denoise_median"] = f"WITH {_COLOURS} SELECT p.media_id, p.y, p.x, {', '.join(f'list_sort(list(q.{c}))[5] AS {c}' for c in 'rgb')} {_NEAR_RGB}"
