@@ -124,7 +124,7 @@ class Vocabulary:
         score_of = [self.scores.get(p, 0.0) for p in self.pieces] if unigram else []
         starts, lasts, best, paths = [0], [-1], [0.0], [[]]
         same = 0
-        for word, after in zip(words, [*words[1:], ""], strict=True):
+        for word, after in zip(words, [*words[1:], ""][: len(words)], strict=True):
             keep, most = 0, min(len(word), len(after))
             while keep < most and word[keep] == after[keep]:
                 keep += 1
