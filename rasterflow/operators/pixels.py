@@ -119,8 +119,10 @@ def equalize(pixels: DataFrame) -> DataFrame:
     """Equalises the luminance of each image and scales its colours by the change."""
     run = cumulative(histogram(pixels).where("channel = 'luminance'"))
     first = run.groupBy("media_id").agg(F.min("cdf").alias("least"))
-    lut = run.join(first, "media_id").select("media_id", F.col("bin").alias("__lum"), F.when(F.col("least") == 1, F.lit(0)).otherwise(half_up((F.col("cdf") - F.col("least")) / F.when(F.col("least") < 1, 1 - F.col("least")) * 255)).cast("int").alias("__new"))
-    joined = pixels.withColumn("__lum", color.luminance709(*rgb_of())).join(lut, ["media_id", "__lum"])
+    new = F.when(F.col("least") == 1, F.lit(0)).otherwise(half_up((F.col("cdf") - F.col("least")) / F.when(F.col("least") < 1, 1 - F.col("least")) * 255)).cast("int")
+    luts = run.join(first, "media_id").groupBy("media_id").agg(F.map_from_entries(F.collect_list(F.struct(F.col("bin"), new))).alias("__lut"))  # 256 bins at most
+    lum = color.luminance709(*rgb_of())
+    joined = pixels.join(luts, "media_id").withColumn("__lum", lum).withColumn("__new", F.element_at("__lut", F.col("__lum").cast("int")))
     scaled = lambda c: F.when(F.col("__lum") == 0, F.col("__new")).otherwise(clamp(half_up(F.col(c) * (F.col("__new").cast("double") / F.when(F.col("__lum") != 0, F.col("__lum")))))).cast("int")
     return joined.withColumns({c: scaled(c) for c in RGB}).select(pixels.columns)
 
@@ -135,12 +137,9 @@ def match_histogram(pixels: DataFrame, reference: DataFrame) -> DataFrame:
     dense = known.select("channel", F.transform(bins, lambda b: F.coalesce(F.array_max(F.transform(F.filter(F.map_entries("at"), lambda e: e["key"] <= b), lambda e: e["value"])), F.lit(0.0))).alias("cdfs"))
     lut = cumulative(histogram(pixels)).join(F.broadcast(dense), "channel")  # 5 rows
     nearest = F.array_min(F.transform("cdfs", lambda c, i: F.struct(F.abs(c - F.col("cdf")).alias("far"), i.alias("bin"))))["bin"]
-    lut = lut.select("media_id", "channel", "bin", nearest.cast("int").alias("to"))
-    out = pixels
-    for c, n in zip(RGB, ("red", "green", "blue"), strict=True):
-        own = lut.where(F.col("channel") == n).select("media_id", F.col("bin").alias(c), F.col("to").alias(f"__{c}"))
-        out = out.join(own, ["media_id", c]).withColumn(c, F.col(f"__{c}")).drop(f"__{c}")
-    return out.select(pixels.columns)
+    entry = F.struct("bin", nearest.cast("int").alias("to"))
+    luts = lut.groupBy("media_id").agg(*[F.map_from_entries(F.collect_list(F.when(F.col("channel") == n, entry))).alias(f"__{c}") for c, n in zip(RGB, ("red", "green", "blue"), strict=True)])  # three maps of 256 bins at most
+    return pixels.join(luts, "media_id").withColumns({c: F.element_at(f"__{c}", F.col(c).cast("int")) for c in RGB}).select(pixels.columns)
 
 
 # --- layers ---

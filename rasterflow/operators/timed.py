@@ -114,8 +114,18 @@ def track_durations(tracks: DataFrame, total_frames: Column | None = None) -> Da
 
 
 def merge_sheets(tracks: DataFrame) -> DataFrame:
-    """Numbers anew from 1 in the order of media_id and number, within each group."""
-    return tracks.withColumn("number", F.row_number().over(Window.partitionBy("group").orderBy("media_id", "number")))
+    """Numbers anew from 1 in the order of media_id and number, within each group (media_id is a long).
+
+    Tracks are numbered within their sheet, and sheets are offset by two levels of prefix sums over counts, of ranges of
+    4,096 ids and of the sheets within a range, so that no window holds a whole group.
+    """
+    sheets = tracks.groupBy("group", "media_id").agg(F.count(F.lit(1)).alias("__n")).withColumn("__range", F.shiftright("media_id", 12))
+    ranges = sheets.groupBy("group", "__range").agg(F.sum("__n").alias("__m"))
+    ranges = ranges.select("group", "__range", (F.sum("__m").over(Window.partitionBy("group").orderBy("__range")) - F.col("__m")).alias("__before"))
+    within = Window.partitionBy("group", "__range").orderBy("media_id")
+    offsets = sheets.withColumn("__in", F.sum("__n").over(within) - F.col("__n")).join(ranges, ["group", "__range"]).select("group", "media_id", (F.col("__before") + F.col("__in")).alias("__offset"))
+    own = F.row_number().over(Window.partitionBy("group", "media_id").orderBy("number"))
+    return tracks.withColumn("number", own).join(offsets, ["group", "media_id"]).withColumn("number", (F.col("number") + F.col("__offset")).cast("int")).select(*tracks.columns)
 
 
 def offset_tracks(tracks: DataFrame, seconds: float) -> DataFrame:

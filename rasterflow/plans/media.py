@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..functions import sniff
 from ..operators import raster as rs
 from ..sources import media
 from ..streaming import media_stream
@@ -39,3 +40,21 @@ QUERIES["pack_unpack"] = lambda spark, sf: rs.unpack(rs.pack(rs.unpack(rasters(s
 SQL["pack_unpack"] = f"WITH {GRID} SELECT media_id, y, x, v FROM g"
 QUERIES["event_windows"] = lambda spark, sf: media_stream.windowed_counts(table(spark, sf, "events")).withColumn("window_start", F.date_format("window_start", "yyyy-MM-dd")).withColumn("total", F.round("total", 2))
 SQL["event_windows"] = "SELECT strftime(date_trunc('day', ts), '%Y-%m-%d') AS window_start, event_type, count(*) AS n, round(sum(value), 2) AS total FROM events GROUP BY ALL"
+
+
+#: What the encoded files are, by their first bytes: farbfeld and PAM have no sign that is known, but PAM's text passes for none.
+_SIGNS = {"bmp": "'bmp'", "png": "'png'", "pam": "NULL", "farbfeld": "NULL"}
+
+
+def _sniffed(spark: SparkSession, sf: str) -> DataFrame:
+    files = [media.encode(_rgba(spark, sf), f).select(F.lit(f).alias("encoder"), "media_id", "content") for f in _SIGNS]
+    each = files[0]
+    for other in files[1:]:
+        each = each.unionByName(other)
+    return each.select("encoder", "media_id", sniff.sniff(F.hex(F.substring("content", 1, 1000))).alias("format"))
+
+
+QUERIES["sniff_content"] = _sniffed
+SQL["sniff_content"] = "WITH e AS (SELECT vec_id AS media_id FROM embeddings) " + " UNION ALL ".join(f"SELECT '{f}' AS encoder, media_id, {want} AS format FROM e" for f, want in _SIGNS.items())
+QUERIES["sniff_svg"] = lambda spark, sf: table(spark, sf, "nation").select("n_nationkey", sniff.sniff(F.hex(F.encode(F.when(F.col("n_nationkey") % 2 == 0, F.concat(F.lit('<?xml version="1.0"?>\n<SVG viewBox="0 0 1 1"><title>'), F.col("n_name"), F.lit("</title></SVG>"))).otherwise(F.concat(F.lit("<p>"), F.col("n_name"))), "UTF-8"))).alias("format"))
+SQL["sniff_svg"] = "SELECT n_nationkey, CASE WHEN n_nationkey % 2 = 0 THEN 'svg' END AS format FROM nation"

@@ -248,7 +248,7 @@ def reinhard(spark, sf):
 # --- types and names ---
 
 _HEADS = ("89504E470D0A1A0A", "FFD8FFE000104A46", "474946383961", "424D3600", "1A45DFA3", "49492A00", "4D4D002A", "00000100", "716F6966", "52494646AAAAAAAA57454250", "52494646AAAAAAAA41564920", "0000001866747970617669660000", "00000018667479707174202000", "000000186674797069736F6D00", "50360A", "0011223344")
-_FOUND = ("png", "jpeg", "gif", "bmp", "webm", "tiff", "tiff", "ico", "qoi", "webp", "avi", "avif", "mov", "mp4", "pnm", None)
+_FOUND = ("png", "jpeg", "gif", "bmp", "webm", "tiff", "tiff", "ico", "qoi", "webp", "avi", "avif", "mov", "mp4", "ppm", None)
 
 
 def _heads(spark: SparkSession, sf: str) -> DataFrame:

@@ -25,7 +25,9 @@ Image = tuple[int, int, bytes]
 def read_media(spark: SparkSession, path: str, glob: str = "*") -> DataFrame:
     """media_id (the path), length, content, format, mime for all files under path; the type tests read only the first bytes."""
     files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("pathGlobFilter", glob).load(path)
-    fmt = sniff.sniff(F.hex(F.substring("content", 1, 16)))
+    head = F.hex(F.substring("content", 1, 1000))
+    # Two formats that have decoders here and that the common sniffing leaves out.
+    fmt = F.coalesce(sniff.sniff(head), F.when(head.startswith(b"P7".hex()), "pam"), F.when(head.startswith(b"farbfeld".hex().upper()), "farbfeld"))
     return files.select(F.col("path").alias("media_id"), "length", "content", fmt.alias("format")).withColumn("mime", sniff.mime_type(F.col("format")))
 
 
@@ -148,7 +150,7 @@ def decode_farbfeld(raw: bytes) -> Image:
 
 
 ENCODERS: dict[str, Callable[[int, int, bytes], bytes]] = {"bmp": encode_bmp, "png": encode_png, "pam": encode_pam, "farbfeld": encode_farbfeld}
-DECODERS: dict[str, Callable[[bytes], Image]] = {"bmp": decode_bmp, "png": decode_png, "pnm": decode_pnm, "pam": decode_pnm, "farbfeld": decode_farbfeld}
+DECODERS: dict[str, Callable[[bytes], Image]] = {"bmp": decode_bmp, "png": decode_png, "pnm": decode_pnm, "pbm": decode_pnm, "pgm": decode_pnm, "ppm": decode_pnm, "pam": decode_pnm, "farbfeld": decode_farbfeld}
 
 
 def encode(rasters: DataFrame, fmt: str) -> DataFrame:
