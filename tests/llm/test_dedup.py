@@ -153,6 +153,41 @@ def test_near_components(spark, monkeypatch, short):
     assert left.count() == sum(r.kept for r in got)
 
 
+def test_a_large_group_without_all_pairs(spark, monkeypatch):
+    """2,000 edited copies, among them copies of one copy, and as many short texts around one passage: right components from few pairs."""
+    base = near_copies(21, 1, 1)[0].split()
+    far = [f"z{i}" if i % 3 == 0 else w for i, w in enumerate(base)]
+    r = np.random.default_rng(5)
+    texts = []
+    for k in range(2000):
+        words = list(far if k % 4 == 0 else base)
+        for at in r.choice(len(words), r.integers(0, 12), replace=False):
+            words[at] = f"e{k}x{at}" if r.random() < 0.7 else f"shared{at}"
+        texts.append(" ".join(words))
+    passage = " ".join(f"p{i}" for i in range(60))
+    texts += [f"{passage} " + " ".join(f"u{k}x{i}" for i in range(r.integers(0, 40))) for k in range(2000)]
+    sets = [near_dedup.shingle_set(t) for t in texts]
+    number = {v: i for i, v in enumerate(np.unique(np.concatenate(sets)).tolist())}
+    rows = np.zeros((len(sets), len(number)), dtype=np.float32)
+    for i, s in enumerate(sets):
+        rows[i, [number[v] for v in s.tolist()]] = 1
+    size, comp = rows.sum(axis=1), np.arange(len(sets))
+    shared = rows @ rows.T
+    linked = 4 * shared >= 3 * (size[:, None] + size[None, :] - shared)
+    while True:
+        low = np.where(linked, comp[None, :], len(sets)).min(axis=1)
+        if (low == comp).all():
+            break
+        comp = low
+    seen = []
+    real = near_dedup.likely
+    monkeypatch.setattr(near_dedup, "likely", lambda pairs, short: seen.append(pairs.count()) or real(pairs, short))
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = {x.doc_id: x.component_id for x in near_dedup.near_components(docs).collect()}
+    assert got == dict(enumerate(comp.tolist())) and len(set(comp.tolist())) > 2
+    assert sum(seen) < 20 * len(texts), "candidate pairs grow with the members, not with their square"
+
+
 def test_components_of_a_chain(spark):
     edges = spark.createDataFrame([(i, i + 1) for i in range(20, 0, -1)] + [(50, 40)], "a long, b long")
     got = {r.node: r.comp for r in near_dedup.components(edges).collect()}
