@@ -42,12 +42,13 @@ ISSUERS = ("4", "51", "52", "53", "54", "55", "22", "23", "24", "25", "26", "27"
 #: Words that stand before such data.
 CONTEXT = re.compile(r"(?i)e-?mail|contact|write|phone|tel|call|mobile|fax|card|visa|credit|iban|account|server|host|address|\bip\b|correo|kontakt|anruf|appel|carte|tarjeta|karte")
 AGAINST = re.compile(r"(?i)version|build|commit|hash|token|secret|password|isbn|issn|chapter|page|section|figure|sha|md5|[=#/\\$]\s*\Z")
-#: What the gazetteer proposes: an address that is spelt out, its last part a known domain; a number that dials abroad.
-SPELT = re.compile(r"(?<![A-Za-z0-9._%+-])[A-Za-z0-9._%+-]{1,64}(?:\x20?[(\[]at[)\]]\x20?|\x20at\x20)[A-Za-z0-9-]{1,63}(?:\x20?[(\[]dot[)\]]\x20?|\x20dot\x20|\.)([A-Za-z]{2,6})(?![A-Za-z0-9])")
-ABROAD = re.compile(r"(?<![0-9+.-])00([1-9][0-9\x20().-]{6,20}[0-9])(?![0-9])")
+#: What the gazetteer proposes: an address that is spelt out around one of these, its last part a known domain; a number that dials abroad by 00.
+AT = (" at ", "(at)", "[at]")
+SPELT_DOMAIN = re.compile(r"[A-Za-z0-9-]{1,63}(?:\x20?[(\[]dot[)\]]\x20?|\x20dot\x20|\.)([A-Za-z]{2,6})(?![A-Za-z0-9])")
 #: What the context labeler proposes: a number that follows a word for it.
-CALLED = re.compile(r"(?i)\b(?:phone|telephone|tel|call|mobile|cell|fax|telefon|tel\u00e9fono|t\u00e9l\u00e9phone|t\u00e9l|anruf|appel)\b[^0-9A-Za-z+\n]{0,4}((?:\([0-9]{1,5}\)|[0-9])[0-9\x20()-]{5,20}[0-9])(?![0-9])")
-PAID = re.compile(r"(?i)\b(?:card|visa|mastercard|amex|carte|karte|tarjeta)\b[^0-9\n]{0,12}([0-9][0-9\x20.-]{11,24}[0-9])(?![0-9])")
+NUMBER = re.compile(r"[0-9(][0-9\x20().-]{5,24}[0-9](?![0-9])")
+CALLED = re.compile(r"(?i)\b(?:phone|telephone|tel|call|mobile|cell|fax|telefon|tel\u00e9fono|t\u00e9l\u00e9phone|t\u00e9l|anruf|appel)\b[^0-9A-Za-z+\n]{0,4}\Z")
+PAID = re.compile(r"(?i)\b(?:card|visa|mastercard|amex|carte|karte|tarjeta)\b[^0-9\n]{0,12}\Z")
 #: Code points before and after a candidate that the context labeler sees.
 REACH = 40
 
@@ -88,19 +89,28 @@ def candidates(text: str) -> Iterator[tuple[int, int, int, bool]]:
 
 def proposals(text: str) -> Iterator[tuple[int, int, int, bool]]:
     """Candidates of the gazetteer and the context labeler, in the form of candidates(); the pattern's rule holds for none."""
-    if "at" in text:
-        for m in SPELT.finditer(text):
-            if m[1].lower() in TLDS:
-                yield 0, m.start(), m.end(), False
+    for sign in AT:
+        at = text.find(sign)
+        while at >= 0:
+            end = at + 4 + (sign[0] != " " and text[at + 4 : at + 5] == " ")
+            left = start = at - (sign[0] != " " and text[max(0, at - 1) : at] == " ")
+            while left > max(0, start - 64) and text[left - 1] in LOCAL_CHARS:
+                left -= 1
+            domain = SPELT_DOMAIN.match(text, end) if left < start and (not left or text[left - 1] not in LOCAL_CHARS) else None
+            if domain and domain[1].lower() in TLDS:
+                yield 0, left, domain.end(), False
+            at = text.find(sign, at + 1)
     if not DIGIT.search(text):
         return
-    for m in ABROAD.finditer(text):
-        if digits_of(m[1]).startswith(CALLING) and 9 <= len(digits_of(m[1])) <= 15:
-            yield 3, m.start(), m.end(), False
-    for kind, pattern, least, most in ((3, CALLED, 7, 15), (2, PAID, 12, 19)):
-        for m in pattern.finditer(text):
-            if least <= len(digits_of(m[1])) <= most:
-                yield kind, m.start(1), m.end(1), False
+    for m in NUMBER.finditer(text):
+        start, digits = m.start(), digits_of(m[0])
+        if start and text[start - 1] in "0123456789+.-":
+            continue
+        before = text[max(0, start - REACH) : start]
+        if digits.startswith("00") and digits[2:].startswith(CALLING) and 11 <= len(digits) <= 17 or 7 <= len(digits) <= 15 and CALLED.search(before):
+            yield 3, start, m.end(), False
+        if 12 <= len(digits) <= 19 and PAID.search(before):
+            yield 2, start, m.end(), False
 
 
 def labelled_spans(text: str) -> list[tuple[int, int, int, bool]]:
