@@ -6,6 +6,7 @@ The byte reading is a small row function in Arrow batches; what the entries mean
 from __future__ import annotations
 
 import struct
+import zlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -149,3 +150,71 @@ def decode_audio(media: DataFrame) -> DataFrame:
 
     schema = media.select("media_id").schema.add("sample_rate", "integer").add("samples", T.ArrayType(T.ArrayType(T.DoubleType()))).add("error", "string")
     return media.select("media_id", "content").mapInArrow(run, schema)
+
+
+# --- colour profiles ---
+
+
+def profile_bytes(raw: bytes) -> bytes | None:
+    """The profile in raw: raw itself, the numbered APP2 segments of a JPEG, or a PNG's iCCP chunk; null without one."""
+    if raw[36:40] == b"acsp":
+        return raw
+    if raw[:2] == b"\xff\xd8":
+        parts, at = {}, 2
+        while at + 4 <= len(raw) and raw[at] == 0xFF and raw[at + 1] != 0xDA:
+            size = int.from_bytes(raw[at + 2 : at + 4], "big")
+            body = raw[at + 4 : at + 2 + size]
+            if raw[at + 1] == 0xE2 and body[:12] == b"ICC_PROFILE\0" and len(body) > 14:
+                parts[body[12]] = body[14:]
+            at += 2 + max(size, 2)
+        return b"".join(parts[k] for k in sorted(parts)) if parts else None
+    if raw[:8] == b"\x89PNG\r\n\x1a\n":
+        at = 8
+        while at + 8 <= len(raw):
+            size = int.from_bytes(raw[at : at + 4], "big")
+            if raw[at + 4 : at + 8] == b"iCCP":
+                name, _, packed = raw[at + 8 : at + 8 + size].partition(b"\0")
+                try:
+                    return zlib.decompress(packed[1:])
+                except zlib.error:
+                    return None
+            at += 12 + size
+    return None
+
+
+def icc_profiles(media: DataFrame) -> DataFrame:
+    """media_id, content: the colour profile in each file of media (media_id, content); files without one have no row."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            found = pa.array([profile_bytes(c or b"") for c in b.column(1).to_pylist()], pa.binary())
+            yield pa.RecordBatch.from_arrays([b.column(0), found], ["media_id", "content"]).filter(found.is_valid())
+
+    return media.select("media_id", "content").mapInArrow(run, media.select("media_id", "content").schema)
+
+
+def icc_tags(media: DataFrame) -> DataFrame:
+    """media_id, tag, kind, text, x, y, z, gamma, curve: one row for each tag of each profile in media (media_id, content).
+
+    text is of desc, mluc (the first record) and text tags, x, y, z of XYZ tags; gamma is of curv tags without a table and of
+    para tags, curve the table of curv tags from 0 to 1. What a kind doesn't have is null.
+    """
+    part = lambda at, n: F.substr(F.col("content"), (at + 1).cast("int"), F.lit(n) if isinstance(n, int) else n.cast("int"))
+    whole = lambda at, n=4: F.conv(F.hex(part(at, n)), 16, 10).cast("long")
+    fixed = lambda at: F.when(whole(at) > 0x7FFFFFFF, whole(at) - (1 << 32)).otherwise(whole(at)) / 65536
+    ascii_ = lambda at, n: F.trim(F.regexp_replace(F.decode(part(at, n), "ISO-8859-1"), "(?s)\\x00.*", ""))
+    valid = media.where((F.length("content") >= 132) & (F.hex(F.substring("content", 37, 4)) == "61637370"))
+    count = F.conv(F.hex(F.substring("content", 129, 4)), 16, 10).cast("int")
+    fits = F.least(count, F.floor((F.length("content") - 132) / 12).cast("int"))
+    each = valid.where(fits > 0).select("media_id", "content", F.explode(F.transform(F.sequence(F.lit(0), fits - 1), lambda i: i * 12 + 132)).alias("entry"))
+    tags = each.select("media_id", "content", ascii_(F.col("entry"), 4).alias("tag"), whole(F.col("entry") + 4).alias("at"), whole(F.col("entry") + 8).alias("size"))
+    at, size = F.col("at"), F.col("size")
+    known = tags.where(at + size <= F.length("content")).withColumn("kind", ascii_(at, 4))
+    kind = F.col("kind")
+    wide = F.regexp_replace(F.decode(part(at + whole(at + 24), whole(at + 20)), "UTF-16BE"), "(?s)\\x00.*", "")
+    text = F.when(kind == "desc", ascii_(at + 12, whole(at + 8) - 1)).when((kind == "mluc") & (whole(at + 8) > 0), wide).when(kind == "text", ascii_(at + 8, size - 8))
+    points = whole(at + 8)
+    gamma = F.when((kind == "curv") & (points == 0), F.lit(1.0)).when((kind == "curv") & (points == 1), whole(at + 12, 2) / 256).when(kind == "para", fixed(at + 12))
+    table = F.transform(F.sequence(F.lit(0).cast("long"), F.least(points, F.floor((size - 12) / 2)) - 1), lambda i: F.conv(F.hex(part(F.col("at") + 12 + i * 2, 2)), 16, 10).cast("double") / 65535)
+    curve = F.when((kind == "curv") & (points > 1) & (size >= 14), table)
+    return known.select("media_id", "tag", "kind", text.alias("text"), *[F.when(kind == "XYZ", fixed(at + 8 + 4 * i)).alias(c) for i, c in enumerate("xyz")], gamma.alias("gamma"), curve.alias("curve"))
