@@ -4,12 +4,12 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..operators import draw, text
 from ..operators import raster as rs
-from ..sources import metadata
+from ..sources import metadata, notes
 from .views import GRID, rasters, table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -177,3 +177,52 @@ SQL["icc_tags"] = """SELECT p_partkey AS media_id, tag, kind, CASE tag WHEN 'des
 CASE WHEN tag = 'wtpt' THEN p_size + CAST(0.5 AS DOUBLE) END AS x, CASE WHEN tag = 'wtpt' THEN CAST(-1 AS DOUBLE) END AS y, CASE WHEN tag = 'wtpt' THEN p_partkey / CAST(256 AS DOUBLE) END AS z,
 CASE WHEN tag = 'rTRC' AND p_partkey % 3 = 0 THEN CAST(1 AS DOUBLE) WHEN tag = 'rTRC' AND p_partkey % 3 = 1 THEN p_size / CAST(256 AS DOUBLE) END AS gamma, CASE WHEN tag = 'rTRC' AND p_partkey % 3 = 2 THEN '0,1' END AS points
 FROM part CROSS JOIN (VALUES ('desc', 'desc'), ('wtpt', 'XYZ'), ('rTRC', 'curv'), ('cprt', 'text')) t(tag, kind)"""
+
+
+# --- notes ---
+
+
+def _pieces(spark: SparkSession, sf: str) -> DataFrame:
+    """A file of two tracks for each user: a name and a tempo, and then a note or a bend for each event, the status left out where it repeats."""
+    k = F.col("event_id")
+    two = lambda c: F.lpad(F.hex(c.cast("long")), 2, "0")
+    bend = k % 5 == 0
+    spelt = F.when(bend, F.concat(F.lit("E3"), two(k % 128), F.lit("40"))).otherwise(F.concat(F.lit("93"), two(k % 128), two(k % 100)))
+    last = F.lag(bend).over(Window.partitionBy("user_id").orderBy("event_id"))
+    code = F.concat(notes.number_hex(k % 300000), F.when(F.coalesce(last == bend, F.lit(False)), F.substring(spelt, 3, 4)).otherwise(spelt))
+    rows = table(spark, sf, "events").select(F.col("user_id").alias("media_id"), "event_id", code.alias("code"))
+    body = rows.groupBy("media_id").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("event_id", "code"))), lambda x: x["code"]), "").alias("b"))
+    name = F.hex(F.encode(F.concat(F.lit("user "), F.col("media_id").cast("string")), "UTF-8"))
+    size = lambda c, digits: F.lpad(F.hex((F.length(c) / 2).cast("long")), digits, "0")
+    head = F.concat(F.lit("00FF03"), size(name, 2), name, F.lit("8100FF510307A12000FF2F00"))
+    notes_ = F.concat(F.col("b"), F.lit("00F003010203" + "00FF5804040218" + "08" + "00FF2F00"))
+    mark = b"MTrk".hex()
+    return body.select("media_id", F.unhex(F.concat(F.lit(f"{b'MThd'.hex()}00000006000100020060{mark}"), size(head, 8), head, F.lit(mark), size(notes_, 8), notes_)).alias("content"))
+
+
+QUERIES["midi_parse"] = lambda spark, sf: notes.read_midi(_pieces(spark, sf))
+SQL["midi_parse"] = """WITH e AS (SELECT user_id AS media_id, event_id, row_number() OVER w - 1 AS seq, event_id % 300000 AS delta, sum(event_id % 300000) OVER w AS tick FROM events WINDOW w AS (PARTITION BY user_id ORDER BY event_id)),
+u AS (SELECT media_id, count(*) AS n, max(tick) AS tick FROM e GROUP BY media_id), r AS (
+SELECT media_id, 1 AS track, seq, delta, tick, CASE WHEN event_id % 5 = 0 THEN 'bend' ELSE 'note_on' END AS kind, 3 AS channel, event_id % 128 AS first, CASE WHEN event_id % 5 = 0 THEN 64 ELSE event_id % 100 END AS second, CASE WHEN event_id % 5 = 0 THEN event_id % 128 END AS value, CAST(NULL AS VARCHAR) AS text FROM e
+UNION ALL SELECT media_id, 1, n, 0, tick, 'sysex', NULL, 1, 2, NULL, NULL FROM u
+UNION ALL SELECT media_id, 1, n + 1, 0, tick, 'time_signature', NULL, 4, 2, 4, NULL FROM u
+UNION ALL SELECT media_id, 1, n + 2, 0, tick, 'end_of_track', NULL, NULL, NULL, NULL, NULL FROM u
+UNION ALL SELECT media_id, 0, 0, 0, 0, 'track_name', NULL, ascii('u'), ascii('s'), NULL, 'user ' || media_id FROM u
+UNION ALL SELECT media_id, 0, 1, 128, 128, 'set_tempo', NULL, 7, 161, 500000, NULL FROM u
+UNION ALL SELECT media_id, 0, 2, 0, 128, 'end_of_track', NULL, NULL, NULL, NULL, NULL FROM u)
+SELECT media_id, track, CAST(seq AS INTEGER) AS seq, CAST(delta AS BIGINT) AS delta, CAST(tick AS BIGINT) AS tick, kind, CAST(channel AS INTEGER) AS channel, CAST(first AS INTEGER) AS first, CAST(second AS INTEGER) AS second, CAST(value AS BIGINT) AS value, text FROM r"""
+QUERIES["midi_header"] = lambda spark, sf: notes.midi_header(_pieces(spark, sf))
+SQL["midi_header"] = "SELECT DISTINCT user_id AS media_id, 1 AS format, 2 AS tracks, 96 AS division FROM events"
+
+
+def _written(spark: SparkSession, sf: str) -> DataFrame:
+    k = F.col("event_id")
+    events = table(spark, sf, "events").select(F.col("user_id").alias("media_id"), (k * 300).alias("tick"), (k % 2 == 0).alias("on"), (k % 128).alias("note"), (k % 100).alias("velocity"))
+    return notes.write_midi(events).select("media_id", F.hex("content").alias("hex"))
+
+
+QUERIES["midi_write"] = _written
+SQL["midi_write"] = """WITH e AS (SELECT user_id AS media_id, event_id, event_id * 300 - coalesce(lag(event_id * 300) OVER (PARTITION BY user_id ORDER BY event_id), 0) AS d FROM events),
+c AS (SELECT media_id, event_id, CASE WHEN d >= 2097152 THEN printf('%02X', CAST(128 + d // 2097152 AS BIGINT)) ELSE '' END || CASE WHEN d >= 16384 THEN printf('%02X', CAST(128 + d // 16384 % 128 AS BIGINT)) ELSE '' END || CASE WHEN d >= 128 THEN printf('%02X', CAST(128 + d // 128 % 128 AS BIGINT)) ELSE '' END || printf('%02X', CAST(d % 128 AS BIGINT)) || CASE WHEN event_id % 2 = 0 THEN '90' ELSE '80' END || printf('%02X', CAST(event_id % 128 AS BIGINT)) || printf('%02X', CAST(event_id % 100 AS BIGINT)) AS code FROM e),
+t AS (SELECT media_id, '00FF510307A120' || string_agg(code, '' ORDER BY event_id) || '00FF2F00' AS track FROM c GROUP BY media_id)
+SELECT media_id, '4D546864000000060000000101E04D54726B' || printf('%08X', CAST(length(track) // 2 AS BIGINT)) || track AS hex FROM t"""
