@@ -91,6 +91,29 @@ def outline(pixels: DataFrame, points: list[Point], colour: Colour) -> DataFrame
     return pixels
 
 
+def circle_steps(radius: int) -> list[int]:
+    """For each row from the centre on the column of the outline, as far as the diagonal: a step inwards where (y + 1)^2 + x^2 - 1 exceeds the square of the radius."""
+    xs = [radius]
+    while True:
+        y, x = len(xs), xs[-1]
+        x -= (y + 1) * (y + 1) + x * x - 1 > radius * radius
+        if x < y:
+            return xs
+        xs.append(x)
+
+
+def draw_circle(pixels: DataFrame, cx: float, cy: float, radius: float, colour: Colour) -> DataFrame:
+    """The outline of a circle. It is laid on once for each of eight mirrored arcs, so twice where two arcs meet."""
+    steps = circle_steps(_round(radius))
+    dx, dy, xs = F.abs(F.col(X) - _round(cx)), F.abs(F.col(Y) - _round(cy)), F.array(*map(F.lit, steps))
+    on = lambda row, column: F.coalesce(F.try_element_at(xs, (row + 1).cast("int")) == column, F.lit(False)).cast("int")
+    arcs = (on(dy, dx) + on(dx, dy)) * F.when(dx == 0, 2).otherwise(1) * F.when(dy == 0, 2).otherwise(1)
+    marked = pixels.withColumn("__arcs", arcs)
+    for k in range(1, 9 if steps == [0] else 3):
+        marked = paint(marked, F.col("__arcs") >= k, colour)
+    return marked.drop("__arcs")
+
+
 def draw_rect(pixels: DataFrame, x: float, y: float, width: float, height: float, colour: Colour) -> DataFrame:
     right, bottom = x + width - 1, y + height - 1
     return outline(pixels, [(x, y), (right, y), (right, bottom), (x, bottom)], colour)

@@ -163,6 +163,24 @@ def reassemble(packets: DataFrame) -> DataFrame:
     return units.groupBy("media_id", "unit").agg(F.count(F.lit(1)).alias("packets"), F.sum("size").alias("bytes"))
 
 
+def laced_packets(segments: DataFrame) -> DataFrame:
+    """media_id, packet, bytes, pages, complete from segments (media_id, page, i, size): a segment under 255 bytes ends its packet, on whatever page."""
+    order = Window.partitionBy("media_id").orderBy("page", "i")
+    ended = (F.col("size") < 255).cast("int")
+    numbered = segments.withColumn("packet", F.sum(ended).over(order) - ended)
+    return numbered.groupBy("media_id", "packet").agg(F.sum("size").alias("bytes"), (F.max("page") - F.min("page") + 1).alias("pages"), (F.min("size") < 255).alias("complete"))
+
+
+def cluster_times(blocks: DataFrame, scale: int = 1_000_000) -> DataFrame:
+    """blocks (media_id, seq, cluster, relative) with seconds: a block's time is that of the last cluster before it and its own.
+
+    cluster is the time of a cluster head and null for blocks; times are in units of scale nanoseconds. Heads go.
+    """
+    base = F.last("cluster", ignorenulls=True).over(Window.partitionBy("media_id").orderBy("seq"))
+    timed = blocks.withColumn("base", F.coalesce(base, F.lit(0)))
+    return timed.where("cluster IS NULL").select("media_id", "seq", ((F.col("base") + F.col("relative")) * F.lit(float(scale)) / 1e9).alias("seconds"))
+
+
 def fixed_prediction(samples: DataFrame, order: int) -> DataFrame:
     """The residual of the fixed polynomial predictor of that order, null for the first samples."""
     w = Window.partitionBy("media_id").orderBy("i")

@@ -45,6 +45,10 @@ QUERIES["draw_rect"] = lambda spark, sf: draw.draw_rect(canvas(spark, sf), 1, 2,
 _sides = ["y = 2 AND x BETWEEN 1 AND 6", "x = 6 AND y BETWEEN 2 AND 5", "y = 5 AND x BETWEEN 1 AND 6", "x = 1 AND y BETWEEN 2 AND 5"]
 SQL["draw_rect"] = f"WITH {CANVAS}, s1 AS ({_painted('cv', _sides[0])}), s2 AS ({_painted('s1', _sides[1])}), s3 AS ({_painted('s2', _sides[2])}) {_painted('s3', _sides[3])}"
 
+_ARCS = "(abs(x - 4), abs(y - 4)) IN ((3, 0), (0, 3), (1, 2), (2, 1))"
+QUERIES["draw_circle"] = lambda spark, sf: draw.draw_circle(canvas(spark, sf), 4.2, 3.6, 3, COLOUR)
+SQL["draw_circle"] = f"WITH {CANVAS}, once AS ({_painted('cv', _ARCS)}) {_painted('once', '(abs(x - 4), abs(y - 4)) IN ((3, 0), (0, 3))')}"
+
 STOPS = [(0.0, (255, 0, 0, 255)), (0.5, (0, 255, 0, 128)), (1.0, (0, 0, 255, 255))]
 
 

@@ -175,6 +175,20 @@ def pes_reassembly(spark, sf):
     return timed.reassemble(table(spark, sf, "events").select(F.col("user_id").alias("media_id"), F.col("event_id").alias("seq"), (F.col("event_type") == "signup").alias("start"), F.length("props").alias("size")))
 
 
+@_query("""WITH s AS (SELECT user_id AS media_id, event_id // 8 AS page, event_id % 8 AS i, CASE WHEN event_id % 3 = 0 THEN event_id % 255 ELSE 255 END AS size FROM events), n AS (SELECT *, sum(CASE WHEN size < 255 THEN 1 ELSE 0 END) OVER (PARTITION BY media_id ORDER BY page, i) - CASE WHEN size < 255 THEN 1 ELSE 0 END AS packet FROM s)
+SELECT media_id, CAST(packet AS BIGINT) AS packet, CAST(sum(size) AS BIGINT) AS bytes, max(page) - min(page) + 1 AS pages, min(size) < 255 AS complete FROM n GROUP BY media_id, packet""")
+def laced_packets(spark, sf):
+    k = F.col("event_id")
+    return timed.laced_packets(table(spark, sf, "events").select(F.col("user_id").alias("media_id"), F.floor(k / 8).alias("page"), (k % 8).alias("i"), F.when(k % 3 == 0, k % 255).otherwise(255).alias("size")))
+
+
+@_query("""WITH e AS (SELECT *, max(CASE WHEN event_type = 'signup' THEN event_id END) OVER (PARTITION BY user_id ORDER BY event_id) AS head FROM events)
+SELECT user_id AS media_id, event_id AS seq, (coalesce(head * 1000, 0) + event_id % 500) * CAST(1000000 AS DOUBLE) / 1000000000 AS seconds FROM e WHERE event_type <> 'signup'""")
+def cluster_times(spark, sf):
+    head = F.col("event_type") == "signup"
+    return timed.cluster_times(table(spark, sf, "events").select(F.col("user_id").alias("media_id"), F.col("event_id").alias("seq"), F.when(head, F.col("event_id") * 1000).alias("cluster"), (F.col("event_id") % 500).alias("relative")))
+
+
 def signal(spark: SparkSession, sf: str) -> DataFrame:
     """Each embedding as 64 samples of 16 bits."""
     return table(spark, sf, "embeddings").select(F.col("vec_id").alias("media_id"), F.posexplode("embedding").alias("i", "e")).select("media_id", "i", F.floor(F.col("e").cast("double") * 32767).cast("long").alias("sample"))
