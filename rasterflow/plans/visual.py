@@ -159,7 +159,7 @@ for _mode, _take in blend.COMPONENTS.items():
     SQL[f"blend_{_mode}"] = _composite_sql(_part, 0.8, _ctes, "t")
 
 QUERIES["composite_offset"] = lambda spark, sf: px.composite(pixels(spark, sf), overlays(spark, sf), x=1, opacity=0.5)
-SQL["composite_offset"] = _composite_sql([f"CAST({c}2 AS DOUBLE)" for c in "rgb"], 0.5).replace("l_linenumber - 1 AS x, CAST(l_suppkey * 7", "l_linenumber AS x, CAST(l_suppkey * 7")
+SQL["composite_offset"] = _composite_sql([f"CAST({c}2 AS DOUBLE)" for c in "rgb"], 0.5).replace("ov AS (SELECT * FROM tl", "ov AS (SELECT * REPLACE (x + 1 AS x) FROM tl")
 QUERIES["premultiply"] = lambda spark, sf: translucent(spark, sf).withColumns(dict(zip("rgb", blend.premultiply(px.rgb_of(), F.col("a")), strict=True)))
 SQL["premultiply"] = f"WITH {TRANSLUCENT} SELECT media_id, y, x, {', '.join(f'{_int(_round(f"CAST({c} AS DOUBLE) * a / 255"))} AS {c}' for c in 'rgb')}, a FROM tl"
 QUERIES["unpremultiply"] = lambda spark, sf: translucent(spark, sf).withColumns(dict(zip("rgb", blend.unpremultiply(px.rgb_of(), F.col("a")), strict=True)))
