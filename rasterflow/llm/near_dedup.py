@@ -36,8 +36,9 @@ SHINGLE = 5
 #: fewer is P(Binomial(64, 0.75) < 24), under 1e-11. Sets of K shingles or fewer are retained whole, without any chance.
 K, MIN_SHARED = 64, 24
 PERCENT = 75
-#: Members of a short list, and of a part of a group.
-SHORT, PART = 16, 64
+#: Members of a short list of sketch values, of a short list of differences (whose pairs are nearly all ruled out by what
+#: is left of their differences, before they are made), and of a part of a group.
+SHORT, DEEP, PART = 16, 512, 64
 #: A class with more than a share of 1 / HOT of all rows is joined by broadcast: HOT classes at most.
 HOT = 10_000
 
@@ -194,8 +195,9 @@ def all_links(lists: DataFrame, short: DataFrame, whole: DataFrame) -> DataFrame
     """Links (a, b) that connect whatever all pairs of list members would; lists: value, rep, size, central."""
     links, pairs = [], []
     sized = materialize(viable(lists.withColumns({"open": F.lit(True), "room": F.lit(1 << 40), "excess": F.lit(0).cast("long"), "parent": F.lit(1 << 40)})), "lists")
+    short_list = SHORT
     while True:
-        few = (F.col("n") <= SHORT) | (F.col("n_open") * 2 <= SHORT)
+        few = (F.col("n") <= short_list) | (F.col("n_open") * 2 <= short_list)
         pairs.append(materialize(_met(sized.where(few)).distinct(), "met"))
         groups = materialize(_groups(sized.where(~few)), "groups")
         if not groups.limit(1).count():
@@ -208,7 +210,7 @@ def all_links(lists: DataFrame, short: DataFrame, whole: DataFrame) -> DataFrame
         links.append(materialize(placed.where(~F.col("open") & (F.col("rep") != F.col("inner"))).select(F.col("inner").alias("a"), F.col("rep").alias("b")).distinct(), "sure"))
         still = placed.where("open").groupBy("hub", "members").agg(F.min("excess").alias("threshold"))
         found = materialize(difference_lists(placed.join(_by_part(still), ["hub", "part"]), counts), "lists")
-        sized = materialize(viable(materialize(viable(found), "lists")), "lists")
+        sized, short_list = materialize(viable(materialize(viable(found), "lists")), "lists"), DEEP
     sure = reduce(DataFrame.unionByName, links, pairs[0].limit(0))
     comps = components(sure)
     met = _labelled(_labelled(reduce(DataFrame.unionByName, pairs).distinct(), comps, "a", "ca"), comps, "b", "cb").where("ca <> cb").select("a", "b")
