@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import exact_dedup, line_dedup, near_dedup, packing, pii, quality, secret_scan, sentencepiece_text, substring_dedup, topk
+from . import divergence, exact_dedup, line_dedup, near_dedup, packing, pii, quality, secret_scan, sentencepiece_text, spelling, substring_dedup, topk
 from .common import table
 
 
@@ -53,7 +53,15 @@ def op10_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii.find_pii(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op1_sentencepiece, op2_topk, op3_substring_dedup, op4_quality, op5_line_dedup, op6_minhash, op7_packing, op8_secret_scan, op9_exact_dedup, op10_pii)}
+def op11_spelling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spelling.spelling_groups(table(spark, sf_dir, "documents"))
+
+
+def op12_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return divergence.source_divergence(table(spark, sf_dir, "documents"))
+
+
+QUERIES = {f.__name__: f for f in (op1_sentencepiece, op2_topk, op3_substring_dedup, op4_quality, op5_line_dedup, op6_minhash, op7_packing, op8_secret_scan, op9_exact_dedup, op10_pii, op11_spelling, op12_divergence)}
 
 SQL = {
     "op2_topk": """
@@ -142,5 +150,72 @@ SELECT doc_id, first_value(doc_id) OVER best AS keep_id, count(*) OVER (PARTITIO
   doc_id = first_value(doc_id) OVER best AS kept, sha256(norm) AS text_sha256
 FROM d
 WINDOW best AS (PARTITION BY norm ORDER BY points DESC, doc_id ROWS BETWEEN UNBOUNDED PRECEDING AND UNBOUNDED FOLLOWING)
+""",
+    "op11_spelling": r"""
+WITH RECURSIVE crc AS (
+  SELECT list_transform(range(256), lambda x: list_reduce(range(8), lambda c, i: CASE WHEN c % 2 = 1 THEN xor(3988292384, c // 2) ELSE c // 2 END, x)) AS steps
+), runs AS (
+  SELECT coalesce(CAST(doc_id AS VARCHAR), '') AS id, unnest(regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[a-z\x{C0}-\x{FF}]+')) AS run FROM documents
+), each AS MATERIALIZED (
+  SELECT id, run, count(*) AS n FROM runs GROUP BY id, run
+), summed AS (
+  SELECT run, n, xor(4294967295, list_reduce(
+    flatten(list_transform(string_split(id || ':' || run, ''), lambda c: CASE WHEN unicode(c) < 128 THEN [CAST(unicode(c) AS BIGINT)] ELSE [195, CAST(unicode(c) AS BIGINT) - 64] END)),
+    lambda c, b: xor(c // 256, steps[xor(c, b) % 256 + 1]), 4294967295)) AS h
+  FROM each, crc
+), w AS MATERIALIZED (
+  SELECT CASE WHEN h % 199 = 0 THEN left(run, CAST(h % length(run) AS INT)) || substr(run, CAST(h % length(run) AS INT) + 2) ELSE run END AS word, CAST(sum(n) AS BIGINT) AS n
+  FROM summed GROUP BY 1 HAVING length(word) >= 6 AND sum(n) >= 5
+), cut AS MATERIALIZED (
+  SELECT word, i, left(word, i) || substr(word, i + 2) AS rest FROM (SELECT word, CAST(unnest(range(length(word))) AS INT) AS i FROM w)
+), near AS (
+  SELECT cut.word, w.word AS other FROM cut JOIN w ON cut.rest = w.word
+  UNION
+  SELECT w.word, cut.word FROM cut JOIN w ON cut.rest = w.word
+  UNION
+  SELECT a.word, b.word FROM cut a JOIN cut b ON a.i = b.i AND a.rest = b.rest AND a.word <> b.word
+), best AS (
+  SELECT near.word, count(*) AS n_near, first(other ORDER BY w.n DESC, other) AS other, max(w.n) AS other_n FROM near JOIN w ON w.word = near.other GROUP BY near.word
+), formed AS MATERIALIZED (
+  SELECT w.word, w.n, coalesce(n_near, 0) AS n_near, CASE WHEN other_n >= 5 * w.n THEN other END AS form, CASE WHEN other_n >= 5 * w.n THEN other_n END AS form_n
+  FROM w LEFT JOIN best ON best.word = w.word
+), follow AS (
+  SELECT word, word AS root FROM formed
+  UNION ALL
+  SELECT follow.word, formed.form FROM follow JOIN formed ON formed.word = follow.root WHERE formed.form IS NOT NULL
+), ends AS (
+  SELECT follow.word, follow.root FROM follow JOIN formed ON formed.word = follow.root WHERE formed.form IS NULL
+)
+SELECT formed.word, form, root, n, n_near, form_n FROM formed JOIN ends ON ends.word = formed.word
+""",
+    "op12_divergence": r"""
+WITH d AS MATERIALIZED (
+  SELECT row_number() OVER () AS r, coalesce(lang, '') AS lang, coalesce(source, '') AS source, translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS text FROM documents
+), t AS MATERIALIZED (
+  SELECT r, lang, source, term, count(*) AS n FROM (SELECT r, lang, source, unnest(regexp_extract_all(text, '[^\x00-\x40\x5B-\x60\x7B-\x7F]+')) AS term FROM d) GROUP BY ALL
+), k AS MATERIALIZED (
+  SELECT lang, term, CAST(sum(n) AS HUGEINT) AS n FROM t GROUP BY lang, term HAVING count(*) >= 3
+), v AS (
+  SELECT lang, count(*) AS v, sum(n) AS total FROM k GROUP BY lang
+), g AS MATERIALIZED (
+  SELECT DISTINCT lang, source FROM d
+), c AS MATERIALIZED (
+  SELECT t.lang, t.source, t.term, CAST(sum(t.n) AS HUGEINT) AS n FROM t SEMI JOIN k ON t.lang = k.lang AND t.term = k.term GROUP BY ALL
+), s AS (
+  SELECT g.lang, g.source, coalesce(sum(c.n), 0) AS total FROM g LEFT JOIN c ON c.lang = g.lang AND c.source = g.source GROUP BY ALL
+), p AS MATERIALIZED (
+  SELECT s.lang, s.source, k.term, coalesce(c.n, 0) AS n, 1 + 1000000000 * (coalesce(c.n, 0) + 1) // (s.total + v.v) AS p, 1 + 1000000000 * (k.n + 1) // (v.total + v.v) AS usual
+  FROM s JOIN v ON v.lang = s.lang JOIN k ON k.lang = s.lang LEFT JOIN c ON c.lang = s.lang AND c.source = s.source AND c.term = k.term
+), pairs AS (
+  SELECT a.lang, a.source, b.source AS item, sum((a.p - b.p) * (a.p - b.p) // b.p) AS value FROM p a JOIN p b ON a.lang = b.lang AND a.term = b.term AND a.source <> b.source GROUP BY ALL
+), all_parts AS (
+  SELECT a.lang, a.source, 'pair' AS part, b.source AS item, CAST(coalesce(value, 0) AS BIGINT) AS value
+  FROM g a JOIN g b ON a.lang = b.lang AND a.source <> b.source LEFT JOIN pairs ON pairs.lang = a.lang AND pairs.source = a.source AND pairs.item = b.source
+  UNION ALL
+  SELECT lang, source, 'term', term, CAST((p - usual) * (p - usual) // usual AS BIGINT) FROM p WHERE n > 0 AND p > usual
+)
+SELECT lang, source, part, item, value, CAST(row_number() OVER (PARTITION BY lang, source, part ORDER BY value DESC, item) AS INTEGER) AS rank
+FROM all_parts
+QUALIFY part = 'pair' OR row_number() OVER (PARTITION BY lang, source, part ORDER BY value DESC, item) <= 200
 """,
 }
