@@ -40,6 +40,27 @@ def materialize(df: DataFrame, label: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def _delete(spark: SparkSession, path: str) -> None:
+    where = spark._jvm.org.apache.hadoop.fs.Path(path)
+    where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)
+
+
+@contextmanager
+def scratch(spark: SparkSession) -> Iterator[Callable[[DataFrame, str], DataFrame]]:
+    """materialize() for tables that are deleted at the end of the block; what is returned from it must not read them."""
+    path = f"{shared_dir(spark)}/scratch-{uuid.uuid4().hex}"
+
+    def keep(df: DataFrame, label: str) -> DataFrame:
+        own = f"{path}/{label}-{uuid.uuid4().hex}"
+        df.write.parquet(own)
+        return spark.read.schema(df.schema).parquet(own)
+
+    try:
+        yield keep
+    finally:
+        _delete(spark, path)
+
+
 @contextmanager
 def bucketed(df: DataFrame, key: str, label: str) -> Iterator[DataFrame]:
     """df as a table under the shared folder with a bucket for each shuffle partition, so that joins on key don't shuffle it; dropped at the end."""
@@ -51,8 +72,7 @@ def bucketed(df: DataFrame, key: str, label: str) -> Iterator[DataFrame]:
         yield spark.table(name)
     finally:
         spark.sql(f"DROP TABLE IF EXISTS {name}")
-        where = spark._jvm.org.apache.hadoop.fs.Path(path)
-        where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)
+        _delete(spark, path)
 
 
 def named(df: DataFrame, name: str) -> Column:

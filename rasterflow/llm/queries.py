@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import divergence, exact_dedup, line_dedup, near_dedup, packing, pii, quality, secret_scan, sentencepiece_text, spelling, substring_dedup, topk
+from . import divergence, exact_dedup, line_dedup, near_dedup, ngram_join, packing, pii, quality, secret_scan, sentencepiece_text, spelling, substring_dedup, topk
 from .common import table
 
 
@@ -61,7 +61,11 @@ def op12_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
     return divergence.source_divergence(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op1_sentencepiece, op2_topk, op3_substring_dedup, op4_quality, op5_line_dedup, op6_minhash, op7_packing, op8_secret_scan, op9_exact_dedup, op10_pii, op11_spelling, op12_divergence)}
+def op13_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ngram_join.jaccard_join(table(spark, sf_dir, "documents"))
+
+
+QUERIES = {f.__name__: f for f in (op1_sentencepiece, op2_topk, op3_substring_dedup, op4_quality, op5_line_dedup, op6_minhash, op7_packing, op8_secret_scan, op9_exact_dedup, op10_pii, op11_spelling, op12_divergence, op13_ngram_join)}
 
 SQL = {
     "op2_topk": """
@@ -217,5 +221,29 @@ WITH d AS MATERIALIZED (
 SELECT lang, source, part, item, value, CAST(row_number() OVER (PARTITION BY lang, source, part ORDER BY value DESC, item) AS INTEGER) AS rank
 FROM all_parts
 QUALIFY part = 'pair' OR row_number() OVER (PARTITION BY lang, source, part ORDER BY value DESC, item) <= 200
+""",
+    "op13_ngram_join": r"""
+WITH RECURSIVE w AS (
+  SELECT doc_id, list_filter(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x20\x09-\x0D]+'), lambda x: x <> '') AS words
+  FROM documents
+), s AS MATERIALIZED (
+  SELECT DISTINCT doc_id, unnest(CASE WHEN len(words) = 0 THEN [] WHEN len(words) < 5 THEN [array_to_string(words, ' ')]
+    ELSE list_transform(range(1, len(words) - 3), lambda i: array_to_string(words[i:i + 4], ' ')) END) AS shingle
+  FROM w
+), n AS MATERIALIZED (
+  SELECT doc_id, count(*) AS n FROM s GROUP BY doc_id
+), l AS MATERIALIZED (
+  SELECT a, b FROM (SELECT x.doc_id AS a, y.doc_id AS b, count(*) AS shared FROM s x JOIN s y USING (shingle) WHERE x.doc_id <> y.doc_id GROUP BY ALL)
+  JOIN n p ON p.doc_id = a JOIN n q ON q.doc_id = b
+  WHERE 100 * shared >= 80 * (p.n + q.n - shared)
+), reach AS (
+  SELECT a AS doc_id, b AS other FROM l
+  UNION
+  SELECT reach.doc_id, l.b FROM reach JOIN l ON l.a = reach.other
+), c AS (
+  SELECT w.doc_id, least(w.doc_id, min(other)) AS component_id FROM w LEFT JOIN reach ON reach.doc_id = w.doc_id GROUP BY w.doc_id
+)
+SELECT c.doc_id, coalesce(n.n, 0) AS n_shingles, component_id
+FROM c LEFT JOIN n ON n.doc_id = c.doc_id
 """,
 }
