@@ -33,6 +33,8 @@ CARD = re.compile(r"[0-9](?:[\x20-]?[0-9])++")
 PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
 DIGIT = re.compile(r"[0-9]")
 LAST = re.compile(r"[A-Za-z0-9-]*\Z")
+#: Code points from the end in which LAST is looked for; no known domain is as long.
+TAIL = 16
 LOCAL_CHARS = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789._%+-")
 
 # Gazetteers: top-level domains, calling codes, card issuers' prefixes.
@@ -158,7 +160,7 @@ def features(text: str, kind: int, start: int, end: int, rule: bool) -> tuple[in
     body = text[start:end]
     digits = digits_of(body)
     if kind == 0:
-        known = LAST.search(body)[0].lower() in TLDS
+        known = LAST.search(body[-TAIL:])[0].lower() in TLDS
     elif kind == 1:
         known = 1 <= int(body.split(".")[0][-9:] or 0) <= 223
     elif kind == 2:

@@ -231,6 +231,15 @@ def test_long_tokens_take_linear_time(spark):
     assert got[1].spans == "random:0:1000000" and got[3].n_random == 0 and time.time() - start < 100
 
 
+def test_long_addresses_take_linear_time(spark):
+    """Parts of an address of a million letters, before and after the sign, last or not."""
+    long = "a" * 1_000_000
+    docs = spark.createDataFrame([(1, f"write to {long}@example.com"), (2, f"{long}@{long}.{long}"), (3, f"{'a.' * 500_000}b@c.de")], "doc_id long, text string")
+    start = time.time()
+    got = {x.doc_id: x.n_email for x in pii.find_pii(docs).collect()}
+    assert got == {1: 1, 2: 1, 3: 1} and time.time() - start < 60
+
+
 TOKEN = "Zx8Kq2Lm9Pw4Rt6Yv1Bn3Hd7Jf5Gs0Ca"
 #: Texts around a token (%), and what of them is to be found as random.
 GLUED = [
