@@ -224,13 +224,14 @@ def vtt_blocks(files: DataFrame) -> DataFrame:
 
 
 def vtt_settings(files: DataFrame) -> DataFrame:
-    """media_id, block_no, id, vertical, line, position, size, align, region of each cue."""
+    """media_id, block_no, id, vertical, line, position, size, align, region, text of each cue."""
     rows = vtt_blocks(files).where(~F.col("block").rlike("^(REGION|STYLE|NOTE)")).withColumn("lines", F.split("block", r"\r?\n"))
     own = F.when(~F.col("lines")[0].contains("-->"), F.trim(F.col("lines")[0]))
     line = F.when(F.col("lines")[0].contains("-->"), F.col("lines")[0]).otherwise(F.try_element_at("lines", F.lit(2)))
     after = F.regexp_extract(line, rf"{_VTT_LINE}\s+(.*)", 1)
-    found = rows.withColumns({"id": own, "settings": after}).where(line.rlike(_VTT_LINE))
-    return found.select("media_id", "block_no", "id", *[setting(F.col("settings"), k).alias(k) for k in ("vertical", "line", "position", "size", "align", "region")])
+    said = F.array_join(F.slice("lines", F.when(F.col("lines")[0].contains("-->"), 2).otherwise(3), F.greatest(F.size("lines"), F.lit(1))), "\n")
+    found = rows.withColumns({"id": own, "settings": after, "text": said}).where(line.rlike(_VTT_LINE))
+    return found.select("media_id", "block_no", "id", *[setting(F.col("settings"), k).alias(k) for k in ("vertical", "line", "position", "size", "align", "region")], "text")
 
 
 def vtt_regions(files: DataFrame) -> DataFrame:

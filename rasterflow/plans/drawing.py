@@ -160,16 +160,16 @@ def _profiles(spark: SparkSession, sf: str) -> DataFrame:
     k, size = F.col("p_partkey"), F.col("p_size").cast("long")
     n = lambda v, digits=8: F.lpad(F.hex(v if not isinstance(v, int) else F.lit(v)), digits, "0")
     sign = lambda s: F.lit(s.encode().hex().upper())
-    name = F.hex(F.encode(F.substring("p_name", 1, 8), "US-ASCII"))
-    bodies = [  # each padded to 32 bytes
-        ("desc", F.concat(sign("desc"), n(0), n(9), F.rpad(name, 16, "20"))),
+    name = F.hex(F.encode("p_name", "UTF-8"))
+    bodies = [  # each in a slot of 64 bytes
+        ("desc", F.concat(sign("desc"), n(0), n((F.length(name) / 2 + 1).cast("long")), name, F.lit("00"))),
         ("wtpt", F.concat(sign("XYZ "), n(0), n(size * 65536 + 32768), F.lit("FFFF0000"), n(k * 256))),
         ("rTRC", F.concat(sign("curv"), n(0), F.when(k % 3 == 0, n(0)).when(k % 3 == 1, F.concat(n(1), n(size, 4))).otherwise(F.concat(n(2), n(0, 4), F.lit("FFFF"))))),
         ("cprt", F.concat(sign("text"), n(0), F.hex(F.encode(F.col("p_brand"), "US-ASCII")))),
     ]
     first = 132 + 12 * len(bodies)
-    table_ = [F.concat(sign(t), n(first + 32 * i), n(32)) for i, (t, _) in enumerate(bodies)]
-    raw = F.concat(n(first + 32 * len(bodies)), F.lit("0" * 64), sign("acsp"), F.lit("0" * 176), n(len(bodies)), *table_, *[F.rpad(b, 64, "0") for _, b in bodies])
+    table_ = [F.concat(sign(t), n(first + 64 * i), n((F.length(b) / 2).cast("long"))) for i, (t, b) in enumerate(bodies)]
+    raw = F.concat(n(first + 64 * len(bodies)), F.lit("0" * 64), sign("acsp"), F.lit("0" * 176), n(len(bodies)), *table_, *[F.rpad(b, 128, "0") for _, b in bodies])
     segment = lambda no, part: F.concat(F.lit("FFE2"), n((F.length(part) / 2 + 16).cast("long"), 4), F.lit(b"ICC_PROFILE\0".hex().upper()), n(no, 2), F.lit("02"), part)
     half = lambda a, b: F.substring(raw, a, b)
     jpeg = F.concat(F.lit("FFD8"), segment(2, half(201, 2000)), F.lit("FFE00004AAAA"), segment(1, half(1, 200)), F.lit("FFDA0000"))
@@ -177,7 +177,7 @@ def _profiles(spark: SparkSession, sf: str) -> DataFrame:
 
 
 QUERIES["icc_tags"] = lambda spark, sf: metadata.icc_tags(metadata.icc_profiles(_profiles(spark, sf))).withColumn("curve", F.concat_ws(",", F.transform("curve", lambda v: v.cast("int").cast("string")))).withColumn("points", F.when(F.col("curve") != "", F.col("curve"))).drop("curve")
-SQL["icc_tags"] = """SELECT p_partkey AS media_id, tag, kind, CASE tag WHEN 'desc' THEN trim(substring(p_name, 1, 8)) WHEN 'cprt' THEN p_brand END AS text,
+SQL["icc_tags"] = """SELECT p_partkey AS media_id, tag, kind, CASE tag WHEN 'desc' THEN p_name WHEN 'cprt' THEN p_brand END AS text,
 CASE WHEN tag = 'wtpt' THEN p_size + CAST(0.5 AS DOUBLE) END AS x, CASE WHEN tag = 'wtpt' THEN CAST(-1 AS DOUBLE) END AS y, CASE WHEN tag = 'wtpt' THEN p_partkey / CAST(256 AS DOUBLE) END AS z,
 CASE WHEN tag = 'rTRC' AND p_partkey % 3 = 0 THEN CAST(1 AS DOUBLE) WHEN tag = 'rTRC' AND p_partkey % 3 = 1 THEN p_size / CAST(256 AS DOUBLE) END AS gamma, CASE WHEN tag = 'rTRC' AND p_partkey % 3 = 2 THEN '0,1' END AS points
 FROM part CROSS JOIN (VALUES ('desc', 'desc'), ('wtpt', 'XYZ'), ('rTRC', 'curv'), ('cprt', 'text')) t(tag, kind)"""

@@ -136,10 +136,10 @@ def cue_write(spark, sf):
 _MS = lambda c: F.concat(F.lpad(_s(F.floor(c / 3600)), 2, "0"), F.lit(":"), F.lpad(_s(F.floor(c % 3600 / 60)), 2, "0"), F.lit(":"), F.lpad(_s(c % 60), 2, "0"))
 
 
-def subtitles(spark: SparkSession, sf: str) -> DataFrame:
-    """Each conversation as SRT, VTT or plain text by its id: a cue for each turn, from 3 to 3 seconds."""
-    t, kind = F.col("turn").cast("long"), F.col("conv_id") % 3
-    words = F.trim(F.regexp_replace(F.coalesce("text", F.lit("")), r"[^a-z]+", " "))
+def subtitles(spark: SparkSession, sf: str, kind: Column | None = None) -> DataFrame:
+    """Each conversation as SRT (0), VTT (1) or plain text, by its id or by kind: a cue for each turn, from 3 to 3 seconds."""
+    t, kind = F.col("turn").cast("long"), F.col("conv_id") % 3 if kind is None else kind
+    words = F.coalesce("text", F.lit(""))
     srt = F.concat(_s(t + 1), F.lit("\n"), _MS(t * 3), F.lit(",000 --> "), _MS(t * 3 + 2), F.lit(",500\nx "), words, F.lit("\n\n"))
     vtt = F.concat(F.when(t == 0, F.lit("WEBVTT about\n\nSTYLE\n::cue { color: red }\n\n")).otherwise(F.lit("")), F.when(t % 2 == 0, F.lit("id\n")).otherwise(F.lit("")), _MS(t * 3), F.lit(".000 --> "), _MS(t * 3 + 2), F.lit(".500  align:start position:"), _s(t), F.lit("%\nx "), words, F.lit("\n\n"))
     return _files(table(spark, sf, "conversations"), "conv_id", ["turn"], F.when(kind == 0, srt).when(kind == 1, vtt).otherwise(words))
@@ -150,9 +150,9 @@ def subtitle_info(spark, sf):
     return sc.subtitle_info(subtitles(spark, sf))
 
 
-@_query("SELECT conv_id AS media_id, CASE WHEN turn % 2 = 0 THEN 'id' END AS id, 'start' AS align, turn || '%' AS position, CAST(NULL AS VARCHAR) AS region FROM conversations WHERE conv_id % 3 = 1")
+@_query("SELECT conv_id AS media_id, CASE WHEN turn % 2 = 0 THEN 'id' END AS id, 'start' AS align, turn || '%' AS position, CAST(NULL AS VARCHAR) AS region, regexp_replace('x ' || coalesce(text, ''), '\\s+$', '') AS text FROM conversations")
 def vtt_settings(spark, sf):
-    return sc.vtt_settings(subtitles(spark, sf).where("media_id % 3 = 1")).select("media_id", "id", "align", "position", "region")
+    return sc.vtt_settings(subtitles(spark, sf, F.lit(1))).select("media_id", "id", "align", "position", "region", "text")
 
 
 def _regions(spark: SparkSession, sf: str) -> DataFrame:

@@ -1,13 +1,11 @@
-"""Drawing, metadata and audio on small inputs, and their queries against SQL."""
+"""Drawing, metadata and audio on small inputs."""
 
 import struct
 
-import duckdb
 import pytest
 from pyspark.sql import functions as F
 
 from rasterflow.operators import draw
-from rasterflow.plans import drawing
 from rasterflow.sources import metadata
 
 SF = "/root/testdata/sf0.001"
@@ -78,22 +76,3 @@ def test_icc(spark):
 def test_broken_audio(spark):
     row = metadata.decode_audio(spark.createDataFrame([(1, b"RIFFxxxxWAVE"), (2, None)], "media_id int, content binary")).collect()
     assert all(r.samples is None and r.error for r in row)
-
-
-@pytest.fixture(scope="module")
-def db():
-    con = duckdb.connect()
-    for t in ("orders", "embeddings"):
-        con.execute(f"CREATE VIEW {t} AS SELECT * FROM read_parquet('{SF}/{t}.parquet')")
-    return con
-
-
-@pytest.mark.parametrize("name", sorted(drawing.QUERIES))
-def test_query(spark, db, name):
-    df = drawing.QUERIES[name](spark, SF)
-    cur = db.execute(drawing.SQL[name])
-    cols = [d[0] for d in cur.description]
-    assert sorted(cols) == sorted(df.columns)
-    plain = lambda v: round(v, 6) if isinstance(v, float) else v
-    want = sorted((tuple(plain(r[cols.index(c)]) for c in df.columns) for r in cur.fetchall()), key=repr)
-    assert sorted((tuple(map(plain, r)) for r in df.collect()), key=repr) == want
