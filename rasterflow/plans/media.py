@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from ..functions import sniff
 from ..operators import raster as rs
 from ..sources import media
-from ..streaming import media_stream
+from ..streaming import media_stream, stateful
 from .views import GRID, rasters, table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -58,3 +58,33 @@ QUERIES["sniff_content"] = _sniffed
 SQL["sniff_content"] = "WITH e AS (SELECT vec_id AS media_id FROM embeddings) " + " UNION ALL ".join(f"SELECT '{f}' AS encoder, media_id, {want} AS format FROM e" for f, want in _SIGNS.items())
 QUERIES["sniff_svg"] = lambda spark, sf: table(spark, sf, "nation").select("n_nationkey", sniff.sniff(F.hex(F.encode(F.when(F.col("n_nationkey") % 2 == 0, F.concat(F.lit('<?xml version="1.0"?>\n<SVG viewBox="0 0 1 1"><title>'), F.col("n_name"), F.lit("</title></SVG>"))).otherwise(F.concat(F.lit("<p>"), F.col("n_name"))), "UTF-8"))).alias("format"))
 SQL["sniff_svg"] = "SELECT n_nationkey, CASE WHEN n_nationkey % 2 = 0 THEN 'svg' END AS format FROM nation"
+
+
+def _event_stream(spark: SparkSession, sf: str) -> DataFrame:
+    """The events as a stream; the pattern serves a table of one file as well as a folder."""
+    return spark.readStream.schema(table(spark, sf, "events").schema).parquet(f"{sf}/events[.]parquet").withColumn("ts", F.col("ts").cast("timestamp"))
+
+
+def stream_units(spark: SparkSession, sf: str) -> DataFrame:
+    """Each user's events of a type as packets, of which every fourth id starts a unit."""
+    k = F.col("event_id")
+    packets = _event_stream(spark, sf).select(F.col("user_id").alias("media_id"), F.col("event_type").alias("pid"), k.alias("at"), (k % 4 == 0).alias("starts"), F.encode(k.cast("string"), "UTF-8").alias("payload"), "ts")
+    return stateful.run_to_end(stateful.stream_units(packets), "stream_units").withColumn("payload", F.decode("payload", "UTF-8"))
+
+
+def stream_segments(spark: SparkSession, sf: str) -> DataFrame:
+    """Each user's events as polls of a playlist of three segments whose first number goes up and down."""
+    first = F.col("event_id") % 1000
+    segment = lambda i: F.concat(F.lit("#EXTINF:"), ((first + i) % 4).cast("string"), F.lit(".5,\ns"), (first + i).cast("string"), F.lit(".ts\n"))
+    text = F.concat(F.lit("#EXTM3U\n#EXT-X-MEDIA-SEQUENCE:"), first.cast("string"), F.lit("\n"), *map(segment, range(3)))
+    polls = _event_stream(spark, sf).select(F.col("user_id").alias("media_id"), "ts", text.alias("text"))
+    return stateful.run_to_end(stateful.new_segments(polls), "stream_segments").withColumn("polled_at", F.date_format("polled_at", "yyyy-MM-dd HH:mm:ss"))
+
+
+QUERIES |= {f.__name__: f for f in (stream_units, stream_segments)}
+SQL["stream_units"] = """WITH e AS (SELECT user_id, event_type, event_id, ts, sum(CAST(event_id % 4 = 0 AS INT)) OVER (PARTITION BY user_id, event_type ORDER BY event_id) AS unit, max(ts) OVER (PARTITION BY user_id, event_type) AS last_ts, max(ts) OVER () - INTERVAL 1 MINUTE AS mark FROM events),
+u AS (SELECT user_id, event_type, unit, min(event_id) AS first_id, CAST(count(*) AS INTEGER) AS packets, string_agg(CAST(event_id AS VARCHAR), '' ORDER BY event_id) AS payload, any_value(last_ts) AS last_ts, any_value(mark) AS mark FROM e WHERE unit > 0 GROUP BY ALL)
+SELECT user_id AS media_id, event_type AS pid, first_id AS "at", packets, payload FROM u QUALIFY unit < max(unit) OVER (PARTITION BY user_id, event_type) OR last_ts + INTERVAL 10 MINUTE <= mark"""
+SQL["stream_segments"] = """WITH p AS (SELECT user_id, ts, event_id % 1000 AS first, max(event_id % 1000 + 2) OVER (PARTITION BY user_id ORDER BY ts, CAST(event_id % 1000 AS VARCHAR) ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS known FROM events),
+s AS (SELECT user_id, ts, known, unnest(range(first, first + 3)) AS sequence FROM p)
+SELECT user_id AS media_id, sequence, 's' || sequence || '.ts' AS uri, sequence % 4 + CAST(0.5 AS DOUBLE) AS seconds, strftime(ts, '%Y-%m-%d %H:%M:%S') AS polled_at FROM s WHERE sequence > coalesce(known, -1)"""

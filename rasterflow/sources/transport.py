@@ -72,8 +72,9 @@ def leaves(data: np.ndarray, n: int) -> list[int]:
 def _left(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for b in batches:
         out = []
-        for size, content in zip(b.column(2).to_pylist(), b.column(3), strict=True):
-            out.append(leaves(np.frombuffer(content.as_py(), dtype=np.uint8), size))
+        for start, size, length, content in zip(b.column(1).to_pylist(), b.column(2).to_pylist(), b.column(3).to_pylist(), b.column(4), strict=True):
+            # Behind the last range of a file there is nothing to enter.
+            out.append(leaves(np.frombuffer(content.as_py(), dtype=np.uint8), size) if start + size < length else [0] * PACKET)
         yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(out, pa.list_(pa.int16()))], ["media_id", "start", "leaves"])
 
 
@@ -140,7 +141,7 @@ def packets(ranges: DataFrame) -> DataFrame:
     so far) serve to number units.
     """
     media = ranges.select("media_id").schema
-    left = ranges.select("media_id", "start", "size", "content").mapInArrow(_left, _typed(media, ("start", "long"), ("leaves", "array<smallint>")))
+    left = ranges.select("media_id", "start", "size", "length", "content").mapInArrow(_left, _typed(media, ("start", "long"), ("leaves", "array<smallint>")))
     entries = left.groupBy("media_id").applyInArrow(_composed, _typed(media, ("start", "long"), ("entry", "integer")))
     entered = ranges.join(entries, ["media_id", "start"]).select("media_id", "start", "size", "content", "entry")
     return entered.mapInArrow(_parsed, _typed(media, *_FIELDS))
