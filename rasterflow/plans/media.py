@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from ..functions import sniff
 from ..operators import raster as rs
 from ..sources import media
+from ..sources.byte_ranges import shared_folder
 from ..streaming import media_stream, stateful
 from .views import GRID, rasters, table
 
@@ -88,3 +89,17 @@ SELECT user_id AS media_id, event_type AS pid, first_id AS "at", packets, payloa
 SQL["stream_segments"] = """WITH p AS (SELECT user_id, ts, event_id % 1000 AS first, max(event_id % 1000 + 2) OVER (PARTITION BY user_id ORDER BY ts, CAST(event_id % 1000 AS VARCHAR) ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS known FROM events),
 s AS (SELECT user_id, ts, known, unnest(range(first, first + 3)) AS sequence FROM p)
 SELECT user_id AS media_id, sequence, 's' || sequence || '.ts' AS uri, sequence % 4 + CAST(0.5 AS DOUBLE) AS seconds, strftime(ts, '%Y-%m-%d %H:%M:%S') AS polled_at FROM s WHERE sequence > coalesce(known, -1)"""
+
+
+def media_sink(spark: SparkSession, sf: str) -> DataFrame:
+    """The rasters as PNG files under ids with slashes and spaces, written by the sink and read back."""
+    folder = shared_folder(spark, "media_sink")
+    spark.dataSource.register(media.MediaSink)
+    named = _rgba(spark, sf).withColumn("media_id", F.concat(F.lit("set a/"), F.col("media_id").cast("string"), F.lit("+%é")))
+    media.encode(named, "png").write.format("media").mode("append").save(folder)
+    back = media.decode(media.read_media(spark, folder), failfast=True)
+    return back.select(media.file_id(F.col("media_id")).alias("media_id"), "width", "height", F.upper(F.hex("data")).alias("data"))
+
+
+QUERIES["media_sink"] = media_sink
+SQL["media_sink"] = SQL["png_roundtrip"].replace("SELECT media_id, 8", "SELECT 'set a/' || media_id || '+%é' AS media_id, 8")

@@ -224,7 +224,7 @@ def mulaw_decode(spark, sf):
     return _bytes(spark, sf).select("lo", sm.mulaw(F.col("lo")).alias("sample"))
 
 
-@_query(f"WITH {_BYTES}, u AS (SELECT lo, xor(lo, 85) AS u FROM b), m AS (SELECT lo, u, CASE WHEN (u >> 4) & 7 = 0 THEN ((u & 15) << 4) + 8 ELSE (((u & 15) << 4) + 264) << (((u >> 4) & 7) - 1) END AS m FROM u) SELECT lo, CAST(CASE WHEN u & 128 <> 0 THEN m ELSE -m END AS INTEGER) AS sample FROM m")
+@_query(f"WITH {_BYTES}, u AS (SELECT lo, xor(lo, 85) AS u FROM b), m AS (SELECT lo, u, CASE WHEN (u >> 4) & 7 = 0 THEN ((u & 15) << 4) + 8 ELSE (((u & 15) << 4) + 264) << (((u >> 4) & 7) - 1) END AS m FROM u) SELECT lo, CAST(CASE WHEN u & 128 <> 0 THEN -m ELSE m END AS INTEGER) AS sample FROM m")
 def alaw_decode(spark, sf):
     return _bytes(spark, sf).select("lo", sm.alaw(F.col("lo")).alias("sample"))
 
@@ -236,17 +236,25 @@ def _ch(x: str) -> str:
     return _CH.replace("{x}", x)
 
 
-@_query(f"WITH {_BYTES} SELECT lo, hi, {_ch('lo + CAST(1.402 AS DOUBLE) * (lo - 128)')} AS r, {_ch('lo - CAST(0.344136 AS DOUBLE) * (hi - 128) - CAST(0.714136 AS DOUBLE) * (lo - 128)')} AS g, {_ch('lo + CAST(1.772 AS DOUBLE) * (hi - 128)')} AS b FROM b")
-def yuv_rgb(spark, sf):
-    return _bytes(spark, sf).select("lo", "hi", *[c.alias(n) for n, c in zip("rgb", sm.yuv_to_rgb(F.col("lo"), F.col("hi"), F.col("lo")), strict=True)])
+def _three(spark: SparkSession, sf: str) -> DataFrame:
+    """Three bytes of each line item that vary on their own."""
+    return table(spark, sf, "lineitem").select(*[(F.col(c) % 256).cast("int").alias(n) for n, c in zip("xyz", ("l_partkey", "l_suppkey", "l_orderkey"), strict=True)])
 
 
-_Y = "CAST(0.299 AS DOUBLE) * lo + CAST(0.587 AS DOUBLE) * hi + CAST(0.114 AS DOUBLE) * lo"
+_THREE = "b AS (SELECT CAST(l_partkey % 256 AS INTEGER) AS x, CAST(l_suppkey % 256 AS INTEGER) AS y, CAST(l_orderkey % 256 AS INTEGER) AS z FROM lineitem)"
 
 
-@_query(f"WITH {_BYTES} SELECT lo, hi, {_ch(_Y)} AS y, {_ch('CAST(-0.168736 AS DOUBLE) * lo - CAST(0.331264 AS DOUBLE) * hi + CAST(0.5 AS DOUBLE) * lo + 128')} AS u, {_ch('CAST(0.5 AS DOUBLE) * lo - CAST(0.418688 AS DOUBLE) * hi - CAST(0.081312 AS DOUBLE) * lo + 128')} AS v FROM b")
-def rgb_yuv(spark, sf):
-    return _bytes(spark, sf).select("lo", "hi", *[c.alias(n) for n, c in zip("yuv", sm.rgb_to_yuv(F.col("lo"), F.col("hi"), F.col("lo")), strict=True)])
+def _matrix(name: str, out: str, run, *rows: tuple) -> None:
+    """A query of three channels from three, each a sum of (factor, channel less what comes off it) and a constant."""
+    sums = [" + ".join(f"CAST({f} AS DOUBLE) * ({c} - {off})" for f, c, off in terms) + f" + {more}" for terms, more in rows]
+    QUERIES[name] = lambda spark, sf: _three(spark, sf).select("x", "y", "z", *[c.alias(n) for n, c in zip(out, run(*map(F.col, "xyz")), strict=True)])
+    SQL[name] = f"WITH {_THREE} SELECT x, y, z, " + ", ".join(f"{_ch(s)} AS {n}" for n, s in zip(out, sums, strict=True)) + " FROM b"
+
+
+_matrix("yuv_rgb", "rgb", sm.yuv_to_rgb, ([(1.164, "x", 16), (1.596, "z", 128)], 0), ([(1.164, "x", 16), (-0.392, "y", 128), (-0.813, "z", 128)], 0), ([(1.164, "x", 16), (2.017, "y", 128)], 0))
+_matrix("rgb_yuv", ("luma", "u", "v"), sm.rgb_to_yuv, ([(0.257, "x", 0), (0.504, "y", 0), (0.098, "z", 0)], 16), ([(-0.148, "x", 0), (-0.291, "y", 0), (0.439, "z", 0)], 128), ([(0.439, "x", 0), (-0.368, "y", 0), (-0.071, "z", 0)], 128))
+_matrix("ycbcr_rgb", "rgb", sm.ycbcr_to_rgb, ([(1, "x", 0), (1.402, "z", 128)], 0), ([(1, "x", 0), (-0.344136, "y", 128), (-0.714136, "z", 128)], 0), ([(1, "x", 0), (1.772, "y", 128)], 0))
+_matrix("rgb_ycbcr", ("luma", "cb", "cr"), sm.rgb_to_ycbcr, ([(0.299, "x", 0), (0.587, "y", 0), (0.114, "z", 0)], 0), ([(-0.168736, "x", 0), (-0.331264, "y", 0), (0.5, "z", 0)], 128), ([(0.5, "x", 0), (-0.418688, "y", 0), (-0.081312, "z", 0)], 128))
 
 
 @_query(f"WITH {_BYTES} SELECT lo, hi, CASE WHEN hi = 0 THEN 0.0 ELSE lo * pow(CAST(2 AS DOUBLE), hi - 136) END AS linear FROM b")
@@ -254,9 +262,18 @@ def rgbe_rgb(spark, sf):
     return _bytes(spark, sf).select("lo", "hi", sm.rgbe(F.col("lo"), F.col("hi")).alias("linear"))
 
 
-@_query(f"WITH {_BYTES} SELECT lo, hi, {_ch('255 * pow((lo / CAST(64 AS DOUBLE)) / (1 + lo / CAST(64 AS DOUBLE)), CAST(1 AS DOUBLE) / 2.2)')} AS v FROM b")
+_LINEAR = "(lo * hi / CAST(4096 AS DOUBLE))"
+_MAPPED = f"({_LINEAR} / (1 + {_LINEAR}))"
+
+
+@_query(f"WITH {_BYTES} SELECT lo, hi, {_ch(f'255 * {_MAPPED}')} AS v FROM b")
 def reinhard(spark, sf):
-    return _bytes(spark, sf).select("lo", "hi", sm.reinhard(F.col("lo") / 64).alias("v"))
+    return _bytes(spark, sf).select("lo", "hi", sm.reinhard(F.col("lo") * F.col("hi") / 4096).alias("v"))
+
+
+@_query(f"WITH {_BYTES}, m AS (SELECT lo, hi, {_MAPPED} AS m FROM b) SELECT lo, hi, {_ch('255 * CASE WHEN m <= CAST(0.0031308 AS DOUBLE) THEN m * CAST(12.92 AS DOUBLE) ELSE CAST(1.055 AS DOUBLE) * pow(m, 1 / CAST(2.4 AS DOUBLE)) - CAST(0.055 AS DOUBLE) END')} AS v FROM m")
+def hdr_tone(spark, sf):
+    return _bytes(spark, sf).select("lo", "hi", sm.hdr_tone(F.col("lo") * F.col("hi") / 4096).alias("v"))
 
 
 # --- types and names ---

@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
+import tempfile
+import uuid
 from collections.abc import Iterator
 
 import pyarrow as pa
 import pyarrow.fs
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 
@@ -14,10 +16,21 @@ from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 RANGE = 16 << 20
 
 
-def _opened(path: str) -> tuple[pa.fs.FileSystem, str]:
+def opened(path: str) -> tuple[pa.fs.FileSystem, str]:
+    """The store of a path or URI, and the path in it."""
     return pa.fs.FileSystem.from_uri(path) if "://" in path else (pa.fs.LocalFileSystem(), path.removeprefix("file:"))
 
 
+def shared_folder(spark: SparkSession, label: str) -> str:
+    """A new folder's name under spark.checkpoint.dir. Where that is unset, under a temporary folder, in local mode only."""
+    base = spark.conf.get("spark.checkpoint.dir", None)
+    if not base:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
+        base = f"file://{tempfile.mkdtemp(prefix='rasterflow-')}"
+    return f"{base}/{label}-{uuid.uuid4().hex}"
+
+
 class ByteRanges(DataSource):
     """spark.read.format("byte_ranges").option("size", n).option("overlap", k).load(folder or file): media_id (the path), start, size (of the range), length (of the file), content.
 
@@ -46,13 +59,13 @@ class _Reader(DataSourceReader):
         self.path, self.size, self.overlap = path, size, overlap
 
     def partitions(self) -> list[InputPartition]:
-        store, path = _opened(self.path)
+        store, path = opened(self.path)
         found = store.get_file_info(path)
         files = [found] if found.is_file else [f for f in store.get_file_info(pa.fs.FileSelector(path, recursive=True)) if f.is_file]
         return [_Range(f.path, at, f.size) for f in sorted(files, key=lambda f: f.path) for at in range(0, f.size, self.size)]
 
     def read(self, part: _Range) -> Iterator[pa.RecordBatch]:
-        store, _ = _opened(self.path)
+        store, _ = opened(self.path)
         with store.open_input_file(part.path) as f:
             content = f.read_at(min(self.size + self.overlap, part.length - part.start), part.start)
         numbers = [pa.array([n], pa.int64()) for n in (part.start, min(self.size, part.length - part.start), part.length)]

@@ -7,16 +7,23 @@ FAILFAST mode. Rasters are packed RGBA: width, height, data (4 bytes for each pi
 from __future__ import annotations
 
 import struct
+import uuid
 import zlib
+from collections import Counter
 from collections.abc import Callable, Iterator
+from concurrent.futures import ThreadPoolExecutor
+from dataclasses import dataclass
+from urllib.parse import quote
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+import pyarrow.fs
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceWriter, WriterCommitMessage
 
 from ..functions import sniff
+from .byte_ranges import opened
 
 RASTER = "width int, height int, data binary"
 Image = tuple[int, int, bytes]
@@ -219,8 +226,25 @@ def decode_wav(raw: bytes) -> tuple[int, np.ndarray]:
 # --- sink ---
 
 
+def file_name(media_id: str, fmt: str) -> str:
+    """A name of its own for each id and format: whatever isn't a letter, digit or one of _.-~ is spelt out by its bytes, and so is a first _ or . (readers skip such files)."""
+    name = quote(media_id, safe="")
+    return f"{f'%{ord(name[0]):02X}{name[1:]}' if name[:1] in ('_', '.') else name}.{quote(fmt, safe='')}"
+
+
+def file_id(path: Column) -> Column:
+    """The id that file_name() made the name in path from."""
+    return F.url_decode(F.regexp_replace(F.regexp_extract(path, r"([^/]*)$", 1), r"\.[^.]*$", ""))
+
+
 class MediaSink(DataSource):
-    """df.write.format("media").mode("append").save(folder): one file for each row of (media_id, format, content)."""
+    """df.write.format("media").mode("append").save(folder): one file for each row of (media_id, format, content).
+
+    Each attempt of a task writes into a folder of its own, and only the commit of the whole job moves files to their names, so
+    a job that fails leaves none and a task that is tried again leaves each once. An id that a job writes twice, an empty
+    or null id and a null content fail it. A file that is there already is replaced; mode overwrite also deletes all others. Folders lie in
+    any store whose scheme Arrow knows.
+    """
 
     @classmethod
     def name(cls) -> str:
@@ -230,21 +254,52 @@ class MediaSink(DataSource):
         return "media_id string, format string, content binary"
 
     def writer(self, schema, overwrite: bool) -> DataSourceWriter:
-        return _Writer(self.options["path"], [f.name for f in schema.fields])
+        return _Writer(self.options["path"], [f.name for f in schema.fields], overwrite)
+
+
+@dataclass
+class _Written(WriterCommitMessage):
+    folder: str
+    names: list[str]
 
 
 class _Writer(DataSourceWriter):
-    def __init__(self, folder: str, names: list[str]):
-        self.folder, self.names = folder, names
+    def __init__(self, path: str, names: list[str], overwrite: bool):
+        self.path, self.names, self.overwrite = path, names, overwrite
+        self.staged = f"_temporary-{uuid.uuid4().hex}"
 
     def write(self, rows) -> WriterCommitMessage:
-        from pathlib import Path
-
+        store, folder = opened(self.path)
+        own, written = f"{folder}/{self.staged}/{uuid.uuid4().hex}", []
+        store.create_dir(own, recursive=True)
         for row in rows:
             r = dict(zip(self.names, row, strict=True))
-            to = Path(self.folder) / f"{str(r['media_id']).replace('/', '_')}.{r['format']}"
-            to.parent.mkdir(parents=True, exist_ok=True)
-            part = to.with_suffix(f".part{id(row)}")
-            part.write_bytes(bytes(r["content"]))
-            part.rename(to)
-        return WriterCommitMessage()
+            if not r["media_id"] or r["content"] is None:
+                raise ValueError("an id is empty, or an id or content null")
+            name = file_name(str(r["media_id"]), str(r["format"]))
+            with store.open_output_stream(f"{own}/{name}") as f:
+                f.write(bytes(r["content"]))
+            written.append(name)
+        return _Written(own, written)
+
+    def commit(self, messages) -> None:
+        store, folder = opened(self.path)
+        done = [(m.folder, n) for m in messages if m is not None for n in m.names]
+        twice = [n for n, count in Counter(n for _, n in done).items() if count > 1]
+        if twice:
+            self.abort(messages)
+            raise ValueError(f"several rows for one file: {twice[:3]}")
+        if self.overwrite:
+            kept = {f"{folder}/{self.staged}"}
+            for info in store.get_file_info(pa.fs.FileSelector(folder)):
+                if info.path not in kept:
+                    (store.delete_file if info.is_file else store.delete_dir)(info.path)
+        with ThreadPoolExecutor(16) as pool:
+            list(pool.map(lambda x: store.move(f"{x[0]}/{x[1]}", f"{folder}/{x[1]}"), done))
+        self.abort(messages)
+
+    def abort(self, messages) -> None:
+        """Deletes what the job's attempts have left."""
+        store, folder = opened(self.path)
+        if store.get_file_info(f"{folder}/{self.staged}").type != pa.fs.FileType.NotFound:
+            store.delete_dir(f"{folder}/{self.staged}")

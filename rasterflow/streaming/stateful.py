@@ -7,14 +7,14 @@ checkpoint a query goes on where it stood. The functions set the session's state
 from __future__ import annotations
 
 import re
-import tempfile
-import uuid
 from collections.abc import Iterator
 
 from pyspark.sql import DataFrame, Row, SparkSession
 from pyspark.sql import types as T
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
+from ..sources.byte_ranges import shared_folder
+
 STORE = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 
 
@@ -146,12 +146,8 @@ def run_to_end(stream: DataFrame, label: str, checkpoint: str | None = None, fol
     Files and checkpoint lie under spark.checkpoint.dir unless named; only in local mode does an unset folder fall back to a temporary one.
     """
     spark: SparkSession = stream.sparkSession
-    base = spark.conf.get("spark.checkpoint.dir", None)
-    if not base and not (checkpoint and folder):
-        if not spark.sparkContext.master.startswith("local"):
-            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
-        base = f"file://{tempfile.mkdtemp(prefix='rasterflow-')}"
-    own = f"{base}/{label}-{uuid.uuid4().hex}"
-    checkpoint, folder = checkpoint or f"{own}/checkpoint", folder or f"{own}/out"
+    if not (checkpoint and folder):
+        own = shared_folder(spark, label)
+        checkpoint, folder = checkpoint or f"{own}/checkpoint", folder or f"{own}/out"
     stream.writeStream.format("parquet").option("checkpointLocation", checkpoint).option("path", folder).trigger(availableNow=True).start().awaitTermination()
     return spark.read.schema(stream.schema).parquet(folder)

@@ -139,3 +139,44 @@ def test_source_and_sink(spark, tmp_path):
     found = media.read_media(spark, str(tmp_path / "out"), "*.bmp")
     assert {r.format for r in found.collect()} == {"bmp"} and found.count() == 3
     assert media.decode(found, failfast=True).where("width = 2").count() == 3
+
+
+MEDIA = "media_id string, format string, content binary"
+
+
+def left_in(folder):
+    return {str(p.relative_to(folder)): p.read_bytes() for p in folder.rglob("*") if p.is_file()}
+
+
+def save(spark, rows, folder, mode="append"):
+    spark.dataSource.register(media.MediaSink)
+    spark.createDataFrame(rows, MEDIA).repartition(3).write.format("media").mode(mode).save(str(folder))
+
+
+def test_sink_keeps_names_apart(spark, tmp_path):
+    rows = [("a/b", "x", b"1"), ("a_b", "x", b"2"), ("a%2Fb", "x", b"3"), ("a/b", "y", b"4"), ("..", "x", b"5"), ("\u00e9 +", "x", b"6"), ("_a", "x", b"7")]
+    save(spark, rows, tmp_path)
+    found = media.read_media(spark, str(tmp_path)).withColumn("id", media.file_id(F.col("media_id"))).collect()
+    assert sorted((r.id, bytes(r.content)) for r in found) == sorted((i, c) for i, _, c in rows)
+    save(spark, [("a_b", "x", b"new")], tmp_path)
+    assert len(left_in(tmp_path)) == 7 and left_in(tmp_path)["a_b.x"] == b"new"
+    save(spark, [("z", "x", b"only")], tmp_path, "overwrite")
+    assert left_in(tmp_path) == {"z.x": b"only"}
+
+
+@pytest.mark.parametrize("broken", [[("b", "x", None)], [(None, "x", b"1")], [("", "x", b"1")], [("a1", "x", b"twice")]])
+def test_failing_job_leaves_no_file(spark, tmp_path, broken):
+    (tmp_path / "before.x").write_bytes(b"kept")
+    with pytest.raises(Exception):  # noqa: B017
+        save(spark, [(f"a{i}", "x", b"1") for i in range(20)] + broken, tmp_path, "overwrite")
+    assert left_in(tmp_path) == {"before.x": b"kept"} and not list(tmp_path.glob("_temporary*"))
+
+
+def test_task_tried_again_leaves_each_file_once(tmp_path):
+    writer = media._Writer(str(tmp_path), ["media_id", "format", "content"], False)
+    rows = [("a", "x", b"1"), ("b", "x", b"2")]
+    with pytest.raises(ValueError):
+        writer.write(iter([*rows, ("c", "x", None)]))
+    slow = writer.write(iter(rows))  # an attempt that another one overtook
+    writer.commit([writer.write(iter(rows)), None])
+    assert left_in(tmp_path) == {"a.x": b"1", "b.x": b"2"} and slow.names == ["a.x", "b.x"]
