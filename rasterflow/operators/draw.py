@@ -7,7 +7,7 @@ Only flood fill follows neighbours; it works on packed rasters, each within its
 from __future__ import annotations
 
 import math
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -53,16 +53,85 @@ def ellipse(cx: int, cy: int, rx: int, ry: int) -> Column:
     return dx * dx / (rx * rx) + dy * dy / (ry * ry) <= 1
 
 
-def line(x0: float, y0: float, x1: float, y1: float) -> Column:
-    """The pixels nearest to the line between the rounded ends, along the longer axis; halves go towards the start."""
+def _course(x0: float, y0: float, x1: float, y1: float) -> tuple[Column, Column, int, Callable[[Column], Column]]:
+    """A pixel's place along the longer axis from the rounded start and across it, how far the line goes, and where it lies across at a place along."""
     x0, y0, x1, y1 = map(_round, (x0, y0, x1, y1))
     dx, dy = abs(x1 - x0), abs(y1 - y0)
     along, across = (F.col(X) - x0) * (1 if x1 > x0 else -1), (F.col(Y) - y0) * (1 if y1 > y0 else -1)
     long, short = dx, dy
     if dy > dx:
         along, across, long, short = across, along, dy, dx
-    step = F.floor((along * (2 * short) + (long - 1)) / (2 * long)) if long else F.lit(0)
-    return along.between(0, long) & (across == step)
+    return along, across, long, lambda at: F.floor((at * (2 * short) + (long - 1)) / (2 * long)) if long else F.lit(0)
+
+
+def line(x0: float, y0: float, x1: float, y1: float) -> Column:
+    """The pixels nearest to the line between the rounded ends, along the longer axis; halves go towards the start."""
+    along, across, long, step = _course(x0, y0, x1, y1)
+    return along.between(0, long) & (across == step(along))
+
+
+def stamps(x0: float, y0: float, x1: float, y1: float, width: float) -> Column:
+    """How many of the discs cover a pixel that lie around each pixel of line(); their radius is half the width, rounded."""
+    along, across, long, step = _course(x0, y0, x1, y1)
+    radius = _round(width / 2)
+    near = lambda o: ((along + o).between(0, long) & ((across - step(along + o)) * (across - step(along + o)) <= radius * radius - o * o)).cast("int")
+    return sum((near(o) for o in range(-radius + 1, radius + 1)), near(-radius))
+
+
+def lay(pixels: DataFrame, times: Column, colour: Colour) -> DataFrame:
+    """Lays colour (r, g, b, a) on each pixel as many times as times says, rounding each time as paint() does."""
+    *rgb, alpha = map(_c, colour)
+    share = alpha.cast("double") / 255
+    n = spare_name(pixels, "times")
+    again = F.sequence(F.lit(1), F.col(n))
+    laid = lambda c, new: F.when(F.col(n) > 0, F.aggregate(again, F.col(c).cast("int"), lambda below, _: half_up(new * share + below * (1 - share)).cast("int"))).otherwise(F.col(c))
+    counted = pixels.withColumn(n, times.cast("int"))
+    return counted.withColumns({**{c: laid(c, new) for c, new in zip("rgb", rgb, strict=True)}, "a": F.when(F.col(n) > 0, F.greatest("a", alpha.cast("int"))).otherwise(F.col("a"))}).drop(n)
+
+
+def spare_name(df: DataFrame, word: str) -> str:
+    """A name that no column has."""
+    while word in df.columns:
+        word += "_"
+    return word
+
+
+def draw_line(pixels: DataFrame, x0: float, y0: float, x1: float, y1: float, colour: Colour, width: float = 1) -> DataFrame:
+    """A line of a width: discs along it, so a translucent colour is laid on again wherever they overlap."""
+    return paint(pixels, line(x0, y0, x1, y1), colour) if width == 1 else lay(pixels, stamps(x0, y0, x1, y1, width), colour)
+
+
+def ellipse_steps(rx: int, ry: int) -> tuple[list[int], list[int]]:
+    """The outline in the first quadrant by the midpoint rule: the row of each column where it is flat, and the column of each row where it is steep.
+
+    The rule asks on which side of the ellipse the middle between two next pixels lies, with the first middle of each part
+    rounded to a whole number and the others off by as much.
+    """
+    outside = lambda x, y: (ry * x) ** 2 + (rx * y) ** 2 - (rx * ry) ** 2
+    drift = lambda v: _round(v) - v
+    rows, y = [], ry
+    off = drift(outside(1, ry - 0.5))
+    while ry * ry * len(rows) < rx * rx * y:
+        rows.append(y)
+        y -= outside(len(rows), y - 0.5) + off >= 0
+    columns: dict[int, int] = {}
+    x = len(rows)
+    off = drift(outside(x + 0.5, y - 1))
+    while y >= 0:
+        columns[y] = x
+        y -= 1
+        x += outside(x + 0.5, y) + off <= 0
+    return rows, [columns[k] for k in range(len(columns))]
+
+
+def draw_ellipse(pixels: DataFrame, cx: float, cy: float, rx: int, ry: int, colour: Colour, fill: Colour | None = None) -> DataFrame:
+    """The outline of an ellipse, laid on once for each quadrant, so more than once on its axes; and the ellipse a pixel within it, filled."""
+    rows, columns = ellipse_steps(rx, ry)
+    dx, dy = F.abs(F.col(X) - _round(cx)), F.abs(F.col(Y) - _round(cy))
+    on = lambda steps, at, value: F.coalesce(F.try_element_at(F.array(*map(F.lit, steps)), (at + 1).cast("int")) == value, F.lit(False)).cast("int") if steps else F.lit(0)
+    times = (on(rows, dx, dy) + on(columns, dy, dx)) * F.when(dx == 0, 2).otherwise(1) * F.when(dy == 0, 2).otherwise(1)
+    drawn = lay(pixels, times, colour)
+    return drawn if fill is None or min(rx, ry) < 2 else paint(drawn, ellipse(_round(cx), _round(cy), rx - 1, ry - 1), fill)
 
 
 def polygon(points: list[Point]) -> Column:

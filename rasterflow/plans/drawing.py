@@ -49,6 +49,21 @@ _ARCS = "(abs(x - 4), abs(y - 4)) IN ((3, 0), (0, 3), (1, 2), (2, 1))"
 QUERIES["draw_circle"] = lambda spark, sf: draw.draw_circle(canvas(spark, sf), 4.2, 3.6, 3, COLOUR)
 SQL["draw_circle"] = f"WITH {CANVAS}, once AS ({_painted('cv', _ARCS)}) {_painted('once', '(abs(x - 4), abs(y - 4)) IN ((3, 0), (0, 3))')}"
 
+
+
+def _laid(source: str, times: str, colour: tuple = COLOUR) -> str:
+    *rgb, a = colour
+    cols = [f"CASE WHEN times > 0 THEN CAST(list_reduce(range(times), lambda c, i: CAST(floor({n} * (CAST({a} AS DOUBLE) / 255) + c * (1 - CAST({a} AS DOUBLE) / 255) + CAST(0.5 AS DOUBLE)) AS BIGINT), CAST({c} AS BIGINT)) AS INTEGER) ELSE {c} END AS {c}" for c, n in zip("rgb", rgb, strict=True)]
+    return f"SELECT media_id, y, x, {', '.join(cols)}, CASE WHEN times > 0 THEN greatest(a, {a}) ELSE a END AS a FROM (SELECT *, {times} AS times FROM {source})"
+
+
+# Each pixel of the thin line is the middle of a disc of radius 2.
+QUERIES["draw_line_wide"] = lambda spark, sf: draw.draw_line(canvas(spark, sf), 7, 5, 0, 1, COLOUR, 3)
+SQL["draw_line_wide"] = f"WITH {CANVAS} " + _laid("cv", "(SELECT count(*) FILTER (WHERE (x - px) * (x - px) + (y - py) * (y - py) <= 4) FROM (VALUES (7, 5), (6, 4), (5, 4), (4, 3), (3, 3), (2, 2), (1, 2), (0, 1)) p(px, py))")
+# Steps of the midpoint rule for radii 3 and 2, from the top to the right.
+QUERIES["draw_ellipse"] = lambda spark, sf: draw.draw_ellipse(canvas(spark, sf), 4, 3.2, 3, 2, COLOUR)
+SQL["draw_ellipse"] = f"WITH {CANVAS} " + _laid("cv", "(SELECT count(*) FROM (VALUES (0, 2), (1, 2), (2, 1), (3, 0)) p(px, py), (VALUES (1, 1), (1, -1), (-1, 1), (-1, -1)) q(sx, sy) WHERE x = 4 + sx * px AND y = 3 + sy * py)")
+
 STOPS = [(0.0, (255, 0, 0, 255)), (0.5, (0, 255, 0, 128)), (1.0, (0, 0, 255, 255))]
 
 
