@@ -209,11 +209,11 @@ def _met(lists: DataFrame, percent: int) -> DataFrame:
     return left.join(right, "value").where(sizes & rest & once).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
 
 
-def all_links(lists: DataFrame, short: DataFrame | None, whole: DataFrame, percent: int = PERCENT) -> DataFrame:
-    """Links (a, b) that connect whatever all pairs of list members would; lists: value, rep, size, central. Without short (rep, sketch) no sketches filter the pairs."""
+def all_links(lists: DataFrame, short: DataFrame | None, whole: DataFrame, percent: int = PERCENT, known: DataFrame | None = None) -> DataFrame:
+    """Links (a, b) that connect whatever all pairs of list members, and the pairs known, would; lists: value, rep, size, central. Without short (rep, sketch) no sketches filter the pairs."""
     c = ratio(percent)
     with scratch(lists.sparkSession) as keep:
-        links, pairs = [], []
+        links, pairs = [], [known] if known is not None else []
         sized = keep(viable(lists.withColumns({"open": F.lit(True), "room": F.lit(1 << 40), "excess": F.lit(0).cast("long"), "parent": F.lit(1 << 40)}), c), "lists")
         short_list = SHORT
         while True:

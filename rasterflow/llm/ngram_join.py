@@ -12,7 +12,10 @@ partition of the domain as well, and at last each element by itself; of two sets
 partition that both enter, or both go on. In bands of tiny sets each element is a part of its own and the subsets leave out as
 many elements as two sets can differ in. No pair of any size or similarity is left to chance.
 
-What shares a signature is confirmed on full sets, large lists as groups around a core as in near_dedup.
+What shares a signature meets pair by pair. A profile of each set, how many of its elements fall into each of BUCKETS
+buckets of a hash, bounds the difference of a pair from below and rules most out: after the join in short lists, and within
+the task, without making pairs, in lists of up to DEEP. The others are confirmed on full sets: pairs one by one, and longer
+lists and those whose profiles are alike by and large as groups around a core as in near_dedup.
 """
 
 from __future__ import annotations
@@ -28,7 +31,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import bucketed, materialize, mix, named, scratch
-from .near_dedup import all_links, class_rows, equal_sets, full_sets, ratio, set_key, shingle_set
+from .near_dedup import DEEP, SHORT, all_links, class_rows, equal_sets, full_sets, ratio, set_key, shingle_set
 
 PERCENT = 80
 #: Second-level parts of a first-level part, and how many of them are left out of a signature.
@@ -40,6 +43,11 @@ LEVELS = 3
 #: Distinct sets that a task remembers, so that copies it meets give no signatures again.
 SEEN = 100_000
 
+#: Buckets of a profile.
+BUCKETS = 128
+#: A list with more pairs of like profiles than this many a member is a group.
+ALIKE = 4
+
 _SUBSETS = np.array([[i in kept for i in range(N2)] for kept in combinations(range(N2), N2 - K2)], dtype=np.uint64)
 
 
@@ -117,15 +125,21 @@ def signatures(s: np.ndarray, percent: int = PERCENT) -> np.ndarray:
     return np.unique(np.concatenate(out)).view(np.int64) if out else np.empty(0, dtype=np.int64)
 
 
+def profile(s: np.ndarray) -> bytes:
+    """How many elements of s fall into each bucket, 255 at most."""
+    at = (mix(s.view(np.uint64)) % np.uint64(BUCKETS)).astype(np.int64)
+    return np.minimum(np.bincount(at, minlength=BUCKETS), 255).astype(np.uint8).tobytes()
+
+
 def _keyed(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """doc_id, n_shingles, key (digest of the set)."""
+    """doc_id, n_shingles, key (digest of the set), profile."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             sets = [shingle_set(t.as_py()) for t in batch.column(1)]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([len(s) for s in sets], pa.int64()), pa.array([set_key(s) for s in sets], pa.binary())], ["doc_id", "n_shingles", "key"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([len(s) for s in sets], pa.int64()), pa.array([set_key(s) for s in sets], pa.binary()), pa.array([profile(s) for s in sets], pa.binary())], ["doc_id", "n_shingles", "key", "profile"])
 
-    return docs.select(named(docs, id_col).cast("long").alias("doc_id"), named(docs, text_col).alias("text")).mapInArrow(run, "doc_id long, n_shingles long, key binary")
+    return docs.select(named(docs, id_col).cast("long").alias("doc_id"), named(docs, text_col).alias("text")).mapInArrow(run, "doc_id long, n_shingles long, key binary, profile binary")
 
 
 def _signed(docs: DataFrame, id_col: str, text_col: str, percent: int) -> DataFrame:
@@ -149,13 +163,83 @@ def _signed(docs: DataFrame, id_col: str, text_col: str, percent: int) -> DataFr
     return given.mapInArrow(run, "value long, doc_id long")
 
 
+def _repeated(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The rows of sorted (value, doc_id) whose value the row before or after has too."""
+    last: tuple[np.ndarray, np.ndarray] = (np.empty(0, dtype=np.int64), np.empty(0, dtype=np.int64))
+    same = False
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        value, doc = (np.concatenate((held, batch.column(i).to_numpy())) for i, held in enumerate(last))
+        alike = value[1:] == value[:-1]
+        kept = np.concatenate(([same], alike)) | np.concatenate((alike, [False]))
+        # The last row waits for the next batch.
+        yield pa.RecordBatch.from_arrays([pa.array(x[:-1][kept[:-1]], pa.int64()) for x in (value, doc)], ["value", "doc_id"])
+        last, same = (value[-1:], doc[-1:]), bool(kept[-1])
+    if same:
+        yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in last], ["value", "doc_id"])
+
+
 def signature_lists(signed: DataFrame, classes: DataFrame) -> DataFrame:
-    """value, rep, size, central: what shares a signature; signed: value, doc_id; classes: doc_id, rep, size. One shuffle serves the count and the members."""
-    dealt = signed.repartition("value")
-    shared = dealt.groupBy("value").agg(F.min("doc_id").alias("low"), F.max("doc_id").alias("high")).where("low < high").select("value")
-    members = dealt.join(shared, "value", "left_semi").join(classes, "doc_id").select("value", "rep", "size").distinct()
-    sized = members.withColumn("count", F.count(F.lit(1)).over(Window.partitionBy("value"))).where("count > 1")
-    return sized.select("value", "rep", "size", F.sum("count").over(Window.partitionBy("rep")).alias("central"))
+    """value, rep, size, central, n: what shares a signature; signed: value, doc_id; classes: doc_id, rep, size. Signatures are shuffled once, and sorted rather than gathered."""
+    shared = signed.repartition("value").sortWithinPartitions("value").mapInArrow(_repeated, "value long, doc_id long")
+    members = shared.join(classes, "doc_id").select("value", "rep", "size").distinct()
+    sized = members.withColumn("n", F.count(F.lit(1)).over(Window.partitionBy("value"))).where("n > 1")
+    return sized.select("value", "rep", "size", F.sum("n").over(Window.partitionBy("rep")).alias("central"), "n")
+
+
+def likely_pairs(pairs: DataFrame, profiles: DataFrame, percent: int) -> DataFrame:
+    """The pairs (a, b) whose profiles don't differ by more than sets that link can; profiles: rep, size, profile."""
+    c = ratio(percent)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            one, two = (np.frombuffer(b"".join(batch.column(f"profile_{x}").to_pylist()), dtype=np.uint8).reshape(-1, BUCKETS).astype(np.int16) for x in "ab")
+            near = np.abs(one - two).sum(axis=1, dtype=np.int64) * c <= batch.column("size_a").to_numpy() + batch.column("size_b").to_numpy()
+            yield batch.select(["a", "b"]).filter(pa.array(near))
+
+    for x in "ab":
+        pairs = pairs.join(profiles.select(F.col("rep").alias(x), F.col("size").alias(f"size_{x}"), F.col("profile").alias(f"profile_{x}")), x)
+    return pairs.mapInArrow(run, "a long, b long").distinct()
+
+
+def compared_lists(lists: DataFrame, percent: int) -> DataFrame:
+    """value, a, b: the pairs of each list's members whose profiles let them link, or one row without a and b for a list with too many; lists: value, rep, size, profile."""
+    c = ratio(percent)
+
+    def compared(value: int, reps: np.ndarray, size: np.ndarray, profiles: np.ndarray) -> list[tuple]:
+        found: list[tuple] = []
+        for i in range(1, len(reps)):
+            near = np.abs(profiles[:i] - profiles[i]).sum(axis=1, dtype=np.int64) * c <= size[:i] + size[i]
+            found += [(value, *sorted((int(reps[i]), int(r)))) for r in reps[:i][near]]
+            if len(found) > ALIKE * len(reps):
+                return [(value, None, None)]
+        return found
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: pa.Table | None = None
+
+        def out(rows: pa.Table) -> pa.RecordBatch:
+            value, reps, size = (rows.column(i).to_numpy() for i in range(3))
+            profiles = np.frombuffer(b"".join(rows.column(3).to_pylist()), dtype=np.uint8).reshape(-1, BUCKETS).astype(np.int16)
+            starts = [*np.flatnonzero(np.concatenate(([True], value[1:] != value[:-1]))).tolist(), len(value)]
+            found = [f for s, e in zip(starts, starts[1:], strict=False) for f in compared(int(value[s]), reps[s:e], size[s:e], profiles[s:e])]
+            return pa.RecordBatch.from_arrays([pa.array([f[i] for f in found], pa.int64()) for i in range(3)], ["value", "a", "b"])
+
+        for batch in batches:
+            rows = pa.Table.from_batches([batch]) if held is None else pa.concat_tables([held, pa.Table.from_batches([batch])])
+            value = rows.column(0).to_numpy()
+            if not len(value):
+                continue
+            # The last list can go on in the next batch.
+            last = int(np.searchsorted(value, value[-1]))
+            if last:
+                yield out(rows.slice(0, last))
+            held = rows.slice(last)
+        if held is not None and held.num_rows:
+            yield out(held)
+
+    return lists.select("value", "rep", "size", "profile").repartition("value").sortWithinPartitions("value").mapInArrow(run, "value long, a long, b long")
 
 
 def jaccard_join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", percent: int = PERCENT) -> DataFrame:
@@ -172,8 +256,17 @@ def jaccard_join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     with scratch(spark) as keep:
         found = keep(_keyed(docs, id_col, text_col), "sets")
         firsts = keep(equal_sets(found), "classes")
-        classes = found.where("doc_id IS NOT NULL AND n_shingles > 0").join(firsts, "key").select("doc_id", "rep", F.col("n_shingles").alias("size")).distinct()
-        lists = keep(signature_lists(_signed(docs, id_col, text_col, percent), classes), "lists")
-        with bucketed(full_sets(docs, id_col, text_col, lists.select("rep").distinct()), "rep", "jaccard_join") as whole:
-            links = keep(all_links(lists, None, whole, percent), "links")
+        linkable = found.where("doc_id IS NOT NULL AND n_shingles > 0").withColumn("size", F.col("n_shingles")).join(firsts, "key")
+        lists = keep(signature_lists(_signed(docs, id_col, text_col, percent), linkable.select("doc_id", "rep", "size").distinct()), "lists")
+        few = lists.where(F.col("n") <= SHORT)
+        one, two = (few.select("value", F.col("rep").alias(x), F.col("size").alias(f"s{x}")) for x in "ab")
+        met = one.join(two, "value").where(f"a < b AND sa * 100 >= sb * {percent} AND sb * 100 >= sa * {percent}").select("a", "b").distinct()
+        profiles = linkable.where("doc_id = rep").select("rep", "size", "profile").distinct()
+        middle = lists.where((F.col("n") > SHORT) & (F.col("n") <= DEEP)).join(profiles.select("rep", "profile"), "rep")
+        compared = keep(compared_lists(middle, percent), "compared")
+        pairs = keep(likely_pairs(met, profiles, percent).unionByName(compared.where("a IS NOT NULL").select("a", "b")).distinct(), "pairs")
+        many = lists.where(F.col("n") > DEEP).unionByName(lists.join(compared.where("a IS NULL").select("value").distinct(), "value", "left_semi")).drop("n")
+        active = many.select("rep").unionByName(pairs.select(F.col("a").alias("rep"))).unionByName(pairs.select(F.col("b").alias("rep"))).distinct()
+        with bucketed(full_sets(docs, id_col, text_col, active), "rep", "jaccard_join") as whole:
+            links = keep(all_links(many, None, whole, percent, pairs), "links")
         return materialize(class_rows(found, firsts, links).drop("kept"), "jaccard_join")

@@ -236,6 +236,19 @@ def test_join_of_large_group_of_edited_copies(spark):
     assert got == plain_components(enumerate(texts))
 
 
+@pytest.mark.parametrize("alike,deep", [(0, 512), (10**6, 512), (4, 17)])
+def test_lists_as_pairs_and_as_groups(spark, monkeypatch, alike, deep):
+    """Sixty texts around each of two passages that half of their words are, and thirty edited copies: lists over SHORT of both kinds."""
+    monkeypatch.setattr(ngram_join, "ALIKE", alike)
+    monkeypatch.setattr(ngram_join, "DEEP", deep)
+    r = random.Random(8)
+    passages = [" ".join(f"p{k}x{i}" for i in range(30)) for k in range(2)]
+    texts = [f"{passages[i % 2]} {' '.join(f'o{r.randrange(10**6)}' for _ in range(r.randint(5, 12)))}" for i in range(120)]
+    texts += [" ".join(w if r.random() > 0.01 else "edit" for w in texts[0].split()) for _ in range(30)]
+    got = {x.doc_id: x.component_id for x in ngram_join.jaccard_join(small(spark, texts)).collect()}
+    assert got == plain_components(enumerate(texts))
+
+
 def test_join_hard_rows(spark):
     docs = documents(spark)
     rows = ngram_join.jaccard_join(docs).collect()
