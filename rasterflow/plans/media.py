@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from ..functions import sniff
 from ..operators import raster as rs
-from ..sources import media
+from ..sources import media, registry
 from ..sources.byte_ranges import shared_folder
 from ..streaming import media_stream, stateful
 from .views import GRID, rasters, table
@@ -103,3 +103,34 @@ def media_sink(spark: SparkSession, sf: str) -> DataFrame:
 
 QUERIES["media_sink"] = media_sink
 SQL["media_sink"] = SQL["png_roundtrip"].replace("SELECT media_id, 8", "SELECT 'set a/' || media_id || '+%é' AS media_id, 8")
+
+
+_KINDS = ("bmp", "png", "pam", "farbfeld")
+
+
+def mixed_files(spark: SparkSession, sf: str) -> DataFrame:
+    """The rasters as files of four formats by their id, one in five of them cut short, and one in seven of something else; formats are told from the bytes."""
+    own, k = _rgba(spark, sf), F.col("media_id")
+    files = None
+    for i, fmt in enumerate(_KINDS):
+        part = media.encode(own.where(k % 4 == i), fmt)
+        files = part if files is None else files.unionByName(part)
+    short = F.when(k % 5 == 0, F.substring("content", F.lit(1), (F.length("content") / 2).cast("int"))).otherwise(F.col("content"))
+    content = F.when(k % 14 == 0, F.encode(F.lit("neither this nor that"), "UTF-8")).when(k % 14 == 7, F.encode(F.lit("GIF89a and no more"), "UTF-8")).otherwise(short)
+    return files.select("media_id", content.alias("content")).withColumn("format", media.format_of(F.col("content")))
+
+
+def convert_mixed(spark: SparkSession, sf: str) -> DataFrame:
+    done = registry.convert(mixed_files(spark, sf), "farbfeld")
+    back = media.decode(done.where("success"), failfast=True).select("media_id", F.upper(F.hex("data")).alias("data"))
+    return done.drop("content", "error").join(back, "media_id", "left")
+
+
+def info_mixed(spark: SparkSession, sf: str) -> DataFrame:
+    return registry.show_info(mixed_files(spark, sf)).drop("length", "error")
+
+
+QUERIES |= {f.__name__: f for f in (convert_mixed, info_mixed)}
+_WRONG = "CASE WHEN media_id % 14 = 0 THEN 'unknown_format' WHEN media_id % 14 = 7 THEN 'no_decoder' WHEN media_id % 5 = 0 THEN 'broken' END"
+SQL["convert_mixed"] = f"WITH t AS ({SQL['png_roundtrip']}), w AS (SELECT media_id, data, {_WRONG} AS error_kind FROM t) SELECT media_id, error_kind IS NULL AS success, error_kind, CASE WHEN error_kind IS NULL THEN 'farbfeld' END AS format, CASE WHEN error_kind IS NULL THEN data END AS data FROM w"
+SQL["info_mixed"] = f"WITH w AS (SELECT vec_id AS media_id, {_WRONG.replace('media_id', 'vec_id')} AS error_kind FROM embeddings) SELECT media_id, error_kind IS NULL AS success, error_kind, CASE WHEN error_kind IS NULL THEN 8 END AS width, CASE WHEN error_kind IS NULL THEN 8 END AS height, CASE WHEN error_kind IS NULL THEN true END AS opaque FROM w"

@@ -29,13 +29,17 @@ RASTER = "width int, height int, data binary"
 Image = tuple[int, int, bytes]
 
 
+def format_of(content: Column) -> Column:
+    """The format that the first bytes tell, or null."""
+    head = F.hex(F.substring(content, 1, 1000))
+    # Two formats that have decoders here and that the common sniffing leaves out.
+    return F.coalesce(sniff.sniff(head), F.when(head.startswith(b"P7".hex()), "pam"), F.when(head.startswith(b"farbfeld".hex().upper()), "farbfeld"))
+
+
 def read_media(spark: SparkSession, path: str, glob: str = "*") -> DataFrame:
     """media_id (the path), length, content, format, mime for all files under path; the type tests read only the first bytes."""
     files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("pathGlobFilter", glob).load(path)
-    head = F.hex(F.substring("content", 1, 1000))
-    # Two formats that have decoders here and that the common sniffing leaves out.
-    fmt = F.coalesce(sniff.sniff(head), F.when(head.startswith(b"P7".hex()), "pam"), F.when(head.startswith(b"farbfeld".hex().upper()), "farbfeld"))
-    return files.select(F.col("path").alias("media_id"), "length", "content", fmt.alias("format")).withColumn("mime", sniff.mime_type(F.col("format")))
+    return files.select(F.col("path").alias("media_id"), "length", "content", format_of(F.col("content")).alias("format")).withColumn("mime", sniff.mime_type(F.col("format")))
 
 
 # --- rasters ---
