@@ -333,3 +333,33 @@ def denoise(rasters: DataFrame, channels: tuple[str, ...] = ("r", "g", "b"), alg
     if algorithm == "bilateral":
         return bilateral_colour(rasters, channels, radius)
     return rasters.withColumns({c: median(F.col(c), F.col("width"), F.col("height"), radius) for c in channels})
+
+
+#: Where red lies in the two by two mosaics: column and row.
+PHASES = {"RGGB": (0, 0), "GRBG": (1, 0), "GBRG": (0, 1), "BGGR": (1, 1)}
+
+
+def demosaic(data: Column, w: Size, h: Size, bits: int = 8, phase: str = "RGGB") -> tuple[Column, Column, Column]:
+    """Red, green and blue of a mosaic of raw samples of so many bits, as 8-bit channels.
+
+    A sample is its own colour where it lies; green is else the rounded mean of the neighbours at its sides, red and blue that
+    of those at its corners, as far as they lie in the picture, and 0 without any. (At green samples the corners are green:
+    red and blue take those, as the raw decoder does whose results these match.)
+    """
+    w, h = _c(w), _c(h)
+    left, top = PHASES[phase]
+    sides, corners = ((-1, 0), (1, 0), (0, -1), (0, 1)), ((-1, -1), (1, -1), (-1, 1), (1, 1))
+
+    def mean(x: Column, y: Column, ring: tuple) -> Column:
+        inside = [(x + dx >= 0) & (x + dx < w) & (y + dy >= 0) & (y + dy < h) for dx, dy in ring]
+        n = sum((i.cast("int") for i in inside[1:]), inside[0].cast("int"))
+        total = sum((F.when(i, _cell(data, w, x + dx, y + dy)).otherwise(0) for i, (dx, dy) in zip(inside[1:], ring[1:], strict=True)), F.when(inside[0], _cell(data, w, x + ring[0][0], y + ring[0][1])).otherwise(0))
+        return F.when(n > 0, half_up(total / n)).otherwise(0)
+
+    def of(own, ring: tuple) -> Column:
+        return _grid(w, h, lambda x, y: channel(F.when(own(x, y), _cell(data, w, x, y)).otherwise(mean(x, y, ring)) / (2**bits - 1) * 255))
+
+    red = lambda x, y: (x % 2 == left) & (y % 2 == top)
+    blue = lambda x, y: (x % 2 != left) & (y % 2 != top)
+    green = lambda x, y: (x + y) % 2 != (left + top) % 2
+    return of(red, corners), of(green, sides), of(blue, corners)
