@@ -8,9 +8,10 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from ..operators import playlists
 from ..operators import scripts as sc
 from .views import table
 
@@ -219,3 +220,45 @@ SELECT conv_id AS media_id, '[Script Info]' || chr(10) || 'Title: Subtitles' ||
 def ass_write(spark, sf):
     cues = table(spark, sf, "conversations").where("text IS NOT NULL").select(F.col("conv_id").alias("media_id"), F.col("turn").alias("cue_no"), F.col("turn").cast("double").alias("start_s"), (F.col("turn") + 0.5).alias("end_s"), "text")
     return sc.write_ass(cues)
+
+
+# --- playlists written ---
+
+
+def _segments(spark: SparkSession, sf: str) -> DataFrame:
+    """A playlist for each order, a segment for each line item; keys and maps that come, stay, change and go."""
+    p, q = F.col("l_partkey"), F.col("l_suppkey")
+    order = Window.partitionBy("l_orderkey").orderBy("l_linenumber", "l_partkey", "l_suppkey")
+    return table(spark, sf, "lineitem").select(
+        F.col("l_orderkey").alias("media_id"), F.row_number().over(order).alias("seq"), F.concat(F.lit("s"), _s("l_partkey"), F.lit(".ts")).alias("uri"), ((p % 97) / 8).alias("duration"), F.when(p % 2 == 0, F.concat(F.lit("Part "), _s("l_partkey"))).alias("title"), (q % 5 == 0).alias("discontinuity"),
+        F.when(p % 3 != 0, F.when(p % 3 == 1, "AES-128").otherwise("NONE")).alias("key_method"), F.when(p % 3 == 1, F.concat(F.lit("k"), _s(q % 2))).alias("key_uri"), F.when(p % 4 == 0, "0xA1").alias("key_iv"),
+        F.when(q % 3 == 0, F.concat(F.lit("m"), _s(p % 2))).alias("map_uri"), F.when(p % 5 < 3, p % 5 + 1).alias("map_length"), F.when(p % 5 < 2, q % 2).alias("map_offset"),
+        F.when(q % 2 == 0, p).alias("byte_length"), F.when(p % 2 == 0, q).alias("byte_offset"), F.when(q % 4 == 0, F.timestamp_seconds(p * 1000 + F.lit(0.25))).alias("program_date_time"),
+    )
+
+
+@_query("""WITH l AS (SELECT l_orderkey AS media_id, l_partkey AS p, l_suppkey AS q, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey) AS seq FROM lineitem),
+t AS (SELECT *, CASE p % 3 WHEN 1 THEN '#EXT-X-KEY:METHOD=AES-128,URI="k' || q % 2 || '"' WHEN 2 THEN '#EXT-X-KEY:METHOD=NONE' END || CASE WHEN p % 4 = 0 THEN ',IV=0xA1' ELSE '' END AS k,
+  CASE WHEN q % 3 = 0 THEN '#EXT-X-MAP:URI="m' || p % 2 || '"' || CASE WHEN p % 5 < 3 THEN ',BYTERANGE="' || (p % 5 + 1) || CASE WHEN p % 5 < 2 THEN '@' || q % 2 ELSE '' END || '"' ELSE '' END END AS m FROM l),
+c AS (SELECT *, last_value(k IGNORE NULLS) OVER w AS k0, last_value(m IGNORE NULLS) OVER w AS m0 FROM t WINDOW w AS (PARTITION BY media_id ORDER BY seq ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)),
+b AS (SELECT media_id, seq, p, CASE WHEN q % 5 = 0 THEN '#EXT-X-DISCONTINUITY' || chr(10) ELSE '' END || CASE WHEN k IS DISTINCT FROM k0 AND k IS NOT NULL THEN k || chr(10) ELSE '' END || CASE WHEN m IS DISTINCT FROM m0 AND m IS NOT NULL THEN m || chr(10) ELSE '' END
+  || CASE WHEN q % 4 = 0 THEN '#EXT-X-PROGRAM-DATE-TIME:' || strftime(make_timestamp(p * 1000000000 + 250000), '%Y-%m-%dT%H:%M:%S.%g') || 'Z' || chr(10) ELSE '' END || CASE WHEN q % 2 = 0 THEN '#EXT-X-BYTERANGE:' || p || CASE WHEN p % 2 = 0 THEN '@' || q ELSE '' END || chr(10) ELSE '' END
+  || '#EXTINF:' || printf('%.6f', (p % 97) / CAST(8 AS DOUBLE)) || ',' || CASE WHEN p % 2 = 0 THEN 'Part ' || p ELSE '' END || chr(10) || 's' || p || '.ts' AS block FROM c)
+SELECT media_id, '#EXTM3U' || chr(10) || '#EXT-X-VERSION:3' || chr(10) || '#EXT-X-TARGETDURATION:' || CAST(ceil(greatest(max((p % 97) / CAST(8 AS DOUBLE)), 1)) AS BIGINT) || chr(10) || '#EXT-X-MEDIA-SEQUENCE:7' || chr(10) || '#EXT-X-PLAYLIST-TYPE:VOD' || chr(10) || string_agg(block, chr(10) ORDER BY seq) || chr(10) || '#EXT-X-ENDLIST' || chr(10) AS text FROM b GROUP BY media_id""")
+def m3u8_media_write(spark, sf):
+    return playlists.write_media(_segments(spark, sf), media_sequence=7, playlist_type="VOD")
+
+
+@_query("""WITH v AS (SELECT o_custkey AS media_id, o_orderkey AS k, '#EXT-X-STREAM-INF:BANDWIDTH=' || (o_orderkey * 1000) || CASE WHEN o_orderkey % 2 = 0 THEN ',AVERAGE-BANDWIDTH=' || (o_orderkey * 900) ELSE '' END || ',CODECS="avc1,' || o_orderkey % 9 || '"' || CASE WHEN o_orderkey % 3 = 0 THEN ',RESOLUTION=' || (o_orderkey % 1920 + 1) || 'x' || (o_orderkey % 1080 + 1) ELSE '' END || CASE WHEN o_orderkey % 4 <> 1 THEN ',FRAME-RATE=' || printf('%.3f', (o_orderkey % 61) / CAST(8 AS DOUBLE)) ELSE '' END || CASE WHEN o_orderkey % 5 = 0 THEN ',AUDIO="a' || o_custkey % 3 || '"' ELSE '' END || chr(10) || 'o' || o_orderkey || '.m3u8' AS line FROM orders),
+s AS (SELECT media_id, string_agg(line, chr(10) ORDER BY k) AS streams FROM v GROUP BY media_id),
+m AS (SELECT c_custkey AS media_id, '#EXT-X-MEDIA:TYPE=AUDIO,GROUP-ID="a' || c_custkey % 3 || '",NAME="' || c_name || '",LANGUAGE="' || c_mktsegment || '"' || CASE WHEN c_custkey % 2 = 0 THEN ',DEFAULT=YES' ELSE '' END || CASE WHEN c_custkey % 5 = 0 THEN ',FORCED=YES' ELSE '' END || ',CHANNELS="' || c_nationkey || '"' AS media FROM customer)
+SELECT coalesce(s.media_id, m.media_id) AS media_id, '#EXTM3U' || chr(10) || '#EXT-X-VERSION:3' || chr(10) || '#EXT-X-INDEPENDENT-SEGMENTS' || chr(10) || concat_ws(chr(10), media, streams) || chr(10) AS text FROM s FULL JOIN m ON s.media_id = m.media_id""")
+def m3u8_master_write(spark, sf):
+    k = F.col("o_orderkey")
+    variants = table(spark, sf, "orders").select(
+        F.col("o_custkey").alias("media_id"), k.alias("place"), F.concat(F.lit("o"), _s("o_orderkey"), F.lit(".m3u8")).alias("uri"), (k * 1000).alias("bandwidth"), F.when(k % 2 == 0, k * 900).alias("average_bandwidth"), F.concat(F.lit("avc1,"), _s(k % 9)).alias("codecs"),
+        F.when(k % 3 == 0, k % 1920 + 1).alias("width"), (k % 1080 + 1).alias("height"), F.when(k % 4 != 1, (k % 61) / 8).alias("frame_rate"), F.when(k % 5 == 0, F.concat(F.lit("a"), _s(F.col("o_custkey") % 3))).alias("audio"),
+    )
+    c = F.col("c_custkey")
+    renditions = table(spark, sf, "customer").select(c.alias("media_id"), F.lit(1).alias("place"), F.lit("AUDIO").alias("type"), F.concat(F.lit("a"), _s(c % 3)).alias("group_id"), F.col("c_name").alias("name"), F.col("c_mktsegment").alias("language"), (c % 2 == 0).alias("default"), (c % 5 == 0).alias("forced"), F.col("c_nationkey").alias("channels"))
+    return playlists.write_master(variants, renditions, independent_segments=True)
