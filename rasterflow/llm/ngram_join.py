@@ -14,8 +14,8 @@ many elements as two sets can differ in. No pair of any size or similarity is le
 
 What shares a signature meets pair by pair. A profile of each set, how many of its elements fall into each of BUCKETS
 buckets of a hash, bounds the difference of a pair from below and rules most out: after the join in short lists, and within
-the task, without making pairs, in lists of up to DEEP. The others are confirmed on full sets: pairs one by one, and longer
-lists and those whose profiles are alike by and large as groups around a core as in near_dedup.
+the task, without making pairs, in lists of up to LONG. The others are confirmed on full sets: pairs one by one, and longer
+lists and clusters of many like profiles as groups around a core as in near_dedup.
 """
 
 from __future__ import annotations
@@ -31,7 +31,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import bucketed, materialize, mix, named, scratch
-from .near_dedup import DEEP, SHORT, all_links, class_rows, equal_sets, full_sets, ratio, set_key, shingle_set
+from .near_dedup import SHORT, all_links, class_rows, equal_sets, full_sets, ratio, set_key, shingle_set
 
 PERCENT = 80
 #: Second-level parts of a first-level part, and how many of them are left out of a signature.
@@ -45,8 +45,10 @@ SEEN = 100_000
 
 #: Buckets of a profile.
 BUCKETS = 128
-#: A list with more pairs of like profiles than this many a member is a group.
-ALIKE = 4
+#: Members of a list whose profiles are compared within a task; a cluster with more pairs of like profiles than ALIKE a member is a group.
+LONG, ALIKE = 4096, 4
+#: Members of a list that are tried as the middle of its largest cluster.
+TRIED = 8
 
 _SUBSETS = np.array([[i in kept for i in range(N2)] for kept in combinations(range(N2), N2 - K2)], dtype=np.uint64)
 
@@ -203,18 +205,50 @@ def likely_pairs(pairs: DataFrame, profiles: DataFrame, percent: int) -> DataFra
     return pairs.mapInArrow(run, "a long, b long").distinct()
 
 
+def clusters(size: np.ndarray, profiles: np.ndarray, percent: int) -> tuple[np.ndarray, np.ndarray]:
+    """The pairs (rows of two places) of members whose profiles let them link, and the cluster of each member that is in one of many such pairs, else -1.
+
+    The members like one that has many like it are one cluster, and not compared with each other; all others are compared with all.
+    """
+    n, c = len(size), ratio(percent)
+    row = lambda v: np.abs(profiles - profiles[v]).sum(axis=1, dtype=np.int64) * c <= size + size[v]
+    tried = [row(v) for v in np.unique(np.linspace(0, n - 1, min(n, TRIED)).astype(np.int64))]
+    core = max(tried, key=lambda r: r.sum())
+    if core.sum() <= 2 * ALIKE:
+        core = np.zeros(n, dtype=bool)
+    parent = np.arange(n)
+    if core.any():
+        parent[core] = np.flatnonzero(core)[0]
+    found: list[tuple[int, int]] = []
+
+    def root(v: int) -> int:
+        while parent[v] != v:
+            parent[v] = parent[parent[v]]
+            v = parent[v]
+        return v
+
+    for v in np.flatnonzero(~core).tolist():
+        for u in np.flatnonzero(row(v)).tolist():
+            if u < v or core[u]:
+                found.append((u, v))
+                a, b = root(u), root(v)
+                parent[max(a, b)] = min(a, b)
+    label = np.array([root(v) for v in range(n)], dtype=np.int64)
+    pairs = np.array(found, dtype=np.int64).reshape(-1, 2)
+    many = np.bincount(label[pairs[:, 0]], minlength=n) > ALIKE * np.bincount(label, minlength=n)
+    if core.any():
+        many[label[np.flatnonzero(core)[0]]] = True
+    return pairs[~many[label[pairs[:, 0]]]], np.where(many[label], label, -1)
+
+
 def compared_lists(lists: DataFrame, percent: int) -> DataFrame:
-    """value, a, b: the pairs of each list's members whose profiles let them link, or one row without a and b for a list with too many; lists: value, rep, size, profile."""
-    c = ratio(percent)
+    """value, a, b: the pairs (a, b) of each list's members whose profiles let them link, and the members a of its clusters, of which each has a value; lists: value, rep, size, profile."""
 
     def compared(value: int, reps: np.ndarray, size: np.ndarray, profiles: np.ndarray) -> list[tuple]:
-        found: list[tuple] = []
-        for i in range(1, len(reps)):
-            near = np.abs(profiles[:i] - profiles[i]).sum(axis=1, dtype=np.int64) * c <= size[:i] + size[i]
-            found += [(value, *sorted((int(reps[i]), int(r)))) for r in reps[:i][near]]
-            if len(found) > ALIKE * len(reps):
-                return [(value, None, None)]
-        return found
+        pairs, cluster = clusters(size, profiles, percent)
+        apart = mix(np.uint64(value & (2**64 - 1)) ^ mix(cluster.astype(np.uint64) + np.uint64(1))).view(np.int64)
+        met = np.sort(reps[pairs], axis=1).tolist()
+        return [(value, *p) for p in met] + [(int(apart[v]), int(reps[v]), None) for v in np.flatnonzero(cluster >= 0).tolist()]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: pa.Table | None = None
@@ -262,10 +296,12 @@ def jaccard_join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
         one, two = (few.select("value", F.col("rep").alias(x), F.col("size").alias(f"s{x}")) for x in "ab")
         met = one.join(two, "value").where(f"a < b AND sa * 100 >= sb * {percent} AND sb * 100 >= sa * {percent}").select("a", "b").distinct()
         profiles = linkable.where("doc_id = rep").select("rep", "size", "profile").distinct()
-        middle = lists.where((F.col("n") > SHORT) & (F.col("n") <= DEEP)).join(profiles.select("rep", "profile"), "rep")
+        middle = lists.where((F.col("n") > SHORT) & (F.col("n") <= LONG)).join(profiles.select("rep", "profile"), "rep")
         compared = keep(compared_lists(middle, percent), "compared")
-        pairs = keep(likely_pairs(met, profiles, percent).unionByName(compared.where("a IS NOT NULL").select("a", "b")).distinct(), "pairs")
-        many = lists.where(F.col("n") > DEEP).unionByName(lists.join(compared.where("a IS NULL").select("value").distinct(), "value", "left_semi")).drop("n")
+        pairs = keep(likely_pairs(met, profiles, percent).unionByName(compared.where("b IS NOT NULL").select("a", "b")).distinct(), "pairs")
+        members = lists.select("rep", "size", "central").distinct()
+        alike = compared.where("b IS NULL").select("value", F.col("a").alias("rep")).join(members, "rep").select("value", "rep", "size", "central")
+        many = lists.where(F.col("n") > LONG).drop("n").unionByName(alike)
         active = many.select("rep").unionByName(pairs.select(F.col("a").alias("rep"))).unionByName(pairs.select(F.col("b").alias("rep"))).distinct()
         with bucketed(full_sets(docs, id_col, text_col, active), "rep", "jaccard_join") as whole:
             links = keep(all_links(many, None, whole, percent, pairs), "links")

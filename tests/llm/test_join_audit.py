@@ -236,11 +236,11 @@ def test_join_of_large_group_of_edited_copies(spark):
     assert got == plain_components(enumerate(texts))
 
 
-@pytest.mark.parametrize("alike,deep", [(0, 512), (10**6, 512), (4, 17)])
+@pytest.mark.parametrize("alike,deep", [(0, 512), (10**6, 512), (4, 17), (4, 4096)])
 def test_lists_as_pairs_and_as_groups(spark, monkeypatch, alike, deep):
     """Sixty texts around each of two passages that half of their words are, and thirty edited copies: lists over SHORT of both kinds."""
     monkeypatch.setattr(ngram_join, "ALIKE", alike)
-    monkeypatch.setattr(ngram_join, "DEEP", deep)
+    monkeypatch.setattr(ngram_join, "LONG", deep)
     r = random.Random(8)
     passages = [" ".join(f"p{k}x{i}" for i in range(30)) for k in range(2)]
     texts = [f"{passages[i % 2]} {' '.join(f'o{r.randrange(10**6)}' for _ in range(r.randint(5, 12)))}" for i in range(120)]
@@ -249,6 +249,22 @@ def test_lists_as_pairs_and_as_groups(spark, monkeypatch, alike, deep):
     assert got == plain_components(enumerate(texts))
 
 
+def test_clusters_lose_no_pair():
+    """Each pair of like profiles is given, or both are in one cluster."""
+    r = np.random.default_rng(5)
+    for n, kinds in ((20, 1), (60, 3), (100, 40), (80, 80), (200, 6)):
+        middle = r.integers(0, 12, (kinds, ngram_join.BUCKETS))
+        profiles = np.clip(middle[r.integers(0, kinds, n)] + r.integers(-1, 2, (n, ngram_join.BUCKETS)) * (r.random((n, 1)) < 0.6), 0, 255).astype(np.int16)
+        size = profiles.sum(axis=1).astype(np.int64)
+        pairs, cluster = ngram_join.clusters(size, profiles, 80)
+        given = {tuple(sorted(p)) for p in pairs.tolist()}
+        for i in range(n):
+            for j in range(i):
+                if np.abs(profiles[i] - profiles[j]).sum(dtype=np.int64) * 9 <= size[i] + size[j]:
+                    assert (j, i) in given or cluster[i] == cluster[j] >= 0
+        assert len(given) == len(pairs) <= ngram_join.ALIKE * n
+
+
 def test_join_hard_rows(spark):
     docs = documents(spark)
     rows = ngram_join.jaccard_join(docs).collect()
