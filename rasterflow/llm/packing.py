@@ -165,8 +165,8 @@ def pack_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     """doc_id, piece, start, length, ids_crc32, sequence_id, offset: one row for each piece, packed into sequences of capacity.
 
     A document is its ids and then end_id; a null or empty text is end_id alone. Only documents over capacity are cut, into
-    pieces of capacity tokens of which the first can be shorter. Repeated rows and null ids are documents of their own. An
-    empty table gives no rows; further columns are ignored.
+    pieces of capacity tokens of which the first can be shorter. Repeated rows and null ids are documents of their own; ids are
+    cast to long, and ids that aren't numbers fail. An empty table gives no rows; further columns are ignored.
     """
     shards = -(-max(1, docs.count()) // SHARD)
 

@@ -226,6 +226,7 @@ def classify(docs: DataFrame, labels: DataFrame, threshold: float = 0.5) -> Data
     Null text, language, source and length have features of their own; empty texts have no content. Labels that are null or
     other than 0 and 1 take no part; of labels that repeat an id the lower counts; repeated documents score alike. With labels
     of one class or none every document gets their mean (1 without labels) and no model decides. An empty table gives no
-    rows. Other columns pass through; columns named like the results are replaced.
+    rows. Ids of docs and labels are cast to long for the fit, and ids that aren't numbers fail. Other columns pass through;
+    columns named like the results are replaced.
     """
     return score(docs, train(docs, labels), threshold)

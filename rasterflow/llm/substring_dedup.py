@@ -168,7 +168,8 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     Words are runs outside ASCII white space. Each word that a repeated window covers is removed, the first occurrence as
     well; windows are judged on the input. Kept words are joined by one space. A null or empty text has no words and the
     digest of the empty string. Rows that repeat a text, with the same id or another or none, are documents of their own, so
-    texts of WINDOW words or more go from all of them. An empty table gives no rows; further columns are ignored.
+    texts of WINDOW words or more go from all of them. Ids are cast to long, and ids that aren't numbers fail. An empty table
+    gives no rows; further columns are ignored.
     """
     blocks = -(-max(1, docs.count()) // BLOCK)
     text = text_or_empty(text_col)

@@ -69,7 +69,8 @@ def top_k(vectors: DataFrame, queries: DataFrame, k: int = 20, id_col: str = "ve
     Candidates are all rows of vectors but those with the query's id; ties go to the smaller id; fewer than k candidates give
     fewer rows, and candidates that repeat an id each get a rank. Rows take no part if their id or vector is null or if a
     component is null or not finite. A query meets only vectors of its own length. Queries that repeat an id count once, with
-    the smallest vector. An empty side gives no rows. Further columns are ignored. Blocks of block candidates meet blocks of
+    the smallest vector. An empty side gives no rows. Ids are cast to long, and ids that aren't
+    numbers fail. Further columns are ignored. Blocks of block candidates meet blocks of
     query_block queries; both sizes bound a task's memory, and each row is copied once for each block of the other side.
     """
 
