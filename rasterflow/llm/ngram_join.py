@@ -31,7 +31,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import bucketed, materialize, mix, named, scratch
-from .near_dedup import SHORT, all_links, class_rows, equal_sets, full_sets, ratio, set_key, shingle_set
+from .near_dedup import SHORT, all_links, class_rows, components, equal_sets, full_sets, ratio, set_key, shingle_set
 
 PERCENT = 80
 #: Second-level parts of a first-level part, and how many of them are left out of a signature.
@@ -299,8 +299,11 @@ def jaccard_join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
         middle = lists.where((F.col("n") > SHORT) & (F.col("n") <= LONG)).join(profiles.select("rep", "profile"), "rep")
         compared = keep(compared_lists(middle, percent), "compared")
         pairs = keep(likely_pairs(met, profiles, percent).unionByName(compared.where("b IS NOT NULL").select("a", "b")).distinct(), "pairs")
-        members = lists.select("rep", "size", "central").distinct()
-        alike = compared.where("b IS NULL").select("value", F.col("a").alias("rep")).join(members, "rep").select("value", "rep", "size", "central")
+        # Clusters of different lists that share members are one group, so no set is in two.
+        alike = compared.where("b IS NULL").select("value", F.col("a").alias("rep"))
+        first = alike.groupBy("value").agg(F.min("rep").alias("a"))
+        joined = components(alike.join(first, "value").select("a", F.col("rep").alias("b")).distinct(), "clusters").select(F.col("comp").alias("value"), F.col("node").alias("rep"))
+        alike = joined.join(lists.select("rep", "size", "central").distinct(), "rep").select("value", "rep", "size", "central")
         many = lists.where(F.col("n") > LONG).drop("n").unionByName(alike)
         active = many.select("rep").unionByName(pairs.select(F.col("a").alias("rep"))).unionByName(pairs.select(F.col("b").alias("rep"))).distinct()
         with bucketed(full_sets(docs, id_col, text_col, active), "rep", "jaccard_join") as whole:
