@@ -6,6 +6,7 @@ import tempfile
 import uuid
 from collections.abc import Callable, Iterator, Sequence
 from contextlib import contextmanager
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -137,23 +138,40 @@ def byte_words(data: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return edges[::2], edges[1::2], b
 
 
+#: Powers of a factor that a task keeps.
+POWERS = 1 << 16
+
+
+def _powers(factor: int, n: int) -> np.ndarray:
+    out = np.full(n, factor % 2**64, dtype=np.uint64)
+    out[:1] = 1
+    return out.cumprod(dtype=np.uint64)
+
+
+_kept_powers = lru_cache(maxsize=32)(_powers)
+
+
+def powers(factor: int, n: int) -> tuple[np.ndarray, np.ndarray]:
+    """The first n powers of an odd factor and of its inverse, modulo 2^64, from the power 0 on."""
+    make, size = (_kept_powers, POWERS) if n <= POWERS else (_powers, n)
+    return make(factor, size)[:n], make(pow(factor, -1, 2**64), size)[:n]
+
+
+@lru_cache(maxsize=32)
+def _byte_hashes(seed: int) -> np.ndarray:
+    return mix((np.arange(256, dtype=np.uint64) + np.uint64(1 + 256 * seed)) * _MUL)
+
+
 def word_hashes(data: bytes, seed: int = 0) -> np.ndarray:
-    """A 64-bit hash of each word of data, the same wherever the word stands."""
+    """A 64-bit hash of each word of data, the same wherever the word stands: a polynomial of its bytes, from sums over the bytes before its ends."""
     start, end, b = byte_words(data)
     if not len(start):
         return np.empty(0, dtype=np.uint64)
-    size = end - start
-    inside = np.arange(len(b), dtype=np.int64)
-    inside[start[0] :] -= np.repeat(start, np.diff(np.append(start, len(b))))
-    power = np.full(int(size.max()), np.uint64(0x100000001B3 + 2 * seed), dtype=np.uint64).cumprod()
-    table = mix((np.arange(256, dtype=np.uint64) + np.uint64(1 + 256 * seed)) * _MUL)
-    step = np.zeros(len(b) + 1, dtype=np.int8)
-    step[start] = 1
-    step[end] -= 1
-    live = np.cumsum(step[:-1], dtype=np.int8).astype(bool)
-    value = np.zeros(len(b), dtype=np.uint64)
-    value[live] = table[b[live]] * power[inside[live]]
-    return mix(np.add.reduceat(value, start) ^ (size.astype(np.uint64) * _MUL))
+    factor = 0x100000001B3 + 2 * seed
+    power, inverse = powers(factor, len(b))
+    sums = np.zeros(len(b) + 1, dtype=np.uint64)
+    np.cumsum(_byte_hashes(seed)[b] * power, out=sums[1:])
+    return mix(((sums[end] - sums[start]) * inverse[start] * np.uint64(factor)) ^ ((end - start).astype(np.uint64) * _MUL))
 
 
 def rolling(h: np.ndarray, width: int, seed: int = 0) -> np.ndarray:

@@ -5,27 +5,30 @@ is smallest in it, and equal windows hold the same one, so only phrases that rec
 can lie in a repeated window. Confirmed phrases are dealt to the blocks of documents that hold them; each block compiles its
 own into an Aho-Corasick automaton over words and streams all its documents through it, which locates every occurrence.
 The windows around the occurrences are counted over the whole corpus by a 128-bit hash, and what occurs more than once is
-removed. Texts that are equal word by word are known by their digest; one of them stands for all, so that large groups of
-copies cost as much as one text.
+removed. Equal texts are known by their digest; one of them stands for all, so that large groups of copies cost as much as
+one text.
 """
 
 from __future__ import annotations
 
 import hashlib
 from collections.abc import Iterator
+from itertools import repeat
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import mix, rolling, text_or_empty, word_hashes
+from .common import mix, powers, rolling, text_or_empty, word_hashes
 
 WINDOW, PHRASE = 35, 8
 #: Documents of a block, which bounds a task's texts and automaton.
 BLOCK = 1024
+#: Symbols of a word in an automaton; a word of no phrase is as many null characters.
+DIGITS = 3
 
-_LANES = ((np.uint64(0xD6E8FEB86659FD93), np.uint64(0)), (np.uint64(0xA0761D6478BD642F), np.uint64(0x5851F42D4C957F2D)))
+_LANES = ((0xD6E8FEB86659FD93, np.uint64(0)), (0xA0761D6478BD642F, np.uint64(0x5851F42D4C957F2D)))
 
 
 def words_of(text: str | None) -> tuple[bytes, list[bytes]]:
@@ -33,41 +36,58 @@ def words_of(text: str | None) -> tuple[bytes, list[bytes]]:
     return data, data.split()
 
 
+def _window_hash(h: np.ndarray, width: int, factor: int, salt: np.uint64) -> np.ndarray:
+    power, inverse = powers(factor, len(h))
+    prefix = np.zeros(len(h) + 1, dtype=np.uint64)
+    np.cumsum(mix(h ^ salt) * power, out=prefix[1:])
+    return mix((prefix[width:] - prefix[:-width]) * inverse[: len(h) - width + 1]).view(np.int64)
+
+
 def window_hashes(h: np.ndarray, width: int) -> tuple[np.ndarray, np.ndarray]:
     """Two 64-bit hashes of every run of width words, from prefix sums of a polynomial."""
-    n, out = len(h), []
-    for factor, salt in _LANES:
-        power = np.full(n + 1, factor, dtype=np.uint64)
-        power[0] = 1
-        power = power.cumprod(dtype=np.uint64)
-        inverse = np.full(n + 1, np.uint64(pow(int(factor), -1, 2**64)), dtype=np.uint64)
-        inverse[0] = 1
-        inverse = inverse.cumprod(dtype=np.uint64)
-        prefix = np.concatenate((np.zeros(1, dtype=np.uint64), np.cumsum(mix(h ^ salt) * power[:n], dtype=np.uint64)))
-        out.append(mix((prefix[width:] - prefix[:-width]) * inverse[: n - width + 1]).view(np.int64))
-    return out[0], out[1]
+    return tuple(_window_hash(h, width, *lane) for lane in _LANES)
+
+
+def _sliding(best: np.ufunc, x: np.ndarray, width: int) -> np.ndarray:
+    """The best (minimum or maximum) of every run of width values."""
+    reach = 1
+    while 2 * reach <= width:
+        x = best(x[:-reach], x[reach:])
+        reach *= 2
+    rest = width - reach
+    return best(x[: len(x) - rest], x[rest:]) if rest else x
 
 
 def anchors(h: np.ndarray) -> np.ndarray:
-    """Where the phrases start that have the smallest hash in some window; leftmost on ties."""
+    """Where the phrases start that have the smallest hash in some window, all of them on ties."""
     phrase = rolling(h, PHRASE)
     spread = WINDOW - PHRASE + 1
     if len(phrase) < spread:
         return np.empty(0, dtype=np.int64)
-    least = np.lib.stride_tricks.sliding_window_view(phrase, spread).argmin(axis=1)
-    return np.unique(least + np.arange(len(least)))
+    # No window's least hash is above that of a phrase in it.
+    least = np.zeros(len(phrase) + spread - 1, dtype=np.uint64)
+    least[spread - 1 : len(phrase)] = _sliding(np.minimum, phrase, spread)
+    return np.flatnonzero(_sliding(np.maximum, least, spread) == phrase)
 
 
 def automaton(phrases: list[bytes]):
-    """The words' numbers, and an Aho-Corasick automaton over them."""
+    """The words' spellings, and an Aho-Corasick automaton over them.
+
+    A word is spelt by the DIGITS digits of its number, each place with symbols of its own, so that nodes have few edges to
+    search and phrases start at words only.
+    """
     import ahocorasick
 
-    number: dict[bytes, int] = {}
-    found = ahocorasick.Automaton(ahocorasick.STORE_INTS, ahocorasick.KEY_SEQUENCE)
+    words = sorted({w for phrase in phrases for w in phrase.split(b" ")})
+    base = 1
+    while base**DIGITS < len(words):
+        base += 1
+    spelt = {w: "".join(chr(1 + place * base + i // base**place % base) for place in range(DIGITS)) for i, w in enumerate(words)}
+    found = ahocorasick.Automaton(ahocorasick.STORE_INTS)
     for k, phrase in enumerate(phrases):
-        found.add_word(tuple(number.setdefault(w, len(number) + 1) for w in phrase.split(b" ")), k)
+        found.add_word("".join([spelt[w] for w in phrase.split(b" ")]), k)
     found.make_automaton()
-    return number, found
+    return spelt, found
 
 
 def _phrases(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -100,7 +120,8 @@ def _located(left: pa.Table, right: pa.Table) -> pa.Table:
     copies, phrases = _copies(right), [p for p in right["phrase"].to_pylist() if p is not None]
     found: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
     if phrases and len(left):
-        number, machine = automaton(phrases)
+        spelt, machine = automaton(phrases)
+        other = repeat("\0" * DIGITS)
         for doc, text, sig in zip(left["doc_id"].to_pylist(), left["text"], left["sig"].to_pylist(), strict=True):
             rep = copies.get(sig)
             if rep is not None and rep != (_NO_ID if doc is None else doc):
@@ -108,7 +129,7 @@ def _located(left: pa.Table, right: pa.Table) -> pa.Table:
             data, words = words_of(text.as_py())
             if len(words) < WINDOW:
                 continue
-            ends = [end for end, _ in machine.iter(tuple([number.get(w, 0) for w in words]))]
+            ends = [end // DIGITS for end, _ in machine.iter("".join(map(spelt.get, words, other)))]
             if not ends:
                 continue
             # A phrase that ends at e lies in the windows that start at e - WINDOW + 1 to e - PHRASE + 1.
@@ -144,12 +165,16 @@ def _removed(left: pa.Table, right: pa.Table) -> pa.Table:
         elif sig in copies:
             kept = []
         else:
-            a, b = window_hashes(word_hashes(data), WINDOW)
+            h = word_hashes(data)
+            a = _window_hash(h, WINDOW, *_LANES[0])
             at = np.searchsorted(h1, a)
-            hit = np.zeros(len(a), dtype=bool)
-            for r in range(runs):
-                k = np.minimum(at + r, len(h1) - 1)
-                hit |= (h1[k] == a) & (h2[k] == b)
+            hit = h1[np.minimum(at, len(h1) - 1)] == a
+            if hit.any():
+                b = _window_hash(h, WINDOW, *_LANES[1])
+                hit[:] = False
+                for r in range(runs):
+                    k = np.minimum(at + r, len(h1) - 1)
+                    hit |= (h1[k] == a) & (h2[k] == b)
             kept = words
             if hit.any():
                 edge = np.zeros(n + 1, dtype=np.int64)
@@ -173,13 +198,13 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     """
     blocks = -(-max(1, docs.count()) // BLOCK)
     text = text_or_empty(text_col)
-    sig = F.sha2(F.trim(F.regexp_replace(text, r"[\x20\x09-\x0D]+", " ")), 256)
+    sig = F.substring(F.sha2(text, 256), 1, 32)
     base = docs.select(F.pmod(F.xxhash64(id_col, text_col), F.lit(blocks)).cast("int").alias("block"), F.col(id_col).cast("long").alias("doc_id"), text.alias("text"), sig.alias("sig"))
 
     spread = lambda df: df.select(F.explode("blocks").alias("block"), *[c for c in df.columns if c != "blocks"])
     copies = base.groupBy("sig").agg(F.count(F.lit(1)).alias("n"), F.min(F.coalesce("doc_id", F.lit(_NO_ID))).alias("rep"), F.collect_set("block").alias("blocks")).where("n > 1")
     copies = spread(copies.select("sig", "rep", "blocks"))
-    marks = base.select("block", "text", F.xxhash64("sig").alias("one")).mapInArrow(_phrases, "block int, phrase binary, low long, high long, twice boolean")
+    marks = base.select("block", "text", F.xxhash64("text").alias("one")).mapInArrow(_phrases, "block int, phrase binary, low long, high long, twice boolean")
     recurring = marks.groupBy("phrase").agg(F.min("low").alias("low"), F.max("high").alias("high"), F.max("twice").alias("twice"), F.collect_set("block").alias("blocks")).where("low < high OR twice")
     phrases = spread(recurring.select("phrase", "blocks"))
     by_block = base.groupBy("block")

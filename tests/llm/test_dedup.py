@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from sentencepiece import SentencePieceProcessor
 
 from rasterflow.llm import exact_dedup, line_dedup, near_dedup, sentencepiece_text, substring_dedup, topk
-from rasterflow.llm.common import rolling, table, word_hashes
+from rasterflow.llm.common import powers, rolling, table, word_hashes
 
 from .fixtures import SF, documents, no_documents, prose
 
@@ -100,6 +100,35 @@ def test_hashes_depend_on_words_alone():
     assert (one[7:] == again).all() and (one != two).all() and (rolling(h, 5)[7:] == rolling(h[7:], 5)).all()
 
 
+def test_windows_and_anchors_by_brute_force():
+    """Hashes from kept powers are those of the words, and anchors the least phrases of each window."""
+    r = np.random.default_rng(3)
+    for data in (prose(6, 400).encode(), b"a b " * 90, "é 日本 🙂 ".encode() * 30, bytes(r.choice(np.frombuffer(b"ab \t", dtype=np.uint8), 200_000))):
+        h = word_hashes(data)
+        assert (h[:60] == [word_hashes(w)[0] for w in data.split()[:60]]).all()
+        phrase = rolling(h, substring_dedup.PHRASE)[:3000]
+        spread = substring_dedup.WINDOW - substring_dedup.PHRASE + 1
+        want = {i + j for i in range(len(phrase) - spread + 1) for j in np.flatnonzero(phrase[i : i + spread] == phrase[i : i + spread].min()).tolist()}
+        assert want == set(substring_dedup.anchors(h[: len(phrase) + substring_dedup.PHRASE - 1]).tolist())
+    assert powers(5, 10)[0].base is powers(5, 900)[0].base and (powers(5, 900)[0] * powers(5, 900)[1] == 1).all()
+
+
+def test_automaton_nodes_have_few_edges():
+    """Phrases start at whole words, and no node has an edge for each word."""
+    phrases = [b" ".join(b"w%d" % (i * 8 + k) for k in range(8)) for i in range(500)]
+    spelt, found = substring_dedup.automaton(phrases)
+    assert len({c for s in spelt.values() for c in s}) < 60 and len(set(spelt.values())) == 4000
+    words = [b"other", *phrases[7].split(b" "), b"other", *phrases[3].split(b" ")[1:], *phrases[8].split(b" ")]
+    text = "".join(spelt.get(w, "\0" * substring_dedup.DIGITS) for w in words)
+    assert [(end // substring_dedup.DIGITS, k) for end, k in found.iter(text)] == [(8, 7), (24, 8)]
+
+
+def test_texts_that_differ_in_white_space(spark):
+    words = prose(8, 50).split()
+    docs = spark.createDataFrame([(1, " ".join(words)), (2, "\n".join(words)), (3, " ".join(words)), (4, " ".join(words[:34]))], "doc_id long, text string")
+    assert {r.doc_id: (r.n_words, r.n_removed) for r in substring_dedup.remove_repeats(docs).collect()} == {1: (50, 50), 2: (50, 50), 3: (50, 50), 4: (34, 0)}
+
+
 def brute_components(rows):
     sets = []
     for i, t in rows:
