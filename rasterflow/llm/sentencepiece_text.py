@@ -2,7 +2,7 @@
 
 Texts become marked words (runs of the space mark and what follows). The distinct words of a batch are sorted, which makes
 neighbours share prefixes like the paths of a trie, and are traversed depth first: forward states of the common prefix are
-kept and only those of the new characters computed. For a unigram vocabulary the forward state of a prefix is its best
+kept and only those of the new characters computed; the pieces that end at a character are found by an automaton. For a unigram vocabulary the forward state of a prefix is its best
 score and last piece. A byte-pair vocabulary has no additive score; there the state is the one last piece with which the
 prefix's merges can end: a piece fits after another if merging both together gives just these two pieces again.
 """
@@ -22,7 +22,7 @@ from pyspark.sql import types as T
 from .common import over_columns
 
 MARK = "▁"
-#: Words whose pieces a task keeps from one batch to the next.
+#: Words of a generation: with more, a task keeps them as the last one and begins another.
 CACHE = 100_000
 
 
@@ -48,6 +48,8 @@ class Vocabulary:
         alone = "".join(c for c in "\n\r\t" if not any(c in p for p in self.ids))
         self.split = re.compile(f"{MARK}*[^{MARK}{re.escape(alone)}]+|{MARK}+|[{re.escape(alone)}]" if alone else f"{MARK}*[^{MARK}]+|{MARK}+")
         self.known: dict[str, bytes] = {}
+        self.older: dict[str, bytes] = {}
+        self.coded = [i.to_bytes(4, "little") for i in size]
         bytes_of = [bytes([int(p[1:-1], 16)]) if model.is_byte(i) else b"" if model.is_control(i) else " ⁇ ".encode() if model.is_unknown(i) else p.replace(MARK, " ").encode() for i, p in enumerate(self.pieces)]
         self.spelling = np.frombuffer(b"".join(bytes_of), dtype=np.uint8)
         self.length = np.array([len(b) for b in bytes_of], dtype=np.int64)
@@ -56,18 +58,32 @@ class Vocabulary:
     # --- the forward search ---
 
     def grow(self) -> None:
-        """The trie of the pieces: steps from node and character to node, and the piece that ends at a node or -1."""
-        self.steps: dict[int, int] = {}
-        self.ends = [-1]
+        """The automaton of the pieces: steps from a node by character, where to go on if there is none, and the pieces (length, number) that end at a node, longest first."""
+        no_steps: dict[str, int] = {}
+        self.steps, self.falls, self.ending = [{}], [0], [()]
+        whole, depth, parents = [-1], [0], [(0, "")]
         for piece, i in self.ids.items():
             node = 0
             for c in piece:
-                key = node << 21 | ord(c)
-                if key not in self.steps:
-                    self.steps[key] = len(self.ends)
-                    self.ends.append(-1)
-                node = self.steps[key]
-            self.ends[node] = i
+                if self.steps[node] is no_steps:
+                    self.steps[node] = {}
+                if c not in self.steps[node]:
+                    self.steps[node][c] = len(whole)
+                    self.steps.append(no_steps)
+                    whole.append(-1)
+                    depth.append(depth[node] + 1)
+                    parents.append((node, c))
+                node = self.steps[node][c]
+            whole[node] = i
+        self.falls, self.ending = [0] * len(whole), [()] * len(whole)
+        for node in sorted(range(1, len(whole)), key=depth.__getitem__):
+            parent, c = parents[node]
+            fall, found = parent, None
+            while fall and found is None:
+                fall = self.falls[fall]
+                found = self.steps[fall].get(c)
+            self.falls[node] = fall = found or 0
+            self.ending[node] = ((depth[node], whole[node]), *self.ending[fall]) if whole[node] >= 0 else self.ending[fall]
 
     def merged(self, text: str, until: int = 1) -> list[str]:
         """The byte-pair merges of a short text, down to until parts: always the pair with the best score, the leftmost on ties."""
@@ -100,7 +116,7 @@ class Vocabulary:
         """Whether the merges of both pieces together end with just these two: no merge over their border comes before those that
         take its parts. before is -1 at the start or after an unknown character.
         """
-        if len(self.fits_after) > 2 * CACHE:
+        if len(self.fits_after) > 4 * CACHE:
             self.fits_after.clear()
         right, left = self.edges(piece), self.edges(before) if before >= 0 else ([], [])
         found = right is not None and left is not None
@@ -113,54 +129,65 @@ class Vocabulary:
         self.fits_after[before << 32 | piece] = found
         return found
 
-    def forward(self, words: list[str]) -> Iterator[list[int | str]]:
-        """The pieces of each of the sorted words, by number, and unknown characters as they are.
+    def search(self, words: list[str]) -> Iterator[tuple[list[int], bytes]]:
+        """For each of the sorted words the last piece of each prefix (-1: an unknown character), and the word's numbers.
 
-        At each depth of the traversal stand the state (where its last piece starts, which it is, and the best score) and the
-        paths of the piece trie that are open there; a word keeps those of the prefix that it shares with the last word. Open
-        paths are stored only as deep as the next word shares the prefix.
+        At each depth of the traversal stand the state (its last piece, the best score and the numbers up to there) and the
+        automaton's node; a word keeps those of the prefix that it shares with the last word.
         """
-        steps, ends, unigram, known = self.steps, self.ends, self.kind == "unigram", self.fits_after
+        steps, falls, ending, coded, known, unigram = self.steps, self.falls, self.ending, self.coded, self.fits_after, self.kind == "unigram"
         score_of = [self.scores.get(p, 0.0) for p in self.pieces] if unigram else []
-        starts, lasts, best, paths = [0], [-1], [0.0], [[]]
-        same = 0
-        for word, after in zip(words, [*words[1:], ""][: len(words)], strict=True):
-            keep, most = 0, min(len(word), len(after))
-            while keep < most and word[keep] == after[keep]:
-                keep += 1
-            del starts[same + 1 :], lasts[same + 1 :], best[same + 1 :], paths[same + 1 :]
-            front = paths[same]
-            for at in range(same, len(word)):
-                c, open_here, last, start, score = ord(word[at]), [], -1, at, best[at] + self.penalty
-                for path in (*front, (at, 0)):
-                    node = steps.get(path[1] << 21 | c)
-                    if node is None:
-                        continue
-                    open_here.append((path[0], node))
-                    piece = ends[node]
-                    if piece < 0:
-                        continue
-                    if unigram:
-                        total = best[path[0]] + score_of[piece]
+        lasts, best, nodes, numbers = [-1], [0.0], [0], [b""]
+        before = ""
+        for word in words:
+            same = 0
+            for a, b in zip(before, word, strict=False):
+                if a != b:
+                    break
+                same += 1
+            if len(word) >= len(lasts):
+                more = len(word) + 1 - len(lasts)
+                lasts += [-1] * more
+                best += [0.0] * more
+                nodes += [0] * more
+                numbers += [b""] * more
+            node, at = nodes[same], same
+            for c in word[same:]:
+                at += 1
+                found = steps[node].get(c)
+                while found is None and node:
+                    node = falls[node]
+                    found = steps[node].get(c)
+                nodes[at] = node = found or 0
+                last = -1
+                if unigram:
+                    score = best[at - 1] + self.penalty
+                    for length, piece in ending[node]:
+                        total = best[at - length] + score_of[piece]
                         if last < 0 or total > score:
-                            last, start, score = piece, path[0], total
-                    elif last < 0:
-                        left = lasts[path[0]]
+                            last, start, score = piece, at - length, total
+                    best[at] = score
+                else:
+                    for length, piece in ending[node]:
+                        start = at - length
+                        left = lasts[start]
                         fit = known.get(left << 32 | piece)
-                        if self.fits(left, piece) if fit is None else fit:
-                            last, start = piece, path[0]
-                starts.append(start)
-                lasts.append(last)
-                best.append(score)
-                front = open_here
-                if at < keep:
-                    paths.append(open_here)
+                        if fit or fit is None and self.fits(left, piece):
+                            last = piece
+                            break
+                lasts[at] = last
+                numbers[at] = numbers[start] + coded[last] if last >= 0 else numbers[at - 1] + self._numbers([c])
+            before = word
+            yield lasts, numbers[at]
+
+    def forward(self, words: list[str]) -> Iterator[list[int | str]]:
+        """The pieces of each of the sorted words, by number, and unknown characters as they are."""
+        for word, (lasts, _) in zip(words, self.search(words), strict=True):
             out, end = [], len(word)
             while end:
-                start = starts[end]
-                out.append(lasts[end] if lasts[end] >= 0 else word[start:end])
-                end = start
-            same = keep
+                last = lasts[end]
+                out.append(last if last >= 0 else word[end - 1])
+                end -= len(self.pieces[last]) if last >= 0 else 1
             yield out[::-1]
 
     def _numbers(self, pieces: list[int | str]) -> bytes:
@@ -182,25 +209,24 @@ class Vocabulary:
     def learn(self, words: set[str]) -> None:
         """Adds words to the known ones."""
         if len(self.known) > CACHE:
-            self.known.clear()
-        new = words - self.known.keys()
-        if self.kind == "unigram":
-            plain = {w: w for w in new}
-        else:  # of a run of marks the last may join the word, the others come after all other merges
-            plain = {w: w.lstrip(MARK) for w in new}
-            plain = {w: MARK * (len(b) < len(w)) + b for w, b in plain.items() if b}
-        short = sorted(set(plain.values()))
-        pieces = dict(zip(short, self.forward(short), strict=True))
-        mark = self.ids.get(MARK, MARK)
-        for w in new:
-            if w not in plain:
-                self.known[w] = self._numbers(self._marks(len(w)))
+            self.older, self.known = self.known, {}
+        known, older = self.known, self.older
+        new = words - known.keys()
+        again = new & older.keys()
+        known.update([(w, older[w]) for w in again])
+        new -= again
+        # Of a run of marks the last may join the word, the others come after all other merges.
+        runs = {w: w.lstrip(MARK) for w in new if w[:2] == MARK * 2 or w == MARK} if self.kind != "unigram" else {}
+        short = sorted((new - runs.keys()) | {MARK + b for b in runs.values() if b} - known.keys())
+        for w, (_, own) in zip(short, self.search(short), strict=True):
+            known[w] = own
+        mark = self._numbers([self.ids.get(MARK, MARK)])
+        for w, b in runs.items():
+            if not b:
+                known[w] = self._numbers(self._marks(len(w)))
                 continue
-            own = pieces[plain[w]]
-            spare = len(w) - len(plain[w])
-            if spare:
-                own = self._marks(spare) + own if own[0] != mark else self._marks(spare + 1) + own[1:]
-            self.known[w] = self._numbers(own)
+            own, spare = known[MARK + b], len(w) - len(b) - 1
+            known[w] = self._numbers(self._marks(spare)) + own if not own.startswith(mark) else self._numbers(self._marks(spare + 1)) + own[len(mark) :]
 
     def words(self, text: str) -> list[str]:
         return self.split.findall(MARK + text.replace(" ", MARK)) if text else []
@@ -233,7 +259,7 @@ def default_model() -> str:
 
 
 #: Texts of a step are taken together up to so many characters.
-STEP = 4_000_000
+STEP = 2_000_000
 
 
 def _steps(batch: pa.RecordBatch, sizes: np.ndarray) -> Iterator[pa.RecordBatch]:

@@ -290,6 +290,19 @@ def test_sentencepiece_search(monkeypatch):
     assert all(abs(score(got) - brute(w)[0]) < 1e-9 for w, got in zip(words, best.forward(words), strict=True))
 
 
+def test_words_of_the_last_step_stay_known(monkeypatch):
+    """Words of two steps in turn aren't searched again, however many there are."""
+    monkeypatch.setattr(sentencepiece_text, "CACHE", 3)
+    vocab = sentencepiece_text.Vocabulary(sentencepiece_text.default_model())
+    model = SentencePieceProcessor(model_file=sentencepiece_text.default_model())
+    searched, search = [], vocab.search
+    monkeypatch.setattr(vocab, "search", lambda words: searched.append(words) or search(words))
+    texts = [" ".join([prose(5, 40), *(f"w{k}" for k in range(n)), "日本 ", "   x  "]) for n in range(1, 6)]
+    for n, t in enumerate(texts, 1):
+        assert vocab.encode([t])[0].tolist() == model.encode(t)
+        assert n == 1 or searched[-1] == [f"▁w{n - 1}"]
+
+
 def test_on_the_smallest_table(spark):
     docs = table(spark, SF, "documents")
     rows = rows_of(docs)
