@@ -11,7 +11,7 @@ from .common import table
 
 def op1_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
-    coded = sentencepiece_text.decode(sentencepiece_text.encode(docs))
+    coded = sentencepiece_text.encode(docs, decoded_col="decoded")
     return coded.select("doc_id", "ids", F.size("ids").cast("long").alias("n_tokens"), F.sha2("decoded", 256).alias("decoded_sha256"), F.col("decoded").eqNullSafe(F.col("text")).alias("round_trip"))
 
 

@@ -272,14 +272,15 @@ def _steps(batch: pa.RecordBatch, sizes: np.ndarray) -> Iterator[pa.RecordBatch]
         first = last
 
 
-def encode(docs: DataFrame, text_col: str = "text", ids_col: str = "ids", path: str | None = None, kind: str = "bpe") -> DataFrame:
+def encode(docs: DataFrame, text_col: str = "text", ids_col: str = "ids", path: str | None = None, kind: str = "bpe", decoded_col: str | None = None) -> DataFrame:
     """docs with ids (array<int>): the pieces of each text; null for a null text, empty for an empty one.
 
     The text gets a leading mark, spaces become marks, and characters outside the vocabulary their UTF-8 bytes. Nothing is
     shuffled. Rows that repeat have equal ids; an empty table gives no rows; a column with the name of ids_col is replaced.
+    With decoded_col the text of the ids comes as well, as decode() gives it, from the same Python process.
     """
     path = path or default_model()
-    kept = [c for c in docs.columns if c != ids_col]
+    kept = [c for c in docs.columns if c not in (ids_col, decoded_col)]
     at = kept.index(text_col)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[list[pa.Array]]:
@@ -288,9 +289,10 @@ def encode(docs: DataFrame, text_col: str = "text", ids_col: str = "ids", path:
             for part in _steps(batch, pc.fill_null(pc.utf8_length(batch.column(at)), 0).to_numpy(zero_copy_only=False)):
                 texts = part.column(at).to_pylist()
                 ids = [None if t is None else i for t, i in zip(texts, vocab.encode([t or "" for t in texts]), strict=True)]
-                yield [*part.columns, pa.array(ids, pa.list_(pa.int32()))]
+                decoded = [pa.array([None if i is None else vocab.decode(i) for i in ids], pa.string())] if decoded_col else []
+                yield [*part.columns, pa.array(ids, pa.list_(pa.int32())), *decoded]
 
-    return over_columns(docs, kept, run, [(ids_col, T.ArrayType(T.IntegerType()))])
+    return over_columns(docs, kept, run, [(ids_col, T.ArrayType(T.IntegerType())), *([(decoded_col, "string")] if decoded_col else [])])
 
 
 def decode(df: DataFrame, ids_col: str = "ids", text_col: str = "decoded", path: str | None = None) -> DataFrame:

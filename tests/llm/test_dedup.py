@@ -270,6 +270,19 @@ def test_sentencepiece(spark):
     assert sentencepiece_text.encode(no_documents(spark)).count() == 0
 
 
+def test_sentencepiece_query_in_one_process(spark):
+    # Encoding and decoding in steps of their own take two Python workers for each task, and twice the memory.
+    from rasterflow.llm import queries
+
+    found = queries.op1_sentencepiece(spark, "/root/testdata/sf0.001")
+    assert found._jdf.queryExecution().executedPlan().toString().count("MapInArrow") == 1
+    docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet").select("doc_id", "text")
+    own = sentencepiece_text.decode(sentencepiece_text.encode(docs))
+    assert sorted(found.select("doc_id", "ids", "n_tokens", "round_trip").collect()) == sorted((r.doc_id, r.ids, len(r.ids), r.decoded == r.text) for r in own.collect())
+    odd = spark.createDataFrame([(1, None), (2, ""), (3, "a\u00e9\u4e2d  b"), (4, "\u2581x")], "doc_id long, text string")
+    assert sorted(sentencepiece_text.encode(odd, decoded_col="decoded").collect()) == sorted(sentencepiece_text.decode(sentencepiece_text.encode(odd)).collect())
+
+
 def test_sentencepiece_search(monkeypatch):
     vocab = sentencepiece_text.vocabulary(sentencepiece_text.default_model())
     model = SentencePieceProcessor(model_file=sentencepiece_text.default_model())
