@@ -12,16 +12,17 @@ partition of the domain as well, and at last each element by itself; of two sets
 partition that both enter, or both go on. In bands of tiny sets each element is a part of its own and the subsets leave out as
 many elements as two sets can differ in. No pair of any size or similarity is left to chance.
 
-What shares a signature meets pair by pair. A profile of each set, how many of its elements fall into each of BUCKETS
-buckets of a hash, bounds the difference of a pair from below and rules most out: after the join in short lists, and within
-the task, without making pairs, in lists of up to LONG. The others are confirmed on full sets: pairs one by one, and longer
+What shares a signature meets pair by pair. A profile of each set, a bit for each bucket of a hash that says whether an odd
+number of its elements falls there, bounds the difference of a pair from below and rules most out: after the join in short
+lists, and within the task, without making pairs, in lists of up to LONG. There are as many buckets as elements at least, so that
+profiles of large sets say as much as those of small ones. The others are confirmed on full sets: pairs one by one, and longer
 lists and clusters of many like profiles as groups around a core as in near_dedup.
 """
 
 from __future__ import annotations
 
 from bisect import bisect_left
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from functools import lru_cache
 from itertools import combinations
 
@@ -43,8 +44,8 @@ LEVELS = 3
 #: Distinct sets that a task remembers, so that copies it meets give no signatures again.
 SEEN = 100_000
 
-#: Buckets of a profile.
-BUCKETS = 128
+#: Buckets of a profile, at least; a power of two.
+BUCKETS = 1024
 #: Members of a list whose profiles are compared within a task; a cluster with more pairs of like profiles than ALIKE a member is a group.
 LONG, ALIKE = 4096, 4
 #: Members of a list that are tried as the middle of its largest cluster.
@@ -128,9 +129,44 @@ def signatures(s: np.ndarray, percent: int = PERCENT) -> np.ndarray:
 
 
 def profile(s: np.ndarray) -> bytes:
-    """How many elements of s fall into each bucket, 255 at most."""
-    at = (mix(s.view(np.uint64)) % np.uint64(BUCKETS)).astype(np.int64)
-    return np.minimum(np.bincount(at, minlength=BUCKETS), 255).astype(np.uint8).tobytes()
+    """A bit for each bucket, set if an odd number of elements of s falls into it; buckets: the power of two from the size of s on, BUCKETS at least."""
+    n = max(BUCKETS, 1 << (len(s) - 1).bit_length())
+    at = (mix(s.view(np.uint64)) & np.uint64(n - 1)).astype(np.int64)
+    return np.packbits(np.bincount(at, minlength=n) % 2 > 0, bitorder="little").tobytes()
+
+
+def _words(profiles: list[bytes], size: int) -> np.ndarray:
+    """Profiles as rows of 64-bit words, folded to a size in bytes: the two halves of one give that of half as many buckets."""
+    out = np.empty((len(profiles), size // 8), dtype="<u8")
+    length = np.array([len(p) for p in profiles], dtype=np.int64)
+    for n in np.unique(length).tolist():
+        at = np.flatnonzero(length == n)
+        rows = np.frombuffer(b"".join([profiles[i] for i in at.tolist()]), dtype="<u8").reshape(len(at), -1)
+        while rows.shape[1] > out.shape[1]:
+            half = rows.shape[1] // 2
+            rows = rows[:, :half] ^ rows[:, half:]
+        out[at] = rows
+    return out
+
+
+def by_bits(one: np.ndarray, two: np.ndarray) -> np.ndarray:
+    """So many elements at least are in one set only, by rows of profiles."""
+    return np.bitwise_count(one ^ two).sum(axis=1, dtype=np.int64)
+
+
+def by_counts(one: np.ndarray, two: np.ndarray) -> np.ndarray:
+    """by_bits() for rows of numbers of elements."""
+    return np.abs(one - two).sum(axis=1, dtype=np.int64)
+
+
+def differing(one: list[bytes], two: list[bytes]) -> np.ndarray:
+    """by_bits() for pairs of profiles of any sizes."""
+    least = np.array([min(len(a), len(b)) for a, b in zip(one, two, strict=True)], dtype=np.int64)
+    out = np.zeros(len(one), dtype=np.int64)
+    for n in np.unique(least).tolist():
+        at = np.flatnonzero(least == n)
+        out[at] = by_bits(*(_words([x[i] for i in at.tolist()], n) for x in (one, two)))
+    return out
 
 
 def _keyed(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
@@ -196,8 +232,7 @@ def likely_pairs(pairs: DataFrame, profiles: DataFrame, percent: int) -> DataFra
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            one, two = (np.frombuffer(b"".join(batch.column(f"profile_{x}").to_pylist()), dtype=np.uint8).reshape(-1, BUCKETS).astype(np.int16) for x in "ab")
-            near = np.abs(one - two).sum(axis=1, dtype=np.int64) * c <= batch.column("size_a").to_numpy() + batch.column("size_b").to_numpy()
+            near = differing(*(batch.column(f"profile_{x}").to_pylist() for x in "ab")) * c <= batch.column("size_a").to_numpy() + batch.column("size_b").to_numpy()
             yield batch.select(["a", "b"]).filter(pa.array(near))
 
     for x in "ab":
@@ -205,13 +240,14 @@ def likely_pairs(pairs: DataFrame, profiles: DataFrame, percent: int) -> DataFra
     return pairs.mapInArrow(run, "a long, b long").distinct()
 
 
-def clusters(size: np.ndarray, profiles: np.ndarray, percent: int) -> tuple[np.ndarray, np.ndarray]:
+def clusters(size: np.ndarray, profiles: np.ndarray, percent: int, apart: Callable[[np.ndarray, np.ndarray], np.ndarray] = by_counts) -> tuple[np.ndarray, np.ndarray]:
     """The pairs (rows of two places) of members whose profiles let them link, and the cluster of each member that is in one of many such pairs, else -1.
 
-    The members like one that has many like it are one cluster, and not compared with each other; all others are compared with all.
+    The members like one that has many like it are one cluster, and not compared with each other; all others are compared with
+    all. apart: by how many elements two sets differ at least.
     """
     n, c = len(size), ratio(percent)
-    row = lambda v: np.abs(profiles - profiles[v]).sum(axis=1, dtype=np.int64) * c <= size + size[v]
+    row = lambda v: np.maximum(apart(profiles, profiles[v]), np.abs(size - size[v])) * c <= size + size[v]
     tried = [row(v) for v in np.unique(np.linspace(0, n - 1, min(n, TRIED)).astype(np.int64))]
     core = max(tried, key=lambda r: r.sum())
     if core.sum() <= 2 * ALIKE:
@@ -219,7 +255,7 @@ def clusters(size: np.ndarray, profiles: np.ndarray, percent: int) -> tuple[np.n
     parent = np.arange(n)
     if core.any():
         parent[core] = np.flatnonzero(core)[0]
-    found: list[tuple[int, int]] = []
+    found: list[np.ndarray] = [np.empty((0, 2), dtype=np.int64)]
 
     def root(v: int) -> int:
         while parent[v] != v:
@@ -228,13 +264,15 @@ def clusters(size: np.ndarray, profiles: np.ndarray, percent: int) -> tuple[np.n
         return v
 
     for v in np.flatnonzero(~core).tolist():
-        for u in np.flatnonzero(row(v)).tolist():
-            if u < v or core[u]:
-                found.append((u, v))
-                a, b = root(u), root(v)
-                parent[max(a, b)] = min(a, b)
+        alike = row(v)
+        alike[v:] &= core[v:]
+        near = np.flatnonzero(alike)
+        found.append(np.column_stack((near, np.full(len(near), v))))
+        for u in near.tolist():
+            a, b = root(u), root(v)
+            parent[max(a, b)] = min(a, b)
     label = np.array([root(v) for v in range(n)], dtype=np.int64)
-    pairs = np.array(found, dtype=np.int64).reshape(-1, 2)
+    pairs = np.concatenate(found)
     many = np.bincount(label[pairs[:, 0]], minlength=n) > ALIKE * np.bincount(label, minlength=n)
     if core.any():
         many[label[np.flatnonzero(core)[0]]] = True
@@ -244,8 +282,9 @@ def clusters(size: np.ndarray, profiles: np.ndarray, percent: int) -> tuple[np.n
 def compared_lists(lists: DataFrame, percent: int) -> DataFrame:
     """value, a, b: the pairs (a, b) of each list's members whose profiles let them link, and the members a of its clusters, of which each has a value; lists: value, rep, size, profile."""
 
-    def compared(value: int, reps: np.ndarray, size: np.ndarray, profiles: np.ndarray) -> list[tuple]:
-        pairs, cluster = clusters(size, profiles, percent)
+    def compared(value: int, reps: np.ndarray, size: np.ndarray, given: list[bytes]) -> list[tuple]:
+        profiles = _words(given, min(map(len, given)))
+        pairs, cluster = clusters(size, profiles, percent, by_bits)
         apart = mix(np.uint64(value & (2**64 - 1)) ^ mix(cluster.astype(np.uint64) + np.uint64(1))).view(np.int64)
         met = np.sort(reps[pairs], axis=1).tolist()
         return [(value, *p) for p in met] + [(int(apart[v]), int(reps[v]), None) for v in np.flatnonzero(cluster >= 0).tolist()]
@@ -255,7 +294,7 @@ def compared_lists(lists: DataFrame, percent: int) -> DataFrame:
 
         def out(rows: pa.Table) -> pa.RecordBatch:
             value, reps, size = (rows.column(i).to_numpy() for i in range(3))
-            profiles = np.frombuffer(b"".join(rows.column(3).to_pylist()), dtype=np.uint8).reshape(-1, BUCKETS).astype(np.int16)
+            profiles = rows.column(3).to_pylist()
             starts = [*np.flatnonzero(np.concatenate(([True], value[1:] != value[:-1]))).tolist(), len(value)]
             found = [f for s, e in zip(starts, starts[1:], strict=False) for f in compared(int(value[s]), reps[s:e], size[s:e], profiles[s:e])]
             return pa.RecordBatch.from_arrays([pa.array([f[i] for f in found], pa.int64()) for i in range(3)], ["value", "a", "b"])
@@ -298,7 +337,8 @@ def jaccard_join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
         profiles = linkable.where("doc_id = rep").select("rep", "size", "profile").distinct()
         middle = lists.where((F.col("n") > SHORT) & (F.col("n") <= LONG)).join(profiles.select("rep", "profile"), "rep")
         compared = keep(compared_lists(middle, percent), "compared")
-        pairs = keep(likely_pairs(met, profiles, percent).unionByName(compared.where("b IS NOT NULL").select("a", "b")).distinct(), "pairs")
+        # Lists compare profiles of the size of their shortest one, so their pairs are looked at again.
+        pairs = keep(likely_pairs(met.unionByName(compared.where("b IS NOT NULL").select("a", "b")).distinct(), profiles, percent), "pairs")
         # Clusters of different lists that share members are one group, so no set is in two.
         alike = compared.where("b IS NULL").select("value", F.col("a").alias("rep"))
         first = alike.groupBy("value").agg(F.min("rep").alias("a"))

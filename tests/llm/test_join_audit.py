@@ -265,6 +265,32 @@ def test_clusters_lose_no_pair():
         assert len(given) == len(pairs) <= ngram_join.ALIKE * n
 
 
+def test_profiles_of_sets_of_any_size():
+    """A profile never gives more than the difference, and rules out large sets that have nothing or half of their elements in common."""
+    r = np.random.default_rng(11)
+    draw = lambda n: np.unique(r.integers(-(2**63), 2**63 - 1, n))
+    for size in (1, 30, 400, 1024, 1025, 2000, 5000, 9000):
+        for other, common in ((size, 0), (size, size // 2), (size, size), (size * 5 // 4, size), (size * 4 // 5, size * 3 // 4)):
+            shared = draw(common)
+            a, b = (np.unique(np.concatenate((shared, draw(n - common)))) for n in (size, max(other, common)))
+            apart = len(a) + len(b) - 2 * len(np.intersect1d(a, b))
+            least = ngram_join.differing([ngram_join.profile(a)], [ngram_join.profile(b)])[0]
+            assert least <= apart
+            if 400 <= size and common <= size // 2:
+                assert least * ratio(80) > len(a) + len(b)
+
+
+def test_lists_of_large_unlike_sets_are_no_cluster(spark):
+    """Sets of thousands of elements that share a signature and little more give neither pairs nor members of a cluster; those with like sets do, whatever the sizes beside them."""
+    r = np.random.default_rng(12)
+    draw = lambda n: np.unique(r.integers(-(2**63), 2**63 - 1, n))
+    sets = [draw(int(n)) for n in r.integers(3500, 6000, 40)]
+    sets += [np.sort(np.concatenate((sets[0][50:], draw(60)))), np.sort(np.concatenate((sets[1][:-90], draw(9))))]
+    rows = [(7, i, len(s), ngram_join.profile(s)) for i, s in enumerate(sets)]
+    found = ngram_join.compared_lists(spark.createDataFrame(rows, "value long, rep long, size long, profile binary"), 80).collect()
+    assert sorted((x.a, x.b) for x in found) == [(0, 40), (1, 41)]
+
+
 def test_join_hard_rows(spark):
     docs = documents(spark)
     rows = ngram_join.jaccard_join(docs).collect()
