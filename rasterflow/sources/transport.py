@@ -10,6 +10,8 @@ window holds all packets of a stream.
 from __future__ import annotations
 
 import struct
+import zlib
+from bisect import bisect_left
 from collections.abc import Iterator
 
 import numpy as np
@@ -22,6 +24,8 @@ PACKET, SYNC = 188, 0x47
 VIDEO, AUDIO = (0x01, 0x02, 0x1B, 0x24, 0x1C, 0x21), (0x03, 0x04, 0x0F, 0x11, 0x81)
 #: Ticks of the clock reference in a second, and where it starts again.
 CLOCK, WRAP = 27_000_000, 300 * 2**33
+#: Bytes of ranges that are looked at together.
+PORTION = 16 << 20
 
 
 def _next(data: np.ndarray, n: int, at: int) -> tuple[np.ndarray, int]:
@@ -34,7 +38,7 @@ def _next(data: np.ndarray, n: int, at: int) -> tuple[np.ndarray, int]:
 
 
 def _scan(data: np.ndarray, n: int, at: int) -> tuple[list[np.ndarray], int]:
-    """All packets that start before n for a reader at at, and how far behind n it ends; 0 where the file ends."""
+    """All packets that start before n for a reader at at, and how far behind n it ends; 0 where the file ends. One reader's walk, which tests hold _Steps against."""
     found: list[np.ndarray] = []
     sync = None
     while at < n:
@@ -51,41 +55,113 @@ def _scan(data: np.ndarray, n: int, at: int) -> tuple[list[np.ndarray], int]:
     return found, at - n
 
 
+class _Steps:
+    """The steps of readers in a batch of ranges: each sync byte of a range, and where a reader that stands there stands next.
+
+    data holds the ranges' bytes one behind the other, begins where each starts and, last, where they end; sizes are without the
+    overlap. sync: places of sync bytes in data, of: their ranges, whole: whether a packet fits, to: the sync byte that comes
+    next (itself, if none in the range), left: where the range is left from there, in bytes behind its end.
+    """
+
+    def __init__(self, data: np.ndarray, begins: np.ndarray, sizes: np.ndarray):
+        self.data, self.begins, self.sizes = data, begins, sizes
+        sync = np.flatnonzero(data == SYNC)
+        of = np.searchsorted(begins, sync, "right") - 1
+        own = sync - begins[of] < sizes[of]
+        self.sync, self.of = sync[own], of[own]
+        stop, behind = (begins[:-1] + sizes)[self.of], self.sync + PACKET
+        self.whole = behind <= begins[1:][self.of]
+        to = self.next(self.of, behind)
+        ends = ~self.whole | (behind >= stop) | (to < 0)
+        # Behind the last whole packet nothing follows.
+        self.left = np.where(self.whole & (behind >= stop), behind - stop, 0)
+        self.to = np.where(ends, np.arange(len(to)), to)
+
+    def next(self, of: np.ndarray, at: np.ndarray) -> np.ndarray:
+        """The first sync byte from at on in the range, -1 if none."""
+        k = np.searchsorted(self.sync, at)
+        inside = k < len(self.sync)
+        inside[inside] = self.of[k[inside]] == of[inside]
+        return np.where(inside, k, -1)
+
+    def leaves(self) -> np.ndarray:
+        """Where the range is left by a reader on each sync byte."""
+        to = self.to
+        while (to[to] != to).any():
+            to = to[to]
+        return self.left[to]
+
+    def packets(self, entries: np.ndarray) -> np.ndarray:
+        """The sync bytes at which packets begin for readers that enter the ranges there."""
+        first = self.next(np.arange(len(entries)), self.begins[:-1] + entries)
+        first = first[(first >= 0) & (entries < self.sizes)]
+        met, to = np.zeros(len(self.sync), dtype=bool), self.to
+        met[first] = True
+        # After k rounds a step is 2 ** k steps long, and the steps up to there are met.
+        while True:
+            met[to[met]] = True
+            if (to[to] == to).all():
+                break
+            to = to[to]
+        return np.flatnonzero(met & self.whole)
+
+
+def _portions(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[pa.RecordBatch, np.ndarray, np.ndarray]]:
+    """Slices of batches whose last column is the content of ranges, its bytes, and where each range begins in them; about PORTION bytes, or one range."""
+    for b in batches:
+        content = b.column(b.num_columns - 1).cast(pa.large_binary())
+        begins = np.frombuffer(content.buffers()[1], dtype=np.int64)[content.offset : content.offset + len(content) + 1] if len(content) else np.zeros(1, dtype=np.int64)
+        at = 0
+        while at < len(content):
+            to = max(at + 1, int(np.searchsorted(begins, begins[at] + PORTION, "right")) - 1)
+            data = np.frombuffer(content.buffers()[2] or b"", dtype=np.uint8)[begins[at] : begins[to]]
+            yield b.slice(at, to - at), data, begins[at : to + 1] - begins[at]
+            at = to
+
+
+def _breaks(steps: _Steps) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Of all ranges: how many breaks each has, the breaks, and where a reader leaves that enters up to a break and behind the one before it; entries behind a range's end are not in them."""
+    n, left = len(steps.sizes), steps.leaves()
+    head = np.flatnonzero(steps.sync - steps.begins[steps.of] < PACKET)
+    rest = steps.next(np.arange(n), steps.begins[:-1] + PACKET)
+    counts = np.bincount(steps.of[head], minlength=n) + 1
+    last = np.cumsum(counts) - 1
+    upto, leave = np.empty(len(head) + n, dtype=np.int16), np.empty(len(head) + n, dtype=np.int16)
+    place = np.arange(len(head)) + steps.of[head]
+    upto[place], leave[place] = steps.sync[head] - steps.begins[steps.of[head]], left[head]
+    upto[last], leave[last] = PACKET, np.where(rest >= 0, left[rest] if len(left) else 0, 0)
+    return counts, upto, leave
+
+
 def leaves(data: np.ndarray, n: int) -> list[int]:
     """Where the reader stands behind the n bytes of a range, for each place from 0 to PACKET - 1 at which it enters; data holds PACKET bytes more, or ends with the file."""
-    sync = np.flatnonzero(data[:n] == SYNC)
-    at, entry = np.arange(PACKET), np.arange(PACKET)
-    while True:
-        live = at < n
-        if live.sum() <= 1:
-            break
-        k = np.searchsorted(sync, at[live])
-        here = np.where(k < len(sync), sync[np.minimum(k, len(sync) - 1)], n) if len(sync) else np.full(live.sum(), n)
-        # Behind the last whole packet nothing follows.
-        at[live] = np.where(here >= n, n, np.where(here + PACKET <= len(data), here + PACKET, n))
-        at, back = np.unique(at, return_inverse=True)
-        entry = back[entry]
-    at = np.array([n + _scan(data, n, int(a))[1] if a < n else a for a in at])
-    return (at[entry] - n).tolist()
+    _, upto, leave = _breaks(_Steps(data, np.array([0, len(data)]), np.array([n])))
+    return [_left_from(at, n, upto, leave) for at in range(PACKET)]
+
+
+def _left_from(at: int, size: int, upto, leave) -> int:
+    return at - size if at >= size else int(leave[bisect_left(upto, at)])
 
 
 def _left(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for b in batches:
-        out = []
-        for start, size, length, content in zip(b.column(1).to_pylist(), b.column(2).to_pylist(), b.column(3).to_pylist(), b.column(4), strict=True):
-            # Behind the last range of a file there is nothing to enter.
-            out.append(leaves(np.frombuffer(content.as_py(), dtype=np.uint8), size) if start + size < length else [0] * PACKET)
-        yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(out, pa.list_(pa.int16()))], ["media_id", "start", "leaves"])
+    for b, data, begins in _portions(batches):
+        counts, upto, leave = _breaks(_Steps(data, begins, b.column(2).to_numpy()))
+        offsets = pa.array(np.concatenate([[0], np.cumsum(counts)]), pa.int32())
+        lists = [pa.ListArray.from_arrays(offsets, pa.array(v, pa.int16())) for v in (upto, leave)]
+        yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), b.column(2), *lists], ["media_id", "start", "size", "upto", "leave"])
 
 
-def _composed(ranges: pa.Table) -> pa.Table:
-    """media_id, start, entry: where the reader stands at the start of each range of a file."""
-    ranges = ranges.sort_by("start")
-    at, out = 0, []
-    for left in ranges["leaves"]:
-        out.append(at)
-        at = left[at].as_py()
-    return pa.table({"media_id": ranges["media_id"], "start": ranges["start"], "entry": pa.array(out, pa.int32())})
+def _composed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """media_id, start, entry: where the reader stands at the start of each range; the ranges of a file come one after the other, by start."""
+    file, at = None, 0
+    for b in batches:
+        out = []
+        for media, start, size, upto, leave in zip(*(c.to_pylist() for c in b.columns), strict=True):
+            if start == 0 or media != file:
+                file, at = media, 0
+            out.append(at)
+            at = _left_from(at, size, upto, leave)
+        yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(out, pa.int32())], ["media_id", "start", "entry"])
 
 
 def _stamp(raw: bytes, at: int) -> int:
@@ -94,44 +170,58 @@ def _stamp(raw: bytes, at: int) -> int:
     return (a >> 1 & 7) << 30 | b >> 1 << 15 | c >> 1
 
 
-def _clock(raw: bytes, at: int) -> int:
-    return (struct.unpack_from(">I", raw, at)[0] << 1 | raw[at + 4] >> 7) * 300 + ((raw[at + 4] & 1) << 8 | raw[at + 5])
-
-
 _FIELDS = (("at", "long"), ("pid", "integer"), ("starts", "boolean"), ("counter", "integer"), ("error", "boolean"), ("scrambled", "integer"), ("discontinuity", "boolean"), ("random_access", "boolean"), ("pcr", "long"), ("opcr", "long"), ("payload", "binary"), ("range", "long"), ("starts_in_range", "long"))
 _ARROW = {"long": pa.int64(), "integer": pa.int32(), "boolean": pa.bool_(), "binary": pa.binary()}
 
 
+def _packets_at(data: np.ndarray, at: np.ndarray) -> list[np.ndarray | list]:
+    """pid to payload of the packets that begin at those places in data; clocks and payloads as lists with None."""
+    one, two, three, four, five = (data[at + k].astype(np.int64) for k in range(1, 6))
+    extra = three & 0x20 != 0
+    size = np.where(extra, four, 0)
+    flags = np.where(extra & (size > 0), five, 0)
+    place, clocks = np.full(len(at), 6), []
+    for bit in (0x10, 0x08):
+        has = (flags & bit != 0) & (place + 6 <= np.minimum(5 + size, PACKET))
+        a, b, c, d, e, f = (data[at[has] + place[has] + k].astype(np.int64) for k in range(6))
+        value = np.zeros(len(at), dtype=np.int64)
+        value[has] = ((a << 24 | b << 16 | c << 8 | d) << 1 | e >> 7) * 300 + ((e & 1) << 8 | f)
+        clocks.append(pa.array(value, pa.int64(), mask=~has))
+        place = place + 6 * has
+    begin = np.where(extra, 5 + size, 4)
+    holds = (three & 0x10 != 0) & (begin < PACKET)
+    raw = data.tobytes()
+    payload = [raw[p + k : p + PACKET] if h else None for p, k, h in zip(at.tolist(), begin.tolist(), holds.tolist(), strict=True)]
+    return [(one & 0x1F) << 8 | two, one & 0x40 != 0, three & 15, one & 0x80 != 0, three >> 6, flags & 0x80 != 0, flags & 0x40 != 0, *clocks, payload]
+
+
 def _packet(raw: bytes) -> tuple:
     """pid to payload of a packet."""
-    one, two, three = raw[1], raw[2], raw[3]
-    at, flags, clocks = 4, 0, [None, None]
-    if three & 0x20:
-        size = raw[4]
-        flags = raw[5] if size else 0
-        place = 6
-        for k, bit in enumerate((0x10, 0x08)):
-            if flags & bit and place + 6 <= min(5 + size, PACKET):
-                clocks[k] = _clock(raw, place)
-                place += 6
-        at = 5 + size
-    payload = raw[at:] if three & 0x10 and at < PACKET else None
-    return (one & 0x1F) << 8 | two, bool(one & 0x40), three & 15, bool(one & 0x80), three >> 6, bool(flags & 0x80), bool(flags & 0x40), *clocks, payload
+    return tuple(v[0].as_py() if isinstance(v, pa.Array) else v[0] if isinstance(v, list) else v[0].item() for v in _packets_at(np.frombuffer(raw, dtype=np.uint8), np.zeros(1, dtype=np.int64)))
+
+
+def _begun(keys: np.ndarray, starts: np.ndarray) -> np.ndarray:
+    """How many starts there have been up to each row, among the rows with its key."""
+    order = np.argsort(keys, kind="stable")
+    sums, ranked = np.cumsum(starts[order]), keys[order]
+    first = np.flatnonzero(np.concatenate([[True], ranked[1:] != ranked[:-1]])) if len(keys) else np.empty(0, dtype=np.int64)
+    before = sums[first] - starts[order][first]
+    out = np.empty(len(keys), dtype=np.int64)
+    out[order] = sums - np.repeat(before, np.diff(np.append(first, len(keys))))
+    return out
 
 
 def _parsed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for b in batches:
-        for i, (start, size, content, entry) in enumerate(zip(b.column(1).to_pylist(), b.column(2).to_pylist(), b.column(3), b.column(4).to_pylist(), strict=True)):
-            raw = content.as_py()
-            data = np.frombuffer(raw, dtype=np.uint8)
-            rows, begun = [], {}
-            for at in np.concatenate([*_scan(data, size, entry)[0], np.empty(0, dtype=np.int64)]).astype(np.int64).tolist():
-                pid, starts, *rest = _packet(raw[at : at + PACKET])
-                # A start without payload starts nothing.
-                begun[pid] = begun.get(pid, 0) + (starts and rest[-1] is not None)
-                rows.append((start + at, pid, starts, *rest, start, begun[pid]))
-            media = b.column(0).take(pa.array([i] * len(rows), pa.int64()))
-            yield pa.RecordBatch.from_arrays([media, *(pa.array([r[k] for r in rows], _ARROW[t]) for k, (_, t) in enumerate(_FIELDS))], ["media_id", *(n for n, _ in _FIELDS)])
+    for b, data, begins in _portions(batches):
+        start = b.column(1).to_numpy()
+        steps = _Steps(data, begins, b.column(2).to_numpy())
+        found = steps.packets(b.column(3).to_numpy())
+        at, of = steps.sync[found], steps.of[found]
+        pid, starts, *rest = _packets_at(data, at)
+        # A start without payload starts nothing.
+        held = np.array([p is not None for p in rest[-1]], dtype=bool)
+        columns = [start[of] + at - begins[of], pid, starts, *rest, start[of], _begun(of << 13 | pid, (starts & held).astype(np.int64))]
+        yield pa.RecordBatch.from_arrays([b.column(0).take(pa.array(of)), *(c if isinstance(c, pa.Array) else pa.array(c, _ARROW[t]) for c, (_, t) in zip(columns, _FIELDS, strict=True))], ["media_id", *(n for n, _ in _FIELDS)])
 
 
 def packets(ranges: DataFrame) -> DataFrame:
@@ -140,10 +230,12 @@ def packets(ranges: DataFrame) -> DataFrame:
     ranges are those of byte_ranges with an overlap of PACKET. range and starts_in_range (unit starts of the pid in that range
     so far) serve to number units.
     """
-    media = ranges.select("media_id").schema
-    left = ranges.select("media_id", "start", "size", "length", "content").mapInArrow(_left, _typed(media, ("start", "long"), ("leaves", "array<smallint>")))
-    entries = left.groupBy("media_id").applyInArrow(_composed, _typed(media, ("start", "long"), ("entry", "integer")))
-    entered = ranges.join(entries, ["media_id", "start"]).select("media_id", "start", "size", "content", "entry")
+    # Both passes read the ranges as they are dealt here, made and shuffled once: the condition is the join's own, which Spark would put before one of them only.
+    dealt = ranges.where("media_id IS NOT NULL AND start IS NOT NULL").select("media_id", "start", "size", "content").repartition("media_id", "start")
+    media = dealt.select("media_id").schema
+    left = dealt.mapInArrow(_left, _typed(media, ("start", "long"), ("size", "long"), ("upto", "array<smallint>"), ("leave", "array<smallint>")))
+    entries = left.repartition("media_id").sortWithinPartitions("media_id", "start").mapInArrow(_composed, _typed(media, ("start", "long"), ("entry", "integer")))
+    entered = dealt.join(entries, ["media_id", "start"]).select("media_id", "start", "size", "entry", "content")
     return entered.mapInArrow(_parsed, _typed(media, *_FIELDS))
 
 
@@ -159,14 +251,12 @@ def _typed(schema, *fields):
 # --- program tables ---
 
 
+_REVERSED = bytes(int(f"{v:08b}"[::-1], 2) for v in range(256))
+
+
 def crc32_mpeg(data: bytes) -> int:
-    """The checksum of program tables: of a section with its own, 0."""
-    crc = 0xFFFFFFFF
-    for byte in data:
-        crc ^= byte << 24
-        for _ in range(8):
-            crc = (crc << 1 ^ 0x04C11DB7 if crc & 0x80000000 else crc << 1) & 0xFFFFFFFF
-    return crc
+    """The checksum of program tables: of a section with its own, 0. It is that of zlib with the bits of each byte, and of the result, the other way round."""
+    return int.from_bytes((zlib.crc32(data.translate(_REVERSED)) ^ 0xFFFFFFFF).to_bytes(4, "little").translate(_REVERSED), "big")
 
 
 def _section(payload: bytes, table: int) -> bytes | None:
@@ -215,14 +305,33 @@ def programs(packets: DataFrame) -> DataFrame:
     return found.groupBy("media_id", "program", "pmt_pid").agg(F.min("at").alias("at")).select("media_id", "at", "program", "pmt_pid")
 
 
+_TABLE_FIELDS = ("pid", "program", "pcr_pid", "place", "stream_type", "stream")
+
+
+def _tables(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """A row for each program that a table names, with the map's pid and no stream, and for each stream of a map, with the pid the map came by."""
+    for b in batches:
+        out = []
+        for i, (pid, payload) in enumerate(zip(b.column(2).to_pylist(), b.column(3).to_pylist(), strict=True)):
+            if pid == 0:
+                out += [(i, named, program, None, None, None, None) for program, named in _programs(payload)]
+            out += [(i, pid, program, clock, place, kind, stream) for program, clock, place, kind, stream in _streams(payload)]
+        take = pa.array([o[0] for o in out], pa.int64())
+        yield pa.RecordBatch.from_arrays([b.column(0).take(take), b.column(1).take(take), *(pa.array([o[k + 1] for o in out], pa.int32()) for k in range(len(_TABLE_FIELDS)))], ["media_id", "at", *_TABLE_FIELDS])
+
+
 def streams(packets: DataFrame) -> DataFrame:
     """media_id, at, program, pcr_pid, place, stream_type, pid, kind (video, audio or null): the streams of the first map of a program that is named before it."""
-    named = programs(packets).select("media_id", F.col("pmt_pid").alias("pid"), F.col("at").alias("named_at")).groupBy("media_id", "pid").agg(F.min("named_at").alias("named_at"))
-    maps = packets.where("starts AND payload IS NOT NULL").join(named, ["media_id", "pid"]).where("at > named_at")
-    found = _read_tables(maps, _streams, ("program", "pcr_pid", "place", "stream_type", "pid"))
-    first = found.groupBy("media_id").agg(F.min("at").alias("at"))
+    # Programs and maps are read in one pass; a map's section begins with its type, behind the bytes that the first one counts.
+    skipped = F.conv(F.hex(F.substring("payload", 1, 1)), 16, 10).cast("int")
+    may_hold = packets.where("starts AND payload IS NOT NULL").where((F.col("pid") == 0) | (F.hex(F.substring(F.col("payload"), skipped + 2, F.lit(1))) == "02"))
+    rows = may_hold.select("media_id", "at", "pid", "payload")
+    found = rows.mapInArrow(_tables, _typed(rows.select("media_id").schema, ("at", "long"), *((n, "integer") for n in _TABLE_FIELDS))).repartition("media_id")
+    named_at = F.min(F.when(F.col("stream").isNull(), F.col("at"))).over(Window.partitionBy("media_id", "pid"))
+    maps = found.withColumn("named_at", named_at).where("stream IS NOT NULL AND at > named_at")
+    first = maps.withColumn("first", F.min("at").over(Window.partitionBy("media_id"))).where("at = first")
     kind = F.when(F.col("stream_type").isin(*VIDEO), "video").when(F.col("stream_type").isin(*AUDIO), "audio")
-    return found.join(first, ["media_id", "at"]).withColumn("kind", kind)
+    return first.select("media_id", "at", "program", "pcr_pid", "place", "stream_type", F.col("stream").alias("pid"), kind.alias("kind"))
 
 
 # --- units ---
@@ -255,11 +364,13 @@ def units(packets: DataFrame, of: DataFrame | None = None) -> DataFrame:
     """
     known = (streams(packets) if of is None else of).where("kind IS NOT NULL")
     last = known.groupBy("media_id", "kind").agg(F.max_by("pid", "place").alias("pid"), F.max("at").alias("known_at"))
-    own = packets.where("payload IS NOT NULL").join(last, ["media_id", "pid"]).where("at > known_at")
     keys = ["media_id", "pid"]
     light = packets.select(*keys, "range", "starts_in_range").groupBy(*keys, "range").agg(F.max("starts_in_range").alias("n"))
     before = light.withColumn("before", F.coalesce(F.sum("n").over(Window.partitionBy(*keys).orderBy("range").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0).cast("long")))
-    numbered = own.join(before.drop("n"), [*keys, "range"]).withColumn("unit", F.col("before") + F.col("starts_in_range"))
+    # What is known of a stream in a range is light; the payloads are joined with it once.
+    known_of = before.drop("n").join(last, keys)
+    own = packets.where("payload IS NOT NULL").join(known_of, [*keys, "range"]).where("at > known_at")
+    numbered = own.withColumn("unit", F.col("before") + F.col("starts_in_range"))
     parts = F.array_sort(F.collect_list(F.struct("at", "starts", "payload")))
     whole = numbered.groupBy(*keys, "kind", "unit").agg(parts.alias("parts")).where("parts[0].starts")
     raw = F.unhex(F.array_join(F.transform("parts", lambda p: F.hex(p["payload"])), ""))
