@@ -37,3 +37,8 @@ def final_plan(df):
 def test_units_make_their_ranges_once(spark):
     plan = final_plan(containers.ts_units(spark, SF))
     assert plan.count("Generate explode") == 1 and plan.count("_left(") == 1
+
+
+def test_durations_compose_files_without_a_call_for_each(spark):
+    plan = final_plan(containers.ts_duration(spark, SF))
+    assert plan.count("Generate explode") == 1 and "FlatMapGroups" not in plan
