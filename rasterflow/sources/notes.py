@@ -101,10 +101,10 @@ def midi_header(media: DataFrame) -> DataFrame:
 
 
 def number_hex(n: Column) -> Column:
-    """A number under 2 ** 28 in groups of seven bits, as hex."""
-    group = lambda shift, more: F.lpad(F.hex(F.shiftright(n, shift).bitwiseAND(127).bitwiseOR(128 if more else 0).cast("long")), 2, "0")
-    parts = [group(7 * k, k > 0) for k in (3, 2, 1, 0)]
-    return F.when(n < 1 << 7, parts[3]).when(n < 1 << 14, F.concat(*parts[2:])).when(n < 1 << 21, F.concat(*parts[1:])).otherwise(F.concat(*parts))
+    """A number in as many groups of seven bits as it takes, as hex; less than 0 is 0. Readers that keep to the standard take four groups, numbers under 2 ** 28."""
+    n = F.greatest(n.cast("long"), F.lit(0).cast("long"))
+    group = lambda k: F.lpad(F.hex(F.shiftright(n, 7 * k).bitwiseAND(127).bitwiseOR(128 if k else 0)), 2, "0")
+    return F.concat(*[F.when(n >= 1 << 7 * k, group(k)).otherwise("") for k in range(8, 0, -1)], group(0))
 
 
 def write_midi(notes: DataFrame, division: int = 480, tempo: int = 500_000, channel: int = 0) -> DataFrame:

@@ -15,6 +15,15 @@ def test_numbers_of_seven_bit_groups(spark):
     assert [r.h for r in got] == known and [notes.number_at(bytes.fromhex(h), 0)[0] for h in known] == values
 
 
+def test_numbers_of_more_than_four_groups(spark):
+    values = [2**28 - 1, 2**28, 1_773_285_600, 2**35, 2**63 - 1]
+    got = [r.h for r in spark.createDataFrame([(v,) for v in values], "v long").select(notes.number_hex(F.col("v")).alias("h")).collect()]
+    assert got[:3] == ["FFFFFF7F", "8180808000", "86CDC8E160"] and [notes.number_at(bytes.fromhex(h), 0) for h in got] == [(v, len(h) // 2) for v, h in zip(values, got, strict=True)]
+    events = [(1, 2**28 + 5, True, 60, 90), (1, 2**29 + 2**28 + 7, False, 60, 0)]
+    back = notes.read_midi(notes.write_midi(spark.createDataFrame(events, "media_id long, tick long, on boolean, note int, velocity int"))).where("kind LIKE 'note%'").orderBy("seq").collect()
+    assert [r.tick for r in back] == [e[1] for e in events]
+
+
 def test_broken_midi(spark):
     whole = bytes.fromhex("4D546864000000060000000101E0" + "4D54726B0000000C" + "00903C40" + "830060" + "3C00" + "00FF2F")
     files = [whole, whole[:24], b"MThd", b"", None, b"no file"]
