@@ -320,16 +320,30 @@ def _tables(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([b.column(0).take(take), b.column(1).take(take), *(pa.array([o[k + 1] for o in out], pa.int32()) for k in range(len(_TABLE_FIELDS)))], ["media_id", "at", *_TABLE_FIELDS])
 
 
+def _first_maps(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Of the rows of _tables, a file's one after the other and by at: those of its first map that comes by a pid named before."""
+    file, first, named = None, None, {}
+    for b in batches:
+        keep = []
+        for i, (media, at, pid, stream) in enumerate(zip(*(b.column(k).to_pylist() for k in (0, 1, 2, b.num_columns - 1)), strict=True)):
+            if media != file:
+                file, first, named = media, None, {}
+            if stream is None:
+                named.setdefault(pid, at)
+            elif at == first or first is None and named.get(pid, at) < at:
+                first = at
+                keep.append(i)
+        yield b.take(pa.array(keep, pa.int64()))
+
+
 def streams(packets: DataFrame) -> DataFrame:
     """media_id, at, program, pcr_pid, place, stream_type, pid, kind (video, audio or null): the streams of the first map of a program that is named before it."""
     # Programs and maps are read in one pass; a map's section begins with its type, behind the bytes that the first one counts.
     skipped = F.conv(F.hex(F.substring("payload", 1, 1)), 16, 10).cast("int")
     may_hold = packets.where("starts AND payload IS NOT NULL").where((F.col("pid") == 0) | (F.hex(F.substring(F.col("payload"), skipped + 2, F.lit(1))) == "02"))
     rows = may_hold.select("media_id", "at", "pid", "payload")
-    found = rows.mapInArrow(_tables, _typed(rows.select("media_id").schema, ("at", "long"), *((n, "integer") for n in _TABLE_FIELDS))).repartition("media_id")
-    named_at = F.min(F.when(F.col("stream").isNull(), F.col("at"))).over(Window.partitionBy("media_id", "pid"))
-    maps = found.withColumn("named_at", named_at).where("stream IS NOT NULL AND at > named_at")
-    first = maps.withColumn("first", F.min("at").over(Window.partitionBy("media_id"))).where("at = first")
+    found = rows.mapInArrow(_tables, _typed(rows.select("media_id").schema, ("at", "long"), *((n, "integer") for n in _TABLE_FIELDS)))
+    first = found.repartition("media_id").sortWithinPartitions("media_id", "at").mapInArrow(_first_maps, found.schema)
     kind = F.when(F.col("stream_type").isin(*VIDEO), "video").when(F.col("stream_type").isin(*AUDIO), "audio")
     return first.select("media_id", "at", "program", "pcr_pid", "place", "stream_type", F.col("stream").alias("pid"), kind.alias("kind"))
 

@@ -42,3 +42,15 @@ def test_units_make_their_ranges_once(spark):
 def test_durations_compose_files_without_a_call_for_each(spark):
     plan = final_plan(containers.ts_duration(spark, SF))
     assert plan.count("Generate explode") == 1 and "FlatMapGroups" not in plan
+
+
+def test_streams_read_their_packets_once(spark):
+    plan = final_plan(containers.ts_streams(spark, SF))
+    assert plan.count("Generate explode") == 1 and plan.count("MapInArrow _parsed(") == 1
+
+
+def test_first_maps_of_files_over_batches():
+    names = ["media_id", "at", "pid", "stream"]
+    rows = [(1, 0, 32, 256), (1, 188, 32, None), (1, 188, 48, None), (1, 376, 32, 257), (1, 376, 32, 258), (1, 564, 48, 259), (2, 0, 32, 256), (3, 0, 0, None), (3, 0, 0, 9), (3, 9, 0, 10)]
+    batches = [pa.RecordBatch.from_pylist([dict(zip(names, r, strict=True))]) if r[3] is not None else pa.RecordBatch.from_arrays([pa.array([v], pa.int64()) for v in r], names) for r in rows]
+    assert [tuple(r.values()) for b in transport._first_maps(iter(batches)) for r in b.to_pylist()] == [rows[3], rows[4], rows[9]]
